@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, mixing, packing, quality_rules, secret_scan, simhash
+from . import jaccard_join, mixing, packing, pu_quality, quality_rules, secret_scan, simhash, toxicity
 from .common import table
 
 
@@ -14,6 +14,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
@@ -37,6 +45,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_secret_scan": op2_secret_scan,
+    "op3_toxicity": op3_toxicity,
+    "op4_pu_quality": op4_pu_quality,
     "op5_source_mixing": op5_source_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op8_simhash": op8_simhash,
