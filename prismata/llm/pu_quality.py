@@ -40,7 +40,7 @@ from . import textbytes as tb
 TRUSTED_ROWS = 20_000
 STEPS = 24
 RATE = 0.4
-DECAY = 1e-3
+DECAY = 3e-3
 BINS = 400
 THRESHOLD = 0.5
 
@@ -62,7 +62,7 @@ SHARES = {
     "bar": _class(b"|"),
     "symbol": _class(b"#*$%&<>=@^~_+/\\{}[]"),
 }
-NAMES = [*SHARES, "length", "word_length", "long_words", "odd_words", "capital_words", "distinct_words", "distinct_pairs", "repeated_windows", "repeated_lines", "line_words"]
+NAMES = [*SHARES, "word_length", "long_words", "odd_words", "capital_words", "distinct_words", "distinct_pairs", "repeated_windows", "repeated_lines", "line_words"]
 WIDTH = 2 * len(NAMES)
 
 
@@ -76,7 +76,6 @@ def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     some = np.maximum(1, count)
     size = end - start
     share = lambda flags: np.bincount(text[flags], minlength=n) / some
-    out["length"] = np.log1p(np.diff(off)) / 12
     out["word_length"] = np.minimum(1, np.bincount(text, size, n) / some / 20)
     out["long_words"] = share(size > 20)
     odd = SHARES["symbol"] | SHARES["bar"] | SHARES["shout"]
