@@ -110,51 +110,62 @@ def candidates(index: DataFrame, rules: list[Rule], grams: list[str]) -> DataFra
     return got.where(anyone)
 
 
-def found(df: DataFrame, rule: Rule, number: int, where: Column | None) -> DataFrame:
-    """``df`` with ``spans_<kind>``: struct (start, kind number, end) of each match, in order."""
-    text = F.col("text") if where is None else F.when(where, F.col("text")).otherwise(F.lit(""))
-    p = F.lit(rule.java)
-    df = df.withColumn("_m", F.regexp_extract_all(text, p, F.lit(0)))
-    values = F.regexp_extract_all(text, p, F.lit(rule.value)) if rule.value else F.col("_m")
-    df = df.withColumn("_v", F.when(F.size("_m") > 0, values))
-    df = df.withColumn("_g", F.when(F.size("_m") > 0, F.transform(F.split(text, rule.java, -1), F.length)))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def matches(text: Column, rule: Column) -> Column:
+    """Spans of one rule (struct kind, pattern, value, least) in a text, in order.
+
+    Starts are running sums of the gaps between matches and the matches' own
+    lengths, both in code points.
+    """
+    none = F.array().cast(SPANS)
     zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc.at + F.get("_g", i)
-        end = start + F.length(F.get("_m", i))
-        here = F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(F.get("_v", i)) >= rule.least, F.concat(acc.out, here)).otherwise(acc.out).alias("out"))
+    def spans(whole: Column) -> Column:
+        values = F.regexp_extract_all(text, rule.pattern, rule.value)
+        gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
+        rows = F.arrays_zip(gaps.alias("gap"), F.transform(whole, F.length).alias("own"), F.transform(values, F.length).alias("kept"))
+
+        def step(acc: Column, r: Column) -> Column:
+            start = acc.at + r.gap
+            here = F.array(F.struct(start.alias("start"), rule.kind.alias("kind"), (start + r.own).alias("end")))
+            return F.struct((start + r.own).alias("at"), F.when(r.kept >= rule.least, F.concat(acc.out, here)).otherwise(acc.out).alias("out"))
 
-    spans = F.aggregate(F.sequence(F.lit(0), F.size("_m") - 1), zero, step, lambda acc: acc.out)
-    return df.withColumn(f"spans_{rule.kind}", F.when(F.size("_m") > 0, spans).otherwise(none)).drop("_m", "_v", "_g")
+        return F.when(F.size(whole) == 0, none).otherwise(F.aggregate(F.slice(rows, 1, F.size(whole)), zero, step, lambda acc: acc.out))
+
+    return F.get(F.transform(F.array(F.regexp_extract_all(text, rule.pattern, F.lit(0))), spans), F.lit(0))
 
 
 def with_spans(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """``docs`` (a string column ``text`` without nulls) with a column of spans for each rule."""
+    """``docs`` (a string column ``text`` without nulls) with ``_spans``, the spans of all rules by start and rule.
+
+    The rules that a text is a candidate for are an array, and one expression
+    runs over it: the plan does not grow with the rule set.
+    """
     grams = vocabulary(rules)
     cands = candidates(postings(docs, grams), rules, grams)
     df = docs.withColumn("_key", text_key(F.col("text"))).join(cands.withColumnRenamed("key", "_key"), "_key", "left")
-    for i, r in enumerate(rules):
-        df = found(df, r, i, F.coalesce(F.col(f"may_{r.kind}"), F.lit(False)) if r.query() else None)
-    return df.drop("_key", *[f"may_{r.kind}" for r in rules])
+    every = F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(r.java).alias("pattern"), F.lit(r.value).alias("value"), F.lit(r.least).alias("least"), (F.coalesce(F.col(f"may_{r.kind}"), F.lit(False)) if r.query() else F.lit(True)).alias("may")) for i, r in enumerate(rules)])
+    df = df.withColumn("_rules", F.filter(every, lambda r: r.may))
+    df = df.withColumn("_spans", F.array_sort(F.flatten(F.transform("_rules", lambda r: matches(F.col("text"), r)))))
+    return df.drop("_key", "_rules", *[f"may_{r.kind}" for r in rules])
 
 
 def listed(spans: Column, rules: list[Rule]) -> Column:
     """kind:start:end of each span by start, then kind, comma-joined."""
     kinds = F.array(*[F.lit(r.kind) for r in rules])
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(kinds, s.kind), s.start.cast("string"), s.end.cast("string"))), ",")
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s.kind), s.start.cast("string"), s.end.cast("string"))), ",")
 
 
 def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """doc_id, the number of matches of each base kind, the digest of base spans and all spans."""
     d = common.with_columns(docs, doc_id="long", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = with_spans(d, rules)
-    base = F.concat(*[F.col(f"spans_{r.kind}") for r in rules if r.base])
-    every = F.concat(*[F.col(f"spans_{r.kind}") for r in rules])
-    counts = [F.size(f"spans_{r.kind}").cast("long").alias(f"n_{r.kind}") for r in rules if r.base]
-    return d.select("doc_id", *counts, F.sha2(listed(base, rules).cast("binary"), 256).alias("base_sha256"), listed(every, rules).alias("spans"))
+    base = [i for i, r in enumerate(rules) if r.base]
+    counts = [F.size(F.array_remove(F.transform("_spans", lambda s: F.when(s.kind == F.lit(i), F.lit(1)).otherwise(F.lit(0))), 0)).cast("long").alias(f"n_{rules[i].kind}") for i in base]
+    d = d.select("doc_id", *counts, F.filter("_spans", lambda s: s.kind.isin(base)).alias("_base"), "_spans")
+    return d.select("doc_id", *[f"n_{rules[i].kind}" for i in base], F.sha2(listed(F.col("_base"), rules).cast("binary"), 256).alias("base_sha256"), listed(F.col("_spans"), rules).alias("spans"))
 
 
 def redact(docs: DataFrame, rules: list[Rule] = RULES, mask: str = MASK) -> DataFrame:
@@ -163,7 +174,7 @@ def redact(docs: DataFrame, rules: list[Rule] = RULES, mask: str = MASK) -> Data
     Overlapping spans share one mask.  A null text stays null.
     """
     d = docs.withColumn("_own", F.col("text")).withColumn("text", F.coalesce("text", F.lit("")))
-    d = with_spans(d, rules).withColumn("_spans", F.array_sort(F.concat(*[F.col(f"spans_{r.kind}") for r in rules])))
+    d = with_spans(d, rules)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
