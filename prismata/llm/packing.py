@@ -11,10 +11,13 @@ lengths last, so the plan has a few thousand patterns at any scale.  Pieces of
 one length are interchangeable: each is numbered inside its length
 (``common.ranked``) and looks its number up in the plan.
 
-Tokenising.  White space ends every token of this vocabulary, so a worker
-tokenises each distinct word once and keeps its ids by the word's 64-bit hash
-(at most ``CACHED_WORDS`` words, then it starts anew); a text's ids are gathered
-from there.  The vocabulary file is a parameter and is read where it is
+Tokenising.  White space ends every token of this vocabulary, as does the
+border between an ASCII letter and most ASCII punctuation, and case is folded.
+So a worker tokenises each distinct folded unit between such borders once and
+keeps its ids by the unit's 64-bit hash (at most ``CACHED_WORDS`` units, then it
+starts anew); a text's ids are gathered from there.  New units of letters only
+are one word each for the vocabulary's own splitting, so they are tokenised on
+end and told apart by the marks of word ends.  The vocabulary file is a parameter and is read where it is
 installed.
 
 Defined cases: null and empty texts are one piece with the end id alone; null
@@ -41,6 +44,16 @@ END_ID = 1
 CACHED_WORDS = 1_500_000
 
 
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Punctuation beside which a letter always ends a token: no apostrophe, and nothing that special tokens contain.
+BORDER = np.zeros(256, bool)
+BORDER[list(b'.,!?;:#$%&*()[]{}"=+-/@~^')] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SPECIAL = b"<|"
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -55,18 +68,44 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.closes[i] = piece.endswith("</w>")
         self.clear()
 
     def clear(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    def tokenised(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts on end, and how many each has."""
+        plain = [i for i, t in enumerate(texts) if t.isalpha() and t.lower().isalpha()]
+        size = np.zeros(len(texts), np.int64)
+        ids: list[np.ndarray] = []
+        order: list[np.ndarray] = []
+        if plain:
+            run = np.array(self.tokenizer.encode(" ".join([texts[i] for i in plain]), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.closes[run]) + 1
+            if len(ends) == len(plain):
+                size[plain] = np.diff(ends, prepend=0)
+                ids.append(run)
+                order.append(np.repeat(np.array(plain), size[plain]))
+            else:
+                plain = []
+        done = set(plain)
+        rest = [i for i in range(len(texts)) if i not in done]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            ids.append(np.array(e.ids, np.uint32))
+            size[i] = len(ids[-1])
+            order.append(np.full(size[i], i))
+        if not ids:
+            return np.zeros(0, np.uint32), size
+        return np.concatenate(ids)[np.argsort(np.concatenate(order), kind="stable")], size
+
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        """Tokenise new words, given in the order of their hashes."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.array([len(x) for x in ids], np.int32)
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+        """Tokenise new units, given in the order of their hashes."""
+        flat, size = self.tokenised(texts)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
         self.pool[self.used : self.used + len(flat)] = flat
@@ -78,7 +117,14 @@ class WordIds:
 
     def ids(self, buf: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a chunk's texts on end, each closed by ``end_id``, and their offsets."""
-        h, first, last, text = tb.word_hashes(buf, off)
+        raw = buf.tobytes()
+        if SPECIAL not in raw:
+            buf = LOWER[buf]
+            raw = buf.tobytes()
+        cut = np.zeros(len(buf), bool)
+        letter, border = LETTER[buf], BORDER[buf]
+        cut[1:] = (letter[1:] & border[:-1]) | (border[1:] & letter[:-1])
+        h, first, last, text = tb.word_hashes(buf, off, cut)
         if len(self.hashes) > self.most:
             self.clear()
         want, at, inverse = np.unique(h, return_index=True, return_inverse=True)
@@ -86,10 +132,9 @@ class WordIds:
         known = (have < len(self.hashes)) & (self.hashes[np.minimum(have, len(self.hashes) - 1)] == want) if len(self.hashes) else np.zeros(len(want), bool)
         if not known.all():
             new = np.flatnonzero(~known)
-            raw = buf.tobytes()
             self.learn(want[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(first[at[new]].tolist(), last[at[new]].tolist(), strict=True)])
             have = np.searchsorted(self.hashes, want)
-        start, size = self.start[have][inverse], self.size[have][inverse].astype(np.int64)
+        start, size = self.start[have][inverse], self.size[have][inverse]
         stop = np.searchsorted(text, np.arange(len(off) - 1), "right")
         start, size = np.insert(start, stop, -1), np.insert(size, stop, 1)
         begin = np.cumsum(size) - size

@@ -100,8 +100,11 @@ def span_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((p[end] - p[start]) * down[start] + (end - start).astype(U64))
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text number) of each run of bytes other than ASCII white space."""
+def words(buf: np.ndarray, off: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text number) of each run of bytes other than ASCII white space.
+
+    ``cut``: where true, a run ends before that byte.
+    """
     if not len(buf):
         z = np.zeros(0, np.int64)
         return z, z, z
@@ -110,6 +113,9 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     first[1:] &= ~ink[:-1]
     last = ink.copy()
     last[:-1] &= ~ink[1:]
+    if cut is not None:
+        first |= cut & ink
+        last[:-1] |= cut[1:] & ink[:-1]
     head = off[:-1][off[1:] > off[:-1]]
     first[head] = ink[head]
     tail = off[1:][off[1:] > off[:-1]] - 1
@@ -118,8 +124,8 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, np.searchsorted(off, start, "right") - 1
 
 
-def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    start, end, text = words(buf, off)
+def word_hashes(buf: np.ndarray, off: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    start, end, text = words(buf, off, cut)
     return span_hash(prefix(buf), start, end), start, end, text
 
 
