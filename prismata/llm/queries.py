@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, mixing, packing, pu_quality, quality_rules, secret_scan, simhash, toxicity
+from . import html_template, jaccard_join, mixing, packing, pu_quality, quality_rules, secret_scan, simhash, toxicity
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op9_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": op5_source_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op8_simhash": op8_simhash,
+    "op9_html_template": op9_html_template,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
