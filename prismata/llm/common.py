@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 import tempfile
@@ -59,11 +60,17 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again."""
+def saved(df: DataFrame, tidy: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again.
+
+    ``tidy`` lets Spark's cleaner delete the shuffle files of the jobs before.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/prismata-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if tidy:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -76,14 +83,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(labels: DataFrame, value: str, limit: int) -> DataFrame:
-    """At most ``limit`` (doc_id, label) rows of the learning folds, in hash order.
+def labelled_sample(labels: DataFrame, value: str, limit: int, only: int | None = None) -> DataFrame:
+    """At most ``limit`` (doc_id, label) rows of the learning folds, in hash order; of one label if ``only`` is given.
 
     Contradicting labels of one doc_id meet in their maximum; rows without id
     or label go.  The bound is what makes the result safe to broadcast.
     """
     t = with_columns(labels, doc_id="long", **{value: "int"}).where(F.col("doc_id").isNotNull() & F.col(value).isNotNull() & learning_fold(F.col("doc_id")))
     t = t.groupBy("doc_id").agg(F.max(value).alias("label"))
+    if only is not None:
+        t = t.where(F.col("label") == only)
     return t.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 

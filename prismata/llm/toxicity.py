@@ -10,8 +10,9 @@ the last ones settle on the words that make a document toxic.  The windows found
 toxic also enter misspelt (letters dropped, doubled, swapped, replaced), and an
 unseen misspelling shares n-grams, hence vectors, with them.
 
-Labels come from at most ``SAMPLE_ROWS`` labelled rows of the learning folds, in
-hash order; of each sampled text the executors return its distinct words.
+Labels come from at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled rows of the
+learning folds, in hash order; of each sampled text the executors return its
+distinct words.
 For two classes E and the softmax reduce to one number per bucket, which is what
 is broadcast for scoring: all texts, whole, in one scan without a shuffle.
 
@@ -37,7 +38,8 @@ from . import textbytes as tb
 BUCKETS = 1 << 17
 DIM = 16
 GRAMS = (3, 4, 5)
-SAMPLE_ROWS = 4000
+TOXIC_ROWS = 800
+CLEAN_ROWS = 1600
 STEPS = 90
 THRESHOLD = 0.7
 
@@ -93,7 +95,7 @@ def bags(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         got = np.concatenate([buckets_at(b, n) for n in GRAMS])
         ids.append(got)
         sizes.append(len(got))
-    return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)).astype(np.int32), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
 def misspelt(word: bytes) -> set[bytes]:
@@ -137,7 +139,7 @@ def train(docs: list[tuple[int, list[bytes]]], steps: int = STEPS, dim: int = DI
 
     ids, off = bags(words)
     size = np.maximum(1, np.diff(off))
-    word_of = np.repeat(np.arange(len(words)), np.diff(off))
+    word_of = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(off))
     if not any(len(m) for m in member):
         return Model(np.zeros(BUCKETS), -1e9)
     flat, owner, y, weight, first = frame(member, labels)
@@ -145,29 +147,25 @@ def train(docs: list[tuple[int, list[bytes]]], steps: int = STEPS, dim: int = DI
         sharp = min(1.0, step / (0.4 * steps)) ** 2 * 6
         if step == int(steps * 0.6):  # misspell what is found toxic
             t = table @ (rows[1] - rows[0])
-            logit = np.bincount(word_of, t[ids], len(words)) / size
+            logit = np.add.reduceat(t[ids], off[:-1]) / size
             z = logit[flat]
-            top: dict[int, int] = {}
-            for d in np.flatnonzero(y == 1):
-                a, b = first[d], first[d + 1] if d + 1 < len(first) else len(flat)
-                w = int(flat[a + int(z[a:b].argmax())])
-                top[w] = top.get(w, 0) + 1
+            top = np.bincount(flat[(y[owner] == 1) & (z + bias > 0)], minlength=len(words))
             least = max(2, int(0.01 * (y == 1).sum()))
             clean = np.bincount(flat[y[owner] == 0], minlength=len(words))  # a few labels are wrong
-            found = [words[w] for w, n in top.items() if n >= max(least, 3 * clean[w])]
+            found = [words[w] for w in np.flatnonzero((top >= least) & (top >= 3 * clean))]
             fresh = sorted({v for w in found for v in misspelt(w) if v and v not in vocab})
             for v in fresh:
                 vocab[v] = len(vocab)
             words = list(vocab)
             ids, off = bags(words)
             size = np.maximum(1, np.diff(off))
-            word_of = np.repeat(np.arange(len(words)), np.diff(off))
+            word_of = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(off))
             member = [*member, *(np.array([vocab[v]]) for v in fresh)]
             labels = np.concatenate([labels, np.ones(len(fresh))])
             flat, owner, y, weight, first = frame(member, labels)
         v = rows[1] - rows[0]
         t = table @ v
-        logit = np.bincount(word_of, t[ids], len(words)) / size
+        logit = np.add.reduceat(t[ids], off[:-1]) / size
         z = logit[flat]
         top_z = np.maximum.reduceat(z, first)
         e = np.exp(sharp * (z - top_z[owner]))
@@ -200,14 +198,16 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             raw, sets = low.tobytes(), [set() for _ in range(b - a)]
             for i, j, t in zip(start.tolist(), end.tolist(), text.tolist(), strict=True):
                 sets[t].add(raw[i:j])
-            yield pa.RecordBatch.from_arrays([batch.column("label").slice(a, b - a), pa.array([sorted(s) for s in sets], pa.list_(pa.binary()))], names=["label", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("label").slice(a, b - a), pa.array([b" ".join(sorted(s)) for s in sets], pa.binary())], names=["label", "words"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, **options) -> Model:
-    chosen = common.labelled_sample(labels, "toxic", sample_rows)
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, **options) -> Model:
+    t = common.with_columns(labels, doc_id="long", toxic="int").withColumn("toxic", (F.col("toxic") > 0).cast("int"))
+    chosen = common.labelled_sample(t, "toxic", toxic_rows, 1).unionByName(common.labelled_sample(t, "toxic", clean_rows, 0))
     d = common.with_columns(docs, doc_id="long", text="string").where(F.col("doc_id").isNotNull())
-    got = d.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_distinct_words, "label int, words array<binary>").collect()
-    return train(sorted((int(r["label"] > 0), sorted(bytes(w) for w in r["words"])) for r in got), **options)
+    got = d.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_distinct_words, "label int, words binary").toPandas()
+    rows = sorted(zip(got.label.tolist(), map(bytes, got.words), strict=True))
+    return train([(y, w.split()) for y, w in rows], **options)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
