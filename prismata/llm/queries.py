@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_template, jaccard_join, mixing, packing, pu_quality, quality_rules, secret_scan, simhash, toxicity
+from . import html_template, jaccard_join, mixing, packing, pu_quality, quality_rules, secret_scan, simhash, suffix_dedup, toxicity
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pu_quality": op4_pu_quality,
     "op5_source_mixing": op5_source_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_simhash": op8_simhash,
     "op9_html_template": op9_html_template,
     "op10_best_fit_packing": op10_best_fit_packing,

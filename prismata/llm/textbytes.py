@@ -53,6 +53,8 @@ def binary(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """The column as large binary without nulls (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return column.fill_null(b"").cast(pa.large_binary())
     if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
         column = column.cast(pa.string())
     return column.fill_null("").cast(pa.large_string()).cast(pa.large_binary())
