@@ -1,10 +1,8 @@
-"""Registry of the catalogue queries and their SQL."""
+"""All catalogue queries: importing a module registers its queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import entity_queries, facet_queries, price_queries, quality_queries, stream_queries, text_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
