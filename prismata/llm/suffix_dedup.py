@@ -156,6 +156,7 @@ def marks(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES,
     common.workers_import(docs.sparkSession)
     blocks = docs.select("rid", "text").mapInArrow(_blocks(length), "rid long, lo int, n int, anchor long, content long, occ long")
     seen = blocks.groupBy("anchor").agg(F.min("occ").alias("x"), F.max("occ").alias("y")).where("x <> y").select("anchor")
+    seen = common.saved(seen, tidy=True)  # as a table of its own, so that the join below can split a frequent anchor
     cands = common.saved(blocks.join(seen, "anchor"), tidy=True)
     named = cands.groupBy("anchor", "content").agg(F.min("occ").alias("x"), F.max("occ").alias("y"), F.min(F.struct("rid", "lo", "n")).alias("one"))
     named = common.saved(named.select("anchor", "content", (F.col("x") != F.col("y")).alias("whole"), "one"), tidy=True)
@@ -176,6 +177,7 @@ def marks(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES,
     told = named.join(found, ["anchor", "content"], "left")
     every = F.array(F.struct(F.lit(0).alias("a"), F.col("one.n").alias("b")))
     told = told.select("anchor", "content", F.when(F.col("whole"), every).otherwise(F.col("spans")).cast(spans).alias("spans")).where("spans is not null")
+    told = common.saved(told, tidy=True)
     hit = cands.select("anchor", "content", "rid", "lo").join(told, ["anchor", "content"])
     return hit.groupBy("rid").agg(F.collect_list(F.struct("lo", "spans")).alias("found"))
 
