@@ -21,6 +21,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         sides = edges
     least = sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = common.settled(least)  # as a table of its own, so that the join can split a node with many edges
     joined = sides.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

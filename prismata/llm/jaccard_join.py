@@ -236,6 +236,7 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHING
 
     member = nodes.select("node", F.posexplode("labels").alias("tree", "label"))
     hubs = member.groupBy("tree", "label").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    hubs = common.settled(hubs)  # a table of its own, so that the join can split a frequent label
     roots = common.settled(components(member.join(hubs, ["tree", "label"]).where("node <> hub"), "node", "hub"))
 
     sizes = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
