@@ -138,7 +138,7 @@ def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
             follow = np.zeros(len(lms), np.int64)
             follow[: len(lms) - known] = rank[known:]
             key = rank << 32 | follow
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             key = key[order]
             new = np.ones(len(key), np.int64)
             new[1:] = key[1:] != key[:-1]
