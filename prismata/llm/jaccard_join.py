@@ -75,7 +75,8 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np
             x[more] = x[more] * tb.U64(tb.BASE) + h[first[more] + j]
         win = np.concatenate([win, tb.mix(x ^ tb.U64(0x5DEECE66D))])
         owner = np.concatenate([owner, short])
-    order = np.lexsort((win, owner))
+    order = np.argsort(win)
+    order = order[np.argsort(owner[order].astype(np.uint16 if n < 1 << 16 else np.int64), kind="stable")]
     win, owner = win[order], owner[order]
     new = np.ones(len(win), bool)
     new[1:] = (win[1:] != win[:-1]) | (owner[1:] != owner[:-1])

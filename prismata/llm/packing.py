@@ -127,7 +127,7 @@ class WordIds:
         h, first, last, text = tb.word_hashes(buf, off, cut)
         if len(self.hashes) > self.most:
             self.clear()
-        want, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+        want, at, inverse = tb.unique(h)
         have = np.searchsorted(self.hashes, want)
         known = (have < len(self.hashes)) & (self.hashes[np.minimum(have, len(self.hashes) - 1)] == want) if len(self.hashes) else np.zeros(len(want), bool)
         if not known.all():

@@ -84,7 +84,7 @@ def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     out["capital_words"] = share(SHARES["upper"][buf[start]]) if len(start) else np.zeros(n)
 
     def distinct(h: np.ndarray, of: np.ndarray) -> np.ndarray:
-        at = np.unique(tb.keyed(h, of), return_index=True)[1]
+        at = tb.unique(tb.keyed(h, of))[1]
         return np.bincount(of[at], minlength=n) / np.maximum(1, np.bincount(of, minlength=n))
 
     out["distinct_words"] = distinct(h, text)

@@ -146,3 +146,14 @@ def windows(h: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 def keyed(h: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Hashes made distinct between texts."""
     return mix(h ^ mix(text.astype(U64) + U64(0x51_7C_C1_B7_27_22_0A_95)))
+
+
+def unique(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, where one of each stands, and each value's number; like numpy's, but not by its stable sort."""
+    order = np.argsort(h)
+    x = h[order]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    inverse = np.empty(len(x), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return x[new], order[new], inverse
