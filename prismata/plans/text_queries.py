@@ -1 +1,202 @@
-"""Queries."""
+"""Text, HTML, URLs and vocabularies on ``documents``, ``pages`` and ``part``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..functions import urls as ur
+from ..functions.numbers import TO_MM, convert
+from ..operators import specs
+from ..operators import vocabulary as vo
+from .registry import query, table
+
+_STRIP = "html"
+_STRIP = f"regexp_replace({_STRIP}, '(?s)<!--.*?-->', '', 'g')"
+for _tag in tx.SILENT:
+    _STRIP = f"regexp_replace({_STRIP}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}>', '', 'g')"
+_STRIP = f"regexp_replace({_STRIP}, '(?i)</(p|div|tr|li|h[1-6]|ul|ol|table|section|article)>|<br\\s*/?>', chr(10), 'g')"
+_STRIP = f"regexp_replace({_STRIP}, '(?i)</t[dh]>', chr(9), 'g')"
+_STRIP = f"regexp_replace({_STRIP}, '<[^>]*>', '', 'g')"
+for _name, _char in tx.ENTITIES:
+    _STRIP = "replace({}, '{}', '{}')".format(_STRIP, _name, _char.replace("'", "''"))
+_STRIP = f"regexp_replace(regexp_replace({_STRIP}, '[‘’]', '''', 'g'), '[“”]', '\"', 'g')"
+_STRIP = f"regexp_replace({_STRIP}, '[ \\t]+', ' ', 'g')"
+_STRIP = f"trim(regexp_replace({_STRIP}, ' ?\\n[ \\n]*', chr(10), 'g'))"
+
+
+@query("html_to_text", f"SELECT page_id, {_STRIP} AS txt FROM pages")
+def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("txt"))
+
+
+@query("html_links", "SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '(?i)<a\\s[^>]*href=\"([^\"]+)\"', 1))), ' ') AS links FROM pages")
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.array_sort(ur.links(F.col("html"))), " ").alias("links"))
+
+
+@query("html_title", "SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') AS title FROM pages")
+def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", ur.title(F.col("html")).alias("title"))
+
+
+@query(
+    "html_table_pairs",
+    "SELECT page_id, lower(trim(regexp_replace(url, '[?#].*$', ''))) AS label, CAST(length(html) AS VARCHAR) AS value FROM pages",
+)
+def html_table_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label/value pairs read back from a table row made of each page's url and length."""
+    p = table(spark, sf_dir, "pages")
+    row = F.concat(F.lit("<table><tr><th>"), F.regexp_replace("url", r"[?#].*$", ""), F.lit("</th><td> <b>"), F.length("html").cast("string"), F.lit("</b></td></tr></table>"))
+    return p.select("page_id", F.explode(ur.label_pairs(row)).alias("label", "value"))
+
+
+_HOST = "regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)), '^www\\.', '')"
+
+
+@query("url_host_class", f"SELECT page_id, {_HOST} AS host, CASE WHEN {_HOST} IN ('ththre.example.com', 'thther.example.org') THEN 'reviews' WHEN {_HOST} IN ('ththed.example.org') THEN 'retailers' ELSE 'manufacturers' END AS kind FROM pages")
+def url_host_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    kind = ur.source_class(F.col("url"), {"reviews": ["ththre.example.com", "thther.example.org"], "retailers": ["ththed.example.org"]}, "manufacturers")
+    return p.select("page_id", ur.host(F.col("url")).alias("host"), kind.alias("kind"))
+
+
+@query("store_subdomain", f"SELECT page_id, {_HOST} = 'example.net' OR ends_with({_HOST}, '.example.net') OR {_HOST} = 'ththre.example.com' AS is_store FROM pages")
+def store_subdomain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", ur.in_domains(F.col("url"), ["example.net", "ththre.example.com"]).alias("is_store"))
+
+
+@query("url_model_name", "SELECT page_id, upper(substring(w, 1, 1)) || lower(substring(w, 2)) AS model FROM (SELECT page_id, list_extract(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '/'), -1) AS w FROM pages)")
+def url_model_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", ur.last_path_words(F.col("url")).alias("model"))
+
+
+@query("pages_by_host", f"SELECT {_HOST} AS host, count(*) AS n, min(page_id) AS first_id FROM pages GROUP BY 1")
+def pages_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending pages of each domain, and the first of each."""
+    p = table(spark, sf_dir, "pages")
+    return p.groupBy(ur.host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_id"))
+
+
+@query("html_price", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 10.0::DOUBLE + page_id % 90 WHEN page_id % 3 = 0 THEN 12.5::DOUBLE END AS price FROM pages")
+def html_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices by preference: structured, linked data, text."""
+    p = table(spark, sf_dir, "pages")
+    made = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<meta itemprop="price" content="'), (10 + F.col("page_id") % 90).cast("string"), F.lit('"> was $4000'))).when(F.col("page_id") % 3 == 0, F.lit('{"price": "12.50"}')).otherwise(F.lit("price on request"))
+    return p.select("page_id", specs.price(made).alias("price"))
+
+
+_NUM = "list_filter(list_transform(regexp_extract_all(text, '([0-9]+)', 1), lambda x: TRY_CAST(x AS DOUBLE)), lambda x: x > 0 AND x < 100000)"
+
+
+@query("extract_numbers_desc", f"SELECT doc_id, array_to_string(list_transform(list_reverse_sort(list_distinct({_NUM})), lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS numbers FROM documents")
+def extract_numbers_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    n = tx.numbers_desc(F.col("text"), "([0-9]+)", 0, 100000)
+    return d.select("doc_id", F.array_join(F.transform(n, lambda x: x.cast("long").cast("string")), ",").alias("numbers"))
+
+
+@query("extract_units", "SELECT p_partkey AS id, round(p_size * CASE p_partkey % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 10.0::DOUBLE ELSE 25.4::DOUBLE END, 6) AS mm FROM part")
+def extract_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A measure is converted by the unit captured beside it."""
+    p = table(spark, sf_dir, "part")
+    t = F.concat(F.lit("length: "), "p_size", F.lit(" "), F.get(F.array(F.lit("mm"), F.lit("cm"), F.lit("IN")), (F.col("p_partkey") % 3).cast("int")))
+    pattern = r"(?i)([0-9.]+)\s*(mm|cm|in)\b"
+    return p.select(F.col("p_partkey").alias("id"), F.round(convert(F.regexp_extract(t, pattern, 1).cast("double"), F.regexp_extract(t, pattern, 2), TO_MM), 6).alias("mm"))
+
+
+@query(
+    "spec_extraction",
+    "SELECT p_partkey AS id, CASE WHEN p_size * 100 >= 1000 THEN CAST(p_size * 100 // 1000 AS VARCHAR) || ',' || lpad(CAST(p_size * 100 % 1000 AS VARCHAR), 3, '0') ELSE CAST(p_size * 100 AS VARCHAR) END AS shown, CAST(p_size * 100 AS DOUBLE) AS lumens, round((p_size + 5) * 0.3048::DOUBLE, 6) AS throw_m, round((p_size + 1) * 28.3495::DOUBLE, 6) AS weight_g, round(p_size + 0.5::DOUBLE, 6) AS runtime_h, 'IP68' AS ip FROM part",
+)
+def spec_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lumens with thousands separators, feet, ounces, hours and an IP rating from one sentence."""
+    p = table(spark, sf_dir, "part").withColumn("shown", F.format_number(F.col("p_size") * 100, 0))
+    s = F.concat(F.lit("Output: "), "shown", F.lit(" lumens, beam "), (F.col("p_size") + 5).cast("string"), F.lit("ft, weighs "), (F.col("p_size") + 1).cast("string"), F.lit(" oz, runs "), "p_size", F.lit("h 30m, ip68"))
+    p = p.withColumn("s", s)
+    return p.select(F.col("p_partkey").alias("id"), "shown", F.get(specs.lumens(F.col("s")), 0).alias("lumens"), F.round(specs.throw_m(F.col("s")), 6).alias("throw_m"), F.round(specs.weight_g(F.col("s")), 6).alias("weight_g"), F.round(F.get(specs.runtime_h(F.col("s")), 0), 6).alias("runtime_h"), specs.ip_rating(F.col("s")).alias("ip"))
+
+
+@query("keyword_detect", "SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), '\\bthe\\b') THEN 'the' END, CASE WHEN regexp_matches(lower(text), '\\bdie\\b') THEN 'die' END, CASE WHEN regexp_matches(lower(text), '\\bque\\b') THEN 'que' END, CASE WHEN regexp_matches(lower(text), '\\blicense\\b') THEN 'license' END], lambda x: x IS NOT NULL), ',') AS found FROM documents")
+def keyword_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.keywords(F.col("text"), ["the", "die", "que", "license"]), ",").alias("found"))
+
+
+@query("negative_context", "SELECT doc_id, regexp_matches(lower(text), '\\blicense\\b') AND NOT regexp_matches(lower(text), 'mit license') AS flagged FROM documents")
+def negative_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.keyword_unless(F.col("text"), "license", "mit license").alias("flagged"))
+
+
+@query(
+    "boilerplate_strip",
+    "SELECT p_partkey AS id, 'specs of ' || p_name || chr(10) || 'weight ' || p_size AS body FROM part",
+)
+def boilerplate_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines between the start line and the stop line, skipped lines out."""
+    p = table(spark, sf_dir, "part")
+    raw = F.concat_ws("\n", F.lit("Menu"), F.lit("Product description"), F.concat(F.lit("specs of "), "p_name"), F.lit("Add to cart"), F.lit(""), F.concat(F.lit("weight "), F.col("p_size").cast("string")), F.lit("Related products"), F.lit("more"))
+    return p.select(F.col("p_partkey").alias("id"), tx.after_anchor(raw, "(?i)^product description", "(?i)^related", "(?i)add to cart").alias("body"))
+
+
+@query("truncate_text", "SELECT doc_id, CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '[...]' ELSE text END AS head FROM documents")
+def truncate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The display cut of long texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", tx.truncated(F.col("text"), 200, "[...]").alias("head"))
+
+
+@query("brand_alias_titlecase", "SELECT p_partkey AS id, CASE WHEN p_name = 'red plate' THEN 'Scarlet' WHEN p_name LIKE 'small ring' THEN 'Small-Ring' ELSE upper(substring(w1, 1, 1)) || substring(w1, 2) || ' ' || upper(substring(w2, 1, 1)) || substring(w2, 2) END AS brand FROM (SELECT *, string_split(p_name, ' ')[1] AS w1, string_split(p_name, ' ')[2] AS w2 FROM part)")
+def brand_alias_titlecase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), tx.alias_or_title(F.col("p_name"), {"red plate": "Scarlet"}, {"small ring": "Small-Ring"}).alias("brand"))
+
+
+_COLOUR = "CASE " + " ".join(f"WHEN contains(lower(p_name), '{k}') THEN '{v}'" for k, v in vo.COLOURS) + " ELSE 'black' END"
+
+
+@query("color_first_match", f"SELECT p_partkey AS id, {_COLOUR} AS color FROM part")
+def color_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), tx.first_key_in(F.col("p_name"), vo.COLOURS, "black").alias("color"))
+
+
+_WORDS = vo.Rules(exact={"gizmo": "gadget", "old": None}, patterns=(("^(red|blue)$", "colour"), ("ring|rod", "$0")), longest=5)
+
+
+@query(
+    "normalise_vocab_counts",
+    """SELECT count(DISTINCT w) AS "before", count(DISTINCT n) AS "after", count(*) FILTER (n IS NOT NULL AND n <> w) AS changed, count(*) FILTER (n = w) AS unchanged, count(*) FILTER (n IS NULL) AS dropped
+    FROM (SELECT w, CASE WHEN w = 'old' THEN NULL WHEN w = 'gizmo' THEN 'gadget' WHEN w IN ('red', 'blue') THEN 'colour' WHEN w IN ('ring', 'rod') THEN w WHEN length(w) <= 5 THEN w END AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part))""",
+)
+def normalise_vocab_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.split("p_name", " ").alias("words"))
+    return vo.change_report(p, "words", _WORDS)
+
+
+@query("normalise_battery", "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '18650,2x18650' WHEN 1 THEN 'CR123A' WHEN 2 THEN 'AA' ELSE '' END AS battery FROM part")
+def normalise_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Battery terms of several spellings; N-fold cells also give the single cell."""
+    p = table(spark, sf_dir, "part")
+    raw = F.when(F.col("p_partkey") % 4 == 0, F.array(F.lit("2 x 18650 Li-ion"))).when(F.col("p_partkey") % 4 == 1, F.array(F.lit("cr123"), F.lit("CR 123A"))).when(F.col("p_partkey") % 4 == 2, F.array(F.lit("AA"), F.lit("unknown"))).otherwise(F.array(F.lit("rechargeable")))
+    return p.select(F.col("p_partkey").alias("id"), F.array_join(vo.NORMALISERS["battery"](raw), ",").alias("battery"))
+
+
+@query("spec_validation", "SELECT event_id, CASE WHEN k BETWEEN 10 AND 90 THEN k END AS k FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)")
+def spec_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record keeps known keys with plausible values only."""
+    return table(spark, sf_dir, "events").select("event_id", F.try_element_at(specs.validated(F.col("props"), {"k": (10, 90), "price": (0, 100)}), F.lit("k")).alias("k"))
+
+
+@query("first_n_per_topic", "SELECT conv_id, turn, role FROM conversations WHERE length(text) >= 50 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2")
+def first_n_per_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two long enough posts of each topic."""
+    from pyspark.sql import Window
+
+    c = table(spark, sf_dir, "conversations").where(F.length("text") >= 50)
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return c.select("conv_id", "turn", "role", n.alias("n")).where("n <= 2").drop("n")
+
+
+@query("first_value_per_topic", "SELECT conv_id, arg_min(text, turn) FILTER (role = 'assistant') AS answer, arg_min(turn, turn) FILTER (length(text) > 200) AS long_turn FROM conversations GROUP BY 1")
+def first_value_per_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first usable value of each field in post order."""
+    c = table(spark, sf_dir, "conversations")
+    return c.groupBy("conv_id").agg(F.min_by("text", F.when(F.col("role") == "assistant", F.col("turn"))).alias("answer"), F.min(F.when(F.length("text") > 200, F.col("turn"))).alias("long_turn"))
