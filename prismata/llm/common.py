@@ -21,10 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _cast(df: DataFrame, types: dict[str, str]) -> list[Column]:
+    have = {c.lower(): c for c in df.columns}
+    return [(F.col(f"`{have[n.lower()]}`").cast(t) if n.lower() in have else F.lit(None).cast(t)).alias(n) for n, t in types.items()]
+
+
 def with_columns(df: DataFrame, **types: str) -> DataFrame:
     """The named columns, cast; a missing one is null.  Other columns go."""
-    have = {c.lower(): c for c in df.columns}
-    return df.select(*[(F.col(f"`{have[n.lower()]}`").cast(t) if n.lower() in have else F.lit(None).cast(t)).alias(n) for n, t in types.items()])
+    return df.select(*_cast(df, types))
+
+
+def boxed(docs: DataFrame, **types: str) -> DataFrame:
+    """The named columns, cast, beside ``_row``: each row of ``docs`` whole, so that no name can clash with its columns."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *_cast(docs, types))
+
+
+def unboxed(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col("_row").getField(c).alias(c) for c in columns])
 
 
 def workers_import(spark: SparkSession) -> None:

@@ -278,5 +278,5 @@ def one_per_class(docs: DataFrame, **parameters) -> DataFrame:
     told = labelled(docs, **parameters)
     best = told.where("class_node is not null").groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rid")).alias("b"))
     keep = best.select(F.col("b.rid").alias("_rid")).unionByName(told.where("class_node is null").select(F.col("rid").alias("_rid")))
-    plain = docs.withColumn("_rid", F.monotonically_increasing_id())
-    return plain.join(keep, "_rid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain = common.boxed(docs).withColumn("_rid", F.monotonically_increasing_id())
+    return common.unboxed(plain.join(keep, "_rid", "left_semi"), docs.columns)

@@ -116,6 +116,6 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_doc
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """``docs`` in mixed order, its columns unchanged."""
-    d = _placed(docs, weights, block_docs).withColumn("_position", F.col("_slot") * block_docs + F.col("_place"))
+    d = _placed(common.boxed(docs, doc_id="long", source="string"), weights, block_docs).withColumn("_position", F.col("_slot") * block_docs + F.col("_place"))
     d = d.repartitionByRange("_position").sortWithinPartitions("_position")
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return common.unboxed(d, docs.columns)

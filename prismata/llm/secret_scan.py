@@ -173,8 +173,8 @@ def redact(docs: DataFrame, rules: list[Rule] = RULES, mask: str = MASK) -> Data
 
     Overlapping spans share one mask.  A null text stays null.
     """
-    d = docs.withColumn("_own", F.col("text")).withColumn("text", F.coalesce("text", F.lit("")))
-    d = with_spans(d, rules)
+    d = common.boxed(docs, text="string")
+    d = with_spans(d.select("_row", F.col("text").alias("_own"), F.coalesce("text", F.lit("")).alias("text")), rules)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -186,10 +186,10 @@ def redact(docs: DataFrame, rules: list[Rule] = RULES, mask: str = MASK) -> Data
     d = d.withColumn("_clean", F.when(hit, clean).otherwise(F.col("_own"))).withColumn("_hit", hit)
     out = []
     for c in docs.columns:
+        own = F.col("_row").getField(c)
         if c.lower() == "text":
-            out.append(F.col("_clean").alias(c))
+            own = F.col("_clean")
         elif c.lower() == "n_chars":
-            out.append(F.when(F.col("_hit"), F.length("_clean")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
-        else:
-            out.append(F.col(f"`{c}`"))
+            own = F.when(F.col("_hit"), F.length("_clean").cast(docs.schema[c].dataType)).otherwise(own)
+        out.append(own.alias(c))
     return d.select(*out)

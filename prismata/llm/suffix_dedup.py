@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import anchors, common, induced
 from . import textbytes as tb
@@ -221,16 +222,15 @@ def report(docs: DataFrame, length: int = LENGTH, **parameters) -> DataFrame:
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, **parameters) -> DataFrame:
     """``docs`` with repeated strings taken out of ``text``; its columns unchanged."""
-    d = _numbered(docs)
+    d = _numbered(common.boxed(docs, text="string"))
     m = marks(d, length, **parameters)
     cut = lambda text, found: np.frombuffer(raw := (text or "").encode(), np.uint8)[~covered(len(raw), found, length)].tobytes().decode("utf-8", "replace")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             texts = [None if t is None else cut(t, f) for t, f in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True)]
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string())], names=["_row", "text"])
 
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return d.join(m, "rid", "left").select(*own, "found").mapInArrow(run, docs.schema)
+    schema = T.StructType([d.schema["_row"], T.StructField("text", T.StringType())])
+    kept = d.join(m, "rid", "left").select("_row", "text", "found").mapInArrow(run, schema)
+    return kept.select(*[(F.col("text") if c.lower() == "text" else F.col("_row").getField(c)).alias(c) for c in docs.columns])
