@@ -169,7 +169,7 @@ def report(docs: DataFrame, radius: int = RADIUS, query_every: int = QUERY_EVERY
     query = F.col("doc_id") % query_every == 0
     found = near(wide.where(query), wide, radius)
     out = wide.withColumn("_q", F.coalesce(query, F.lit(False))).join(found.withColumn("_q", F.lit(True)), ["lo", "hi", "_q"], "left")
-    alike = lambda x, y: F.round(1 - distance(F.col("lo"), F.col("hi"), F.col(x), F.col(y)) / BITS, 6)
+    alike = lambda x, y: 1 - distance(F.col("lo"), F.col("hi"), F.col(x), F.col(y)) / BITS
     return out.select(
         "doc_id",
         "n_chars",
