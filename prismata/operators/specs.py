@@ -38,8 +38,8 @@ def lumens(text: Column) -> Column:
 
 
 def throw_m(text: Column) -> Column:
-    """The largest distance, from metres, feet or yards."""
-    return F.array_max(_bounded(_with_unit(text, rf"(?i){_N}\s*(m|ft|yd)\b", TO_METRE), "throw_m"))
+    """The largest distance, from metres, feet or yards; minutes after hours (``8h 30m``) are none."""
+    return F.array_max(_bounded(_with_unit(text, rf"(?i)(?<![0-9.,])(?<![0-9]h)(?<![0-9]h\s){_N}\s*(m|ft|yd)\b", TO_METRE), "throw_m"))
 
 
 def length_mm(text: Column) -> Column:

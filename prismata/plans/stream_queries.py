@@ -1 +1,73 @@
-"""Queries."""
+"""Structured Streaming over ``events``; each result equals the batch SQL beside it."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.numbers import round_half_up
+from ..streaming import events as ev
+from .registry import query, table
+
+_SUMS = "count(*) AS n, round(sum(value), 4) AS total"
+
+
+def _aggs() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")]
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream, with a watermark-ready timestamp."""
+    e = ev.read_events(spark, f"{sf_dir}/events.parquet")
+    return e.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query("stream_tumbling", f"SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR AS \"end\", event_type, {_SUMS} FROM events GROUP BY 1, 2, 3")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(ev.run_available(ev.tumbling(_stream(spark, sf_dir), "ts", "6 hours", ["event_type"], _aggs(), "1 day"), "complete"))
+
+
+@query("stream_sliding", f"SELECT start, start + INTERVAL 6 HOUR AS \"end\", event_type, {_SUMS} FROM (SELECT *, unnest([time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 4 HOUR, time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 2 HOUR, time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01')]) AS start FROM events) GROUP BY 1, 2, 3")
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(ev.run_available(ev.sliding(_stream(spark, sf_dir), "ts", "6 hours", "2 hours", ["event_type"], _aggs(), "1 day"), "complete"))
+
+
+@query(
+    "stream_session",
+    f"""SELECT min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", user_id, {_SUMS} FROM (
+        SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
+            SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s""",
+)
+def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a user: at most twelve hours between neighbours."""
+    return _plain(ev.run_available(ev.sessions(_stream(spark, sf_dir), "ts", "12 hours", ["user_id"], _aggs(), "1 day"), "complete"))
+
+
+@query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each (user, type) once, however often it comes."""
+    e = _stream(spark, sf_dir).select("user_id", "event_type", "ts")
+    return ev.run_available(ev.deduplicated(e, ["user_id", "event_type"], "ts").drop("ts"))
+
+
+@query("stream_latest", "SELECT user_id, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last seen time and value of every key, kept as state."""
+    out = ev.run_available(ev.latest(_stream(spark, sf_dir), ["user_id"], "ts", ["value"], "event_id"), "complete")
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+_START = "SELECT user_id, floor(arg_min(value, (ts, event_id)) * 90 + 0.5) AS threshold FROM events GROUP BY user_id"
+
+
+@query("stream_price_alert", f"SELECT e.event_id, e.user_id, e.value, t.threshold::DOUBLE AS threshold FROM events e JOIN ({_START}) t USING (user_id) WHERE round(e.value * 100) <= t.threshold")
+def stream_price_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices at or below nine tenths of the price at which a key's tracking began."""
+    first = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("value", F.struct("ts", "event_id")).alias("p"))
+    thresholds = first.select("user_id", round_half_up(F.col("p") * 90).cast("double").alias("threshold"))
+    hits = ev.price_alerts(_stream(spark, sf_dir), thresholds, "user_id", "value")
+    return ev.run_available(hits.select("event_id", "user_id", "value", "threshold"))

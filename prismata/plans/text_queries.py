@@ -67,7 +67,7 @@ def store_subdomain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", ur.in_domains(F.col("url"), ["example.net", "ththre.example.com"]).alias("is_store"))
 
 
-@query("url_model_name", "SELECT page_id, upper(substring(w, 1, 1)) || lower(substring(w, 2)) AS model FROM (SELECT page_id, list_extract(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '/'), -1) AS w FROM pages)")
+@query("url_model_name", "SELECT page_id, array_to_string(list_transform(regexp_extract_all(lower(regexp_replace(list_extract(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '/'), -1), '[-_]+', ' ', 'g')), '[a-z0-9]+|[^a-z0-9]+'), lambda w: upper(substring(w, 1, 1)) || substring(w, 2)), '') AS model FROM pages")
 def url_model_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", ur.last_path_words(F.col("url")).alias("model"))
 
@@ -118,12 +118,12 @@ def spec_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), "shown", F.get(specs.lumens(F.col("s")), 0).alias("lumens"), F.round(specs.throw_m(F.col("s")), 6).alias("throw_m"), F.round(specs.weight_g(F.col("s")), 6).alias("weight_g"), F.round(F.get(specs.runtime_h(F.col("s")), 0), 6).alias("runtime_h"), specs.ip_rating(F.col("s")).alias("ip"))
 
 
-@query("keyword_detect", "SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), '\\bthe\\b') THEN 'the' END, CASE WHEN regexp_matches(lower(text), '\\bdie\\b') THEN 'die' END, CASE WHEN regexp_matches(lower(text), '\\bque\\b') THEN 'que' END, CASE WHEN regexp_matches(lower(text), '\\blicense\\b') THEN 'license' END], lambda x: x IS NOT NULL), ',') AS found FROM documents")
+@query("keyword_detect", "SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])the($|[^\\p{L}\\p{N}_])') THEN 'the' END, CASE WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])die($|[^\\p{L}\\p{N}_])') THEN 'die' END, CASE WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])que($|[^\\p{L}\\p{N}_])') THEN 'que' END, CASE WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])license($|[^\\p{L}\\p{N}_])') THEN 'license' END], lambda x: x IS NOT NULL), ',') AS found FROM documents")
 def keyword_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.keywords(F.col("text"), ["the", "die", "que", "license"]), ",").alias("found"))
 
 
-@query("negative_context", "SELECT doc_id, regexp_matches(lower(text), '\\blicense\\b') AND NOT regexp_matches(lower(text), 'mit license') AS flagged FROM documents")
+@query("negative_context", "SELECT doc_id, regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])license($|[^\\p{L}\\p{N}_])') AND NOT regexp_matches(lower(text), 'mit license') AS flagged FROM documents")
 def negative_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.keyword_unless(F.col("text"), "license", "mit license").alias("flagged"))
 
