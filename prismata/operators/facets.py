@@ -82,6 +82,18 @@ def multi(data: Column, selected: list[str], mode: str) -> Column:
     raise ValueError(f"unknown mode {mode}")
 
 
+def one_of(c: Column, selected: list[str], mode: str) -> Column:
+    """``multi`` for a plain string: the same answers as comparisons that reach the scan."""
+    want = [s for s in selected if s]
+    if mode == "none":
+        return c.isNull() | ~c.isin(want) if want else F.lit(True)
+    if not want or (mode == "all" and len(selected) > 1):
+        return F.lit(False)
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode}")
+    return c.isNotNull() & c.isin(want)
+
+
 def yes_no(data: Column, yes: list[str], no: list[str], mode: str) -> Column:
     """all: every yes present and every no absent; any: one of these holds for one item."""
     tests = [F.array_contains(data, y) for y in yes] + [~F.array_contains(data, x) for x in no]
@@ -100,7 +112,7 @@ def inside(c: Column, kind: T.DataType, low: float | None, high: float | None) -
     if isinstance(kind, T.ArrayType):
         return F.coalesce(F.exists(c, lambda x: ok(x.try_cast("double"))), F.lit(False))
     if isinstance(kind, T.NumericType):
-        return F.coalesce(ok(c), F.lit(False))
+        return ok(c)  # never null, and plain enough to reach the scan
     return F.lit(False)
 
 
@@ -120,7 +132,7 @@ def predicate(spec: Spec, schema: T.StructType) -> Column:
             continue
         kind, c = schema[f.column].dataType, F.col(f.column)
         if isinstance(f, Multi):
-            test = multi(as_strings(c, kind), list(f.selected), f.mode)
+            test = one_of(c, list(f.selected), f.mode) if isinstance(kind, T.StringType) else multi(as_strings(c, kind), list(f.selected), f.mode)
         elif isinstance(f, YesNo):
             test = yes_no(as_strings(c, kind), list(f.yes), list(f.no), f.mode)
         else:
