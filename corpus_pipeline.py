@@ -30,13 +30,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of the mixing schedule."""
+    """Documents in the order of the mixing schedule, which the stored table keeps."""
     return mixing.mixed(docs)
 
 
 def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document and its place in a sequence."""
-    return packing.packed(docs)
+    """A row for each piece of a document and its place in a sequence; stretches of the stored order are packed one after the other."""
+    return packing.packed_in_order(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

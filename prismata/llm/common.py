@@ -87,6 +87,25 @@ def saved(df: DataFrame, tidy: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, number: str, **types: str) -> DataFrame:
+    """The named columns of a stored table, cast, and ``number``: each row's place in the table, gapless from 0.
+
+    The order of a stored table is that of its part files (which Spark numbers
+    by the partition they were written from), and inside a file that of its
+    rows; it does not depend on how the files are split for reading.
+    """
+    meta = df.metadataColumn("_metadata")
+    part = lambda i: F.regexp_extract(meta["file_name"], r"^part-(\d+)(?:.*-c(\d+))?", i).cast("long")
+    d = df.select(*_cast(df, types), meta["file_name"].alias("_file"), part(1).alias("_part"), F.coalesce(part(2), F.lit(0)).alias("_file_of_part"), meta["row_index"].alias("_row_index"))
+    files = d.groupBy("_part", "_file_of_part", "_file").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per file
+    first, before = [], 0
+    for r in sorted(files, key=lambda r: (r["_part"] is None, r["_part"] or 0, r["_file_of_part"], r["_file"])):
+        first.append((r["_file"], before))
+        before += r["n"]
+    starts = df.sparkSession.createDataFrame(first, "_file string, _start long")
+    return d.join(F.broadcast(starts), "_file").select(*types, (F.col("_start") + F.col("_row_index")).alias(number))
+
+
 def learning_fold(doc_id: Column) -> Column:
     """True for rows whose labels may be learnt from: crc32(doc_id as text) mod 3 is not 1."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1

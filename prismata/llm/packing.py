@@ -11,6 +11,12 @@ lengths last, so the plan has a few thousand patterns at any scale.  Pieces of
 one length are interchangeable: each is numbered inside its length
 (``common.ranked``) and looks its number up in the plan.
 
+``packed_in_order`` keeps the order of the rows: it packs each stretch of
+``STRETCH_DOCS`` consecutive rows by itself, from the histogram of the stretch,
+and numbers the sequences through the stretches, so the first sequences hold the
+first rows.  The order is that of a stored table (``common.numbered``).  A
+stretch is of bounded size, so it is packed inside one task.
+
 Tokenising.  White space ends every token of this vocabulary, as does the
 border between an ASCII letter and most ASCII punctuation, and case is folded.
 So a worker tokenises each distinct folded unit between such borders once and
@@ -41,6 +47,8 @@ from . import textbytes as tb
 
 CAPACITY = 4096
 END_ID = 1
+#: Consecutive rows that are packed together where the order of rows is kept.
+STRETCH_DOCS = 1024
 CACHED_WORDS = 1_500_000
 
 
@@ -148,7 +156,7 @@ class WordIds:
 _known: dict[str, WordIds] = {}
 
 
-def _cut(path: str, capacity: int, end_id: int):
+def _cut(path: str, capacity: int, end_id: int, keep: tuple[str, ...] = ("doc_id",)):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _known.get(path) or _known.setdefault(path, WordIds(path))
         for batch in batches:
@@ -164,8 +172,8 @@ def _cut(path: str, capacity: int, end_id: int):
                 first = at[row] + start
                 crc = [zlib.crc32(ids[i : i + n].data) for i, n in zip(first.tolist(), size.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array(crc, pa.int64())],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                    [*[batch.column(c).slice(a, b - a).take(pa.array(row)) for c in keep], pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array(crc, pa.int64())],
+                    names=[*keep, "piece", "start", "length", "ids_crc32"],
                 )
 
     return run
@@ -263,3 +271,49 @@ def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
 
     ranks = common.ranked(cut, "length", ["doc_id", "piece", "ids_crc32"], "_rank")
     return ranks.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+
+def _pack_stretch(capacity: int):
+    def run(table: pa.Table) -> pa.Table:
+        """``table`` with ``sequence``, numbered from 0 inside the stretch, and ``offset``."""
+        number, piece, length = (table.column(c).to_numpy().astype(np.int64) for c in ("number", "piece", "length"))
+        where = layout(best_two_fit(np.bincount(length, minlength=capacity + 1), capacity))
+        order = np.lexsort((piece, number, length))
+        n = length[order]
+        rank = np.arange(len(n)) - np.searchsorted(n, n)  # its number among the pieces of its length
+        at = np.searchsorted(where["key"], n << 44 | rank, "right") - 1
+        sequence, offset = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+        sequence[order] = where["sequence"][at] + rank - where["first"][at]
+        offset[order] = where["offset"][at]
+        # sequences follow each other by their earliest rows
+        first = np.full(int(sequence.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, sequence, number)
+        turn = np.empty(len(first), np.int64)
+        turn[np.argsort(first, kind="stable")] = np.arange(len(first))
+        return table.append_column("sequence", pa.array(turn[sequence])).append_column("offset", pa.array(offset))
+
+    return run
+
+
+def packed_in_order(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, stretch_docs: int = STRETCH_DOCS) -> DataFrame:
+    """What ``packed`` gives, for a stored table: rows of one stretch of ``stretch_docs`` rows share sequences, those of two do not."""
+    spark = docs.sparkSession
+    common.workers_import(spark)
+    d = common.numbered(docs, "number", doc_id="long", text="string")
+    kept = "number long, doc_id long, piece int, start long, length long, ids_crc32 long"
+    cut = d.mapInArrow(_cut(vocabulary or default_vocabulary(), capacity, end_id, ("number", "doc_id")), kept)
+    cut = cut.withColumn("stretch", F.floor(F.col("number") / stretch_docs).cast("long"))
+    placed = common.saved(cut.groupBy("stretch").applyInArrow(_pack_stretch(capacity), f"{kept}, stretch long, sequence long, offset long"))
+    sizes = {r["stretch"]: r["n"] for r in placed.groupBy("stretch").agg((F.max("sequence") + 1).alias("n")).collect()}  # one row per stretch
+    counts = np.zeros(max(sizes, default=-1) + 1, np.int64)
+    counts[list(sizes)] = list(sizes.values())
+    shared = spark.sparkContext.broadcast(np.cumsum(counts) - counts)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = shared.value
+        for batch in batches:
+            stretch, sequence = (batch.column(c).to_numpy() for c in ("stretch", "sequence"))
+            keep = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(before[stretch] + sequence), batch.column("offset")], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    return placed.mapInArrow(number, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
