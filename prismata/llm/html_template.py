@@ -13,8 +13,10 @@ what stands between its tokens are the slots.
 
 The slots' text lengths, added up over the host, choose the article's slot: from
 the body downwards, the template container that holds most of its parent's text,
-or an article or main element.  A container whose text is fixed, that is whose
-text tokens share its class, is part of the template and its text goes.  A host
+or an article or main element.  A container whose text is fixed, that is which
+stands on nearly every page of the host and whose text tokens share its class,
+is part of the template and its text goes.  Equal htmls of a host are one page
+in all these counts, so copies of a page make no template.  A host
 with fewer pages, or a page without the host's slot, chooses by its own lengths.
 
 Menus, headers and footers of the page, sidebars, notices, adverts, forms,
@@ -24,7 +26,7 @@ becomes one space, blocks are joined by a line feed; nothing else is dropped.
 
 Defined cases: a null or empty page gives an empty text; a null url is a host of
 its own; unclosed and stray tags are tolerated; repeated rows each give a row
-and each count as a page; other columns are ignored.
+and count as one page; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -201,17 +203,17 @@ def _host(url: str | None) -> int:
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names = ["host", "token", "parent", "kind", "times", "mass", "v1", "v2"]
+        names = ["host", "token", "parent", "kind", "mark", "times", "mass"]
         rows: list[list[int]] = [[] for _ in names]
 
         def add(*values: int, rows=rows) -> None:
             for r, v in zip(rows, values, strict=True):
                 r.append(v)
 
-        for i, (url, source) in enumerate(zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)):
+        for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             host, page = _host(url), Page(source or "")
-            mark = xxhash.xxh64_intdigest(f"{batch.column('page_id')[i]} {url} {len(source or '')}")
-            add(host, 0, 0, 2, 1, 0, 0, 0)
+            mark = _hash(source or "")
+            add(host, 0, 0, 2, mark, 1, 0)
             texts: dict[tuple[int, int], list[int]] = {}
             for text, chain in page.blocks:
                 parent = chain[-1] if chain else 0
@@ -219,20 +221,22 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 t[0] += 1
                 t[1] += len(text)
             for token, (parent, times, mass, semantic) in page.containers.items():
-                v = xxhash.xxh64_intdigest(f"{mark} {times}")
-                add(host, token, parent, 3 if semantic else 1, times, mass, v & 0xFFFFFFFF, v >> 32)
+                add(host, token, parent, 3 if semantic else 1, mark, times, mass)
             for (token, parent), (times, mass) in texts.items():
-                v = xxhash.xxh64_intdigest(f"{mark} {times}")
-                add(host, token, parent, 0, times, mass, v & 0xFFFFFFFF, v >> 32)
+                add(host, token, parent, 0, mark, times, mass)
         yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=names)
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, nearly_all: float = NEARLY_ALL) -> DataFrame:
     """host and ``skeleton``: the template's containers with parent, text length, kind and whether their text is fixed."""
     common.workers_import(pages.sparkSession)
-    got = pages.mapInArrow(_tokens, "host long, token long, parent long, kind long, times long, mass long, v1 long, v2 long")
+    got = pages.mapInArrow(_tokens, "host long, token long, parent long, kind long, mark long, times long, mass long")
+    # equal htmls give equal rows
+    got = got.groupBy("host", "token", "parent", "kind", "mark").agg(F.max("times").alias("times"), F.max("mass").alias("mass"))
+    v = F.xxhash64("mark", "times")
+    got = got.withColumn("v1", v.bitwiseAND(F.lit(0xFFFFFFFF))).withColumn("v2", F.shiftrightunsigned(v, 32))
     sums = got.groupBy("host", "token", "parent", "kind").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("times") == 1).alias("once"), F.sum("mass").alias("mass"), F.sum("v1").alias("v1"), F.sum("v2").alias("v2"))
-    sums = common.saved(sums.where((F.col("kind") == 2) | ((F.col("pages") >= min_pages) & (F.col("once") >= nearly_all * F.col("pages")))))
+    sums = common.saved(sums.where((F.col("kind") == 2) | ((F.col("pages") >= min_pages) & (F.col("once") >= nearly_all * F.col("pages")))), tidy=True)
     hosts = sums.where("kind = 2").select("host", F.col("pages").alias("of"))
     valid = sums.where("kind <> 2")
     boxes = valid.where("kind in (1, 3)")
@@ -240,7 +244,8 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, nearly_all: float =
     fixed = valid.where("kind = 0").select("host", F.col("parent").alias("token"), "v1", "v2", F.col("mass").alias("same"))
     fixed = fixed.groupBy("host", "token", "v1", "v2").agg(F.sum("same").alias("same"))
     boxes = boxes.join(fixed, ["host", "token", "v1", "v2"], "left").join(hosts, "host")
-    box = F.struct("token", "parent", "mass", (F.col("kind") == 3).alias("semantic"), (F.coalesce("same", F.lit(0)) >= FIXED * F.col("mass")).alias("fixed"), (F.col("pages") >= nearly_all * F.col("of")).alias("outer"))
+    outer = F.col("pages") >= nearly_all * F.col("of")
+    box = F.struct("token", "parent", "mass", (F.col("kind") == 3).alias("semantic"), (outer & (F.coalesce("same", F.lit(0)) >= FIXED * F.col("mass"))).alias("fixed"), outer.alias("outer"))
     return boxes.where(F.col("of") >= min_pages).groupBy("host").agg(F.collect_list(box).alias("skeleton"))
 
 
