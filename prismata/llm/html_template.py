@@ -1,28 +1,36 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-Method.  A page is read as tokens: its containers, each named by its path of
-tags, classes and ids (digits folded), and its text blocks, each named by its
-container and text.  Across the pages of a host every token has an occurrence
-vector (how often it stands on each page); tokens with the same vector form an
-equivalence class.  The vector is held as order-free sums of hashes of (page,
-count), so classes come from partially aggregated groups and no host is ever
-gathered.  A class is valid when its tokens stand once on a page and on at least
-``MIN_PAGES`` pages; classes nest by their containers' paths.  The outermost
-class, whose tokens stand on nearly every page of the host, is the template;
-what stands between its tokens are the slots.
-
-The slots' text lengths, added up over the host, choose the article's slot: from
-the body downwards, the template container that holds most of its parent's text,
-or an article or main element.  A container whose text is fixed, that is which
-stands on nearly every page of the host and whose text tokens share its class,
-is part of the template and its text goes.  Equal htmls of a host are one page
-in all these counts, so copies of a page make no template.  A host
-with fewer pages, or a page without the host's slot, chooses by its own lengths.
-
-Menus, headers and footers of the page, sidebars, notices, adverts, forms,
-scripts, styles and comments are recognised by element, role, class or id in
-either case.  Character references are decoded, white space inside a block
-becomes one space, blocks are joined by a line feed; nothing else is dropped.
+Method.  A page is read as tokens (``html_page``): its block elements, named by
+their paths, and its text blocks, named by their element and text.  Over the distinct pages of a host every token has an occurrence
+vector: how often it stands on each page.
+
+1. Tokens with one vector form an equivalence class.  A vector is held as
+   order-free sums of hashes of (page, count), so classes come from partially
+   aggregated groups and no host is ever gathered.  Only tokens on at least
+   ``MIN_PAGES`` pages and a ``SHARE`` of the host's pages take part; a page's
+   tokens over ``SHARE`` bound their number whatever the size of the host.
+2. A class is ordered when its tokens open and close in one order on all pages.
+   It is nested when all of it lies in one slot of the class around it.  A class
+   that is not both is split into its groups of siblings; what still has no order
+   is no template.  Valid classes, nested by their paths, are the template.
+3. What remains between template tokens are the slots.  A slot's text is
+   ``repeated`` as far as its blocks are frequent tokens themselves, else its
+   own.  The article's region is found from the top of the template downwards,
+   in the direction of the host's own text.
+4. A page gives the blocks of that region, without blocks that are template text
+   (in a class of two tokens or more on nearly every page) and without slots on
+   nearly every page whose text is nearly all repeated, as adverts from a pool.
+
+Elements and roles (menus, footers, forms, article and main) are one more sign:
+their blocks never enter, and an article element draws the region to it.  A few
+whole class names count only where they hold less than half of a page's text.
+``signals=False`` turns all of these off.
+
+Equal htmls of a host are one page in all counts.  A host with fewer than
+``MIN_PAGES`` different pages, or most of whose pages have no block of their own
+or hardly any text of their own (changed copies of one page), has no template:
+its pages, and pages that lack their host's region, choose the region by their
+own text.
 
 Defined cases: a null or empty page gives an empty text; a null url is a host of
 its own; unclosed and stray tags are tolerated; repeated rows each give a row
@@ -31,268 +39,298 @@ and count as one page; other columns are ignored.
 
 from __future__ import annotations
 
-import html as entities
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .html_page import Page, digest
 
 MIN_PAGES = 5
-NEARLY_ALL = 0.95
+#: Tokens on a smaller share of the host's pages are data.
+SHARE = 0.01
+#: Share of the host's pages from which a token is on nearly every page.
+NEARLY_ALL = 0.8
+#: A child that holds so much of its parent's text is the article's region.
 MOST = 0.6
+#: An article or main element needs only so much.
 SEMANTIC = 0.25
-FIXED = 0.9
-
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</\s*([a-zA-Z][\w:-]*)[^>]*>|<([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|\Z)""", re.I)
-RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-CONTAINERS = {"html", "body", "div", "section", "article", "main", "table", "tbody", "tr", "td", "center", "figure", "details", "ul", "ol", "dl"}
-BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "th", "thead", "tfoot", "caption", "blockquote", "pre", "br", "hr", "figcaption", "summary", "address", "header", "footer", "nav", "aside", "form", "fieldset", "legend", "head", "title", "option", "hgroup", "search", "menu", "dialog", "noscript"}
-#: Elements whose text is never the article's.
-OUTSIDE = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "noscript", "template", "svg", "iframe", "menu", "dialog", "object", "canvas", "audio", "video", "search", "label", "input", "datalist"}
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "tablist"}
-#: Words of class and id names that mark what is not the article.
-WORDS = set(
-    "ad ads adv advert adverts advertisement advertising adsense adslot banner banners promo promos promotion sponsor sponsored "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall "
-    "sidebar sidebars aside widget widgets rail nav navbar navigation menu menus submenu breadcrumb breadcrumbs pager pagination "
-    "footer foot masthead topbar toolbar header comment comments commentlist disqus respond reply replies discussion "
-    "related recommended recommendations share sharing social login search searchbox form copyright legal disclaimer tags skip hidden "
-    "topnav leaderboard outbrain taboola teaser teasers".split()
-)
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
-KEEPS_NAME = {"html", "body", "main"}
-SPLIT = re.compile(r"[^a-z]+")
-DIGITS = re.compile(r"\d+")
-CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-
-
-def _hash(*parts: object) -> int:
-    return xxhash.xxh64_intdigest("\x00".join(map(str, parts))) >> 1
-
-
-def _outside(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
-    if tag in OUTSIDE or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
-    if tag == "header" and not inside_article:
-        return True
-    if attributes.get("role", "").lower() in ROLES:
-        return True
-    if tag in KEEPS_NAME:
-        return False
-    names = CAMEL.sub(" ", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower()
-    words = set(SPLIT.split(names)) & WORDS
-    if tag == "article" or tag == "header" or re.fullmatch(r"h[1-6]", tag):  # a title or an article may be called by what it is about
-        words &= {"comment", "comments", "reply", "ad", "ads", "advert", "advertisement", "promo", "sponsored", "related", "teaser", "widget"}
-    return bool(words)
-
-
-class Page:
-    """Blocks of a page in order, with their containers, and the containers."""
-
-    def __init__(self, source: str):
-        self.blocks: list[tuple[str, tuple[int, ...]]] = []
-        #: token: [parent, how often, text length, whether it is an article or main]
-        self.containers: dict[int, list] = {}
-        self._stack: list[tuple[str, bool, tuple[int, ...]]] = [("", False, ())]
-        self._now: list[str] = []
-        self._read(source)
-
-    def _flush(self) -> None:
-        text = " ".join("".join(self._now).split())
-        self._now.clear()
-        if text:
-            chain = self._chain
-            self.blocks.append((text, chain))
-            for c in chain:
-                self.containers[c][2] += len(text)
-
-    def _text(self, raw: str) -> None:
-        _, outside, chain = self._stack[-1]
-        if not outside and raw:
-            if not self._now:
-                self._chain = chain
-            self._now.append(entities.unescape(raw))
-
-    def _open(self, tag: str, source: str) -> None:
-        if tag in BLOCKS:
-            self._flush()
-        for known, end in (("p", BLOCKS - {"br"}),):
-            if tag in end:
-                self._close(known, until=CONTAINERS)
-        if tag in CLOSES:
-            for t in CLOSES[tag]:
-                self._close(t, until=CONTAINERS - {"tr", "td", "tbody"} if tag in ("tr", "td", "th", "tbody") else {"ul", "ol", "dl", "select", "div", "body"})
-        if tag in VOID:
-            return
-        _, outside, chain = self._stack[-1]
-        attributes = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)} if source else {}
-        inside = any(self.containers[c][3] for c in chain)
-        outside = outside or _outside(tag, attributes, inside)
-        if tag in CONTAINERS and not outside:
-            name = DIGITS.sub("0", f"{tag} {attributes.get('class', '')} #{attributes.get('id', '')}")
-            token = _hash(chain[-1] if chain else "", name)
-            entry = self.containers.setdefault(token, [chain[-1] if chain else 0, 0, 0, tag in ("article", "main")])
-            entry[1] += 1
-            chain = (*chain, token)
-        if not source.rstrip().endswith("/") or tag in CONTAINERS:
-            self._stack.append((tag, outside, chain))
-
-    def _close(self, tag: str, until: set[str] | None = None) -> None:
-        for i in range(len(self._stack) - 1, 0, -1):
-            t = self._stack[i][0]
-            if t == tag:
-                del self._stack[i:]
-                return
-            if until and t in until:
-                return
-
-    def _read(self, source: str) -> None:
-        at = 0
-        while m := TAG.search(source, at):
-            self._text(source[at : m.start()])
-            at = m.end()
-            if m[1]:
-                tag = m[1].lower()
-                if tag in BLOCKS:
-                    self._flush()
-                self._close(tag)
-            elif m[2]:
-                tag = m[2].lower()
-                if tag in RAW:
-                    end = re.compile(rf"</\s*{tag}", re.I).search(source, at)
-                    if tag == "title":
-                        self._flush()
-                    stop = source.find(">", end.end()) if end else -1
-                    at = stop + 1 if stop >= 0 else len(source)
-                else:
-                    self._open(tag, m[3])
-        self._text(source[at:])
-        self._flush()
-
-
-def slot(containers: dict[int, tuple[int, float, bool]]) -> int | None:
-    """The article's container among (parent, text length, article or main), or None."""
-    children = defaultdict(list)
-    for token, (parent, mass, semantic) in containers.items():
-        children[parent if parent in containers else 0].append((mass, semantic, token))
-    total = sum(mass for mass, _, _ in children[0])
-    now, mass = 0, total
-    while children[now] and total:
-        best = max((semantic and m >= SEMANTIC * total, m, token) for m, semantic, token in children[now])
-        if not best[0] and best[1] < MOST * mass:
-            break
-        now, mass = best[2], best[1]
-    return now or None
+#: Repeated share from which a slot is no part of an article.
+REPEATED = 0.9
+#: Share of its own text without which a host shows no template.
+LEAST_OWN = 0.05
+#: Share of its pages that must have a text block of their own for a host to show a template.
+LEAST_FRESH = 0.5
+
+TEXT, ELEMENT, PAGE = 0, 1, 2
 
 
-def _host(url: str | None) -> int:
+def host_of(url: str | None) -> int:
     if url is None:
         return 0
     rest = url.split("://", 1)[-1]
-    return _hash(re.split(r"[/?#]", rest, maxsplit=1)[0].rsplit("@", 1)[-1].lower()) or 1
+    return digest(re.split(r"[/?#]", rest, maxsplit=1)[0].rsplit("@", 1)[-1].lower()) or 1
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = ["host", "token", "parent", "kind", "mark", "times", "mass"]
-        rows: list[list[int]] = [[] for _ in names]
-
-        def add(*values: int, rows=rows) -> None:
-            for r, v in zip(rows, values, strict=True):
-                r.append(v)
-
-        for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            host, page = _host(url), Page(source or "")
-            mark = _hash(source or "")
-            add(host, 0, 0, 2, mark, 1, 0)
-            texts: dict[tuple[int, int], list[int]] = {}
-            for text, chain in page.blocks:
-                parent = chain[-1] if chain else 0
-                t = texts.setdefault((_hash(parent, text), parent), [0, 0])
-                t[0] += 1
-                t[1] += len(text)
-            for token, (parent, times, mass, semantic) in page.containers.items():
-                add(host, token, parent, 3 if semantic else 1, mark, times, mass)
-            for (token, parent), (times, mass) in texts.items():
-                add(host, token, parent, 0, mark, times, mass)
-        yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=names)
-
-
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, nearly_all: float = NEARLY_ALL) -> DataFrame:
-    """host and ``skeleton``: the template's containers with parent, text length, kind and whether their text is fixed."""
+def text_token(element: int, text: str) -> int:
+    return digest(element, text)
+
+
+def page_tokens(page: Page) -> dict[int, list[int]]:
+    """token: [kind, parent, times, first, last, text length, whether a region may be there, whether an article or main]."""
+    out: dict[int, list[int]] = {}
+    for e, token in enumerate(page.token):
+        parent = page.token[page.parent[e]] if page.parent[e] >= 0 else 0
+        t = out.setdefault(token, [ELEMENT, parent, 0, page.first[e], 0, 0, int(page.container[e]), int(page.semantic[e])])
+        t[2] += 1
+        t[4] = max(t[4], page.last[e])
+        t[5] += page.mass[e]
+    for text, e, marked, at in page.blocks:
+        parent = page.token[e] if e >= 0 else 0
+        t = out.setdefault(text_token(parent, text), [TEXT, parent, 0, at, 0, 0, 0, 0])
+        t[2] += 1
+        t[4] = at
+        t[5] += 0 if marked else len(text)
+    return out
+
+
+TOKENS = ["host", "mark", "token", "kind", "parent", "times", "first", "last", "mass", "may", "semantic"]
+
+
+def _tokens(signals: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, ...]] = []
+            for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                host, mark = host_of(url), digest(source or "")
+                rows.append((host, mark, 0, PAGE, 0, 1, 0, 0, 0, 0, 0))
+                rows.extend((host, mark, token, *t) for token, t in page_tokens(Page(source or "", signals)).items())
+            columns = np.array(rows, np.int64).reshape(-1, len(TOKENS)).T
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=TOKENS)
+
+    return run
+
+
+def classes(rows: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+    """The frequent tokens of each host with their equivalence class.
+
+    ``rows`` has one row for each (host, mark, token).  ``cls`` is the class by
+    vector and ``sib`` the class among siblings; ``cls_ordered`` and
+    ``sib_ordered`` say whether the order of tokens is the same on all pages.
+    """
+    v = F.xxhash64("mark", "times")
+    got = rows.withColumn("v1", v.bitwiseAND(F.lit(0xFFFFFFFF))).withColumn("v2", F.shiftrightunsigned(v, 32))
+    same = [F.max(c).alias(c) for c in ("kind", "parent", "may", "semantic")]
+    sums = got.groupBy("host", "token").agg(*same, F.count(F.lit(1)).alias("pages"), F.count_if(F.col("times") == 1).alias("once"), F.sum("mass").alias("mass"), F.sum("v1").alias("v1"), F.sum("v2").alias("v2"), F.max("mark").alias("mark"))
+    sums = common.saved(sums.where((F.col("pages") >= min_pages) | ((F.col("pages") == 1) & (F.col("kind") == TEXT))))
+    fresh = sums.where("pages = 1").select("host", "mark").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("fresh"))
+    sums = sums.where(F.col("pages") >= min_pages)
+    hosts = sums.where(F.col("kind") == PAGE).select("host", F.col("pages").alias("of")).join(fresh, "host", "left")
+    often = sums.where(F.col("kind") != PAGE).join(hosts, "host").where(F.col("pages") >= share * F.col("of"))
+    often = common.saved(often.select("host", "token", "kind", "parent", "may", "semantic", "pages", "once", "mass", "of", F.coalesce("fresh", F.lit(0)).alias("fresh"), F.xxhash64("v1", "v2").alias("cls"), F.xxhash64("v1", "v2", "parent").alias("sib")))
+    seen = rows.select("host", "mark", "token", "first", "last").join(often.select("host", "token", "cls", "sib"), ["host", "token"])
+    seen = seen.select("host", "mark", "token", "first", "last", F.explode(F.array("cls", "sib")).alias("class"))
+    ends = F.array(F.struct(F.col("first").alias("at"), "token"), F.struct(F.col("last").alias("at"), "token"))
+    order = F.array_sort(F.flatten(F.collect_list(ends)))  # the tokens of one page
+    order = seen.groupBy("host", "class", "mark").agg(F.xxhash64(F.transform(order, lambda x: x["token"])).alias("order"))
+    order = order.groupBy("host", "class").agg((F.min("order") == F.max("order")).alias("ordered"))
+    for c in ("cls", "sib"):
+        often = often.join(order.select("host", F.col("class").alias(c), F.col("ordered").alias(f"{c}_ordered")), ["host", c], "left")
+    return often
+
+
+def valid_classes(tokens: list[dict]) -> dict[int, int]:
+    """token: its valid class.  A class that is not ordered or not nested falls into its siblings."""
+    by_token = {t["token"]: t for t in tokens}
+    chosen: dict[int, tuple[int, bool]] = {}
+    for t in tokens:
+        if t["cls_ordered"]:
+            chosen[t["token"]] = (t["cls"], False)
+        elif t["sib_ordered"]:
+            chosen[t["token"]] = (t["sib"], True)
+
+    def around(token: int) -> int:
+        """The nearest token outside that is of another class."""
+        own = chosen[token][0]
+        at = by_token[token]["parent"]
+        while at in by_token and (at not in chosen or chosen[at][0] == own):
+            at = by_token[at]["parent"]
+        return at if at in by_token else 0
+
+    slots: dict[int, set[int]] = defaultdict(set)
+    for token, (c, split) in chosen.items():
+        if not split:
+            slots[c].add(around(token))
+    out = {}
+    for token, (c, split) in chosen.items():
+        t = by_token[token]
+        if split or len(slots[c]) == 1:
+            out[token] = c
+        elif t["sib_ordered"]:
+            out[token] = t["sib"]
+    return out
+
+
+def slot(nodes: dict[int, tuple[int, float, bool, bool]]) -> int:
+    """The article's region among (parent, text, may be a region, article or main); 0: the whole page."""
+    children = defaultdict(list)
+    for token, (parent, mass, may, semantic) in nodes.items():
+        children[parent if parent in nodes else 0].append((mass, may, semantic, token))
+    total = sum(mass for mass, _, _, _ in children[0])
+    now, mass = 0, total
+    while total:
+        ways = [(semantic and m >= SEMANTIC * total, m, token) for m, may, semantic, token in children[now] if may]
+        if not ways:
+            break
+        best = max(ways)
+        if not best[0] and best[1] < MOST * mass:
+            break
+        now, mass = best[2], best[1]
+    return now
+
+
+def host_template(tokens: list[dict]) -> tuple[int, list[int]] | None:
+    """(region, tokens whose text goes) of a host's frequent tokens; None: no template."""
+    valid = valid_classes(tokens)
+    elements = {t["token"]: t for t in tokens if t["kind"] == ELEMENT}
+    texts = [t for t in tokens if t["kind"] == TEXT]
+    size: dict[int, int] = defaultdict(int)
+    for token, c in valid.items():
+        size[c] += 2 if token in elements else 1  # an element opens and closes
+    depth: dict[int, int] = {}
+    for token in elements:
+        trail = []
+        while token in elements and token not in depth:
+            trail.append(token)
+            token = elements[token]["parent"]
+        base = depth.get(token, 0)
+        for i, t in enumerate(reversed(trail), 1):
+            depth[t] = base + i
+    inside = sorted(elements, key=depth.__getitem__, reverse=True)
+    repeated: dict[int, int] = defaultdict(int)
+    for t in texts:
+        repeated[t["parent"]] += t["mass"]
+    for token in inside:
+        repeated[elements[token]["parent"]] += repeated[token]
+    own = {token: max(0, e["mass"] - repeated[token]) for token, e in elements.items()}
+    tops = [token for token, e in elements.items() if e["parent"] not in elements]
+    if tokens[0]["fresh"] < LEAST_FRESH * tokens[0]["of"] or sum(own[t] for t in tops) < LEAST_OWN * sum(elements[t]["mass"] for t in tops):
+        return None
+
+    def often(t: dict) -> bool:
+        return t["pages"] >= NEARLY_ALL * t["of"]
+
+    nodes = {}
+    for token, e in elements.items():
+        if token in valid:
+            parent = e["parent"]
+            while parent in elements and parent not in valid:
+                parent = elements[parent]["parent"]
+            nodes[token] = (parent, own[token], bool(e["may"]) and often(e) and e["once"] >= NEARLY_ALL * e["pages"], bool(e["semantic"]))
+    region = slot(nodes)
+    whole = elements[region] if region else None
+    page = whole["mass"] / whole["pages"] if whole else sum(elements[t]["mass"] / elements[t]["pages"] for t in tops)
+    gone = [t["token"] for t in texts if t["token"] in valid and often(t) and size[valid[t["token"]]] > 1]
+    for token, e in elements.items():
+        if token in valid and token != region and often(e) and e["mass"] and repeated[token] >= REPEATED * e["mass"] and e["mass"] / e["pages"] <= page / 2:
+            gone.append(token)
+    return region, gone
+
+
+def _host_templates(group: pa.Table) -> pa.Table:
+    got = host_template(group.to_pylist())
+    host = group.column("host")[0].as_py()
+    rows = [] if got is None else [{"host": host, "region": got[0], "gone": got[1]}]
+    return pa.Table.from_pylist(rows, pa.schema([("host", pa.int64()), ("region", pa.int64()), ("gone", pa.list_(pa.int64()))]))
+
+
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, signals: bool = True, share: float = SHARE) -> DataFrame:
+    """host, region, gone: each host's article region and the tokens whose text is template."""
     common.workers_import(pages.sparkSession)
-    got = pages.mapInArrow(_tokens, "host long, token long, parent long, kind long, mark long, times long, mass long")
+    rows = pages.mapInArrow(_tokens(signals), ", ".join(f"{c} long" for c in TOKENS))
     # equal htmls give equal rows
-    got = got.groupBy("host", "token", "parent", "kind", "mark").agg(F.max("times").alias("times"), F.max("mass").alias("mass"))
-    v = F.xxhash64("mark", "times")
-    got = got.withColumn("v1", v.bitwiseAND(F.lit(0xFFFFFFFF))).withColumn("v2", F.shiftrightunsigned(v, 32))
-    sums = got.groupBy("host", "token", "parent", "kind").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("times") == 1).alias("once"), F.sum("mass").alias("mass"), F.sum("v1").alias("v1"), F.sum("v2").alias("v2"))
-    sums = common.saved(sums.where((F.col("kind") == 2) | ((F.col("pages") >= min_pages) & (F.col("once") >= nearly_all * F.col("pages")))), tidy=True)
-    hosts = sums.where("kind = 2").select("host", F.col("pages").alias("of"))
-    valid = sums.where("kind <> 2")
-    boxes = valid.where("kind in (1, 3)")
-    # text tokens of the same class as their own container
-    fixed = valid.where("kind = 0").select("host", F.col("parent").alias("token"), "v1", "v2", F.col("mass").alias("same"))
-    fixed = fixed.groupBy("host", "token", "v1", "v2").agg(F.sum("same").alias("same"))
-    boxes = boxes.join(fixed, ["host", "token", "v1", "v2"], "left").join(hosts, "host")
-    outer = F.col("pages") >= nearly_all * F.col("of")
-    box = F.struct("token", "parent", "mass", (F.col("kind") == 3).alias("semantic"), (outer & (F.coalesce("same", F.lit(0)) >= FIXED * F.col("mass"))).alias("fixed"), outer.alias("outer"))
-    return boxes.where(F.col("of") >= min_pages).groupBy("host").agg(F.collect_list(box).alias("skeleton"))
-
-
-def main_text(page: Page, skeleton: list[dict] | None) -> str:
-    """The article of a page, given its host's template."""
-    own = {t: (c[0], c[2], c[3]) for t, c in page.containers.items()}
-    root = None
-    fixed: set[int] = set()
-    if skeleton:
-        root = slot({b["token"]: (b["parent"], b["mass"], b["semantic"]) for b in skeleton if b["outer"]})
-        if root not in own or not own[root][1]:
-            root = None
-        fixed = {b["token"] for b in skeleton if b["fixed"] and b["mass"]}
-    if root is None:
-        root = slot(own)
-    else:  # the host's slot may hold a narrower article on this page
-        inner = {t: c for t, c in own.items() if c[2] and t != root and any(root in chain and t in chain for _, chain in page.blocks)}
-        if not own[root][2] and inner:
-            best = max(inner, key=lambda t: inner[t][1])
-            if inner[best][1] >= MOST * own[root][1]:
-                root = best
-    out = []
-    for text, chain in page.blocks:
-        if root is not None and root not in chain:
+    rows = common.saved(rows.groupBy("host", "mark", "token").agg(*[F.max(c).alias(c) for c in TOKENS[3:]]))
+    found = classes(rows, min_pages, share)
+    return common.saved(found.groupBy("host").applyInArrow(_host_templates, "host long, region long, gone array<long>"))
+
+
+def main_text(page: Page, region: int | None, gone: list[int] | None) -> str:
+    """The article of a page, given its host's region (0: all of the page, None: no template) and template tokens."""
+    n = len(page.token)
+    total = sum(len(t) for t, _, marked, _ in page.blocks if not marked)
+    drop = set(gone or ())
+    out = [False] * n
+    for e in range(n):
+        parent = page.parent[e]
+        out[e] = (parent >= 0 and out[parent]) or page.token[e] in drop or (page.named[e] and page.mass[e] < total / 2)
+    mass = [0] * n  # without what goes
+    for text, e, marked, _ in page.blocks:
+        if e >= 0 and not marked and not out[e]:
+            mass[e] += len(text)
+    for e in range(n - 1, -1, -1):
+        if page.parent[e] >= 0:
+            mass[page.parent[e]] += mass[e]
+    inside = [region == 0] * n
+    if region:
+        for e in range(n):
+            inside[e] = page.token[e] == region or (page.parent[e] >= 0 and inside[page.parent[e]])
+    if not region or not any(i and m for i, m in zip(inside, mass, strict=True)):
+        inside = [True] * n
+    # a narrower region by the page's own text, where its host has shown none or an article element is inside
+    held: dict[int, list] = {}
+    for e in range(n):
+        if inside[e]:
+            h = held.setdefault(page.token[e], [page.token[page.parent[e]] if page.parent[e] >= 0 else 0, 0, 0, page.container[e], page.semantic[e]])
+            h[1] += mass[e]
+            h[2] += 1
+    if region is None or all(inside):
+        root = slot({t: (p, m, may and times == 1, semantic) for t, (p, m, times, may, semantic) in held.items()})
+    else:
+        articles = [(m, t) for t, (_, m, times, _, semantic) in held.items() if semantic and times == 1]
+        root = max(articles, default=(0, 0))[1] if articles and max(articles)[0] >= MOST * held[region][1] else 0
+    if root:
+        for e in range(n):
+            inside[e] = page.token[e] == root or (page.parent[e] >= 0 and inside[page.parent[e]])
+    whole = not root and (region is None or all(inside))
+    kept = []
+    for text, e, marked, _ in page.blocks:
+        if marked or (e >= 0 and (out[e] or not inside[e])) or (e < 0 and not whole):
             continue
-        below = chain[chain.index(root) + 1 :] if root is not None else chain
-        if not fixed.isdisjoint(below):
+        if drop and text_token(page.token[e] if e >= 0 else 0, text) in drop:
             continue
-        out.append(text)
-    return "\n".join(out)
+        kept.append(text)
+    return "\n".join(kept)
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [main_text(Page(h or ""), s) for h, s in zip(batch.column("html").to_pylist(), batch.column("skeleton").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], names=["page_id", "url", "text", "n_chars"])
+def _extract(signals: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("html", "region", "gone"))
+            texts = [main_text(Page(h or "", signals), region, gone) for h, region, gone in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], names=["page_id", "url", "text", "n_chars"])
+
+    return run
 
 
 def _with_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts = pa.array([_host(u) for u in batch.column("url").to_pylist()], pa.int64())
+        hosts = pa.array([host_of(u) for u in batch.column("url").to_pylist()], pa.int64())
         yield pa.RecordBatch.from_arrays([*batch.columns, hosts], names=[*batch.schema.names, "host"])
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """page_id, url, text, n_chars of each row."""
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, signals: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars of each row.
+
+    The templates are a stored table, so Spark knows its size: a small one is
+    broadcast and the pages stay where they are, a large one meets the pages in
+    a sort-merge join that splits a hot host.
+    """
     p = common.with_columns(pages, page_id="long", url="string", html="string")
-    t = templates(p, min_pages)
+    t = templates(p, min_pages, signals)
     p = p.mapInArrow(_with_host, "page_id long, url string, html string, host long")
-    return p.join(t, "host", "left").select("page_id", "url", "html", "skeleton").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return p.join(t, "host", "left").select("page_id", "url", "html", "region", "gone").mapInArrow(_extract(signals), "page_id long, url string, text string, n_chars long")
