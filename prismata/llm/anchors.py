@@ -27,8 +27,8 @@ def sliding_least(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def blocks(buf: np.ndarray, off: np.ndarray, length: int, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """text, lo (first window's start in the text), n (windows), anchor, content hash of each block."""
-    none = {k: np.zeros(0, np.int64) for k in ("text", "lo", "n", "anchor", "content", "start")}
+    """text, lo (first window's start in the text), n (windows), anchor, reach (bytes from the first window to the anchor) and start in ``buf`` of each block."""
+    none = {k: np.zeros(0, np.int64) for k in ("text", "lo", "n", "anchor", "reach", "start")}
     if len(buf) < length:
         return none
     p = tb.prefix(buf)
@@ -52,4 +52,4 @@ def blocks(buf: np.ndarray, off: np.ndarray, length: int, gram: int = GRAM) -> d
     last[off[long_ + 1] - length] = True
     lo, hi = np.flatnonzero(new), np.flatnonzero(last)
     text = np.searchsorted(off, lo, "right") - 1
-    return {"text": text, "lo": lo - off[text], "n": hi - lo + 1, "anchor": h[place[lo]].view(np.int64), "content": tb.span_hash(p, lo, hi + length).view(np.int64), "start": lo}
+    return {"text": text, "lo": lo - off[text], "n": hi - lo + 1, "anchor": h[place[lo]].view(np.int64), "reach": place[lo] - lo, "start": lo}

@@ -1,73 +1,98 @@
-"""Induced suffix sorting of a shard, in numpy, with queues that spill to disk.
+"""External induced suffix sorting of a shard, with common prefixes.
 
 The shard's text is a uint8 array in which 0 ends each piece.  A suffix is of
 type S when it is smaller than the next one, else L; the leftmost S of each run
-(LMS) is sorted first: an induction over the unsorted LMS suffixes sorts their
-substrings, which become names, and the string of names is sorted in turn by
-doubling until a suffix is known over ``depth`` bytes.  From the sorted LMS
-suffixes a left-to-right induction orders all L suffixes and a right-to-left one
-all S suffixes.  Both are priority queues over (first byte, order of the rest):
-one queue per byte value, read in the order it was filled, a run of suffixes at
-a time.  Suffixes that agree over ``depth`` bytes may come in any order.
+(S*) is sorted first.  S* substrings are sorted by their symbols and get names;
+unless all names differ, the string of names is sorted in turn by the same
+method, recursively.  From the sorted S* suffixes a sweep induces all L suffixes
+and a sweep the other way all S suffixes.
+
+A sweep is a priority queue over (first symbol, order of the rest).  The queue
+holds suffix tuples in runs by bucket of first symbols; what exceeds ``memory``
+bytes goes to a file, and so does a shard's text that exceeds it.  A bucket of
+one symbol is read run by run in the order it was filled.  A bucket of several
+symbols (strings of names have many) is taken in batches: as long as no suffix
+induced by the batch belongs before its end.
+
+On bytes, a tuple is (suffix, common prefix with the tuple before it in its
+bucket).  Induced tuples get their prefix from the least prefix passed since the
+last tuple of their bucket; where the two kinds of suffixes meet and between S*
+suffixes, bytes are compared.  So prefixes, cut at ``length``, are exact, and
+nothing is decided by a hash.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 
-from . import textbytes as tb
+#: Bytes of tuples a queue keeps in memory; also what a text may have before it is mapped from a file.
+QUEUE_BYTES = 8 << 20
+#: Suffixes in a bucket of several symbols, about.
+BUCKET = 4096
 
-#: Bytes a set of queues holds in memory before further runs go to a file.
-QUEUE_BYTES = 64 << 20
+Run = tuple[np.ndarray, ...]
 
 
-class Queues:
-    """First-in-first-out runs of suffix numbers for each first byte."""
+class Queue:
+    """Runs of tuples by bucket, first in first out; beyond ``memory`` bytes they lie in a file."""
 
-    def __init__(self, limit: int = QUEUE_BYTES):
-        self.runs: list[list] = [[] for _ in range(256)]
-        self.limit, self.held, self.file = limit, 0, None
+    def __init__(self, buckets: int, memory: int = QUEUE_BYTES):
+        self.runs: list[list] = [[] for _ in range(buckets)]
+        self.memory, self.held, self.spilled, self.file = memory, 0, 0, None
 
-    def put(self, chars: np.ndarray, suffixes: np.ndarray) -> None:
-        """Append suffixes, in order, to the queues of their first bytes."""
-        if not len(suffixes):
-            return
-        order = np.argsort(chars, kind="stable")
-        suffixes = suffixes[order]
-        counts = np.bincount(chars, minlength=256)
-        stops = np.cumsum(counts)
-        for c in np.flatnonzero(counts):
-            self.add(c, suffixes[stops[c] - counts[c] : stops[c]])
-
-    def add(self, c: int, run: np.ndarray) -> None:
-        if self.held + run.nbytes > self.limit:
+    def add(self, bucket: int, run: Run) -> None:
+        size = sum(c.nbytes for c in run)
+        if self.held + size > self.memory:
             if self.file is None:
                 self.file = tempfile.TemporaryFile()
             at = self.file.seek(0, 2)
-            self.file.write(np.ascontiguousarray(run).data)
-            self.runs[c].append((at, len(run), run.dtype))
+            for c in run:
+                self.file.write(np.ascontiguousarray(c).data)
+            self.spilled += size
+            self.runs[bucket].append((at, [(c.dtype, len(c)) for c in run]))
         else:
-            self.held += run.nbytes
-            self.runs[c].append(run)
+            self.held += size
+            self.runs[bucket].append(run)
+
+    def put(self, buckets: np.ndarray, run: Run) -> None:
+        """Append tuples, in order, to their buckets."""
+        if not len(buckets):
+            return
+        order = np.argsort(buckets, kind="stable")
+        buckets = buckets[order]
+        edges = np.flatnonzero(np.diff(buckets, prepend=-1))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(buckets)], strict=True):
+            self.add(int(buckets[a]), tuple(c[order[a:b]] for c in run))
 
-    def get(self, c: int, i: int) -> np.ndarray:
-        run = self.runs[c][i]
-        if isinstance(run, tuple):
+    def get(self, bucket: int, i: int) -> Run:
+        run = self.runs[bucket][i]
+        if isinstance(run[0], int):
             self.file.seek(run[0])
-            return np.frombuffer(self.file.read(run[1] * run[2].itemsize), run[2])
+            return tuple(np.frombuffer(self.file.read(n * kind.itemsize), kind) for kind, n in run[1])
         return run
 
-    def all(self, c: int) -> np.ndarray:
-        runs = [self.get(c, i) for i in range(len(self.runs[c]))]
-        return np.concatenate(runs) if runs else np.zeros(0, np.int32)
+    def all(self, bucket: int) -> Run | None:
+        runs = [self.get(bucket, i) for i in range(len(self.runs[bucket]))]
+        return tuple(np.concatenate(c) for c in zip(*runs, strict=True)) if runs else None
 
     def close(self) -> None:
         if self.file is not None:
             self.file.close()
 
 
+def scratch(a: np.ndarray, memory: int) -> np.ndarray:
+    """``a``, mapped from a temporary file where it exceeds ``memory`` bytes."""
+    if a.nbytes <= memory:
+        return a
+    with tempfile.TemporaryFile() as f:
+        out = np.memmap(f, a.dtype, "w+", shape=a.shape)
+        out[:] = a
+        return out
+
+
 def types(t: np.ndarray) -> np.ndarray:
     """True for S suffixes; the last suffix is L."""
     n = len(t)
@@ -81,88 +106,248 @@ def types(t: np.ndarray) -> np.ndarray:
     return s
 
 
-def induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """All suffixes in order, from LMS suffixes in order (in their order inside each first byte)."""
-    n = len(t)
-    heads = np.searchsorted(t[lms], np.arange(257)) if len(lms) else np.zeros(257, int)
-    left = Queues()
-    left.add(int(t[n - 1]), np.array([n - 1], np.int32))
-    present = np.flatnonzero(np.bincount(t, minlength=256))
+def named(t: np.ndarray, s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Names of the substrings [start, end), dense and in their order; a symbol's L comes before its S."""
+    bits = (2 * int(t.max()) + 3).bit_length()
+    per = 63 // bits
+    rank = np.zeros(len(start), np.int64)
+    active, done = np.arange(len(start)), 0
+    while len(active):
+        at, stop = start[active] + done, end[active]
+        word = np.zeros(len(active), np.int64)
+        for j in range(per):
+            p = np.minimum(at + j, stop - 1)
+            word = word << bits | np.where(at + j < stop, t[p].astype(np.int64) * 2 + s[p] + 1, 0)
+        order = np.lexsort((word, rank[active])) if done else np.argsort(word)
+        active, word = active[order], word[order]
+        r = rank[active]
+        old = np.ones(len(r), bool)
+        old[1:] = r[1:] != r[:-1]
+        new = old.copy()
+        new[1:] |= word[1:] != word[:-1]
+        place = np.arange(len(r))
+        first = np.maximum.accumulate(np.where(new, place, 0))
+        rank[active] = r + first - np.maximum.accumulate(np.where(old, place, 0))
+        alone = new & np.append(new[1:], True)
+        done += per
+        active = active[~alone & (start[active] + done < end[active])]
+    present = np.zeros(len(start) + 1, np.int64)
+    present[rank] = 1
+    return (np.cumsum(present) - 1)[rank]
+
+
+def star_order(t: np.ndarray, s: np.ndarray, memory: int) -> np.ndarray:
+    """The S* suffixes in order."""
+    star = s.copy()
+    star[1:] &= ~s[:-1]
+    star[0] = False
+    lms = np.flatnonzero(star).astype(np.int32)
+    if len(lms) < 2:
+        return lms
+    names = named(t, s, lms, np.append(lms[1:] + 1, len(t)))
+    if names.max() + 1 == len(lms):
+        order = np.empty(len(lms), np.int64)
+        order[names] = np.arange(len(lms))
+        return lms[order]
+    return lms[sorted_suffixes(names.astype(np.int32), memory)]
+
+
+def _buckets(t: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of each symbol, whether a bucket has one symbol only, and the first symbol of each bucket."""
+    count = np.bincount(t)
+    before = np.cumsum(count) - count
+    new = np.ones(len(count), bool)
+    new[1:] = (before[1:] // size != before[:-1] // size) | (count[1:] >= size) | (count[:-1] >= size)
+    first = np.flatnonzero(new)
+    return np.cumsum(new) - 1, np.diff(np.append(first, len(count))) == 1, first
+
+
+def _sweep_names(w: np.ndarray, first: np.ndarray, stream: np.ndarray, memory: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The (symbol, suffix) tuples induced from ``stream``, in order, by batches.
+
+    ``stream`` (suffixes sorted by symbol) comes after the queue's tuples of the
+    same symbol; ``first`` is in the queue from the start.
+    """
+    bucket_of, _, lowest = _buckets(w, BUCKET)
+    queue = Queue(len(lowest), memory)
+    queue.put(bucket_of[w[first]], (w[first], first))
+    edges = np.searchsorted(w[stream], np.append(lowest, len(bucket_of)))
+    for b in range(len(lowest)):
+        given = stream[edges[b] : edges[b + 1]]
+        waiting = queue.all(b) or (w[:0], first[:0])
+        key = np.concatenate([waiting[0].astype(np.int64) * 2, w[given].astype(np.int64) * 2 + 1])
+        suffix = np.concatenate([waiting[1], given])
+        order = np.argsort(key, kind="stable")
+        key, suffix = key[order], suffix[order]
+        while len(key):
+            before = suffix - 1
+            sym = w[before].astype(np.int64)  # of the suffix -1: any symbol, not used
+            induces = (suffix > 0) & ((sym * 2 > key) | (sym * 2 == key))
+            least = np.minimum.accumulate(np.where(induces, sym * 2, np.iinfo(np.int64).max))
+            late = np.flatnonzero(least[:-1] < key[1:])
+            m = int(late[0]) + 1 if len(late) else len(key)
+            taken = key[:m] & 1 == 0
+            yield key[:m][taken] >> 1, suffix[:m][taken]
+            go = induces[:m]
+            sym, before = sym[:m][go], before[:m][go]
+            here = bucket_of[sym] == b
+            queue.put(bucket_of[sym[~here]], (sym[~here], before[~here]))
+            key, suffix = np.concatenate([key[m:], sym[here] * 2]), np.concatenate([suffix[m:], before[here]])
+            if here.any():
+                order = np.argsort(key, kind="stable")
+                key, suffix = key[order], suffix[order]
+    queue.close()
+
+
+def sorted_suffixes(t: np.ndarray, memory: int = QUEUE_BYTES) -> np.ndarray:
+    """All suffixes of a string of names in order; a suffix that ends is smaller."""
+    s = types(t)
+    star = star_order(t, s, memory)
+    larger = [np.concatenate(c) for c in zip(*_sweep_names(t, np.array([len(t) - 1], np.int32), star, memory), strict=True)]
+    w = t.max() - t
+    smaller = [np.concatenate(c) for c in zip(*_sweep_names(w, star[:0], larger[1][::-1], memory), strict=True)]
+    symbols = np.concatenate([larger[0] * 2, (int(t.max()) - smaller[0][::-1]) * 2 + 1])
+    return np.concatenate([larger[1], smaller[1][::-1]])[np.argsort(symbols, kind="stable")]
 
-    def back(run: np.ndarray, kind: bool, queues: Queues) -> None:
-        q = run[run > 0] - 1
-        q = q[s[q] == kind]
-        queues.put(t[q], q)
 
-    for c in present:
+def common(t: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Equal bytes at the starts of suffixes a and b of ``t`` (which ends with eight spare bytes), cut at ``most``."""
+    words = np.ndarray((len(t) - 7,), "<u8", t, strides=(1,))
+    out = np.full(len(a), most, np.int32)
+    active = np.arange(len(a))
+    for done in range(0, most, 8):
+        x, y = a[active] + done, b[active] + done
+        over = np.maximum(x, y) >= len(words)
+        d = words[np.where(over, 0, x)] ^ words[np.where(over, 0, y)]
+        same = (d == 0) & ~over
+        end = active[~same]
+        low = d[~same]
+        out[end] = done + np.log2(np.maximum(1, low & (~low + np.uint64(1))).astype(np.float64)).astype(np.int32) // 8
+        active = active[same]
+        if not len(active):
+            break
+    return np.minimum(out, most)
+
+
+class _Least:
+    """Least values of ranges of an array."""
+
+    def __init__(self, a: np.ndarray):
+        self.rows = [a]
+        while 2 * (step := 1 << (len(self.rows) - 1)) <= len(a):
+            up = self.rows[-1]
+            self.rows.append(np.minimum(up[:-step], up[step:]))
+
+    def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of first..last, both in."""
+        level = np.log2(last - first + 1).astype(np.int64)
+        out = np.empty(len(first), self.rows[0].dtype)
+        for k in np.unique(level).tolist():
+            at = level == k
+            out[at] = np.minimum(self.rows[k][first[at]], self.rows[k][last[at] - (1 << k) + 1])
+        return out
+
+
+class _Sweep:
+    """A sweep over bytes with common prefixes; ``w`` is the text, with its order turned round for the second sweep."""
+
+    def __init__(self, w: np.ndarray, t: np.ndarray, length: int, memory: int):
+        self.w, self.t, self.length = w, t, length
+        self.queue = Queue(256, memory)
+        #: Least prefix passed since the last tuple of each bucket; -1 before the first.
+        self.least = np.full(256, -1, np.int32)
+        self.last = -1
+
+    def passed(self, suffix: np.ndarray, prefix: np.ndarray, queued: bool) -> None:
+        """Induce from tuples in order, of one first byte."""
+        before = suffix - 1
+        sym = self.w[before]
+        own = self.w[suffix[0]]
+        go = np.flatnonzero((suffix > 0) & ((sym >= own) if queued else (sym > own)))
+        to = sym[go].astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        place, to = go[order], to[order]
+        head = np.ones(len(to), bool)
+        head[1:] = to[1:] != to[:-1]
+        since = np.zeros(len(to), np.int64)
+        since[1:] = np.where(head[1:], 0, place[:-1] + 1)
+        least = _Least(prefix)
+        value = least.of(since, place)
+        value[head] = np.minimum(value[head], self.least[to[head]])
+        tail = np.append(head[1:], True)[: len(to)]
+        self.least = np.minimum(self.least, prefix.min())
+        rest = place[tail] + 1
+        open_ = rest < len(prefix)
+        fresh = np.full(len(rest), self.length, np.int32)
+        fresh[open_] = least.of(rest[open_], np.full(open_.sum(), len(prefix) - 1))
+        self.least[to[tail]] = fresh
+        self.queue.put(to, (before[place], np.minimum(value + 1, self.length).astype(np.int32)))
+        self.last = int(suffix[-1])
+
+    def seam(self, suffix: int) -> int:
+        """The prefix that a suffix shares with the last one, of the same first byte."""
+        return int(common(self.t, np.array([self.last]), np.array([suffix]), self.length)[0])
+
+
+def repeated_suffixes(t: np.ndarray, length: int, memory: int = QUEUE_BYTES) -> tuple[np.ndarray, int]:
+    """Which suffixes of the bytes ``t`` share ``length`` bytes with another one, and how many bytes of tuples were spilled."""
+    n = len(t)
+    s = types(t)
+    star = star_order(t, s, memory)
+    padded = scratch(np.concatenate([t, np.zeros(8, np.uint8)]), memory)
+    t = padded[:n]
+    shared = np.zeros(len(star), np.int32)
+    if len(star) > 1:
+        shared[1:] = common(padded, star[:-1], star[1:], length)
+    up = _Sweep(t, padded, length, memory)
+    up.queue.add(int(t[n - 1]), (np.array([n - 1], np.int32), np.zeros(1, np.int32)))
+    edges = np.searchsorted(t[star], np.arange(257))
+    for c in range(256):
         i = 0
-        while i < len(left.runs[c]):
-            back(left.get(c, i), False, left)
+        while i < len(up.queue.runs[c]):
+            up.passed(*up.queue.get(c, i), True)
             i += 1
-        back(lms[heads[c] : heads[c + 1]], False, left)
-    right = Queues()
-    for c in present[::-1]:
+        given = star[edges[c] : edges[c + 1]]
+        if len(given):
+            prefix = shared[edges[c] : edges[c + 1]].copy()
+            prefix[0] = up.seam(int(given[0])) if i else 0
+            up.passed(given, prefix, False)
+    down = _Sweep(scratch(255 - t, memory), padded, length, memory)
+    hit = np.zeros(n, bool)
+
+    def emit(suffix: np.ndarray, prefix: np.ndarray, queued: bool) -> None:
+        if prefix[0] >= length:
+            hit[down.last] = True
+        at = np.flatnonzero(prefix >= length)
+        hit[suffix[at]] = True
+        hit[suffix[at[at > 0] - 1]] = True
+        down.passed(suffix, prefix, queued)
+
+    for c in range(255, -1, -1):
         i = 0
-        while i < len(right.runs[c]):
-            back(right.get(c, i), True, right)
+        while i < len(down.queue.runs[255 - c]):
+            emit(*down.queue.get(255 - c, i), True)
             i += 1
-        back(left.all(c)[::-1], True, right)
-    out = np.concatenate([x for c in present for x in (left.all(c), right.all(c)[::-1])])
-    left.close()
-    right.close()
-    return out
+        after = None
+        for j in range(len(up.queue.runs[c]) - 1, -1, -1):
+            suffix, prefix = up.queue.get(c, j)
+            if after is None:
+                after = down.seam(int(suffix[-1])) if i else 0
+            turned = np.concatenate([[after], prefix[:0:-1]]).astype(np.int32)
+            emit(suffix[::-1], turned, False)
+            after = int(prefix[0])
+    spilled = up.queue.spilled + down.queue.spilled
+    up.queue.close()
+    down.queue.close()
+    return hit, spilled
 
 
-def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix numbers of ``t`` in order of their first ``depth`` bytes at least."""
-    s = types(t)
-    n = len(t)
-    is_lms = s.copy()
-    is_lms[1:] &= ~s[:-1]
-    is_lms[0] = False
-    lms = np.flatnonzero(is_lms).astype(np.int32)
-    if len(lms) > 1:
-        first = induce(t, s, lms[np.argsort(t[lms], kind="stable")])
-        ordered = first[is_lms[first]]
-        number = np.zeros(n, np.int32)
-        number[lms] = np.arange(len(lms), dtype=np.int32)
-        end = np.append(lms[1:] + 1, n)
-        h = tb.span_hash(tb.prefix(t), lms, end)
-        at = number[ordered]
-        same = np.zeros(len(lms), bool)
-        same[1:] = h[at[1:]] == h[at[:-1]]
-        rank = np.empty(len(lms), np.int64)
-        rank[at] = np.cumsum(~same)
-        order, known = at, 1
-        while known * 2 < depth and rank.max() < len(lms):  # a name covers two bytes at least
-            follow = np.zeros(len(lms), np.int64)
-            follow[: len(lms) - known] = rank[known:]
-            key = rank << 32 | follow
-            order = np.argsort(key)
-            key = key[order]
-            new = np.ones(len(key), np.int64)
-            new[1:] = key[1:] != key[:-1]
-            rank[order] = np.cumsum(new)
-            known *= 2
-        lms = lms[order]
-    return induce(t, s, lms)
-
-
-def repeated(pieces: list[bytes], length: int) -> list[np.ndarray]:
+def repeated(pieces: list[bytes], length: int, memory: int = QUEUE_BYTES) -> list[np.ndarray]:
     """For each piece, which of its strings of ``length`` bytes (by start) also start elsewhere in the shard."""
     size = np.array([len(p) for p in pieces], np.int64)
     raw = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
     start = np.cumsum(size + 1) - size - 1
     t = raw + np.uint8(1)  # UTF-8 has no byte above 0xF4
     t[start + size] = 0
-    order = suffix_order(t, length)
-    whole = np.zeros(len(t), np.int32)  # bytes from here to the piece's end
-    whole[:] = np.repeat(start + size, size + 1) - np.arange(len(t))
-    order = order[whole[order] >= length]
-    hit = np.zeros(len(t), bool)
-    if len(order) > 1:
-        h = tb.span_hash(tb.prefix(t), order, order + length)
-        same = h[1:] == h[:-1]  # neighbours whose common prefix reaches the length
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
+    hit, _ = repeated_suffixes(t, length, memory)
     return [hit[a : a + max(0, n - length + 1)] for a, n in zip(start.tolist(), size.tolist(), strict=True)]

@@ -2,25 +2,28 @@
 
 Method.  Equal strings ("windows") have equal anchors (``anchors``), so a text
 is cut into blocks of windows with one anchor and the corpus into shards by
-anchor: no repeat spans two shards.  A block is named by its anchor and the hash
-of its content.  Three cases are settled by partially aggregated groups:
+anchor: no repeat spans two shards.  A block's content is named by a 128-bit
+cryptographic digest of its bytes.  Three cases are settled by partially
+aggregated groups:
 
 * an anchor that stands in one place of one text: nothing there repeats;
 * a content that stands in two places: all its windows repeat;
 * an anchor with several contents: one copy of each content goes to the anchor's
-  shard, where induced sorting (``induced``) orders all suffixes and neighbours
-  that share ``length`` bytes repeat.
+  shard, where external induced sorting (``induced``) orders all suffixes with
+  their common prefixes; windows whose prefix reaches ``length`` repeat.
 
 A shard's contents are sorted in pieces of about ``SHARD_BYTES`` that keep an
-anchor whole; queues beyond their memory spill to disk.  An anchor with more
-than ``ANCHOR_CONTENTS`` contents (an edge of a passage that a large part of the
-corpus shares) is not gathered: its windows are compared by 64-bit hashes in
-partially aggregated groups, which decides the same question exactly up to hash
-collisions.  Equal texts are one text until the end, where all windows of a text
-with a copy repeat.
-
-Positions come back as spans per content, meet the texts by row number, and a
-byte is removed when a repeated window covers it.
+anchor whole; its queues spill to disk beyond ``QUEUE_BYTES``.  The contents of
+an anchor with more than ``SPLIT_CONTENTS`` of them (an edge of a passage that a
+large part of the corpus shares) are dealt into finer shards first: blocks of
+``SPLIT_WINDOWS`` windows at equal distances from the anchor, keyed by the bytes
+that all windows of such a block have.  They meet by content once more, and the
+rest goes through the same sort.  Equal texts are one text until the end, where
+all windows of a text with a copy repeat.
+
+Rows are numbered once, in a stored table.  Positions come back as spans per
+content, meet the texts by row number, and a byte is removed when a repeated
+window covers it.
 
 Defined cases: null and empty texts, and texts shorter than ``length``, lose
 nothing; null and repeated doc_ids keep their rows; repeated rows are copies;
@@ -36,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,50 +49,107 @@ from . import textbytes as tb
 
 LENGTH = 200
 SHARD_BYTES = 3 << 20
-ANCHOR_CONTENTS = 20_000
+QUEUE_BYTES = induced.QUEUE_BYTES
+SPLIT_CONTENTS = 20_000
+SPLIT_WINDOWS = 8
+#: What names a content.
+CONTENT = ["anchor", "c1", "c2"]
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("rid", F.monotonically_increasing_id())
+    return common.saved(docs.withColumn("rid", F.monotonically_increasing_id()))
+
+
+def _digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> list[pa.Array]:
+    """128 bits of each span, as two columns."""
+    view = memoryview(raw)
+    both = b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    pair = np.frombuffer(both, np.int64).reshape(-1, 2)
+    return [pa.array(pair[:, 0]), pa.array(pair[:, 1])]
+
+
+def _places(length: int):
+    """anchor and a mark of the place, for every block and every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rid = batch.column("rid").to_numpy()
+            for a, b, buf, off in tb.chunks(batch.column("text")):
+                key = tb.span_hash(tb.prefix(buf), off[:-1], off[1:])
+                got = anchors.blocks(buf, off, length)
+                # the blocks of a text's copies are at one place
+                occ = tb.mix(key[got["text"]] + tb.mix(got["lo"].astype(np.uint64))).view(np.int64)
+                long_ = np.flatnonzero(np.diff(off) >= length)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([got["anchor"], key[long_].view(np.int64)])), pa.array(np.concatenate([occ, rid[a:b][long_]]))], names=["anchor", "occ"])
+
+    return run
 
 
 def _blocks(length: int):
+    """The blocks of each text, and the text itself as a block of no windows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = batch.column("rid").to_numpy()
             for a, b, buf, off in tb.chunks(batch.column("text")):
-                p = tb.prefix(buf)
-                key = tb.span_hash(p, off[:-1], off[1:])
-                second = tb.span_hash(p, off[:-1], (off[:-1] + off[1:]) // 2)  # of the first half
+                key = tb.span_hash(tb.prefix(buf), off[:-1], off[1:])
                 got = anchors.blocks(buf, off, length)
                 occ = tb.mix(key[got["text"]] + tb.mix(got["lo"].astype(np.uint64))).view(np.int64)
-                long_ = np.flatnonzero(np.diff(off) >= length)  # the text itself, as a block of no windows
-                cat = lambda x, y, kind=np.int64: np.concatenate([x, y]).astype(kind)
+                long_ = np.flatnonzero(np.diff(off) >= length)
+                cat = lambda x, y, kind=np.int64: pa.array(np.concatenate([x, y]).astype(kind))
+                none = np.zeros(len(long_))
+                start = np.concatenate([got["start"], off[long_]])
+                end = np.concatenate([got["start"] + got["n"] + length - 1, off[long_ + 1]])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(cat(rid[a:b][got["text"]], rid[a:b][long_])),
-                        pa.array(cat(got["lo"], np.full(len(long_), -1), np.int32)),
-                        pa.array(cat(got["n"], np.zeros(len(long_)), np.int32)),
-                        pa.array(cat(got["anchor"], key[long_].view(np.int64))),
-                        pa.array(cat(got["content"], second[long_].view(np.int64))),
-                        pa.array(cat(occ, rid[a:b][long_])),
+                        cat(rid[a:b][got["text"]], rid[a:b][long_]),
+                        cat(got["lo"], none - 1, np.int32),
+                        cat(got["n"], none, np.int32),
+                        cat(got["reach"], none, np.int32),
+                        cat(got["anchor"], key[long_].view(np.int64)),
+                        *_digests(buf.tobytes(), start, end),
+                        cat(occ, rid[a:b][long_]),
                     ],
-                    names=["rid", "lo", "n", "anchor", "content", "occ"],
+                    names=["rid", "lo", "n", "reach", *CONTENT, "occ"],
                 )
 
     return run
 
 
 def _contents(length: int):
+    """The bytes of each wanted content."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
+            out: list[list] = [[] for _ in range(5)]
             for text, wants in zip(batch.column("text").to_pylist(), batch.column("wants").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 for w in wants:
-                    for into, v in zip(out, (w["anchor"], w["content"], raw[w["lo"] : w["lo"] + w["n"] + length - 1]), strict=True):
+                    for into, v in zip(out, (w["anchor"], w["c1"], w["c2"], w["reach"], raw[w["lo"] : w["lo"] + w["n"] + length - 1]), strict=True):
                         into.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["anchor", "content", "bytes"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], names=[*CONTENT, "reach", "bytes"])
+
+    return run
+
+
+def _finer(length: int, windows: int):
+    """Contents cut into blocks of at most ``windows`` windows at equal distances from the anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(7)]
+            for anchor, c1, c2, reach, raw in zip(*(batch.column(c).to_pylist() for c in (*CONTENT, "reach", "bytes")), strict=True):
+                n, at = len(raw) - length + 1, 0
+                while at < n:  # window i begins reach - i bytes before the anchor
+                    group = (reach - at) // windows
+                    upto = min(n, reach - group * windows + 1)
+                    last = reach - group * windows  # the group's last window; it may lie beyond the content
+                    shared = raw[max(last, 0) : last - windows + 1 + length]
+                    shard = xxhash.xxh64_intdigest(shared, anchor & 0xFFFFFFFF ^ group) & 0x7FFFFFFFFFFFFFFF
+                    for into, v in zip(out, (anchor, c1, c2, at, upto - at, shard, raw[at : upto + length - 1]), strict=True):
+                        into.append(v)
+                    at = upto
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.int64()), pa.array(out[6], pa.binary())], names=[*CONTENT, "at", "n", "shard", "bytes"])
 
     return run
 
@@ -102,21 +163,21 @@ def spans_of(flags: np.ndarray) -> list[dict[str, int]]:
 SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def _shard(length: int, most: int):
-    def settle(keys: list[tuple[int, int]], pieces: list[bytes]) -> pa.RecordBatch:
-        hits = [(k, s) for k, r in zip(keys, induced.repeated(pieces, length), strict=True) if (s := spans_of(r))]
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in hits], pa.int64()), pa.array([k[1] for k, _ in hits], pa.int64()), pa.array([s for _, s in hits], SPANS)], names=["anchor", "content", "spans"])
+def _shard(length: int, most: int, memory: int):
+    def settle(keys: list[tuple[int, int, int]], pieces: list[bytes]) -> pa.RecordBatch:
+        hits = [(k, s) for k, r in zip(keys, induced.repeated(pieces, length, memory), strict=True) if (s := spans_of(r))]
+        return pa.RecordBatch.from_arrays([*[pa.array([k[i] for k, _ in hits], pa.int64()) for i in range(3)], pa.array([s for _, s in hits], SPANS)], names=[*CONTENT, "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[tuple[int, int]] = []
+        keys: list[tuple[int, int, int]] = []
         pieces: list[bytes] = []
         held = 0
         for batch in batches:
-            for a, c, raw in zip(*(batch.column(x).to_pylist() for x in ("anchor", "content", "bytes")), strict=True):
-                if held >= most and a != keys[-1][0]:
+            for *key, raw in zip(*(batch.column(x).to_pylist() for x in (*CONTENT, "bytes")), strict=True):
+                if held >= most and key[0] != keys[-1][0]:
                     yield settle(keys, pieces)
                     keys, pieces, held = [], [], 0
-                keys.append((a, c))
+                keys.append(tuple(key))
                 pieces.append(raw)
                 held += len(raw)
         if keys:
@@ -125,61 +186,68 @@ def _shard(length: int, most: int):
     return run
 
 
-def _window_hashes(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, buf, off in tb.chunks(batch.column("bytes")):
-                p = tb.prefix(buf)
-                n = np.maximum(0, np.diff(off) - length + 1)
-                row = np.repeat(np.arange(b - a), n)
-                j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                start = off[row] + j
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column("anchor").slice(a, b - a).take(take), batch.column("content").slice(a, b - a).take(take), pa.array(j.astype(np.int32)), pa.array(tb.span_hash(p, start, start + length).view(np.int64))], names=["anchor", "content", "j", "w"])
+FOUND = "anchor long, c1 long, c2 long, spans array<struct<a:int,b:int>>"
 
-    return run
 
+def _sorted(contents: DataFrame, length: int, shard_bytes: int, memory: int) -> DataFrame:
+    """Spans of the contents (anchor, c1, c2, bytes) that meet in their anchor's shard."""
+    dealt = contents.select(*CONTENT, "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    return dealt.mapInArrow(_shard(length, shard_bytes, memory), FOUND)
 
-def _by_hash(contents: DataFrame, length: int) -> DataFrame:
-    """Spans of the contents of anchors too frequent for one task."""
-    w = contents.mapInArrow(_window_hashes(length), "anchor long, content long, j int, w long")
-    twice = w.groupBy("anchor", "w").agg(F.min("content").alias("x"), F.max("content").alias("y")).where("x <> y").select("anchor", "w")
-    hit = w.join(twice, ["anchor", "w"], "left_semi")
-    each = F.transform("js", lambda j: F.struct(j.alias("a"), (j + 1).alias("b")))
-    return hit.groupBy("anchor", "content").agg(F.collect_list("j").alias("js")).select("anchor", "content", each.alias("spans"))
 
+def _split(contents: DataFrame, length: int, shard_bytes: int, memory: int, windows: int) -> DataFrame:
+    """Spans of the contents of too frequent anchors, by way of finer shards."""
+    finer = contents.mapInArrow(_finer(length, windows), "anchor long, c1 long, c2 long, at int, n int, shard long, bytes binary")
+    d = F.sha2("bytes", 256)
+    half = lambda i: F.conv(F.substring(d, i, 15), 16, 10).cast("long")
+    finer = common.saved(finer.select(*CONTENT, "at", "n", "shard", half(1).alias("d1"), half(16).alias("d2"), "bytes"))
+    named = finer.groupBy("shard", "d1", "d2").agg(F.count(F.lit(1)).alias("times"), F.first("bytes").alias("bytes"))
+    named = common.saved(named)
+    several = named.groupBy("shard").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("shard")
+    alone = named.where("times = 1").join(several, "shard", "left_semi")
+    meets = named.join(several, "shard", "left_semi").select(F.col("shard").alias("anchor"), F.col("d1").alias("c1"), F.col("d2").alias("c2"), "bytes")
+    told = _sorted(meets, length, shard_bytes, memory).select(F.col("anchor").alias("shard"), F.col("c1").alias("d1"), F.col("c2").alias("d2"), "spans")
+    told = alone.select("shard", "d1", "d2").join(told, ["shard", "d1", "d2"])
+    whole = named.where("times > 1").select("shard", "d1", "d2", F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"))
+    told = common.saved(told.unionByName(whole))
+    every = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
+    hit = finer.select(*CONTENT, "at", "n", "shard", "d1", "d2").join(told, ["shard", "d1", "d2"]).withColumn("spans", F.coalesce("spans", every))
+    hit = hit.withColumn("spans", F.transform("spans", lambda x: F.struct((x["a"] + F.col("at")).alias("a"), (x["b"] + F.col("at")).alias("b"))))
+    return hit.groupBy(*CONTENT).agg(F.flatten(F.collect_list("spans")).alias("spans"))  # the blocks of one content
 
-def marks(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, anchor_contents: int = ANCHOR_CONTENTS) -> DataFrame:
+
+def marks(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, split_contents: int = SPLIT_CONTENTS, queue_bytes: int = QUEUE_BYTES, split_windows: int = SPLIT_WINDOWS) -> DataFrame:
     """rid and ``found``: array of (lo, spans) blocks with repeated windows; lo -1: the whole text repeats.
 
-    ``docs`` has rid and text.
+    ``docs`` is a stored table with rid and text.
     """
     common.workers_import(docs.sparkSession)
-    blocks = docs.select("rid", "text").mapInArrow(_blocks(length), "rid long, lo int, n int, anchor long, content long, occ long")
-    seen = blocks.groupBy("anchor").agg(F.min("occ").alias("x"), F.max("occ").alias("y")).where("x <> y").select("anchor")
-    seen = common.saved(seen, tidy=True)  # as a table of its own, so that the join below can split a frequent anchor
-    cands = common.saved(blocks.join(seen, "anchor"), tidy=True)
-    named = cands.groupBy("anchor", "content").agg(F.min("occ").alias("x"), F.max("occ").alias("y"), F.min(F.struct("rid", "lo", "n")).alias("one"))
-    named = common.saved(named.select("anchor", "content", (F.col("x") != F.col("y")).alias("whole"), "one"), tidy=True)
+    texts = docs.select("rid", "text")
+    seen = texts.mapInArrow(_places(length), "anchor long, occ long")
+    seen = seen.groupBy("anchor").agg(F.min("occ").alias("x"), F.max("occ").alias("y")).where("x <> y").select("anchor")
+    seen = common.saved(seen)  # as a table of its own, so that the join below can split a frequent anchor
+    blocks = texts.mapInArrow(_blocks(length), "rid long, lo int, n int, reach int, anchor long, c1 long, c2 long, occ long")
+    cands = common.saved(blocks.join(seen, "anchor"))
+    named = cands.groupBy(*CONTENT).agg(F.min("occ").alias("x"), F.max("occ").alias("y"), F.min(F.struct("rid", "lo", "n", "reach")).alias("one"))
+    named = common.saved(named.select(*CONTENT, (F.col("x") != F.col("y")).alias("whole"), "one"))
     several = named.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
-    wants = named.join(several, "anchor").select(F.col("one.rid").alias("rid"), F.struct("anchor", "content", F.col("one.lo").alias("lo"), F.col("one.n").alias("n"), (F.col("contents") > anchor_contents).alias("hot")).alias("w"))
+    wants = named.join(several, "anchor").select(F.col("one.rid").alias("rid"), F.struct(*CONTENT, "one.lo", "one.n", "one.reach", (F.col("contents") > split_contents).alias("hot")).alias("w"))
     wants = wants.where("w.lo >= 0").groupBy("rid").agg(F.collect_list("w").alias("wants"))  # blocks of one text
-    # the few contents of too frequent anchors are told apart after the texts are read once
-    contents = docs.select("rid", "text").join(wants, "rid")
-    cold = contents.withColumn("wants", F.filter("wants", lambda w: ~w.hot)).where(F.size("wants") > 0)
-    cold = cold.select("text", "wants").mapInArrow(_contents(length), "anchor long, content long, bytes binary").repartition("anchor").sortWithinPartitions("anchor")
-    spans = "array<struct<a:int,b:int>>"
-    found = cold.mapInArrow(_shard(length, shard_bytes), f"anchor long, content long, spans {spans}")
-    if several.where(F.col("contents") > anchor_contents).limit(1).count():
-        hot = contents.withColumn("wants", F.filter("wants", lambda w: w.hot)).where(F.size("wants") > 0)
-        hot = hot.select("text", "wants").mapInArrow(_contents(length), "anchor long, content long, bytes binary")
-        found = found.unionByName(_by_hash(hot, length))
-    found = common.saved(found, tidy=True)
-    told = named.join(found, ["anchor", "content"], "left")
+    contents = texts.join(wants, "rid")
+
+    def fetched(hot: bool) -> DataFrame:
+        part = contents.withColumn("wants", F.filter("wants", lambda w: w.hot == F.lit(hot))).where(F.size("wants") > 0)
+        return part.select("text", "wants").mapInArrow(_contents(length), "anchor long, c1 long, c2 long, reach int, bytes binary")
+
+    found = _sorted(fetched(False), length, shard_bytes, queue_bytes)
+    if several.where(F.col("contents") > split_contents).limit(1).count():
+        found = found.unionByName(_split(fetched(True), length, shard_bytes, queue_bytes, split_windows))
+    found = common.saved(found)
+    told = named.join(found, CONTENT, "left")
     every = F.array(F.struct(F.lit(0).alias("a"), F.col("one.n").alias("b")))
-    told = told.select("anchor", "content", F.when(F.col("whole"), every).otherwise(F.col("spans")).cast(spans).alias("spans")).where("spans is not null")
-    told = common.saved(told, tidy=True)
-    hit = cands.select("anchor", "content", "rid", "lo").join(told, ["anchor", "content"])
+    told = told.select(*CONTENT, F.when(F.col("whole"), every).otherwise(F.col("spans")).cast("array<struct<a:int,b:int>>").alias("spans")).where("spans is not null")
+    told = common.saved(told)
+    hit = cands.select(*CONTENT, "rid", "lo").join(told, CONTENT)
     return hit.groupBy("rid").agg(F.collect_list(F.struct("lo", "spans")).alias("found"))
 
 

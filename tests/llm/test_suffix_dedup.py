@@ -48,9 +48,9 @@ def test_documents_match_brute_force(spark, small_dir):
     assert any(k[2] for k in want)
 
 
-@pytest.mark.parametrize("parameters", [{}, {"anchor_contents": 2}, {"shard_bytes": 200}])
+@pytest.mark.parametrize("parameters", [{}, {"split_contents": 2}, {"split_contents": 1, "split_windows": 3}, {"shard_bytes": 200}, {"queue_bytes": 64}])
 def test_shared_passages(spark, parameters):
-    """Passages inside other texts, overlaps, repeats inside one text, periodic texts; by shards and by hashes."""
+    """Passages inside other texts, overlaps, repeats inside one text, periodic texts; also with split anchors, small shards and queues on disk."""
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("abcdeé", k=rng.randint(1, 7)))
     passage = [" ".join(word() for _ in range(30)) for _ in range(4)]
@@ -79,28 +79,44 @@ def test_empty_table_and_rows_kept(spark):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.binary(min_size=0, max_size=60).map(lambda b: bytes(97 + x % 3 for x in b)), min_size=1, max_size=8), st.integers(2, 9))
-def test_induced_sorting_finds_repeats(pieces, length):
+@given(st.lists(st.binary(min_size=0, max_size=60).map(lambda b: bytes(97 + x % 3 for x in b)), min_size=1, max_size=8), st.integers(2, 9), st.sampled_from([1 << 20, 16]))
+def test_induced_sorting_finds_repeats(pieces, length, memory):
     seen = Counter(p[i : i + length] for p in pieces for i in range(len(p) - length + 1))
     want = [[seen[p[i : i + length]] > 1 for i in range(max(0, len(p) - length + 1))] for p in pieces]
-    assert [list(map(bool, x)) for x in induced.repeated(pieces, length)] == want
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.binary(min_size=1, max_size=200).map(lambda b: bytes(1 + x % 4 for x in b)))
-def test_suffix_order_is_sorted(raw):
-    t = np.frombuffer(raw + b"\0", np.uint8)
-    order = induced.suffix_order(t, len(t))
-    suffixes = [bytes(t[i:]) for i in order]
-    assert sorted(order.tolist()) == list(range(len(t)))
-    assert suffixes == sorted(suffixes)
-
-
-def test_queues_spill_to_disk():
-    q = induced.Queues(limit=64)
-    runs = [np.arange(i, i + 20, dtype=np.int32) for i in range(0, 200, 20)]
-    for r in runs:
-        q.add(7, r)
-    assert q.file is not None
-    assert (q.all(7) == np.arange(200)).all()
-    q.close()
+    assert [list(map(bool, x)) for x in induced.repeated(pieces, length, memory)] == want
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=120), st.sampled_from([1 << 20, 16]))
+def test_names_are_sorted_recursively(names, memory):
+    order = induced.sorted_suffixes(np.array(names, np.int32), memory)
+    assert order.tolist() == sorted(range(len(names)), key=lambda i: names[i:])
+
+
+def test_many_names_in_batches():
+    names = np.random.default_rng(3).integers(0, 4000, 30_000).astype(np.int32)
+    names[9000:15_000] = names[:6000]
+    order = induced.sorted_suffixes(names, 1 << 12)
+    assert order.tolist() == sorted(range(len(names)), key=lambda i: names[i : i + 7000].tolist())
+
+
+def test_common_prefixes():
+    t = np.frombuffer(b"abcabcabd" * 5 + b"\0" * 8, np.uint8)
+    raw = t.tobytes()
+    a, b = (x.reshape(-1) for x in np.meshgrid(np.arange(45), np.arange(45)))
+    plain = lambda x, y: next(k for k in range(45) if k == 20 or raw[x + k : x + k + 1] != raw[y + k : y + k + 1])
+    keep = (a != b) & (np.maximum(a, b) < 25)
+    assert induced.common(t, a[keep], b[keep], 20).tolist() == [plain(x, y) for x, y in zip(a[keep], b[keep], strict=True)]
+
+
+def test_a_shard_far_larger_than_its_memory_spills():
+    rng = random.Random(5)
+    passage = bytes(rng.choices(b"abcd ", k=500))
+    pieces = [bytes(rng.choices(b"abcd ", k=2000)) + passage[rng.randrange(300) :] + bytes(rng.choices(b"abcd ", k=200)) for _ in range(100)]
+    raw = b"\0".join(pieces) + b"\0"
+    t = np.frombuffer(raw, np.uint8)
+    hit, spilled = induced.repeated_suffixes(t, 60, 4096)
+    assert spilled > 4 * len(t)
+    seen = Counter(p[i : i + 60] for p in pieces for i in range(len(p) - 59))
+    assert hit.sum() == sum(n for n in seen.values() if n > 1)
+    assert all(seen[raw[i : i + 60]] > 1 for i in np.flatnonzero(hit).tolist())
