@@ -5,30 +5,37 @@ words; a text of one to four words is one shingle).  Equal sets collapse first,
 by a partially aggregated group on a 128-bit key of the set, so thousands of
 copies are one node afterwards.  Each node gets ``TREES`` label sequences of
 ``DEPTH`` MinHash values.  A tree is the trie of its sorted sequences; two nodes
-meet in it when they share a prefix.  Starting from whole sequences the prefix
-is shortened until the probability that a pair at the threshold meets in some
-tree reaches ``RECALL``; every longer match is also a match of that prefix.
-Nodes that share such a prefix are connected through the smallest node of the
-prefix, one row per node and tree, and never pair by pair.  The components of
-that graph hold every candidate pair.
-
-Verification is exact: texts of one component meet in tasks of about
-``2 * BLOCK`` nodes (a larger component is cut into blocks and every pair of
-blocks is one task), shingle sets are intersected as numbers, and the task
+meet in it when they share a prefix.
+
+Matched prefixes start at ``DEPTH`` and are shortened until a pair at the
+threshold meets in some tree with probability ``RECALL``: 1 - prod(1 -
+threshold ** depth).  ``base_depth`` is the common depth at which all trees
+together reach it.  A node whose prefixes of that depth are shared by at most
+``CROWD`` nodes shortens all trees to it.  A node in a more crowded prefix
+shortens one tree after the other, that with the fewest nodes under its next
+prefix first, and stops as soon as the recall is reached, so its most crowded
+trees keep longer prefixes.  The bound holds for every node by itself, whatever
+its partner has chosen.
+
+Verification is exact.  Nodes are dealt into blocks of ``BLOCK`` neighbours in the
+sorted order of the first tree.  Two blocks that share a prefix meet in one task,
+with those nodes only that share one (all of a block's nodes under a crowded
+prefix), so a pair is compared once however many trees it shares, and a crowded
+prefix is split over tasks.  Shingle sets are intersected as numbers, and a task
 gives back per node its count of links and one edge towards the smallest linked
-node, never the pairs.  A second run of components over those edges gives the
-classes.
+node, never the pairs.  Components over those edges give the classes.
 
 Links: two documents whose shingle sets have a Jaccard similarity of at least
 ``THRESHOLD``.  ``n_links`` counts a document's links to other documents,
 copies included; ``n_texts`` those to other shingle sets.  ``class_id`` is the
-smallest doc_id reachable over links.
+smallest doc_id reachable over links; members of a class may be less alike than
+the threshold among themselves.
 
 Defined cases: null and empty texts have no shingle and no link and are their
 own class; a null doc_id stays null and, alone in its class, gives a null
 class_id; repeated rows are copies of each other; extra columns are ignored by
-``classes`` and kept by ``one_per_class``.  Tables and scans give the same row
-numbers on every reading, which is what ties the texts to their nodes.
+``classes`` and kept by ``one_per_class``.  Rows are numbered once, in a stored
+table; a text that does not give its node's key again raises an error.
 """
 
 from __future__ import annotations
@@ -49,16 +56,38 @@ THRESHOLD = 0.8
 TREES = 16
 DEPTH = 8
 RECALL = 0.999
+CROWD = 64
 BLOCK = 256
 
 
-def matched_depth(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """Shorten the prefix from ``depth`` until a pair at the threshold is met often enough."""
+def base_depth(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """Shorten all prefixes from ``depth`` until a pair at the threshold is met often enough."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
 
 
+def shortened(under: np.ndarray, base: int, threshold: float = THRESHOLD, recall: float = RECALL) -> np.ndarray:
+    """Depth of each tree for each node; ``under[node, tree, i]`` counts the nodes under its prefix of depth ``base + i``.
+
+    From the longest prefix on, the tree whose next prefix has the fewest nodes
+    is shortened, until the recall is reached or all are at ``base``.
+    """
+    n, trees, levels = under.shape
+    at = np.full((n, trees), levels - 1)
+    miss = np.log1p(-(threshold ** (base + np.arange(levels))))
+    goal = np.log(1 - recall)
+    row = np.arange(n)
+    for _ in range(trees * (levels - 1)):
+        open_ = (miss[at].sum(1) > goal) & (at > 0).any(1)
+        if not open_.any():
+            break
+        ahead = np.where(at > 0, np.take_along_axis(under, np.maximum(at - 1, 0)[:, :, None], 2)[:, :, 0], np.iinfo(np.int64).max)
+        tree = ahead.argmin(1)
+        at[row[open_], tree[open_]] -= 1
+    return at + base
+
+
 def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of a chunk's texts: (text number, hash)."""
     h, _, _, text = tb.word_hashes(buf, off)
@@ -94,7 +123,7 @@ def set_keys(owner: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return out[0], out[1], np.diff(at)
 
 
-def _features(trees: int, depth: int, k: int):
+def _features(trees: int, depth: int, base: int, k: int):
     rng = np.random.default_rng(8191)
     mult = rng.integers(1, 1 << 63, trees * depth, dtype=np.uint64) | np.uint64(1)
     add = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
@@ -107,15 +136,38 @@ def _features(trees: int, depth: int, k: int):
                 k1, k2, size = set_keys(owner, h, n)
                 full = np.flatnonzero(size)
                 first = np.searchsorted(owner, full)
-                labels = np.zeros((trees, n), np.uint64)
+                labels = np.zeros((n, trees), np.uint64)
+                deeper = np.zeros((n, trees, depth - base), np.uint32)
                 for t in range(trees if len(full) else 0):
                     x = np.zeros(len(full), np.uint64)
-                    for d in range(t * depth, (t + 1) * depth):
-                        x = tb.mix(x + np.minimum.reduceat((h * mult[d] + add[d]) >> np.uint64(16), first))
-                    labels[t, full] = x
-                flat = pa.array(np.ascontiguousarray(labels.T).reshape(-1).view(np.int64))
-                label = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * trees), flat)
-                yield pa.RecordBatch.from_arrays([batch.column("rid").slice(a, n), batch.column("doc_id").slice(a, n), pa.array(k1), pa.array(k2), pa.array(size.astype(np.int64)), label], names=["rid", "doc_id", "k1", "k2", "size", "labels"])
+                    for d in range(depth):
+                        i = t * depth + d
+                        value = np.minimum.reduceat((h * mult[i] + add[i]) >> np.uint64(16), first)
+                        if d < base:
+                            x = tb.mix(x + value)
+                        else:
+                            deeper[full, t, d - base] = tb.mix(value).astype(np.uint32)
+                    labels[full, t] = x
+                lists = lambda m, kind: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (m.size // n)), pa.array(m.reshape(-1).view(kind)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("rid").slice(a, n), batch.column("doc_id").slice(a, n), pa.array(k1), pa.array(k2), pa.array(size.astype(np.int64)), lists(labels, np.int64), lists(deeper, np.int32)],
+                    names=["rid", "doc_id", "k1", "k2", "size", "labels", "deeper"],
+                )
+
+    return run
+
+
+def _depths(trees: int, depth: int, base: int, threshold: float, recall: float):
+    """The (tree, prefix) keys that each node of a crowded prefix asks for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, levels = batch.num_rows, depth - base + 1
+            keys = np.array(batch.column("keys").flatten(), np.int64).reshape(n, trees, levels)
+            under = np.array(batch.column("under").flatten(), np.int64).reshape(n, trees, levels)
+            at = shortened(under, base, threshold, recall) - base
+            chosen = np.take_along_axis(keys, at[:, :, None], 2)[:, :, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(chosen))], names=["key"])
 
     return run
 
@@ -166,12 +218,9 @@ def links_within(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, th
 
 def _verify(threshold: float, k: int):
     def group(key: tuple, nodes: list, copies: list, blocks: list, sets: list) -> pa.RecordBatch | None:
-        seen: dict[int, int] = {}
-        keep = [seen.setdefault(n, i) == i for i, n in enumerate(nodes)]
-        nodes, copies, blocks, sets = ([v for v, ok in zip(x, keep, strict=True) if ok] for x in (nodes, copies, blocks, sets))
         block = np.array(blocks)
-        left = np.flatnonzero(block == key[1])
-        right = left if key[1] == key[2] else np.flatnonzero(block == key[2])
+        left = np.flatnonzero(block == key[0])
+        right = left if key[0] == key[1] else np.flatnonzero(block == key[1])
         if not len(left) or not len(right):
             return None
         texts, docs, root = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64), list(range(len(nodes)))
@@ -201,8 +250,8 @@ def _verify(threshold: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, ([], [], [], [])
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j")), strict=True))
-            node, k2, copies, block = (batch.column(c).to_pylist() for c in ("node", "k2", "copies", "block"))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("i", "j")), strict=True))
+            node, k1, k2, copies, block = (batch.column(c).to_pylist() for c in ("node", "k1", "k2", "copies", "block"))
             for a, b, buf, off in tb.chunks(batch.column("text")):
                 owner, h = shingle_sets(buf, off, k)
                 k1s, k2s, _ = set_keys(owner, h, b - a)
@@ -212,71 +261,88 @@ def _verify(threshold: float, k: int):
                         if key is not None and (out := group(key, *rows)) is not None:
                             yield out
                         key, rows = keys[a + r], ([], [], [], [])
-                    if (k1s[r], k2s[r]) == (node[a + r], k2[a + r]):
-                        for into, value in zip(rows, (node[a + r], copies[a + r], block[a + r], h[at[r] : at[r + 1]].copy()), strict=True):
-                            into.append(value)
+                    if (k1s[r], k2s[r]) != (k1[a + r], k2[a + r]):
+                        raise ValueError(f"row {node[a + r]} is not the text its keys were taken from")
+                    for into, value in zip(rows, (node[a + r], copies[a + r], block[a + r], h[at[r] : at[r + 1]].copy()), strict=True):
+                        into.append(value)
         if key is not None and (out := group(key, *rows)) is not None:
             yield out
 
     return run
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("rid", F.monotonically_increasing_id())
-
-
-def labelled(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """rid, doc_id, class_node, class_id, n_links, n_texts of each row of ``docs``."""
+def candidates(nodes: DataFrame, trees: int, depth: int, base: int, threshold: float, recall: float, crowd: int) -> DataFrame:
+    """(i, j, node, block): which nodes meet in the task of which two blocks."""
+    member = nodes.select("node", "block", F.posexplode("labels").alias("tree", "label")).select("node", "block", F.xxhash64("tree", "label").alias("key"))
+    shared = common.saved(member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    member = common.saved(member.join(shared, "key"))  # tables of their own, so that joins can split a frequent prefix
+    pair = lambda x, y: F.struct(F.least(x, y).alias("i"), F.greatest(x, y).alias("j"))
+    few = member.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list(F.struct("node", "block")).alias("m"), F.collect_set("block").alias("blocks"))
+    few = few.select(F.explode("m").alias("m"), "blocks").select("m.node", "m.block", F.explode("blocks").alias("other"))
+    fine = few.select(pair(F.col("block"), F.col("other")).alias("p"), "node", "block").select("p.i", "p.j", "node", "block").distinct()
+    crowded = common.saved(member.where(F.col("n") > crowd).select("node").distinct().join(nodes, "node").select("node", "block", "labels", "deeper"))
+    # keys of the prefixes of all depths, and how many nodes are under each
+    levels = depth - base
+    step = lambda t, l: F.when(F.lit(l) == 0, F.xxhash64(t, F.get("labels", t))).otherwise(F.xxhash64(F.lit(l), t, F.get("labels", t), F.slice("deeper", t * levels + 1, F.lit(max(1, l)))))
+    keyed = crowded.select("node", "block", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.array(*[step(t, l) for l in range(levels + 1)]))).alias("keys"))
+    every = common.saved(keyed.select("node", "block", F.posexplode("keys").alias("at", "key")))
+    under = common.saved(every.groupBy("key").agg(F.count(F.lit(1)).alias("under")))
+    asked = every.join(under, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "key", "under"))).alias("k"))  # one entry per tree and depth
+    asked = asked.select(F.col("k.key").alias("keys"), F.col("k.under").alias("under")).mapInArrow(_depths(trees, depth, base, threshold, recall), "key long").distinct()
+    groups = every.join(asked, "key").groupBy("key").agg(F.collect_set("block").alias("blocks")).where(F.size("blocks") > 0).select("blocks").distinct()
+    two = groups.select(F.explode("blocks").alias("x"), "blocks").select("x", F.explode("blocks").alias("y")).where("x <= y").distinct()
+    two = common.saved(two.select(F.col("x").alias("i"), F.col("y").alias("j")))
+    sides = two.withColumn("block", F.col("i")).unionByName(two.where("i < j").withColumn("block", F.col("j")))
+    coarse = sides.join(crowded.select("node", "block"), "block").select("i", "j", "node", "block")
+    return fine.unionByName(coarse).distinct()
+
+
+def labelled(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
+    """rid, doc_id, class_node, class_id, n_links, n_texts of each row of ``docs``, a stored table with rid, doc_id and text."""
     spark = docs.sparkSession
     common.workers_import(spark)
-    texts = _numbered(common.with_columns(docs, doc_id="long", text="string"))
-    d = matched_depth(trees, depth, threshold, recall)
-    rows = common.saved(texts.mapInArrow(_features(trees, d, shingle), "rid long, doc_id long, k1 long, k2 long, size long, labels array<long>"))
-    nodes = rows.where("size > 0").groupBy("k1", "k2").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min_by("labels", "rid").alias("labels"))
-    nodes = common.saved(nodes.withColumnRenamed("k1", "node"))
-
-    member = nodes.select("node", F.posexplode("labels").alias("tree", "label"))
-    hubs = member.groupBy("tree", "label").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    hubs = common.settled(hubs)  # a table of its own, so that the join can split a frequent label
-    roots = common.settled(components(member.join(hubs, ["tree", "label"]).where("node <> hub"), "node", "hub"))
-
-    sizes = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    cands = nodes.join(roots, "node").join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    meet = cands.select("rid", "node", "k2", "copies", "root", "block", "blocks").join(texts.select("rid", "text"), "rid")
-    meet = meet.select("root", "node", "k2", "copies", "block", "text", F.explode(pairs).alias("p")).select("root", "p.i", "p.j", "node", "k2", "copies", "block", "text")
-    meet = meet.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+    base = base_depth(trees, depth, threshold, recall)
+    rows = common.saved(docs.select("rid", "doc_id", "text").mapInArrow(_features(trees, depth, base, shingle), "rid long, doc_id long, k1 long, k2 long, size long, labels array<long>, deeper array<int>"))
+    nodes = rows.where("size > 0").groupBy("k1", "k2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min_by(F.struct("labels", "deeper"), "rid").alias("s"))
+    nodes = nodes.select("k1", "k2", "node", "doc_id", "copies", "s.labels", "s.deeper")
+    # in the order of the first tree, in blocks of neighbours; the partition number is in the upper bits
+    order = [F.get("labels", 0), F.slice("deeper", 1, max(1, depth - base)), "node"]
+    nodes = nodes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    nodes = common.saved(nodes.withColumn("block", F.shiftright("place", 33) * (1 << 33) + F.floor(F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) / block)).drop("place"))
+
+    meet = common.saved(candidates(nodes, trees, depth, base, threshold, recall, crowd))
+    wanted = meet.select("node").distinct().join(nodes.select("node", "k1", "k2", "copies"), "node")
+    wanted = common.saved(docs.select(F.col("rid").alias("node"), "text").join(wanted, "node"))
+    meet = meet.join(wanted, "node").select("i", "j", "node", "k1", "k2", "copies", "block", "text")
+    meet = meet.repartition("i", "j").sortWithinPartitions("i", "j", "node")
     found = common.saved(meet.mapInArrow(_verify(threshold, shingle), "node long, hub long, n_texts long, n_docs long"))
 
     classes = components(found.where("node <> hub"), "node", "hub")
     degree = found.groupBy("node").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
-    told = nodes.select("node", "doc_id", "copies").join(classes, "node", "left").join(degree, "node", "left")
-    told = told.select("node", "copies", F.coalesce("root", "node").alias("class_node"), "doc_id", F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+    told = nodes.select("k1", "k2", "node", "doc_id", "copies").join(classes, "node", "left").join(degree, "node", "left")
+    told = told.select("k1", "k2", "node", "copies", F.coalesce("root", "node").alias("class_node"), "doc_id", F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
     least = told.groupBy("class_node").agg(F.min("doc_id").alias("class_id"))
     told = told.drop("doc_id").join(least, "class_node")
-    out = rows.withColumnRenamed("doc_id", "own").join(told, (F.col("k1") == F.col("node")) & (F.col("size") > 0), "left")
-    return out.select(
-        "rid",
-        F.col("own").alias("doc_id"),
-        "class_node",
-        F.when(F.col("node").isNull(), F.col("own")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce(F.col("n_docs") + F.col("copies") - 1, F.lit(0)).alias("n_links"),
-        F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"),
-    )
+    out = rows.where("size > 0").select("rid", F.col("doc_id").alias("own"), "k1", "k2").join(told, ["k1", "k2"])
+    out = out.select("rid", F.col("own").alias("doc_id"), "class_node", "class_id", (F.col("n_docs") + F.col("copies") - 1).alias("n_links"), F.col("n_texts").cast("long").alias("n_texts"))
+    none = rows.where("size = 0").select("rid", "doc_id", F.lit(None).cast("long").alias("class_node"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_texts"))
+    return out.unionByName(none)
 
 
 def classes(docs: DataFrame, **parameters) -> DataFrame:
     """doc_id, class_id, n_links, n_texts: one row per row of ``docs``."""
-    return labelled(docs, **parameters).select("doc_id", "class_id", "n_links", "n_texts")
+    d = common.saved(common.with_columns(docs, doc_id="long", text="string").withColumn("rid", F.monotonically_increasing_id()))
+    return labelled(d, **parameters).select("doc_id", "class_id", "n_links", "n_texts")
 
 
 def one_per_class(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with one row of each class: the smallest doc_id, of equal ones the first row.
 
-    Texts without a shingle are kept.
+    A class is a chain of links, so a row may go although it is less alike to
+    the kept one than the threshold.  Texts without a shingle are kept.
     """
-    told = labelled(docs, **parameters)
+    d = common.saved(common.boxed(docs, doc_id="long", text="string").withColumn("rid", F.monotonically_increasing_id()))
+    told = labelled(d, **parameters)
     best = told.where("class_node is not null").groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rid")).alias("b"))
-    keep = best.select(F.col("b.rid").alias("_rid")).unionByName(told.where("class_node is null").select(F.col("rid").alias("_rid")))
-    plain = common.boxed(docs).withColumn("_rid", F.monotonically_increasing_id())
-    return common.unboxed(plain.join(keep, "_rid", "left_semi"), docs.columns)
+    keep = best.select("b.rid").unionByName(told.where("class_node is null").select("rid"))
+    return common.unboxed(d.join(keep, "rid", "left_semi"), docs.columns)
