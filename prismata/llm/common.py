@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import sys
 import tempfile
@@ -56,13 +55,18 @@ def workers_import(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set here only when the session has none."""
+    """The folder all executors share: ``spark.checkpoint.dir`` or the context's checkpoint folder.
+
+    A session that has neither, such as a local one, must set one: a machine's
+    own temporary folder would be lost with its executor.
+    """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="prismata-checkpoints-")
-        sc.setCheckpointDir(folder)
-    elif sc.getCheckpointDir() is None:
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
 
@@ -73,20 +77,27 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def saved(df: DataFrame, tidy: bool = False) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again.
-
-    ``tidy`` lets Spark's cleaner delete the shuffle files of the jobs before.
-    """
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/prismata-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{_run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if tidy:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _run_folder(spark: SparkSession) -> str:
+    """One folder for each application, so that what a run has left can be deleted after it (``forget``)."""
+    return f"prismata-{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete the tables this application has saved; results that were not yet written need them."""
+    path = f"{shared_dir(spark).rstrip('/')}/{_run_folder(spark)}"
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def numbered(df: DataFrame, number: str, **types: str) -> DataFrame:
     """The named columns of a stored table, cast, and ``number``: each row's place in the table, gapless from 0.
 
@@ -136,9 +147,12 @@ def ranked(df: DataFrame, group: str, order: list[str], rank: str, per_bucket: i
     over (group, bucket), give each bucket its first number and a window numbers
     rows inside a bucket only.  ``order`` columns seed the bucket hash and
     settle the order, so equal input gives equal numbers up to identical rows.
+    Rows whose first ``order`` column is null, which may be many, are told apart
+    by all their columns.
     """
     buckets = max(1, -(-df.count() // per_bucket))
-    df = df.withColumn("_h", F.xxhash64(*order)).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)))
+    whole = F.when(F.col(order[0]).isNull(), F.xxhash64(*[c for c in df.columns if c != group]))
+    df = df.withColumn("_h", F.xxhash64(*order, whole)).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)))
     sizes = df.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     first = sizes.select(group, "_b", (F.sum("_n").over(Window.partitionBy(group).orderBy("_b")) - F.col("_n")).alias("_o"))
     inside = F.row_number().over(Window.partitionBy(group, "_b").orderBy("_h", *order)) - 1

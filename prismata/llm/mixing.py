@@ -10,6 +10,13 @@ from its share.  The schedule repeats after Q slots, so one period is laid out
 When a source has no block left, the others share its weight in proportion and
 a new period is laid out; there are at most as many such phases as sources.
 
+Target weights are read as exact decimals and brought to integers without
+rounding while their sum stays within ``MOST_SLOTS``; only weights finer than
+that are rounded to so many shares.  Without given weights a source's target is
+its size to the power ``TEMPER``, in whole shares out of ``SHARES``.  The driver
+holds one size per source and the periods of the phases (sources x period
+numbers at most); it is made for sources in the hundreds.
+
 Documents are numbered inside their source without gathering a source in a
 task (``common.ranked``), in an order seeded by their doc_id's hash.  Nothing is
 dropped or repeated: a source with much more than its share forms the tail.
@@ -23,6 +30,8 @@ table gives no rows; extra columns are ignored by ``schedule`` and kept by
 from __future__ import annotations
 
 import heapq
+import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +40,8 @@ from . import common
 
 BLOCK_DOCS = 16
 SHARES = 1000
+#: The longest period that is laid out for given weights.
+MOST_SLOTS = 100_000
 #: Exponent that turns a source's size into its default weight.
 TEMPER = 0.5
 #: So many entries of the plan (8 bytes each) are broadcast at most; a larger plan is joined by a shuffle.
@@ -39,11 +50,23 @@ BROADCAST_ENTRIES = 1_000_000
 Plan = tuple[str, int, int, int, int, int, int, list[int]]
 
 
-def shares(sizes: dict[str, int], weights: dict[str, float] | None = None, total: int = SHARES) -> dict[str, int]:
-    """Integer weights of about ``total`` together, one at least for each source."""
-    want = {s: float((weights or {}).get(s, 1.0) if weights else n**TEMPER) for s, n in sizes.items()}
-    scale = total / sum(want.values()) if want else 0
-    return {s: max(1, round(w * scale)) for s, w in want.items()}
+def shares(sizes: dict[str, int], weights: dict[str, float] | None = None, most: int = MOST_SLOTS) -> dict[str, int]:
+    """Integer weights in the proportions wanted: exact where their sum stays within ``most``, one at least for each source."""
+    if weights:
+        want = {s: Fraction(str(weights.get(s, 1))) for s in sizes}
+        if any(w <= 0 for w in want.values()):
+            raise ValueError("target weights must be positive")
+        scale = math.lcm(*[w.denominator for w in want.values()])
+        whole = {s: int(w * scale) for s, w in want.items()}
+        common_ = math.gcd(*whole.values())
+        whole = {s: w // common_ for s, w in whole.items()}
+        if sum(whole.values()) <= most:
+            return whole
+        total = sum(want.values())
+        return {s: max(1, round(w * most / total)) for s, w in want.items()}
+    tempered = {s: n**TEMPER for s, n in sizes.items()}
+    scale = SHARES / sum(tempered.values()) if tempered else 0
+    return {s: max(1, round(w * scale)) for s, w in tempered.items()}
 
 
 def period(weights: dict[str, int]) -> dict[str, list[int]]:
@@ -78,7 +101,7 @@ def plan(blocks: dict[str, int], weights: dict[str, int]) -> list[Plan]:
         end = min((n - 1) // w[s] * q + slots[s][(n - 1) % w[s]] + 1 for s, n in left.items())
         for s in sorted(left):
             ran = end // q * w[s] + sum(x < end % q for x in slots[s])
-            out.append((s, phase, done[s], done[s] + ran, slot0, q, w[s], slots[s]))
+            out.append((s, phase, done[s], done[s] + ran, slot0, q, w[s], slots[s][:ran]))
             done[s] += ran
             left[s] -= ran
         left = {s: n for s, n in left.items() if n}
@@ -95,7 +118,7 @@ def _placed(docs: DataFrame, weights: dict[str, float] | None, block_docs: int)
     rows = plan({s: -(-n // block_docs) for s, n in sizes.items()}, shares(sizes, named))
     kind = "_src string, _phase int, _k0 long, _k1 long, _slot0 long, _q long, _w long, _slots array<int>"
     p = spark.createDataFrame(rows, kind) if rows else spark.createDataFrame([], kind)
-    if sum(r[6] for r in rows) <= BROADCAST_ENTRIES:
+    if sum(len(r[7]) for r in rows) <= BROADCAST_ENTRIES:
         p = F.broadcast(p)
     d = common.ranked(d, "_src", ["doc_id"], "_rank").withColumn("_block", F.floor(F.col("_rank") / block_docs))
     d = d.join(p, ["_src"]).where((F.col("_block") >= F.col("_k0")) & (F.col("_block") < F.col("_k1")))

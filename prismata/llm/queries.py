@@ -10,6 +10,10 @@ from . import html_template, jaccard_join, mixing, packing, pu_quality, quality_
 from .common import table
 
 
+#: Target weights of the mixture; every other source weighs 1.
+TARGETS = {"src0": 4}
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
@@ -23,7 +27,7 @@ def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.schedule(table(spark, sf_dir, "documents"))
+    return mixing.schedule(table(spark, sf_dir, "documents"), TARGETS)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

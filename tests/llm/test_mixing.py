@@ -27,6 +27,23 @@ def test_period_keeps_windows_and_deviation(weights):
             assert abs(sum(s < t for s in own) - a * t / q) < 1
 
 
+def test_given_weights_are_exact():
+    sizes = {"a": 10, "b": 20, "c": 30}
+    assert mixing.shares(sizes, {"a": 1, "b": 2}) == {"a": 1, "b": 2, "c": 1}
+    assert mixing.shares(sizes, {"a": 0.2, "b": 0.35, "c": 0.45}) == {"a": 4, "b": 7, "c": 9}
+    rounded = mixing.shares(sizes, {"a": 1 / 3, "b": 0.123456789, "c": 1})
+    assert sum(rounded.values()) <= mixing.MOST_SLOTS + 2
+    # hundreds of thousands of slots on, no source has drifted by a block
+    weights = mixing.shares(sizes, {"a": 1, "b": 2, "c": 4})
+    blocks = {"a": 100_000, "b": 200_000, "c": 400_000}
+    rows = {r[0]: r for r in mixing.plan(blocks, weights) if r[1] == 0}
+    for name, w in weights.items():
+        _, _, k0, k1, slot0, q, a, own = rows[name]
+        for k in (1, 999, 77_777, k1 - 1):
+            slot = slot0 + (k - k0) // a * q + own[(k - k0) % a]
+            assert k * 7 // w <= slot < -(-(k + 1) * 7 // w)
+
+
 def test_plan_runs_every_block_once():
     blocks, weights = {"a": 37, "b": 5, "c": 1, "d": 0}, {"a": 3, "b": 2, "c": 4, "d": 9}
     rows = mixing.plan(blocks, weights)
