@@ -1,14 +1,18 @@
 """Toxicity scores from subword-bag embeddings and a linear softmax.
 
-Method.  A window of text (a word) is the bag of its byte n-grams, markers for
-its ends included, hashed into ``BUCKETS`` rows of an embedding table E.  The
-bag's mean vector goes through a two-class linear softmax; a document's score is
-that of its most toxic window.  E and the softmax are trained together in numpy
-by full-batch Adagrad on documents: windows pool by a softmax whose sharpness
-grows from the mean to the maximum, so the first steps spread over all words and
-the last ones settle on the words that make a document toxic.  The windows found
-toxic also enter misspelt (letters dropped, doubled, swapped, replaced), and an
-unseen misspelling shares n-grams, hence vectors, with them.
+Method.  A word is the bag of its byte n-grams, markers for its ends included,
+hashed into ``BUCKETS`` rows of an embedding table E, and its vector is the mean
+of those rows.  A document's vector is the weighted average of its words'
+vectors; it goes through a two-class linear softmax.  Weights are a softmax over
+the words' own logits whose sharpness grows during training: at first all words
+weigh alike, at the end the words that make a document toxic weigh most, as a few
+of them in 20,000 others must decide.  Scoring takes the limit, the most toxic
+word.  E and the softmax are trained together in numpy by full-batch Adagrad.  An
+unseen misspelling shares n-grams, hence vectors, with the words that were seen.
+
+Every ``REFRESH`` steps words whose weight has vanished are set aside and only
+the rows of E that the others use are updated, so a step's cost falls with the
+sharpness.
 
 Labels come from at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled rows of the
 learning folds, in hash order; of each sampled text the executors return its
@@ -16,7 +20,7 @@ distinct words.
 For two classes E and the softmax reduce to one number per bucket, which is what
 is broadcast for scoring: all texts, whole, in one scan without a shuffle.
 
-Defined cases: null and empty texts have no window and score by the bias alone;
+Defined cases: null and empty texts have no word and score by the bias alone;
 null doc_ids are never learnt from and are not held out; contradicting labels of
 a doc_id count as toxic; without labels of both classes every score is 0;
 repeated rows each give a row; other columns are ignored.
@@ -38,9 +42,13 @@ from . import textbytes as tb
 BUCKETS = 1 << 17
 DIM = 16
 GRAMS = (3, 4, 5)
-TOXIC_ROWS = 800
-CLEAN_ROWS = 1600
+TOXIC_ROWS = 2000
+CLEAN_ROWS = 4000
 STEPS = 90
+REFRESH = 6
+#: Sharpness at the end; it is reached after ``RAMP`` of the steps.
+SHARP = 6.0
+RAMP = 0.4
 THRESHOLD = 0.7
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -89,106 +97,79 @@ def word_logits(buf: np.ndarray, start: np.ndarray, end: np.ndarray, weight: np.
 
 def bags(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words' n-grams on end, and the offsets of each word."""
-    ids, sizes = [], []
-    for w in words:
-        b = np.frombuffer(b" " + w + b" ", np.uint8)
-        got = np.concatenate([buckets_at(b, n) for n in GRAMS])
-        ids.append(got)
-        sizes.append(len(got))
-    return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)).astype(np.int32), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-
-
-def misspelt(word: bytes) -> set[bytes]:
-    """Variants of a word with one slip, some with a look-alike."""
-    out = set()
-    looks = {b"a": b"@4", b"e": b"3", b"i": b"1!", b"o": b"0", b"s": b"5$", b"t": b"7", b"l": b"1"}
-    for i in range(len(word)):
-        c = word[i : i + 1]
-        out.add(word[:i] + c + word[i:])
-        if len(word) > 4:
-            out.add(word[:i] + word[i + 1 :])
-        if 0 < i:
-            out.add(word[: i - 1] + c + word[i - 1 : i] + word[i + 1 :])
-        for x in looks.get(c, b""):
-            out.add(word[:i] + bytes([x]) + word[i + 1 :])
-        out.add(word[:i] + b"*" + word[i + 1 :])
-    return out - {word}
-
-
-def train(docs: list[tuple[int, list[bytes]]], steps: int = STEPS, dim: int = DIM, rate: float = 0.5, seed: int = 7) -> Model:
+    buf = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+    size = np.array([len(w) for w in words], np.int64)
+    first = np.cumsum(size + 1) - size - 1  # of the blank before each word
+    grams = np.stack([np.maximum(0, size + 3 - n) for n in GRAMS], 1)
+    off = np.concatenate([[0], np.cumsum(grams.sum(1))])
+    ids = np.empty(off[-1], np.int32)
+    into = off[:-1].copy()
+    for i, n in enumerate(GRAMS):
+        inside = np.arange(grams[:, i].sum()) - np.repeat(np.cumsum(grams[:, i]) - grams[:, i], grams[:, i])
+        ids[np.repeat(into, grams[:, i]) + inside] = buckets_at(buf, n)[np.repeat(first, grams[:, i]) + inside]
+        into += grams[:, i]
+    return ids, off
+
+
+def _ranges(off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the given rows' entries, and the new offsets."""
+    size = off[rows + 1] - off[rows]
+    new = np.concatenate([[0], np.cumsum(size)])
+    return np.repeat(off[rows] - new[:-1], size) + np.arange(new[-1]), new
+
+
+def train(docs: list[tuple[int, list[bytes]]], steps: int = STEPS, dim: int = DIM, rate: float = 0.5, seed: int = 7, refresh: int = REFRESH) -> Model:
     """Fit on (label, distinct words) documents."""
-    labels = np.array([y for y, _ in docs], np.float64)
-    if not len(docs) or labels.min() == labels.max():
+    docs = [(y, ws) for y, ws in docs if ws]
+    y = np.array([v for v, _ in docs], np.float64)
+    if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS), -1e9)
     vocab: dict[bytes, int] = {}
-    member = [np.array([vocab.setdefault(w, len(vocab)) for w in ws], np.int64) for _, ws in docs]
-    words = list(vocab)
+    member = np.array([vocab.setdefault(w, len(vocab)) for _, ws in docs for w in ws], np.int64)
+    owner = np.repeat(np.arange(len(docs)), [len(ws) for _, ws in docs])
+    ids, off = bags(list(vocab))
+    size = np.maximum(1, np.diff(off)).astype(np.float32)
+    balance = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
-    rows = np.zeros((2, dim), np.float32)  # the softmax; row 1 is toxic
-    rows[1], rows[0] = 0.5, -0.5
     table -= table.mean(1, keepdims=True)
+    rows = np.full((2, dim), 0.5, np.float32)  # the softmax; row 1 is toxic
+    rows[0] = -0.5
     bias, g_table, g_rows, g_bias = 0.0, np.full((BUCKETS, 1), 1e-6, np.float32), np.full_like(rows, 1e-6), 1e-6
-
-    def frame(member, labels):
-        keep = [m for m in member if len(m)]
-        owner = np.repeat(np.arange(len(keep)), [len(m) for m in keep])
-        y = np.array([v for v, m in zip(labels, member, strict=True) if len(m)])
-        weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-        return np.concatenate(keep), owner, y, weight, np.concatenate([[0], np.cumsum([len(m) for m in keep])])[:-1]
-
-    ids, off = bags(words)
-    size = np.maximum(1, np.diff(off))
-    word_of = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(off))
-    if not any(len(m) for m in member):
-        return Model(np.zeros(BUCKETS), -1e9)
-    flat, owner, y, weight, first = frame(member, labels)
-    for step in range(steps):
-        sharp = min(1.0, step / (0.4 * steps)) ** 2 * 6
-        if step == int(steps * 0.6):  # misspell what is found toxic
-            t = table @ (rows[1] - rows[0])
-            logit = np.add.reduceat(t[ids], off[:-1]) / size
-            z = logit[flat]
-            top = np.bincount(flat[(y[owner] == 1) & (z + bias > 0)], minlength=len(words))
-            least = max(2, int(0.01 * (y == 1).sum()))
-            clean = np.bincount(flat[y[owner] == 0], minlength=len(words))  # a few labels are wrong
-            found = [words[w] for w in np.flatnonzero((top >= least) & (top >= 3 * clean))]
-            fresh = sorted({v for w in found for v in misspelt(w) if v and v not in vocab})
-            for v in fresh:
-                vocab[v] = len(vocab)
-            words = list(vocab)
-            ids, off = bags(words)
-            size = np.maximum(1, np.diff(off))
-            word_of = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(off))
-            member = [*member, *(np.array([vocab[v]]) for v in fresh)]
-            labels = np.concatenate([labels, np.ones(len(fresh))])
-            flat, owner, y, weight, first = frame(member, labels)
-        v = rows[1] - rows[0]
-        t = table @ v
-        logit = np.add.reduceat(t[ids], off[:-1]) / size
-        z = logit[flat]
-        top_z = np.maximum.reduceat(z, first)
-        e = np.exp(sharp * (z - top_z[owner]))
-        share = e / np.add.reduceat(e, first)[owner]
-        pooled = np.add.reduceat(share * z, first) + bias
-        p = 1 / (1 + np.exp(-np.clip(pooled, -30, 30)))
-        slope = (p - y) * weight
-        per_word = np.bincount(flat, share * slope[owner], len(words)) / size
-        c = np.bincount(ids, per_word[word_of], BUCKETS).astype(np.float32)
-        d_rows = c @ table
-        d_table = c[:, None] * v[None, :]
-        g_table += (d_table**2).mean(1, keepdims=True)
-        table -= rate * d_table / np.sqrt(g_table)
-        for k, sign in ((1, 1), (0, -1)):
-            g_rows[k] += (sign * d_rows) ** 2
-            rows[k] -= 0.1 * sign * d_rows / np.sqrt(g_rows[k])
-        d_bias = float(slope.sum())
-        g_bias += d_bias**2
-        bias -= 0.5 * d_bias / g_bias**0.5
+    sharpness = lambda step: min(1.0, step / (RAMP * steps)) ** 2 * SHARP
+    for begin in range(0, steps, refresh):
+        # the words that still weigh something, and the rows of E they use
+        z = np.add.reduceat((table @ (rows[1] - rows[0]))[ids], off[:-1])[member] / size[member]
+        top = np.maximum.reduceat(z, np.flatnonzero(np.diff(owner, prepend=-1)))
+        alive = np.flatnonzero(sharpness(begin) * (top[owner] - z) < 8)
+        words, at = np.unique(member[alive], return_inverse=True)
+        held = owner[alive]
+        first = np.flatnonzero(np.diff(held, prepend=-1))
+        place, start = _ranges(off, words)
+        used, local = np.unique(ids[place], return_inverse=True)
+        e, g = table[used], g_table[used]
+        per, word_of = size[words], np.repeat(np.arange(len(words)), np.diff(start))
+        for step in range(begin, min(begin + refresh, steps)):
+            v = rows[1] - rows[0]
+            z = (np.add.reduceat((e @ v)[local], start[:-1]) / per)[at]
+            share = np.exp(sharpness(step) * (z - np.maximum.reduceat(z, first)[held]))
+            share /= np.add.reduceat(share, first)[held]
+            pooled = np.add.reduceat(share * z, first) + bias
+            slope = (1 / (1 + np.exp(-np.clip(pooled, -30, 30))) - y) * balance
+            per_word = np.bincount(at, share * slope[held], len(words)) / per
+            c = np.bincount(local, per_word[word_of], len(used)).astype(np.float32)
+            d_rows = c @ e
+            g += (c**2 * (v**2).mean())[:, None]
+            e -= rate * c[:, None] * v[None, :] / np.sqrt(g)
+            for k, sign in ((1, 1), (0, -1)):
+                g_rows[k] += (sign * d_rows) ** 2
+                rows[k] -= 0.1 * sign * d_rows / np.sqrt(g_rows[k])
+            g_bias += float(slope.sum()) ** 2
+            bias -= 0.5 * float(slope.sum()) / g_bias**0.5
+        table[used], g_table[used] = e, g
     seen = np.zeros(BUCKETS, bool)
     seen[ids] = True
-    out = np.where(seen, table @ (rows[1] - rows[0]), 0.0)  # an n-gram never seen says nothing
-    return Model(out, bias)
+    return Model(np.where(seen, table @ (rows[1] - rows[0]), 0.0), bias)  # an n-gram never seen says nothing
 
 
 def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +205,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
                 z = np.zeros(b - a)
                 if len(start):
                     head = np.flatnonzero(np.diff(text, prepend=-1))
-                    z[text[head]] = np.maximum.reduceat(word_logits(low, start, end, m.weight), head)
+                    z[text[head]] = np.maximum.reduceat(word_logits(low, start, end, m.weight), head)  # the most toxic word
                 p = 1 / (1 + np.exp(-np.clip(z + m.bias, -500, 500)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.round(p, 9))], names=["doc_id", "score"])
 
