@@ -91,3 +91,8 @@ def by_tier(c: Column, tier) -> Column:
     """Items in the order of ``tier(item)``, stable."""
     keyed = F.transform(c, lambda x, i: F.struct(tier(x).alias("tier"), i.alias("at"), x.alias("item")))
     return F.transform(F.array_sort(keyed), lambda s: s["item"])
+
+
+def filled_list(own: Column, other: Column, most: int) -> Column:
+    """``own`` unless it is empty, else the first ``most`` of ``other``."""
+    return F.when(F.size(own) > 0, own).otherwise(F.slice(other, 1, most))

@@ -77,3 +77,9 @@ def slider_value(position: Column, low: float, high: float) -> Column:
 def slider_position(value: Column, low: float, high: float) -> Column:
     b = low - 1
     return F.ln(value - F.lit(float(b))) / F.lit(math.log(high - b))
+
+
+def beam_repaired(candela: Column, metres: Column, most: float = 500_000.0, suspect: float = 100_000.0, short: float = 300.0) -> tuple[Column, Column]:
+    """(candela, metres) that agree: intensity is trusted unless it is bogus, that is too large for any or for such a distance."""
+    bogus = (candela > most) | ((candela > suspect) & (metres < short))
+    return F.when(bogus, candela_from_throw(metres)).otherwise(candela), F.when(bogus, metres).otherwise(throw_from_candela(candela))

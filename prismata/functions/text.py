@@ -134,3 +134,13 @@ def after_anchor(c: Column, start: str, stop: str, skip: str) -> Column:
     end = F.array_position(F.transform(rest, lambda x: x.rlike(stop)), True)
     inside = F.when(end > 0, F.slice(rest, 1, (end - 1).cast("int"))).otherwise(rest)
     return F.array_join(F.filter(inside, lambda x: (F.trim(x) != "") & ~x.rlike(skip)), "\n")
+
+
+def year(c: Column) -> Column:
+    """The first year of 2010 to 2029."""
+    return F.regexp_extract(c, "20[12][0-9]", 0).try_cast("int")
+
+
+def without_words(c: Column, words: list[str]) -> Column:
+    """The text without these whole words."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, rf"\b({'|'.join(words)})\b", " "), r"\s+", " "))

@@ -67,3 +67,27 @@ def label_pairs(html: Column) -> Column:
     clean = F.transform(pairs, lambda s: F.struct(F.regexp_replace(F.lower(strip(s["k"])), r"\s*:$", "").alias("k"), F.regexp_replace(strip(s["v"]), r"^:\s*", "").alias("v")))
     first = F.filter(clean, lambda s, i: (s["k"] != "") & (F.array_position(F.transform(clean, lambda t: t["k"]), s["k"]) == i + 1))
     return F.map_from_entries(first)
+
+
+def any_outside(urls: Column, pattern: str) -> Column:
+    """Any URL that is there and does not match ``pattern``."""
+    return F.exists(urls, lambda u: F.coalesce((u != "") & ~u.rlike(pattern), F.lit(False)))
+
+
+def script_call(html: Column, name: str) -> Column:
+    """The number that a page's script passes to a function."""
+    return F.regexp_extract(html, rf"(?s)<script[^>]*>.*?{name}\((\d+)\)", 1).try_cast("long")
+
+
+def script_literal(html: Column, name: str) -> Column:
+    """The JSON text literal that a page's script assigns to a variable; null where there is none."""
+    v = F.regexp_extract(html, rf'(?s)<script[^>]*>var {name}=("[^"]*");', 1)
+    return F.when(v != "", v)
+
+
+def anchor_pairs(html: Column) -> Column:
+    """map of a link's text to its target; the first of a text wins."""
+    pattern = F.lit(r'(?i)<a\s[^>]*href="([^"]+)"[^>]*>([^<]+)</a>')
+    pairs = F.arrays_zip(F.regexp_extract_all(html, pattern, F.lit(2)).alias("k"), F.regexp_extract_all(html, pattern, F.lit(1)).alias("v"))
+    clean = F.transform(pairs, lambda s: F.struct(F.trim(s["k"]).alias("k"), s["v"].alias("v")))
+    return F.map_from_entries(F.filter(clean, lambda s, i: (s["k"] != "") & (F.array_position(F.transform(clean, lambda t: t["k"]), s["k"]) == i + 1)))

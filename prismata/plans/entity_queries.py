@@ -11,7 +11,7 @@ from ..operators import entities as en
 from .registry import query, table
 
 
-@query("dup_groups_having", "SELECT lower(c_mktsegment) AS segment, c_nationkey AS nation, count(*) AS n, min(c_custkey) AS first_id FROM customer GROUP BY 1, 2 HAVING count(*) > 1")
+@query("dup_groups_having", "SELECT lower(c_mktsegment) AS segment, c_nationkey AS nation, count(*) AS n, min(c_custkey) AS first_id, list_sort(list(c_custkey)) AS ids FROM customer GROUP BY 1, 2 HAVING count(*) > 1")
 def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return en.duplicate_groups(c, [F.lower("c_mktsegment"), F.col("c_nationkey")], ["segment", "nation"], "c_custkey")
@@ -133,7 +133,7 @@ def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("replace_last_wins", "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def replace_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return en.last_wins(e, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "value")
+    return en.last_wins(e, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
 
 
 @query("semi_exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')")
