@@ -78,6 +78,26 @@ SILENT = ["script", "style", "nav", "footer", "header", "noscript", "svg"]
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&times;", "x"), ("&deg;", "°"), ("&plusmn;", "±"), ("&middot;", "·"), ("&copy;", "©"), ("&ndash;", "-"), ("&mdash;", "-"), ("&amp;", "&")]
 
 
+def numeric_references(c: Column) -> Column:
+    """Decimal and hexadecimal character references decoded; those beyond Unicode stay.
+
+    The text is cut at its references, each is turned into its character as
+    UTF-32 bytes, and the pieces are joined again.
+    """
+    pattern = "&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+    pieces = F.split(c, pattern, -1)
+    found = F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1))
+
+    def char(ref: Column) -> Column:
+        inside = F.regexp_replace(ref, "[&#;]", "")
+        number = F.when(inside.rlike("^[xX]"), F.conv(F.substring(inside, F.lit(2), F.lit(9)), 16, 10)).otherwise(inside).cast("long")
+        known = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        return F.when(known, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(ref)
+
+    joined = F.array_join(F.zip_with(pieces, F.transform(found, char), lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
+    return F.when(F.contains(c, F.lit("&#")), joined).otherwise(c)
+
+
 def html_to_text(c: Column) -> Column:
     """Readable text: silent elements and comments dropped, blocks as lines, cells as tabs, references decoded."""
     t = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
@@ -86,8 +106,10 @@ def html_to_text(c: Column) -> Column:
     t = F.regexp_replace(t, r"(?i)</(p|div|tr|li|h[1-6]|ul|ol|table|section|article)>|<br\s*/?>", "\n")
     t = F.regexp_replace(t, r"(?i)</t[dh]>", "\t")
     t = F.regexp_replace(t, r"<[^>]*>", "")
-    for name, char in ENTITIES:
+    for name, char in ENTITIES[:-1]:
         t = F.replace(t, F.lit(name), F.lit(char))
+    t = numeric_references(t)
+    t = F.replace(t, F.lit(ENTITIES[-1][0]), F.lit(ENTITIES[-1][1]))  # the ampersand last, so that nothing is decoded twice
     t = F.regexp_replace(t, "[‘’]", "'")
     t = F.regexp_replace(t, "[“”]", '"')
     t = F.regexp_replace(t, r"[ \t]+", " ")

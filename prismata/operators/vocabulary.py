@@ -48,18 +48,49 @@ def normalise_array(c: Column, rules: Rules, multiples: bool = False) -> Column:
         return dropped_sorted(F.transform(c, lambda x: normalise(x, rules)))
 
     def both(x: Column) -> Column:
-        count = F.regexp_extract(F.lower(x), r"^\s*([0-9]+)\s*[x*]\s*(\S.*)$", 1)
-        inner = normalise(F.regexp_extract(F.lower(x), r"^\s*([0-9]+)\s*[x*]\s*(\S.*)$", 2), rules)
-        return F.when(count != "", F.array(inner, F.concat(count, F.lit("x"), inner))).otherwise(F.array(normalise(x, rules)))
+        count = F.regexp_extract(F.lower(x), r"^\s*([0-9]+)\s*[x×*]\s*(\S.*)$", 1)
+        inner = normalise(F.regexp_extract(F.lower(x), r"^\s*([0-9]+)\s*[x×*]\s*(\S.*)$", 2), rules)
+        return F.when(count == "1", F.array(inner)).when(count != "", F.array(inner, F.concat(count, F.lit("x"), inner))).otherwise(F.array(normalise(x, rules)))
 
     return dropped_sorted(F.flatten(F.transform(c, both)))
 
 
 # fixed values: canonical terms and rules of each vocabulary
+CELLS = "10150|10180|10220|10280|10400|10440|10880|10900|14100|14250|14300|14500|14580|16300|16340|16650|18350|18500|18650|20350|20700|21140|21700|22430|22650|26350|26650|26800|26980|32650|32700|33140|46950"
 BATTERY = Rules(
-    exact={"cr123": "CR123A", "cr123a": "CR123A", "rcr123": "16340", "rcr123a": "16340", "aa": "AA", "aaa": "AAA", "14500 li-ion": "14500", "li-ion": "built-in Li-ion", "lithium-ion": "built-in Li-ion", "rechargeable": None, "battery": None, "n/a": None},
-    patterns=((r"\b(1[0468][0-9]{3}|2[0126][0-9]{3}|3[23][0-9]{3}|46[0-9]{3})\b", "$1"), (r"\bcr\s?123", "CR123A"), (r"\baaa\b", "AAA"), (r"\baa\b", "AA"), (r"\bcr2032\b", "CR2032"), (r"\bd[ -]cells?\b", "D"), (r"\bc[ -]cells?\b", "C"), (r"li-?po|lithium polymer", "built-in Li-Po"), (r"built[ -]?in|internal|integrated", "built-in Li-ion"), (r"\b9v\b", "9V")),
-    keep_unknown=False,
+    exact={"cr123": "CR123A", "cr123a": "CR123A", "123a": "CR123A", "123a lithium": "CR123A", "rcr123": "CR123A", "rcr123a": "CR123A", "aa": "AA", "aaa": "AAA", "c": "C", "d": "D", "sub-c": "Sub-C", "d cell": "D", "c cell": "C", "alkaline": "alkaline", "alkaline batteries": "alkaline", "rechargeable": None, "battery": None, "batteries": None, "n/a": None, "none": None},
+    patterns=(
+        (r"^(?:built[- ]?in|integrated|internal)\b", "built-in"),
+        (r"^(?:nbp|nl|arb-l)[0-9]|^custom(?:ized?|ised?)?\s", "built-in"),
+        (r"^(?:18|20|21|24|36|40|56|80)\s*v$", None),
+        (r"6\s*v\s*(?:lantern|zinc|carbon)", "6V lantern"),
+        (r"12\s*v\s*(?:lantern|zinc|carbon|sla|sealed)", "12V lantern"),
+        (r"^[0-9][0-9,]*\s*mah\b|^[0-9]+\.?[0-9]*\s*wh\b|^[0-9]+\.?[0-9]*\s*v\b", "built-in"),
+        (r"^lifepo4\s+battery\s*pack$", "LiFePO4"),
+        (r"(?:li-?po|lithium[ -]?po).*\bpack\b", "Li-poly"),
+        (r"\b(?:battery|wired)\s*pack\b", "Li-ion pack"),
+        (r"^(?:rechargeable\s+li-ion|li-ion\s+rechargeable)$", "Li-ion"),
+        (r"^rechargeable\s+lithium", "built-in"),
+        (rf"(?:^|[^0-9])({CELLS})(?:$|[^0-9])", "$1"),
+        (r"\b(?:r?cr\s?123|123a)", "CR123A"),
+        (r"\bcr2032\b", "CR2032"),
+        (r"\bcr2016\b|^2016\b", "CR2016"),
+        (r"\blr44\b", "LR44"),
+        (r"\blr41\b", "LR41"),
+        (r"\baaa\b", "AAA"),
+        (r"\baa\b", "AA"),
+        (r"^d[ -]cells?\b|^d\s+alkaline", "D"),
+        (r"^c[ -]cells?\b|^c\s+alkaline", "C"),
+        (r"[0-9]\s*mah", "built-in"),
+        (r"\blifepo4\b", "LiFePO4"),
+        (r"li[ -]*poly?\b|li-?pol|lithium[ -]*poly|\blipo\b", "Li-poly"),
+        (r"li[ -]*ion|lithium[ -]*ion", "Li-ion"),
+        (r"\bnimh\b", "NiMH"),
+        (r"\bnicd\b", "NiCd"),
+        (r"^(?:inr|ixr|zx)[0-9]", "built-in"),
+        (r"^.{31,}$", "built-in"),
+    ),
+    lower=False,
 )
 MATERIAL = Rules(
     exact={"al": "aluminum", "alu": "aluminum", "aluminium": "aluminum", "ti": "titanium", "cu": "copper", "ss": "stainless steel", "pc": "polycarbonate", "n/a": None},
@@ -79,15 +110,57 @@ FEATURES = Rules(
 COLOURS: list[tuple[str, str]] = [("gunmetal", "gray"), ("rose gold", "pink"), ("sand", "tan"), ("olive", "green"), ("black", "black"), ("white", "white"), ("silver", "silver"), ("grey", "gray"), ("gray", "gray"), ("red", "red"), ("blue", "blue"), ("green", "green"), ("gold", "yellow"), ("yellow", "yellow"), ("orange", "orange"), ("purple", "purple"), ("pink", "pink"), ("tan", "tan"), ("brown", "brown")]
 
 
+# fixed values: emitters that no rule leads to, makers, and what is no emitter
+EMITTERS = {
+    "cslnm1": "Osram CSLNM1.TG", "cslnm1.tg": "Osram CSLNM1.TG", "kw cslnm1.tg": "Osram CSLNM1.TG", "cslpm1": "Osram CSLPM1.TG", "cslpm1.tg": "Osram CSLPM1.TG", "kw cslpm1.tg": "Osram CSLPM1.TG", "culpm1.tg": "Osram CULPM1.TG", "kw culpm1.tg": "Osram CULPM1.TG",
+    "sbt-90 gen 2": "Luminus SBT-90.2", "sbt-90 gen2": "Luminus SBT-90.2", "luminus sbt-90 gen 2": "Luminus SBT-90.2", "luminus sbt-90 gen2": "Luminus SBT-90.2", "sbt-90 ii": "Luminus SBT-90.2",
+    "c4 led": "C4 LED", "x-led": "X-LED", "5mm": "5mm", "cob": "COB", "cob led": "COB", "lep": "LEP", "uv led": "UV LED", "rgb led": "RGB LED", "mce": "Cree MC-E",
+    "incandescent": "Incandescent", "halogen bulb": "Halogen", "krypton": "Krypton", "xenon": "Xenon", "xenon bulb": "Xenon", "519a dd": "Nichia 519A", "219ct": "Nichia 219CT",
+}
+MAKERS = [("cree", "Cree"), ("lumin(?:us|ous|ux)|lumimus", "Luminus"), ("nichia", "Nichia"), ("osram", "Osram"), ("samsung", "Samsung"), ("luxeon", "Luxeon"), ("seoul", "Seoul"), ("nitelab", "NiteLab")]
+FAMILIES = [("lh351", "Samsung"), ("xp-?[gcel]|xm-?l|xhp|xr-?e|mc-e$", "Cree"), ("s[bfs]t-?[0-9]", "Luminus"), ("(?:519|319|219)[a-z]?$|e21a", "Nichia"), ("csl[np]m|culpm|p[89]\\b", "Osram")]
+GENERIC = r"^(?:(?:high|hi|power|performance|quality|output|super|ultra|bright|brightness|cool|warm|neutral|natural|day|white|red|green|blue|amber|yellow|led|leds|chips?|emitters?|single|others|cree|nichia|luminus|osram|samsung|xp|unknown|n/a)[\s,-]*)+$"
+
+
 def emitter(c: Column) -> Column:
-    """An LED's family and bin-free name in its usual case: maker, multiplier, colour figures and bins go."""
-    t = F.trim(F.lower(c))
-    t = F.regexp_replace(t, r"\b(cree|luminus|nichia|osram|samsung|lumileds|philips|leds?|emitters?)\b", " ")
-    t = F.regexp_replace(t, r"^\s*[0-9]+\s*[x*]\s*", "")
-    t = F.regexp_replace(t, r"\b[0-9]{4,5}\s*k\b|\b(?:hi(?:gh)?[- ]?)?cri\s*[0-9]*\+?\b|\br9[0-9]+\b", " ")
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"[-_]+", " "), r"\s+", " "))
-    t = F.regexp_replace(t, r"^(xhp|xpg|xpl|xpe|xml|sst|sft|sbt|sbr|cft|lh351|gt fc)\s+(\S)", "$1$2")
-    return F.when((t != "") & (t != "unknown"), F.upper(t))
+    """An LED in its canonical form: maker and identifier, with its number of dies in front.
+
+    Colour temperatures, tints, CRI and brightness bins and a trailing LED go; a
+    known family gets its maker, hyphens and capitals; generations and variants
+    stay apart; descriptions that name no emitter give null.
+    """
+    table = F.create_map(*[F.lit(x) for pair in sorted(EMITTERS.items()) for x in pair])
+    squeeze = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    whole = squeeze(c)
+    count = F.regexp_extract(whole, r"(?i)^([0-9]+)\s*[x*×]\s*", 1)
+    raw = F.regexp_replace(whole, r"(?i)^[0-9]+\s*[x*×]\s*", "")
+    t = raw
+    for pattern in (
+        r"(?i),?\s*[0-9]{4,5}\s*k\b",
+        r"(?i)\b(?:cool|neutral|warm|day)\s*white\b",
+        r"(?i)\b(?:r90[5678]0|9[0-9]\s*cri|hcri|high[\s-]?cri)\b\+?",
+        r"\s*\+\s*$",
+        r"^\s*[-–,]+\s*",
+        r"\(\s*,?\s*\)",
+        r"(?i)\s+leds?\s*$",
+        r"(?i)[\s-]+[tuvrsqk][0-9]\s*$",
+        r"(?i)\s+(?:warm|cool|neutral)\s*$",
+    ):
+        t = F.regexp_replace(t, pattern, "")
+    t = squeeze(t)
+    maker, body = F.lit(None).cast("string"), t
+    for pattern, name in reversed(FAMILIES):
+        maker = F.when(t.rlike(f"(?i)^(?:{pattern})"), F.lit(name)).otherwise(maker)
+    for pattern, name in MAKERS:
+        said = t.rlike(f"(?i)^(?:{pattern})\\s+")
+        maker, body = F.when(said, F.lit(name)).otherwise(maker), F.when(said, F.regexp_replace(t, f"(?i)^(?:{pattern})\\s+", "")).otherwise(body)
+    for pattern, new in ((r"(?i)\b(s[bfs]t)([0-9])", "$1-$2"), (r"(?i)\bxp-?l[\s-]*(hi|hd)\b", "XP-L $1"), (r"(?i)\bxpe\b", "XP-E"), (r"(?i)\bxhp[\s-]+([0-9])", "XHP$1"), (r"(?i)\b(xhp[0-9]+(?:\.[0-9])?)[\s-]*(hi|hd)\b", "$1 $2"), (r"(?i)\bxml([0-9])", "XM-L$1")):
+        body = F.regexp_replace(body, pattern, new)
+    family = body.rlike("(?i)^(?:" + "|".join(p for p, _ in FAMILIES) + "|ntg[0-9]|sfq[0-9]|ssq[0-9])")
+    body = F.regexp_replace(F.when(family, F.upper(body)).otherwise(body), r"[\s,-]+$", "")
+    one = F.when((t == "") | F.lower(t).rlike(GENERIC), F.lit(None)).otherwise(F.concat_ws(" ", maker, body))
+    one = F.coalesce(F.try_element_at(table, F.lower(raw)), F.when(~F.lower(raw).rlike(GENERIC), F.coalesce(F.try_element_at(table, F.lower(t)), one)))
+    return F.when(count != "", F.concat(count, F.lit("x "), one)).otherwise(one)
 
 
 def change_report(df: DataFrame, column: str, rules: Rules) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls as ur
-from ..functions.numbers import TO_MM, convert
 from ..operators import specs
 from ..operators import vocabulary as vo
 from .registry import query, table
@@ -41,17 +40,6 @@ def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", ur.title(F.col("html")).alias("title"))
 
 
-@query(
-    "html_table_pairs",
-    "SELECT page_id, lower(trim(regexp_replace(url, '[?#].*$', ''))) AS label, CAST(length(html) AS VARCHAR) AS value FROM pages",
-)
-def html_table_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label/value pairs read back from a table row made of each page's url and length."""
-    p = table(spark, sf_dir, "pages")
-    row = F.concat(F.lit("<table><tr><th>"), F.regexp_replace("url", r"[?#].*$", ""), F.lit("</th><td> <b>"), F.length("html").cast("string"), F.lit("</b></td></tr></table>"))
-    return p.select("page_id", F.explode(ur.label_pairs(row)).alias("label", "value"))
-
-
 _HOST = "regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)), '^www\\.', '')"
 
 
@@ -79,14 +67,6 @@ def pages_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy(ur.host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_id"))
 
 
-@query("html_price", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 10.0::DOUBLE + page_id % 90 WHEN page_id % 3 = 0 THEN 12.5::DOUBLE END AS price FROM pages")
-def html_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices by preference: structured, linked data, text."""
-    p = table(spark, sf_dir, "pages")
-    made = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<meta itemprop="price" content="'), (10 + F.col("page_id") % 90).cast("string"), F.lit('"> was $4000'))).when(F.col("page_id") % 3 == 0, F.lit('{"price": "12.50"}')).otherwise(F.lit("price on request"))
-    return p.select("page_id", specs.price(made).alias("price"))
-
-
 _NUM = "list_filter(list_transform(regexp_extract_all(text, '([0-9]+)', 1), lambda x: TRY_CAST(x AS DOUBLE)), lambda x: x > 0 AND x < 100000)"
 
 
@@ -97,27 +77,6 @@ def extract_numbers_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join(F.transform(n, lambda x: x.cast("long").cast("string")), ",").alias("numbers"))
 
 
-@query("extract_units", "SELECT p_partkey AS id, round(p_size * CASE p_partkey % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 10.0::DOUBLE ELSE 25.4::DOUBLE END, 6) AS mm FROM part")
-def extract_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A measure is converted by the unit captured beside it."""
-    p = table(spark, sf_dir, "part")
-    t = F.concat(F.lit("length: "), "p_size", F.lit(" "), F.get(F.array(F.lit("mm"), F.lit("cm"), F.lit("IN")), (F.col("p_partkey") % 3).cast("int")))
-    pattern = r"(?i)([0-9.]+)\s*(mm|cm|in)\b"
-    return p.select(F.col("p_partkey").alias("id"), F.round(convert(F.regexp_extract(t, pattern, 1).cast("double"), F.regexp_extract(t, pattern, 2), TO_MM), 6).alias("mm"))
-
-
-@query(
-    "spec_extraction",
-    "SELECT p_partkey AS id, CASE WHEN p_size * 100 >= 1000 THEN CAST(p_size * 100 // 1000 AS VARCHAR) || ',' || lpad(CAST(p_size * 100 % 1000 AS VARCHAR), 3, '0') ELSE CAST(p_size * 100 AS VARCHAR) END AS shown, CAST(p_size * 100 AS DOUBLE) AS lumens, round((p_size + 5) * 0.3048::DOUBLE, 6) AS throw_m, round((p_size + 1) * 28.3495::DOUBLE, 6) AS weight_g, round(p_size + 0.5::DOUBLE, 6) AS runtime_h, 'IP68' AS ip FROM part",
-)
-def spec_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lumens with thousands separators, feet, ounces, hours and an IP rating from one sentence."""
-    p = table(spark, sf_dir, "part").withColumn("shown", F.format_number(F.col("p_size") * 100, 0))
-    s = F.concat(F.lit("Output: "), "shown", F.lit(" lumens, beam "), (F.col("p_size") + 5).cast("string"), F.lit("ft, weighs "), (F.col("p_size") + 1).cast("string"), F.lit(" oz, runs "), "p_size", F.lit("h 30m, ip68"))
-    p = p.withColumn("s", s)
-    return p.select(F.col("p_partkey").alias("id"), "shown", F.get(specs.lumens(F.col("s")), 0).alias("lumens"), F.round(specs.throw_m(F.col("s")), 6).alias("throw_m"), F.round(specs.weight_g(F.col("s")), 6).alias("weight_g"), F.round(F.get(specs.runtime_h(F.col("s")), 0), 6).alias("runtime_h"), specs.ip_rating(F.col("s")).alias("ip"))
-
-
 @query("keyword_detect", "SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])the($|[^\\p{L}\\p{N}_])') THEN 'the' END, CASE WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])die($|[^\\p{L}\\p{N}_])') THEN 'die' END, CASE WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])que($|[^\\p{L}\\p{N}_])') THEN 'que' END, CASE WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])license($|[^\\p{L}\\p{N}_])') THEN 'license' END], lambda x: x IS NOT NULL), ',') AS found FROM documents")
 def keyword_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.keywords(F.col("text"), ["the", "die", "que", "license"]), ",").alias("found"))
@@ -128,17 +87,6 @@ def negative_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.keyword_unless(F.col("text"), "license", "mit license").alias("flagged"))
 
 
-@query(
-    "boilerplate_strip",
-    "SELECT p_partkey AS id, 'specs of ' || p_name || chr(10) || 'weight ' || p_size AS body FROM part",
-)
-def boilerplate_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines between the start line and the stop line, skipped lines out."""
-    p = table(spark, sf_dir, "part")
-    raw = F.concat_ws("\n", F.lit("Menu"), F.lit("Product description"), F.concat(F.lit("specs of "), "p_name"), F.lit("Add to cart"), F.lit(""), F.concat(F.lit("weight "), F.col("p_size").cast("string")), F.lit("Related products"), F.lit("more"))
-    return p.select(F.col("p_partkey").alias("id"), tx.after_anchor(raw, "(?i)^product description", "(?i)^related", "(?i)add to cart").alias("body"))
-
-
 @query("truncate_text", "SELECT doc_id, CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '[...]' ELSE text END AS head FROM documents")
 def truncate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The display cut of long texts."""
@@ -171,14 +119,6 @@ def normalise_vocab_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vo.change_report(p, "words", _WORDS)
 
 
-@query("normalise_battery", "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '18650,2x18650' WHEN 1 THEN 'CR123A' WHEN 2 THEN 'AA' ELSE '' END AS battery FROM part")
-def normalise_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Battery terms of several spellings; N-fold cells also give the single cell."""
-    p = table(spark, sf_dir, "part")
-    raw = F.when(F.col("p_partkey") % 4 == 0, F.array(F.lit("2 x 18650 Li-ion"))).when(F.col("p_partkey") % 4 == 1, F.array(F.lit("cr123"), F.lit("CR 123A"))).when(F.col("p_partkey") % 4 == 2, F.array(F.lit("AA"), F.lit("unknown"))).otherwise(F.array(F.lit("rechargeable")))
-    return p.select(F.col("p_partkey").alias("id"), F.array_join(vo.NORMALISERS["battery"](raw), ",").alias("battery"))
-
-
 @query("spec_validation", "SELECT event_id, CASE WHEN k BETWEEN 10 AND 90 THEN k END AS k FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)")
 def spec_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record keeps known keys with plausible values only."""
