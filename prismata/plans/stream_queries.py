@@ -1,4 +1,8 @@
-"""Structured Streaming over ``events``; each result equals the batch SQL beside it."""
+"""Structured Streaming over ``events``; each result equals the batch SQL beside it.
+
+Windows run in append mode: a window comes out when the watermark has passed
+its end, so the SQL keeps those windows only; state goes with them.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,8 @@ from ..streaming import events as ev
 from .registry import query, table
 
 _SUMS = "count(*) AS n, round(sum(value), 4) AS total"
+#: The watermark at the end of the stream.
+_FINAL = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
 
 
 def _aggs() -> list[Column]:
@@ -26,32 +32,54 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
-@query("stream_tumbling", f"SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR AS \"end\", event_type, {_SUMS} FROM events GROUP BY 1, 2, 3")
+@query("stream_tumbling", f"SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR AS \"end\", event_type, {_SUMS} FROM events GROUP BY 1, 2, 3 HAVING \"end\" <= {_FINAL}")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(ev.run_available(ev.tumbling(_stream(spark, sf_dir), "ts", "6 hours", ["event_type"], _aggs(), "1 day"), "complete"))
+    return _plain(ev.run_available(ev.tumbling(_stream(spark, sf_dir), "ts", "6 hours", ["event_type"], _aggs(), "1 day")))
 
 
-@query("stream_sliding", f"SELECT start, start + INTERVAL 6 HOUR AS \"end\", event_type, {_SUMS} FROM (SELECT *, unnest([time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 4 HOUR, time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 2 HOUR, time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01')]) AS start FROM events) GROUP BY 1, 2, 3")
+@query("stream_sliding", f"SELECT start, start + INTERVAL 6 HOUR AS \"end\", event_type, {_SUMS} FROM (SELECT *, unnest([time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 4 HOUR, time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 2 HOUR, time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01')]) AS start FROM events) GROUP BY 1, 2, 3 HAVING start + INTERVAL 6 HOUR <= {_FINAL}")
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(ev.run_available(ev.sliding(_stream(spark, sf_dir), "ts", "6 hours", "2 hours", ["event_type"], _aggs(), "1 day"), "complete"))
+    return _plain(ev.run_available(ev.sliding(_stream(spark, sf_dir), "ts", "6 hours", "2 hours", ["event_type"], _aggs(), "1 day")))
 
 
 @query(
     "stream_session",
     f"""SELECT min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", user_id, {_SUMS} FROM (
         SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
-            SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s""",
+            SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s HAVING max(ts) + INTERVAL 12 HOUR <= {_FINAL}""",
 )
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of a user: at most twelve hours between neighbours."""
-    return _plain(ev.run_available(ev.sessions(_stream(spark, sf_dir), "ts", "12 hours", ["user_id"], _aggs(), "1 day"), "complete"))
+    return _plain(ev.run_available(ev.sessions(_stream(spark, sf_dir), "ts", "12 hours", ["user_id"], _aggs(), "1 day")))
 
 
-@query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+@query("stream_dedup", "SELECT event_id, user_id, event_type FROM events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each (user, type) once, however often it comes."""
-    e = _stream(spark, sf_dir).select("user_id", "event_type", "ts")
-    return ev.run_available(ev.deduplicated(e, ["user_id", "event_type"], "ts").drop("ts"))
+    """Each event once although every one is delivered twice; an id is forgotten a day after its last event time."""
+    e = _stream(spark, sf_dir).select("event_id", "user_id", "event_type", "ts")
+    again = _stream(spark, sf_dir).select("event_id", "user_id", "event_type", "ts")
+    return ev.run_available(ev.deduplicated(e.unionByName(again), ["event_id"], "ts", "1 day").drop("ts"))
+
+
+_BUCKET = "time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')"
+
+
+@query(
+    "stream_late_drop",
+    f"""SELECT {_BUCKET} AS start, {_BUCKET} + INTERVAL 6 HOUR AS "end", event_type, {_SUMS} FROM events
+        WHERE event_id % 2 = 0 OR {_BUCKET} + INTERVAL 6 HOUR > (SELECT max(ts) - INTERVAL 1 DAY FROM events WHERE event_id % 4 = 0) GROUP BY 1, 2, 3 HAVING "end" <= {_FINAL}""",
+)
+def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with odd ids come last: those whose window the watermark has passed are dropped.
+
+    Rows are held against the watermark that the batch before the last one set.
+    """
+    landed = ev.landing(spark)
+    e = table(spark, sf_dir, "events")
+    for part in ("event_id % 4 = 0", "event_id % 4 = 2", "event_id % 2 = 1"):
+        e.where(part).coalesce(1).write.mode("append").parquet(landed)
+    late = ev.read_events(spark, landed, files_per_trigger=1).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _plain(ev.run_available(ev.tumbling(late, "ts", "6 hours", ["event_type"], _aggs(), "1 day")))
 
 
 @query("stream_latest", "SELECT user_id, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")

@@ -25,6 +25,11 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, a single file is accepted too
 
 
+def landing(spark: SparkSession) -> str:
+    """A new folder, shared by all executors, for files that a stream will read."""
+    return f"{shared_dir(spark)}/landing-{uuid.uuid4().hex}"
+
+
 def tumbling(df: DataFrame, ts: str, width: str, keys: list[str], aggs: list[Column], watermark: str | None = None) -> DataFrame:
     return sliding(df, ts, width, None, keys, aggs, watermark)
 
