@@ -197,7 +197,7 @@ def estimate_prior(positive: np.ndarray, histogram: np.ndarray, edges: np.ndarra
 
 
 def fit(rows: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS, steps: int = STEPS, rate: float = RATE) -> Model | None:
-    good = common.labelled_sample(labels, "quality", trusted_rows).where("label = 1").select("doc_id")
+    good = common.labelled_sample(labels, "quality", trusted_rows, only=1).select("doc_id")
     got = rows.join(F.broadcast(good), "doc_id", "left_semi").select("x").toPandas()
     if not len(got):
         return None

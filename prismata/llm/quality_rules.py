@@ -108,7 +108,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS, smoothing: float = SMOOTHING) -> np.ndarray:
     """Log ratio of each bucket: trusted multinomial against the raw corpus."""
     d = common.with_columns(docs, doc_id="long", text="string")
-    good = common.labelled_sample(labels, "quality", trusted_rows).where("label = 1").select("doc_id", F.lit(True).alias("trusted"))
+    good = common.labelled_sample(labels, "quality", trusted_rows, only=1).select("doc_id", F.lit(True).alias("trusted"))
     d = d.join(F.broadcast(good), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     sums = d.mapInArrow(_count, "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
     got = sums.toPandas()  # at most BUCKETS rows
