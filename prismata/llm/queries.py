@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_template, jaccard_join, mixing, packing, pu_quality, quality_rules, secret_scan, simhash, suffix_dedup, toxicity
+from . import html_template, jaccard_join, mixing, oracles, packing, pu_quality, quality_rules, secret_scan, simhash, suffix_dedup, toxicity
 from .common import table
 
 
@@ -67,4 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": oracles.JACCARD, "op2_secret_scan": oracles.secrets()}
