@@ -42,8 +42,8 @@ from . import textbytes as tb
 BUCKETS = 1 << 17
 DIM = 16
 GRAMS = (3, 4, 5)
-TOXIC_ROWS = 2000
-CLEAN_ROWS = 4000
+TOXIC_ROWS = 1000
+CLEAN_ROWS = 2000
 STEPS = 90
 REFRESH = 6
 #: Sharpness at the end; it is reached after ``RAMP`` of the steps.
@@ -105,9 +105,10 @@ def bags(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ids = np.empty(off[-1], np.int32)
     into = off[:-1].copy()
     for i, n in enumerate(GRAMS):
-        inside = np.arange(grams[:, i].sum()) - np.repeat(np.cumsum(grams[:, i]) - grams[:, i], grams[:, i])
-        ids[np.repeat(into, grams[:, i]) + inside] = buckets_at(buf, n)[np.repeat(first, grams[:, i]) + inside]
-        into += grams[:, i]
+        k = grams[:, i]
+        inside = np.arange(k.sum(), dtype=np.int32) - np.repeat((np.cumsum(k) - k).astype(np.int32), k)
+        ids[np.repeat(into.astype(np.int32), k) + inside] = buckets_at(buf, n)[np.repeat(first.astype(np.int32), k) + inside]
+        into += k
     return ids, off
 
 
@@ -115,7 +116,7 @@ def _ranges(off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the given rows' entries, and the new offsets."""
     size = off[rows + 1] - off[rows]
     new = np.concatenate([[0], np.cumsum(size)])
-    return np.repeat(off[rows] - new[:-1], size) + np.arange(new[-1]), new
+    return np.repeat((off[rows] - new[:-1]).astype(np.int32), size) + np.arange(new[-1], dtype=np.int32), new
 
 
 def train(docs: list[tuple[int, list[bytes]]], steps: int = STEPS, dim: int = DIM, rate: float = 0.5, seed: int = 7, refresh: int = REFRESH) -> Model:
@@ -125,9 +126,11 @@ def train(docs: list[tuple[int, list[bytes]]], steps: int = STEPS, dim: int = DI
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS), -1e9)
     vocab: dict[bytes, int] = {}
-    member = np.array([vocab.setdefault(w, len(vocab)) for _, ws in docs for w in ws], np.int64)
-    owner = np.repeat(np.arange(len(docs)), [len(ws) for _, ws in docs])
+    member = np.fromiter((vocab.setdefault(w, len(vocab)) for _, ws in docs for w in ws), np.int32)
+    owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(ws) for _, ws in docs])
+    del docs
     ids, off = bags(list(vocab))
+    del vocab
     size = np.maximum(1, np.diff(off)).astype(np.float32)
     balance = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     rng = np.random.default_rng(seed)
@@ -142,13 +145,18 @@ def train(docs: list[tuple[int, list[bytes]]], steps: int = STEPS, dim: int = DI
         z = np.add.reduceat((table @ (rows[1] - rows[0]))[ids], off[:-1])[member] / size[member]
         top = np.maximum.reduceat(z, np.flatnonzero(np.diff(owner, prepend=-1)))
         alive = np.flatnonzero(sharpness(begin) * (top[owner] - z) < 8)
-        words, at = np.unique(member[alive], return_inverse=True)
+        words = np.flatnonzero(np.bincount(member[alive], minlength=len(size)))
+        at = np.searchsorted(words, member[alive]).astype(np.int32)
         held = owner[alive]
         first = np.flatnonzero(np.diff(held, prepend=-1))
         place, start = _ranges(off, words)
-        used, local = np.unique(ids[place], return_inverse=True)
+        used = np.flatnonzero(np.bincount(ids[place], minlength=BUCKETS))
+        number = np.zeros(BUCKETS, np.int32)
+        number[used] = np.arange(len(used))
+        local = number[ids[place]]
+        del place
         e, g = table[used], g_table[used]
-        per, word_of = size[words], np.repeat(np.arange(len(words)), np.diff(start))
+        per, word_of = size[words], np.repeat(np.arange(len(words), dtype=np.int32), np.diff(start))
         for step in range(begin, min(begin + refresh, steps)):
             v = rows[1] - rows[0]
             z = (np.add.reduceat((e @ v)[local], start[:-1]) / per)[at]
@@ -186,8 +194,9 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     t = common.with_columns(labels, doc_id="long", toxic="int").withColumn("toxic", (F.col("toxic") > 0).cast("int"))
     chosen = common.labelled_sample(t, "toxic", toxic_rows, 1).unionByName(common.labelled_sample(t, "toxic", clean_rows, 0))
     d = common.with_columns(docs, doc_id="long", text="string").where(F.col("doc_id").isNotNull())
-    got = d.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_distinct_words, "label int, words binary").toPandas()
-    rows = sorted(zip(got.label.tolist(), map(bytes, got.words), strict=True))
+    got = d.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_distinct_words, "label int, words binary").collect()
+    rows = sorted((r["label"], bytes(r["words"])) for r in got)
+    del got
     return train([(y, w.split()) for y, w in rows], **options)
 
 
