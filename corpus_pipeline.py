@@ -3,6 +3,11 @@
 Each stage is a function of (spark, docs, sf_dir); its result is written as
 Parquet and read again as the next stage's ``docs``, so a lost executor costs a
 stage at most and no lineage runs through two stages.
+
+Defined cases: a document with a null or empty text fails the quality rules and
+goes; null doc_ids, nulls in other columns, repeated rows and extra columns go
+through all stages but the last, whose rows are pieces of documents; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from prismata.llm import common, jaccard_join, mixing, packing, quality_rules, secret_scan
+from prismata.llm.queries import TARGETS
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +36,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of the mixing schedule, which the stored table keeps."""
-    return mixing.mixed(docs)
+    """Documents in the order in which sources mix to their target weights; the stored table keeps it."""
+    return mixing.mixed(docs, TARGETS)
 
 
 def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
