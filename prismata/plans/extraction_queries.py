@@ -167,3 +167,31 @@ def normalise_led(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").where("p_size > 1")
     spelt = F.when(F.col("p_partkey") % 4 == 0, "LUMINUS SST40 6500K").when(F.col("p_partkey") % 4 == 1, "519a R9080 4000K").when(F.col("p_partkey") % 4 == 2, "CREE XPL-Hi V3 LED").otherwise(F.concat(F.col("p_size").cast("string"), F.lit("*xhp-"), F.col("p_size").cast("string"), F.lit(".2")))
     return p.select(F.col("p_partkey").alias("id"), vo.emitter(spelt).alias("led"))
+
+
+_SIZES = f"(?i){_NUMBER}\\s*(mm|cm|in)\\b"
+
+
+@query(
+    "extract_units",
+    f"SELECT doc_id, round(list_max(list_filter(list_transform(list_zip(regexp_extract_all(text, '{_SIZES}', 1), regexp_extract_all(text, '{_SIZES}', 2)), lambda z: TRY_CAST(replace(z[1], ',', '') AS DOUBLE) * CASE lower(z[2]) WHEN 'mm' THEN 1.0::DOUBLE WHEN 'cm' THEN 10.0::DOUBLE ELSE 25.4::DOUBLE END), lambda v: v BETWEEN 15 AND 800)), 6) AS mm FROM documents",
+)
+def extract_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest plausible measure of every whole text, each converted by the unit captured beside it."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(specs.length_mm(F.col("text")), 6).alias("mm"))
+
+
+_WEIGHTS = f"(?i){_NUMBER}\\s*(g|kg|oz|lb)\\b"
+
+
+@query(
+    "spec_extraction",
+    f"""SELECT doc_id, array_to_string(list_transform(list_reverse_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '(?i){_NUMBER}\\s*(?:lumens?|lm)\\b', 1), lambda x: TRY_CAST(replace(x, ',', '') AS DOUBLE)), lambda v: v > 0.1 AND v < 200000))), lambda v: CAST(CAST(v AS BIGINT) AS VARCHAR)), ',') AS lumens,
+        round(list_first(list_filter(list_transform(list_zip(regexp_extract_all(text, '{_WEIGHTS}', 1), regexp_extract_all(text, '{_WEIGHTS}', 2)), lambda z: TRY_CAST(replace(z[1], ',', '') AS DOUBLE) * CASE lower(z[2]) WHEN 'g' THEN 1.0::DOUBLE WHEN 'kg' THEN 1000.0::DOUBLE WHEN 'oz' THEN 28.3495::DOUBLE ELSE 453.592::DOUBLE END), lambda v: v BETWEEN 5 AND 5000)), 6) AS weight_g,
+        nullif(upper(regexp_extract(text, '(?i)\\b(IP[X0-9][0-9])\\b', 1)), '') AS ip FROM documents""",
+)
+def spec_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs, the first weight and the protection class of every whole text."""
+    d = table(spark, sf_dir, "documents")
+    lumens = F.array_join(F.transform(specs.lumens(F.col("text")), lambda v: v.cast("long").cast("string")), ",")
+    return d.select("doc_id", lumens.alias("lumens"), F.round(specs.weight_g(F.col("text")), 6).alias("weight_g"), specs.ip_rating(F.col("text")).alias("ip"))
