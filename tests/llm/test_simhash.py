@@ -91,8 +91,9 @@ def test_blocks_find_all_within_the_radius(spark, radius):
             flips = sum(1 << b for b in rng.sample(range(128), rng.randint(0, 8)))
             prints.append(base ^ flips)
     prints += prints[:5]
-    df = spark.createDataFrame([(i, signed(p & (1 << 64) - 1), signed(p >> 64)) for i, p in enumerate(prints)], "id long, lo long, hi long")
-    found = simhash.near(df.where(F.col("id") % 10 == 0), df, radius).collect()
-    got = {(r.lo, r.hi): r.n_within for r in found}
-    want = {(signed(p & (1 << 64) - 1), signed(p >> 64)): sum((p ^ o).bit_count() <= radius for o in prints) for p in prints[::10]}
+    df = spark.createDataFrame([(i, signed(p & (1 << 64) - 1), signed(p >> 64)) for i, p in enumerate(prints)], "doc_id long, lo long, hi long")
+    found = simhash.near(df.where(F.col("doc_id") % 10 == 0), df, radius).collect()
+    got = {(r.lo, r.hi): (r.n_within, r.first_within) for r in found}
+    within = {p: [i for i, o in enumerate(prints) if (p ^ o).bit_count() <= radius] for p in prints[::10]}
+    want = {(signed(p & (1 << 64) - 1), signed(p >> 64)): (len(w), w[0]) for p, w in within.items()}
     assert got == want
