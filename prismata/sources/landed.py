@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import slug
+from ..functions.display import without_references
+from ..functions.text import html_to_text, slug, without_prefix
 from ..functions.urls import host, sitemap_locations
+from ..operators.extraction import extract
 
 PRODUCT = "struct<title:string,handle:string,vendor:string,product_type:string,tags:array<string>,body_html:string,images:array<struct<src:string>>,variants:array<struct<title:string,price:string,available:boolean,sku:string>>,options:array<struct<name:string,values:array<string>>>>"
 
@@ -44,6 +46,49 @@ def entries(products: DataFrame, store_url: str) -> DataFrame:
     )
 
 
+SECOND = "array<struct<id:long,name:string,permalink:string,prices:struct<price:string,currency_minor_unit:int>,images:array<struct<src:string>>,attributes:array<struct<name:string,terms:array<struct<name:string>>>>,categories:array<struct<name:string>>,description:string,is_in_stock:boolean>>"
+
+
+def second_store(spark: SparkSession, path: str) -> DataFrame:
+    """Products of the other store shape (a JSON list per landed page, prices in minor units); a repeated id counts once."""
+    pages = spark.read.text(path, wholetext=True).select(F.from_json("value", SECOND).alias("p"))
+    return pages.select(F.explode("p").alias("p")).select("p.*").dropDuplicates(["id", "permalink"])
+
+
+def second_entries(products: DataFrame, brand: str) -> DataFrame:
+    """The same catalogue rows from the other store shape; its names carry the brand and references."""
+    name = without_references(F.trim("name"))
+    minor = F.coalesce(F.col("prices.currency_minor_unit"), F.lit(2))
+    price = F.col("prices.price").try_cast("double") / F.pow(F.lit(10.0), minor)
+    terms = F.flatten(F.transform(F.filter("attributes", lambda a: F.lower(a["name"]).rlike("colou?r")), lambda a: F.transform(a["terms"], lambda t: t["name"])))
+    model = without_prefix(name, F.lit(brand))
+    return products.select(
+        slug(F.lit(brand), model).alias("id"),
+        model.alias("model"),
+        F.lit(brand).alias("brand"),
+        F.when(price > 0, price).alias("price_usd"),
+        F.coalesce(terms, F.array().cast("array<string>")).alias("color"),
+        F.slice(F.transform("images", lambda i: i["src"]), 1, 5).alias("image_urls"),
+        F.col("permalink").alias("url"),
+        F.coalesce("is_in_stock", F.lit(False)).alias("in_stock"),
+        F.col("description").alias("body_html"),
+    )
+
+
+def reviews(pages: DataFrame) -> DataFrame:
+    """page_id, url, subject and what was measured, of landed review pages (page_id, html, url)."""
+    heading = F.trim(F.regexp_replace(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1), "<[^>]*>", " "))
+    text = html_to_text(F.col("html"))
+    return pages.select(
+        "page_id",
+        "url",
+        F.trim(F.regexp_replace(heading, r"(?i)\s*[-–:|]?\s*\b(?:review|test|hands[- ]on)\b.*$", "")).alias("subject"),
+        extract(text, "lumens").alias("measured_lumens"),
+        extract(text, "cri").alias("measured_cri"),
+        extract(text, "cct").alias("measured_cct"),
+    )
+
+
 def sitemap(spark: SparkSession, path: str) -> DataFrame:
     """url, nested: locations of landed sitemap files; nested ones are sitemaps themselves."""
     x = spark.read.text(path, wholetext=True).select(F.explode(sitemap_locations(F.col("value"))).alias("url"))
