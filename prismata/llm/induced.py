@@ -4,7 +4,7 @@ The shard's text is a uint8 array in which 0 ends each piece.  A suffix is of
 type S when it is smaller than the next one, else L; the leftmost S of each run
 (S*) is sorted first.  S* substrings are sorted by their symbols and get names;
 unless all names differ, the string of names is sorted in turn by the same
-method, recursively.  From the sorted S* suffixes a sweep induces all L suffixes
+method, recursively, until it is short enough to be sorted in memory.  From the sorted S* suffixes a sweep induces all L suffixes
 and a sweep the other way all S suffixes.
 
 A sweep is a priority queue over (first symbol, order of the rest).  The queue
@@ -31,7 +31,9 @@ import numpy as np
 #: Bytes of tuples a queue keeps in memory; also what a text may have before it is mapped from a file.
 QUEUE_BYTES = 8 << 20
 #: Suffixes in a bucket of several symbols, about.
-BUCKET = 4096
+BUCKET = 8_000
+#: Tuples of a bucket that are read at once, about.
+BATCH = 1 << 16
 
 Run = tuple[np.ndarray, ...]
 
@@ -74,9 +76,20 @@ class Queue:
             return tuple(np.frombuffer(self.file.read(n * kind.itemsize), kind) for kind, n in run[1])
         return run
 
+    def take(self, bucket: int, i: int, back: bool = False, most: int = BATCH) -> tuple[Run, int]:
+        """The runs from the i-th on (``back``: before it) that hold about ``most`` tuples together, and the next i."""
+        runs, n = [], 0
+        while n < most and (i > 0 if back else i < len(self.runs[bucket])):
+            i -= back
+            runs.append(self.get(bucket, i))
+            n += len(runs[-1][0])
+            i += not back
+        if back:
+            runs.reverse()
+        return (runs[0] if len(runs) == 1 else tuple(np.concatenate(c) for c in zip(*runs, strict=True))), i
+
     def all(self, bucket: int) -> Run | None:
-        runs = [self.get(bucket, i) for i in range(len(self.runs[bucket]))]
-        return tuple(np.concatenate(c) for c in zip(*runs, strict=True)) if runs else None
+        return self.take(bucket, 0, most=1 << 62)[0] if self.runs[bucket] else None
 
     def close(self) -> None:
         if self.file is not None:
@@ -199,8 +212,28 @@ def _sweep_names(w: np.ndarray, first: np.ndarray, stream: np.ndarray, memory: i
     queue.close()
 
 
+def doubled(t: np.ndarray) -> np.ndarray:
+    """All suffixes of a short string in order, by the ranks of ever longer prefixes."""
+    rank, known = t.astype(np.int64) + 1, 1
+    while True:
+        follow = np.zeros(len(t), np.int64)
+        follow[:-known] = rank[known:]
+        key = rank << 32 | follow
+        order = np.argsort(key)
+        new = np.diff(key[order], prepend=-1) != 0
+        rank[order] = np.cumsum(new)
+        known *= 2
+        if new.all() or known >= len(t):
+            return order
+
+
 def sorted_suffixes(t: np.ndarray, memory: int = QUEUE_BYTES) -> np.ndarray:
-    """All suffixes of a string of names in order; a suffix that ends is smaller."""
+    """All suffixes of a string of names in order; a suffix that ends is smaller.
+
+    The recursion ends with a string that takes no more than ``memory`` to sort.
+    """
+    if len(t) * 24 <= memory:
+        return doubled(t)
     s = types(t)
     star = star_order(t, s, memory)
     larger = [np.concatenate(c) for c in zip(*_sweep_names(t, np.array([len(t) - 1], np.int32), star, memory), strict=True)]
@@ -305,8 +338,8 @@ def repeated_suffixes(t: np.ndarray, length: int, memory: int = QUEUE_BYTES) ->
     for c in range(256):
         i = 0
         while i < len(up.queue.runs[c]):
-            up.passed(*up.queue.get(c, i), True)
-            i += 1
+            run, i = up.queue.take(c, i)
+            up.passed(*run, True)
         given = star[edges[c] : edges[c + 1]]
         if len(given):
             prefix = shared[edges[c] : edges[c + 1]].copy()
@@ -326,11 +359,11 @@ def repeated_suffixes(t: np.ndarray, length: int, memory: int = QUEUE_BYTES) ->
     for c in range(255, -1, -1):
         i = 0
         while i < len(down.queue.runs[255 - c]):
-            emit(*down.queue.get(255 - c, i), True)
-            i += 1
-        after = None
-        for j in range(len(up.queue.runs[c]) - 1, -1, -1):
-            suffix, prefix = up.queue.get(c, j)
+            run, i = down.queue.take(255 - c, i)
+            emit(*run, True)
+        after, j = None, len(up.queue.runs[c])
+        while j > 0:
+            (suffix, prefix), j = up.queue.take(c, j, back=True)
             if after is None:
                 after = down.seam(int(suffix[-1])) if i else 0
             turned = np.concatenate([[after], prefix[:0:-1]]).astype(np.int32)
