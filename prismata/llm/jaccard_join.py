@@ -12,16 +12,17 @@ threshold meets in some tree with probability ``RECALL``: 1 - prod(1 -
 threshold ** depth).  ``base_depth`` is the common depth at which all trees
 together reach it.  A node whose prefixes of that depth are shared by at most
 ``CROWD`` nodes shortens all trees to it.  A node in a more crowded prefix
-shortens one tree after the other, that with the fewest nodes under its next
-prefix first, and stops as soon as the recall is reached, so its most crowded
-trees keep longer prefixes.  The bound holds for every node by itself, whatever
+shortens one tree after the other, trees without a crowd first and then that with
+the fewest nodes under its next prefix, and stops as soon as the recall is
+reached, so its most crowded trees keep longer prefixes.  The bound holds for every node by itself, whatever
 its partner has chosen.
 
-Verification is exact.  Nodes are dealt into blocks of ``BLOCK`` neighbours in the
-sorted order of the first tree.  Two blocks that share a prefix meet in one task,
-with those nodes only that share one (all of a block's nodes under a crowded
-prefix), so a pair is compared once however many trees it shares, and a crowded
-prefix is split over tasks.  Shingle sets are intersected as numbers, and a task
+Verification is exact.  A node belongs to the smallest node it shares a base
+prefix with, so that a group of near copies lies together, and such a group is
+dealt into blocks of about ``BLOCK`` nodes.  Two blocks that share a prefix meet in
+one task, with those nodes only that share one (all of a block's nodes under a
+crowded prefix), so a pair is compared once however many trees it shares, and a
+crowded prefix is split over tasks.  Shingle sets are intersected as numbers, and a task
 gives back per node its count of links and one edge towards the smallest linked
 node, never the pairs.  Components over those edges give the classes.
 
@@ -158,16 +159,20 @@ def _features(trees: int, depth: int, base: int, k: int):
 
 
 def _depths(trees: int, depth: int, base: int, threshold: float, recall: float):
-    """The (tree, prefix) keys that each node of a crowded prefix asks for."""
+    """The prefixes that each node asks for in its crowded trees, from (at, key, under) of their prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, levels = batch.num_rows, depth - base + 1
-            keys = np.array(batch.column("keys").flatten(), np.int64).reshape(n, trees, levels)
-            under = np.array(batch.column("under").flatten(), np.int64).reshape(n, trees, levels)
-            at = shortened(under, base, threshold, recall) - base
-            chosen = np.take_along_axis(keys, at[:, :, None], 2)[:, :, 0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(chosen))], names=["key"])
+            lists = batch.column("k")
+            row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+            at, key, count = (lists.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            keys, under = np.zeros((2, n, trees * levels), np.int64)
+            keys[row, at], under[row, at] = key, count
+            chosen = shortened(under.reshape(n, trees, levels), base, threshold, recall) - base
+            place = np.arange(trees) * levels + chosen
+            keys, told = np.take_along_axis(keys, place, 1), np.take_along_axis(under, place, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(keys[told > 0]))], names=["key"])
 
     return run
 
@@ -271,30 +276,42 @@ def _verify(threshold: float, k: int):
     return run
 
 
-def candidates(nodes: DataFrame, trees: int, depth: int, base: int, threshold: float, recall: float, crowd: int) -> DataFrame:
-    """(i, j, node, block): which nodes meet in the task of which two blocks."""
-    member = nodes.select("node", "block", F.posexplode("labels").alias("tree", "label")).select("node", "block", F.xxhash64("tree", "label").alias("key"))
-    shared = common.saved(member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+def candidates(nodes: DataFrame, trees: int, depth: int, base: int, threshold: float, recall: float, crowd: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(i, j, node): which nodes meet in the task of which two blocks; and (node, block)."""
+    member = nodes.select("node", F.posexplode("labels").alias("tree", "label")).select("node", "tree", F.xxhash64("tree", "label").alias("key"))
+    shared = common.saved(member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1"))
     member = common.saved(member.join(shared, "key"))  # tables of their own, so that joins can split a frequent prefix
+    hubs = common.saved(member.groupBy("node").agg(F.min("hub").alias("hub"), F.max("n").alias("n")))
+    sizes = hubs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"))
+    placed = hubs.join(sizes, "hub").select("node", F.xxhash64("hub", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"), (F.col("n") > crowd).alias("crowded"))
+    placed = common.saved(placed)
     pair = lambda x, y: F.struct(F.least(x, y).alias("i"), F.greatest(x, y).alias("j"))
-    few = member.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list(F.struct("node", "block")).alias("m"), F.collect_set("block").alias("blocks"))
+
+    few = member.where(F.col("n") <= crowd).select("key", "node").join(placed, "node")
+    few = few.groupBy("key").agg(F.collect_list(F.struct("node", "block")).alias("m"), F.collect_set("block").alias("blocks"))  # at most ``crowd`` nodes
     few = few.select(F.explode("m").alias("m"), "blocks").select("m.node", "m.block", F.explode("blocks").alias("other"))
-    fine = few.select(pair(F.col("block"), F.col("other")).alias("p"), "node", "block").select("p.i", "p.j", "node", "block").distinct()
-    crowded = common.saved(member.where(F.col("n") > crowd).select("node").distinct().join(nodes, "node").select("node", "block", "labels", "deeper"))
-    # keys of the prefixes of all depths, and how many nodes are under each
+    fine = few.select(pair(F.col("block"), F.col("other")).alias("p"), "node").select("p.i", "p.j", "node").distinct()
+
+    # the crowded prefixes of each node, their longer ones in the same tree, and how many nodes are under each
+    crowded = placed.where("crowded").select("node", "block")
     levels = depth - base
-    step = lambda t, l: F.when(F.lit(l) == 0, F.xxhash64(t, F.get("labels", t))).otherwise(F.xxhash64(F.lit(l), t, F.get("labels", t), F.slice("deeper", t * levels + 1, F.lit(max(1, l)))))
-    keyed = crowded.select("node", "block", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.array(*[step(t, l) for l in range(levels + 1)]))).alias("keys"))
-    every = common.saved(keyed.select("node", "block", F.posexplode("keys").alias("at", "key")))
-    under = common.saved(every.groupBy("key").agg(F.count(F.lit(1)).alias("under")))
-    asked = every.join(under, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "key", "under"))).alias("k"))  # one entry per tree and depth
-    asked = asked.select(F.col("k.key").alias("keys"), F.col("k.under").alias("under")).mapInArrow(_depths(trees, depth, base, threshold, recall), "key long").distinct()
-    groups = every.join(asked, "key").groupBy("key").agg(F.collect_set("block").alias("blocks")).where(F.size("blocks") > 0).select("blocks").distinct()
-    two = groups.select(F.explode("blocks").alias("x"), "blocks").select("x", F.explode("blocks").alias("y")).where("x <= y").distinct()
-    two = common.saved(two.select(F.col("x").alias("i"), F.col("y").alias("j")))
+    base_keys = member.where(F.col("n") > crowd).select("node", "tree", "key", F.col("n").alias("under"))
+    base_keys = common.saved(base_keys.join(crowded, "node"))
+    longer = lambda l: F.struct(F.lit(l).alias("level"), F.xxhash64(F.lit(l), "key", F.slice("deeper", F.col("tree") * levels + 1, F.lit(l))).alias("key"))
+    deeper = base_keys.join(nodes.select("node", "deeper"), "node")
+    deeper = deeper.select("node", "block", "tree", F.explode(F.array(*[longer(l) for l in range(1, levels + 1)])).alias("x")).select("node", "block", "tree", "x.level", "x.key") if levels else base_keys.select("node", "block", "tree", F.lit(0).alias("level"), "key").limit(0)
+    deeper = common.saved(deeper)
+    under = common.saved(deeper.groupBy("key").agg(F.count(F.lit(1)).alias("under")))
+    every = deeper.join(under, "key").unionByName(base_keys.withColumn("level", F.lit(0)))
+    every = common.saved(every.select("node", "block", (F.col("tree") * (levels + 1) + F.col("level")).alias("at"), "key", "under"))
+    asked = every.groupBy("node").agg(F.collect_list(F.struct("at", "key", "under")).alias("k"))  # one entry per tree and depth
+    asked = asked.select("k").mapInArrow(_depths(trees, depth, base, threshold, recall), "key long").distinct()
+    groups = every.join(asked, "key").groupBy("key").agg(F.collect_set("block").alias("blocks")).select("blocks").distinct()
+    two = groups.select(F.explode("blocks").alias("i"), "blocks").select("i", F.explode("blocks").alias("j")).where("i <= j").distinct()
+    two = common.saved(two)
     sides = two.withColumn("block", F.col("i")).unionByName(two.where("i < j").withColumn("block", F.col("j")))
-    coarse = sides.join(crowded.select("node", "block"), "block").select("i", "j", "node", "block")
-    return fine.unionByName(coarse).distinct()
+    coarse = sides.join(crowded, "block").select("i", "j", "node")
+    return fine.unionByName(coarse).distinct(), placed.select("node", "block")
 
 
 def labelled(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
@@ -305,13 +322,12 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHING
     rows = common.saved(docs.select("rid", "doc_id", "text").mapInArrow(_features(trees, depth, base, shingle), "rid long, doc_id long, k1 long, k2 long, size long, labels array<long>, deeper array<int>"))
     nodes = rows.where("size > 0").groupBy("k1", "k2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min_by(F.struct("labels", "deeper"), "rid").alias("s"))
     nodes = nodes.select("k1", "k2", "node", "doc_id", "copies", "s.labels", "s.deeper")
-    # in the order of the first tree, in blocks of neighbours; the partition number is in the upper bits
-    order = [F.get("labels", 0), F.slice("deeper", 1, max(1, depth - base)), "node"]
-    nodes = nodes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
-    nodes = common.saved(nodes.withColumn("block", F.shiftright("place", 33) * (1 << 33) + F.floor(F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) / block)).drop("place"))
+    nodes = common.saved(nodes)
 
-    meet = common.saved(candidates(nodes, trees, depth, base, threshold, recall, crowd))
-    wanted = meet.select("node").distinct().join(nodes.select("node", "k1", "k2", "copies"), "node")
+    meet, placed = candidates(nodes, trees, depth, base, threshold, recall, crowd, block)
+    meet = common.saved(meet)
+    wanted = meet.select("node").distinct().join(nodes.select("node", "k1", "k2", "copies"), "node").join(placed, "node")
+    wanted = common.saved(wanted)  # of known size: while it is small, the texts need no shuffle
     wanted = common.saved(docs.select(F.col("rid").alias("node"), "text").join(wanted, "node"))
     meet = meet.join(wanted, "node").select("i", "j", "node", "k1", "k2", "copies", "block", "text")
     meet = meet.repartition("i", "j").sortWithinPartitions("i", "j", "node")
