@@ -280,7 +280,7 @@ def candidates(nodes: DataFrame, trees: int, depth: int, base: int, threshold: f
     """(i, j, node): which nodes meet in the task of which two blocks; and (node, block)."""
     member = nodes.select("node", F.posexplode("labels").alias("tree", "label")).select("node", "tree", F.xxhash64("tree", "label").alias("key"))
     shared = common.saved(member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1"))
-    member = common.saved(member.join(shared, "key"))  # tables of their own, so that joins can split a frequent prefix
+    member = common.saved(member.join(shared.hint("merge"), "key"))  # tables of their own, so that joins can split a frequent prefix
     hubs = common.saved(member.groupBy("node").agg(F.min("hub").alias("hub"), F.max("n").alias("n")))
     sizes = hubs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"))
     placed = hubs.join(sizes, "hub").select("node", F.xxhash64("hub", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"), (F.col("n") > crowd).alias("crowded"))
@@ -327,9 +327,9 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHING
     meet, placed = candidates(nodes, trees, depth, base, threshold, recall, crowd, block)
     meet = common.saved(meet)
     wanted = meet.select("node").distinct().join(nodes.select("node", "k1", "k2", "copies"), "node").join(placed, "node")
-    wanted = common.saved(wanted)  # of known size: while it is small, the texts need no shuffle
-    wanted = common.saved(docs.select(F.col("rid").alias("node"), "text").join(wanted, "node"))
-    meet = meet.join(wanted, "node").select("i", "j", "node", "k1", "k2", "copies", "block", "text")
+    # joins that carry texts or all labels are sort-merge joins at every size, so that a plan seen on little data holds on much
+    wanted = common.saved(docs.select(F.col("rid").alias("node"), "text").join(wanted.hint("merge"), "node"))
+    meet = meet.join(wanted.hint("merge"), "node").select("i", "j", "node", "k1", "k2", "copies", "block", "text")
     meet = meet.repartition("i", "j").sortWithinPartitions("i", "j", "node")
     found = common.saved(meet.mapInArrow(_verify(threshold, shingle), "node long, hub long, n_texts long, n_docs long"))
 
