@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_template, jaccard_join, mixing, oracles, packing, pu_quality, quality_rules, secret_scan, simhash, suffix_dedup, toxicity
+from . import html_template, importance, jaccard_join, mixing, oracles, oracles_more, packing, pu_quality, quality_rules, reply_trees, secret_scan, simhash, suffix_dedup, toxicity, vector_codes
 from .common import table
 
 
@@ -54,6 +54,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op11_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as one chain of replies, formatted and read back."""
+    return reply_trees.report(table(spark, sf_dir, "conversations"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the word distribution of ``benchmark``."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of every embedding, with the codebooks' digest."""
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_secret_scan": op2_secret_scan,
@@ -65,6 +80,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_html_template": op9_html_template,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_reply_trees": op11_reply_trees,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": oracles.JACCARD, "op2_secret_scan": oracles.secrets()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": oracles.JACCARD,
+    "op2_secret_scan": oracles.secrets(),
+    "op11_reply_trees": oracles_more.conversations(),
+    "op12_importance_resampling": oracles_more.resampling(),
+    "op13_vector_codes": oracles_more.vectors(),
+}
