@@ -31,9 +31,9 @@ def blocks(buf: np.ndarray, off: np.ndarray, length: int, gram: int = GRAM) -> d
     none = {k: np.zeros(0, np.int64) for k in ("text", "lo", "n", "anchor", "reach", "start")}
     if len(buf) < length:
         return none
-    p = tb.prefix(buf)
+    p = tb.rolling(buf)
     at = np.arange(len(buf) - gram + 1)
-    h = tb.span_hash(p, at, at + gram)
+    h = tb.rolled(p, at, at + gram)
     least = sliding_least((h & tb.U64(0xFFFFFFFF00000000)) | at.astype(np.uint64), length - gram + 1)
     place = (least & tb.U64(0xFFFFFFFF)).astype(np.int64)
     size = np.diff(off)

@@ -1,7 +1,7 @@
 """N-gram Jaccard self join: MinHash LSH forest, then exact verification.
 
 Method.  Each text becomes its set of five-word shingles (64-bit hashes of all
-words; a text of one to four words is one shingle).  Equal sets collapse first,
+words under a key drawn for the run; a text of one to four words is one shingle).  Equal sets collapse first,
 by a partially aggregated group on a 128-bit key of the set, so thousands of
 copies are one node afterwards.  Each node gets ``TREES`` label sequences of
 ``DEPTH`` MinHash values.  A tree is the trie of its sorted sequences; two nodes
@@ -89,9 +89,9 @@ def shortened(under: np.ndarray, base: int, threshold: float = THRESHOLD, recall
     return at + base
 
 
-def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(buf: np.ndarray, off: np.ndarray, key: tb.Key, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of a chunk's texts: (text number, hash)."""
-    h, _, _, text = tb.word_hashes(buf, off)
+    h, _, _, text = tb.word_hashes(buf, off, key=key)
     win, at = tb.windows(h, text, k)
     owner = text[at]
     n = len(off) - 1
@@ -124,7 +124,7 @@ def set_keys(owner: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return out[0], out[1], np.diff(at)
 
 
-def _features(trees: int, depth: int, base: int, k: int):
+def _features(trees: int, depth: int, base: int, k: int, key: tb.Key):
     rng = np.random.default_rng(8191)
     mult = rng.integers(1, 1 << 63, trees * depth, dtype=np.uint64) | np.uint64(1)
     add = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
@@ -132,7 +132,7 @@ def _features(trees: int, depth: int, base: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, off in tb.chunks(batch.column("text")):
-                owner, h = shingle_sets(buf, off, k)
+                owner, h = shingle_sets(buf, off, key, k)
                 n = b - a
                 k1, k2, size = set_keys(owner, h, n)
                 full = np.flatnonzero(size)
@@ -221,7 +221,7 @@ def links_within(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, th
     yield left[i], right[j]
 
 
-def _verify(threshold: float, k: int):
+def _verify(threshold: float, k: int, secret: tb.Key):
     def group(key: tuple, nodes: list, copies: list, blocks: list, sets: list) -> pa.RecordBatch | None:
         block = np.array(blocks)
         left = np.flatnonzero(block == key[0])
@@ -258,7 +258,7 @@ def _verify(threshold: float, k: int):
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("i", "j")), strict=True))
             node, k1, k2, copies, block = (batch.column(c).to_pylist() for c in ("node", "k1", "k2", "copies", "block"))
             for a, b, buf, off in tb.chunks(batch.column("text")):
-                owner, h = shingle_sets(buf, off, k)
+                owner, h = shingle_sets(buf, off, secret, k)
                 k1s, k2s, _ = set_keys(owner, h, b - a)
                 at = np.searchsorted(owner, np.arange(b - a + 1))
                 for r in range(b - a):
@@ -319,7 +319,8 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHING
     spark = docs.sparkSession
     common.workers_import(spark)
     base = base_depth(trees, depth, threshold, recall)
-    rows = common.saved(docs.select("rid", "doc_id", "text").mapInArrow(_features(trees, depth, base, shingle), "rid long, doc_id long, k1 long, k2 long, size long, labels array<long>, deeper array<int>"))
+    key = tb.Key()  # drawn for this run, so that no text can be written to collide
+    rows = common.saved(docs.select("rid", "doc_id", "text").mapInArrow(_features(trees, depth, base, shingle, key), "rid long, doc_id long, k1 long, k2 long, size long, labels array<long>, deeper array<int>"))
     nodes = rows.where("size > 0").groupBy("k1", "k2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min_by(F.struct("labels", "deeper"), "rid").alias("s"))
     nodes = nodes.select("k1", "k2", "node", "doc_id", "copies", "s.labels", "s.deeper")
     nodes = common.saved(nodes)
@@ -331,7 +332,7 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHING
     wanted = common.saved(docs.select(F.col("rid").alias("node"), "text").join(wanted.hint("merge"), "node"))
     meet = meet.join(wanted.hint("merge"), "node").select("i", "j", "node", "k1", "k2", "copies", "block", "text")
     meet = meet.repartition("i", "j").sortWithinPartitions("i", "j", "node")
-    found = common.saved(meet.mapInArrow(_verify(threshold, shingle), "node long, hub long, n_texts long, n_docs long"))
+    found = common.saved(meet.mapInArrow(_verify(threshold, shingle, key), "node long, hub long, n_texts long, n_docs long"))
 
     classes = components(found.where("node <> hub"), "node", "hub")
     degree = found.groupBy("node").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))

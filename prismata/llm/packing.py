@@ -20,7 +20,7 @@ stretch is of bounded size, so it is packed inside one task.
 Tokenising.  White space ends every token of this vocabulary, as does the
 border between an ASCII letter and most ASCII punctuation, and case is folded.
 So a worker tokenises each distinct folded unit between such borders once and
-keeps its ids by the unit's 64-bit hash (at most ``CACHED_WORDS`` units, then it
+keeps its ids by the unit's 64-bit hash under a key of its own (at most ``CACHED_WORDS`` units, then it
 starts anew); a text's ids are gathered from there.  New units of letters only
 are one word each for the vocabulary's own splitting, so they are tokenised on
 end and told apart by the marks of word ends.  The vocabulary file is a parameter and is read where it is

@@ -98,7 +98,7 @@ def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     full = b > a
     a, b, of = a[full], b[full], of[full]
     lines = np.bincount(of, minlength=n)
-    out["repeated_lines"] = np.where(lines > 0, 1 - distinct(tb.span_hash(tb.prefix(buf), a, b), of), 0)
+    out["repeated_lines"] = np.where(lines > 0, 1 - distinct(tb.span_hash(buf, a, b), of), 0)
     out["line_words"] = np.minimum(1, np.log1p(count / np.maximum(1, lines)) / 8)
     x = np.stack([out[k] for k in NAMES], 1)
     return np.concatenate([x, np.sqrt(np.maximum(0, x))], 1).astype(np.float32)

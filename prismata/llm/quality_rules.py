@@ -79,7 +79,7 @@ def base_counts(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     of = np.searchsorted(off, a, "right") - 1  # an empty text's line lands on a later text, and has no word
     full = inked[b] > inked[a]
     a, b, of = a[full], b[full], of[full]
-    seen = tb.unique(tb.keyed(tb.span_hash(tb.prefix(buf), a, b), of))[1]
+    seen = tb.unique(tb.keyed(tb.span_hash(buf, a, b), of))[1]
     out["n_dup_lines"] = np.bincount(of, minlength=n) - np.bincount(of[seen], minlength=n)
     win, at = tb.windows(h, text, WINDOW)
     _, _, inverse = tb.unique(tb.keyed(win, text[at]))

@@ -35,6 +35,7 @@ that are not UTF-8; ``deduplicated`` replaces them.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +61,12 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return common.saved(docs.withColumn("rid", F.monotonically_increasing_id()))
 
 
+def _marks(buf: np.ndarray, off: np.ndarray, secret: bytes) -> np.ndarray:
+    """A keyed digest of each text of a chunk: the places of its copies are one place."""
+    view = memoryview(np.ascontiguousarray(buf))
+    return np.frombuffer(b"".join([hashlib.blake2b(view[a:b], digest_size=8, key=secret).digest() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]), np.uint64)
+
+
 def _digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> list[pa.Array]:
     """128 bits of each span, as two columns."""
     view = memoryview(raw)
@@ -68,33 +75,33 @@ def _digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> list[pa.Array]:
     return [pa.array(pair[:, 0]), pa.array(pair[:, 1])]
 
 
-def _places(length: int):
+def _places(length: int, secret: bytes):
     """anchor and a mark of the place, for every block and every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = batch.column("rid").to_numpy()
             for a, b, buf, off in tb.chunks(batch.column("text")):
-                key = tb.span_hash(tb.prefix(buf), off[:-1], off[1:])
+                mark = _marks(buf, off, secret)
                 got = anchors.blocks(buf, off, length)
                 # the blocks of a text's copies are at one place
-                occ = tb.mix(key[got["text"]] + tb.mix(got["lo"].astype(np.uint64))).view(np.int64)
+                occ = tb.mix(mark[got["text"]] + tb.mix(got["lo"].astype(np.uint64))).view(np.int64)
                 long_ = np.flatnonzero(np.diff(off) >= length)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([got["anchor"], key[long_].view(np.int64)])), pa.array(np.concatenate([occ, rid[a:b][long_]]))], names=["anchor", "occ"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([got["anchor"], mark[long_].view(np.int64)])), pa.array(np.concatenate([occ, rid[a:b][long_]]))], names=["anchor", "occ"])
 
     return run
 
 
-def _blocks(length: int):
+def _blocks(length: int, secret: bytes):
     """The blocks of each text, and the text itself as a block of no windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = batch.column("rid").to_numpy()
             for a, b, buf, off in tb.chunks(batch.column("text")):
-                key = tb.span_hash(tb.prefix(buf), off[:-1], off[1:])
+                mark = _marks(buf, off, secret)
                 got = anchors.blocks(buf, off, length)
-                occ = tb.mix(key[got["text"]] + tb.mix(got["lo"].astype(np.uint64))).view(np.int64)
+                occ = tb.mix(mark[got["text"]] + tb.mix(got["lo"].astype(np.uint64))).view(np.int64)
                 long_ = np.flatnonzero(np.diff(off) >= length)
                 cat = lambda x, y, kind=np.int64: pa.array(np.concatenate([x, y]).astype(kind))
                 none = np.zeros(len(long_))
@@ -106,7 +113,7 @@ def _blocks(length: int):
                         cat(got["lo"], none - 1, np.int32),
                         cat(got["n"], none, np.int32),
                         cat(got["reach"], none, np.int32),
-                        cat(got["anchor"], key[long_].view(np.int64)),
+                        cat(got["anchor"], mark[long_].view(np.int64)),
                         *_digests(buf.tobytes(), start, end),
                         cat(occ, rid[a:b][long_]),
                     ],
@@ -222,11 +229,12 @@ def marks(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES,
     ``docs`` is a stored table with rid and text.
     """
     common.workers_import(docs.sparkSession)
+    secret = secrets.token_bytes(32)
     texts = docs.select("rid", "text")
-    seen = texts.mapInArrow(_places(length), "anchor long, occ long")
+    seen = texts.mapInArrow(_places(length, secret), "anchor long, occ long")
     seen = seen.groupBy("anchor").agg(F.min("occ").alias("x"), F.max("occ").alias("y")).where("x <> y").select("anchor")
     seen = common.saved(seen)  # as a table of its own, so that the join below can split a frequent anchor
-    blocks = texts.mapInArrow(_blocks(length), "rid long, lo int, n int, reach int, anchor long, c1 long, c2 long, occ long")
+    blocks = texts.mapInArrow(_blocks(length, secret), "rid long, lo int, n int, reach int, anchor long, c1 long, c2 long, occ long")
     cands = common.saved(blocks.join(seen, "anchor"))
     named = cands.groupBy(*CONTENT).agg(F.min("occ").alias("x"), F.max("occ").alias("y"), F.min(F.struct("rid", "lo", "n", "reach")).alias("one"))
     named = common.saved(named.select(*CONTENT, (F.col("x") != F.col("y")).alias("whole"), "one"))

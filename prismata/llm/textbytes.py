@@ -9,6 +9,8 @@ makes a chunk of its own.
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,19 +91,67 @@ def per_text(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     return c[off[1:]] - c[off[:-1]]
 
 
-def prefix(buf: np.ndarray) -> np.ndarray:
+def rolling(buf: np.ndarray) -> np.ndarray:
+    """Sums from which ``rolled`` reads the hash of any span.
+
+    A polynomial modulo 2**64: strings with one hash can be made on purpose, so
+    it may choose where to look and never says that two strings are equal.
+    """
     up, _ = powers(len(buf) + 1)
     p = np.zeros(len(buf) + 1, U64)
     np.cumsum(BYTE_CODE[buf] * up[: len(buf)], out=p[1:])
     return p
 
 
-def span_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of bytes [start, end), the same wherever they stand."""
+def rolled(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit rolling hash of bytes [start, end), the same wherever they stand."""
     _, down = powers(len(p))
     return mix((p[end] - p[start]) * down[start] + (end - start).astype(U64))
 
 
+class Key:
+    """Secret numbers of one hash function: nobody who writes a text knows them, so no two strings can be made to collide."""
+
+    def __init__(self, secret: bytes | None = None) -> None:
+        self.secret = secret or secrets.token_bytes(32)
+        more = hashlib.blake2b(self.secret, digest_size=64).digest() + hashlib.blake2b(self.secret, digest_size=64, salt=b"more").digest()
+        self.add = np.frombuffer(more, U64)
+        self.length = self.add[0] ^ U64(len(self.secret))
+
+
+#: Drawn anew in each process: for hashes that no other process sees.
+OWN = Key()
+#: Bytes of a span that are hashed in numpy; a longer one by a keyed cryptographic digest.
+PLAIN = 128
+_BELOW = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+
+
+def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, key: Key = OWN) -> np.ndarray:
+    """64-bit keyed hash of bytes [start, end), the same wherever they stand.
+
+    Eight bytes at a time go through keyed bijective mixing, for as many spans
+    as have so many bytes.
+    """
+    size = end - start
+    h = mix(size.astype(U64) + key.length)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    words8 = np.ndarray(len(buf) + 1, "<u8", padded.data, strides=(1,))
+    rows = np.flatnonzero((size > 0) & (size <= PLAIN))
+    for i in range(PLAIN // 8):
+        if i:
+            rows = rows[size[rows] > 8 * i]
+        if not len(rows):
+            break
+        eight = words8[start[rows] + 8 * i] & _BELOW[np.minimum(size[rows] - 8 * i, 8)]
+        h[rows] = mix(h[rows] ^ mix(eight + key.add[i]))
+    long_ = np.flatnonzero(size > PLAIN)
+    if len(long_):
+        view = memoryview(np.ascontiguousarray(buf))
+        told = b"".join([hashlib.blake2b(view[a:b], digest_size=8, key=key.secret).digest() for a, b in zip(start[long_].tolist(), end[long_].tolist(), strict=True)])
+        h[long_] = np.frombuffer(told, U64)
+    return h
+
+
 def words(buf: np.ndarray, off: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, text number) of each run of bytes other than ASCII white space.
 
@@ -126,9 +176,9 @@ def words(buf: np.ndarray, off: np.ndarray, cut: np.ndarray | None = None) -> tu
     return start, end, np.searchsorted(off, start, "right") - 1
 
 
-def word_hashes(buf: np.ndarray, off: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(buf: np.ndarray, off: np.ndarray, cut: np.ndarray | None = None, key: Key = OWN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     start, end, text = words(buf, off, cut)
-    return span_hash(prefix(buf), start, end), start, end, text
+    return span_hash(buf, start, end, key), start, end, text
 
 
 def windows(h: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
