@@ -120,16 +120,19 @@ def mined(df: DataFrame, text: str, fields: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), extract(F.col(text), f)) for c, f in fields.items()})
 
 
-# fixed values: colour words and suffix codes of model names
-COLOUR_WORDS = [("black", "black"), ("midnight", "black"), ("rose", "pink"), ("pink", "pink"), ("crimson", "red"), ("red", "red"), ("navy", "blue"), ("blue", "blue"), ("olive", "green"), ("green", "green"), ("orange", "orange"), ("yellow", "yellow"), ("purple", "purple"), ("violet", "purple"), ("white", "white"), ("silver", "silver"), ("chrome", "silver"), ("gunmetal", "gray"), ("gray", "gray"), ("grey", "gray"), ("copper", "copper"), ("brass", "brass"), ("desert", "brown"), ("coyote", "brown"), ("tan", "brown"), ("brown", "brown"), ("camo", "camo"), ("teal", "teal"), ("gold", "gold")]
-COLOUR_CODES = [("-bk", "black"), ("-blk", "black"), (" bk", "black"), ("-tn", "brown"), ("-fde", "brown"), ("-od", "green"), ("-rd", "red"), ("-bl", "blue"), ("-gy", "gray"), ("-sv", "silver")]
+# fixed values: the colours a finish is filed under, each with further words for it
+COLOURS = {
+    "black": "midnight", "white": "", "silver": "chrome", "gray": "grey gunmetal", "brown": "tan desert coyote", "red": "crimson", "pink": "rose",
+    "orange": "", "yellow": "", "gold": "", "green": "olive", "teal": "", "blue": "navy", "purple": "violet", "copper": "", "brass": "", "camo": "",
+}
+COLOUR_WORDS = [(word, colour) for colour, more in COLOURS.items() for word in (colour, *more.split())]
+COLOUR_CODES = {code: colour for colour, codes in {"black": "bk blk", "blue": "bl", "brown": "fde tn", "gray": "gy", "green": "od", "red": "rd", "silver": "sv"}.items() for code in codes.split()}
 
 
 def model_colours(model: Column) -> Column:
     """All colours a model name tells, in table order; without any, the one of its suffix code."""
     low = F.lower(model)
     told = F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(v)) for k, v in COLOUR_WORDS])))
-    code = F.lit(None).cast("string")
-    for k, v in reversed(COLOUR_CODES):
-        code = F.when(F.endswith(low, F.lit(k)), F.lit(v)).otherwise(code)
+    codes = F.create_map(*[F.lit(x) for pair in sorted(COLOUR_CODES.items()) for x in pair])
+    code = F.try_element_at(codes, F.regexp_extract(low, "[- ]([a-z]{2,3})$", 1))
     return F.when(F.size(told) > 0, told).when(code.isNotNull(), F.array(code)).otherwise(F.array().cast("array<string>"))

@@ -1,6 +1,8 @@
-"""Vocabulary normalisers: an exact table, then ordered rules, as one expression.
+"""Vocabulary normalisers, each one native expression.
 
-A ``Rules`` object is data: lower-cased terms to their canonical form, then
+Power sources and emitters are read word by word: small tables give each word
+its kind, and the canonical name is put together from the kinds.  The short
+vocabularies are ``Rules``: lower-cased terms to their canonical form, then
 (pattern, replacement) rules of which the first match wins (None drops the
 value), then a fallback.  ``normalise`` gives the Column for one value and
 ``normalise_array`` drops, deduplicates and sorts a cell.
@@ -8,6 +10,7 @@ value), then a fallback.  ``normalise`` gives the Column for one value and
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -17,6 +20,9 @@ from pyspark.sql import functions as F
 from ..functions.cells import dropped_sorted
 
 
+Normaliser = Callable[[Column], Column]
+
+
 @dataclass(frozen=True)
 class Rules:
     exact: dict[str, str | None] = field(default_factory=dict)
@@ -42,56 +48,97 @@ def normalise(c: Column, rules: Rules) -> Column:
     return F.when(low.isin("", "unknown", *dropped), F.lit(None).cast("string")).otherwise(out)
 
 
-def normalise_array(c: Column, rules: Rules, multiples: bool = False) -> Column:
+def normalise_array(c: Column, how: Rules | Normaliser, multiples: bool = False) -> Column:
     """Normalised items; with ``multiples`` an item ``NxA`` is normalised inside and also gives A."""
+    one = (lambda x: normalise(x, how)) if isinstance(how, Rules) else how
     if not multiples:
-        return dropped_sorted(F.transform(c, lambda x: normalise(x, rules)))
+        return dropped_sorted(F.transform(c, one))
 
     def both(x: Column) -> Column:
         count = F.regexp_extract(F.lower(x), r"^\s*([0-9]+)\s*[x×*]\s*(\S.*)$", 1)
-        inner = normalise(F.regexp_extract(F.lower(x), r"^\s*([0-9]+)\s*[x×*]\s*(\S.*)$", 2), rules)
-        return F.when(count == "1", F.array(inner)).when(count != "", F.array(inner, F.concat(count, F.lit("x"), inner))).otherwise(F.array(normalise(x, rules)))
+        inner = one(F.regexp_extract(F.lower(x), r"^\s*([0-9]+)\s*[x×*]\s*(\S.*)$", 2))
+        return F.when(count == "1", F.array(inner)).when(count != "", F.array(inner, F.concat(count, F.lit("x"), inner))).otherwise(F.array(one(x)))
 
     return dropped_sorted(F.flatten(F.transform(c, both)))
 
 
+def kinds_of(words: Column, table: dict[str, str]) -> Column:
+    """The kind of each word by the table, ``#`` for numbers, ``?`` for the rest; as one string with blanks around each."""
+    known = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
+    kind = lambda w: F.coalesce(F.try_element_at(known, w), F.when(w.rlike("^[0-9]"), F.lit("#")).otherwise(F.lit("?")))
+    return F.concat(F.lit(" "), F.array_join(F.transform(words, kind), " "), F.lit(" "))
+
+
+# fixed values: sizes of cells, and what single words of a power source mean
+CELLS = "10150 10180 10220 10280 10400 10440 10880 10900 14100 14250 14300 14500 14580 16300 16340 16650 18350 18500 18650 20350 20700 21140 21700 22430 22650 26350 26650 26800 26980 32650 32700 33140 46950".split()
+POWER_WORDS = {
+    **dict.fromkeys(CELLS, "size"),
+    **dict.fromkeys(("built", "integrated", "internal", "custom", "customized", "customised", "zithion"), "fixed"),
+    **dict.fromkeys(("nbp", "nl", "arb", "inr", "ixr", "zx"), "own"),
+    **dict.fromkeys(("mah", "ah", "wh"), "charge"),
+    **dict.fromkeys(("v", "volt", "volts"), "volt"),
+    **dict.fromkeys(("lantern", "zinc", "carbon", "sla", "sealed"), "lantern"),
+    **dict.fromkeys(("battery", "batteries", "cell", "cells"), "filler"),
+    **dict.fromkeys(("poly", "polymer", "pol", "po", "lipo", "lipoly"), "poly"),
+    **dict.fromkeys(("li", "lithium"), "li"),
+    **dict.fromkeys(("cr", "rcr"), "cr"),
+    **dict.fromkeys(("2016", "2032"), "coin"),
+    **dict.fromkeys(("18", "20", "21", "24", "36", "40", "56", "80"), "tool"),
+    "ion": "ion", "liion": "ion", "nimh": "nimh", "nicd": "nicd", "lifepo": "iron", "alkaline": "alkaline", "rechargeable": "again", "pack": "pack", "wired": "wired",
+    "lr": "lr", "44": "small", "41": "small", "123": "photo", "a": "a", "aa": "aa", "aaa": "aaa", "c": "c", "d": "d", "sub": "sub",
+}
+#: What a sequence of kinds means: the first that holds.  ``size`` and ``number`` stand for the words themselves.
+POWER_SHAPES: list[tuple[str, str | None]] = [
+    ("^ fixed | fixed pack ", "built-in"),
+    (" size ", "{size}"),
+    (" cr photo |^ photo a ", "CR123A"),
+    (" cr coin |^ coin ", "CR{number}"),
+    (" lr small ", "LR{number}"),
+    (" aaa ", "AAA"),
+    (" aa ", "AA"),
+    ("^ sub c ", "Sub-C"),
+    ("^ c (filler |alkaline )*$", "C"),
+    ("^ d (filler |alkaline )*$", "D"),
+    (" # volt (. )*lantern | # volt lantern ", "{number}V lantern"),
+    ("^ tool volt $", None),
+    (" (#|tool|small|size) (volt|charge) | own #", "built-in"),
+    (" own | fixed ", "built-in"),
+    (" iron ", "LiFePO4"),
+    (" poly ", "Li-poly"),
+    ("^ (again )?li ion (again )?$", "Li-ion"),
+    ("^ again li ", "built-in"),
+    (" (filler|wired) pack ", "Li-ion pack"),
+    (" ion ", "Li-ion"),
+    (" nimh ", "NiMH"),
+    (" nicd ", "NiCd"),
+    ("^ alkaline (filler )*$", "alkaline"),
+    ("^ (filler |again )+$", None),
+]
+POWER_WORD = r"[a-z]+|[0-9]+(?:\.[0-9]+)?"
+NO_VALUE = ("", "unknown", "n/a", "none")
+LONGEST_POWER = 30
+
+
+def battery(c: Column) -> Column:
+    """A power source in its canonical form, from the kinds of its words; unknown short ones stay, None where it says nothing."""
+    whole = F.trim(c)
+    words = F.regexp_extract_all(F.replace(F.lower(whole), F.lit(","), F.lit("")), F.lit(POWER_WORD), F.lit(0))
+    kinds = kinds_of(words, POWER_WORDS)
+    size = F.get(F.filter(words, lambda w: w.isin(CELLS)), 0)
+    number = F.get(F.filter(words, lambda w: w.rlike("^[0-9]")), 0)
+    out = F.when(F.length(whole) > LONGEST_POWER, F.lit("built-in")).otherwise(whole)
+    for shape, name in reversed(POWER_SHAPES):
+        if name is None:
+            new = F.lit(None).cast("string")
+        elif "{" in name:
+            new = F.concat(*[size if x == "{size}" else number if x == "{number}" else F.lit(x) for x in re.split(r"(\{\w+\})", name) if x])
+        else:
+            new = F.lit(name)
+        out = F.when(kinds.rlike(shape), new).otherwise(out)
+    return F.when(~F.lower(whole).isin(*NO_VALUE), out)
+
+
 # fixed values: canonical terms and rules of each vocabulary
-CELLS = "10150|10180|10220|10280|10400|10440|10880|10900|14100|14250|14300|14500|14580|16300|16340|16650|18350|18500|18650|20350|20700|21140|21700|22430|22650|26350|26650|26800|26980|32650|32700|33140|46950"
-BATTERY = Rules(
-    exact={"cr123": "CR123A", "cr123a": "CR123A", "123a": "CR123A", "123a lithium": "CR123A", "rcr123": "CR123A", "rcr123a": "CR123A", "aa": "AA", "aaa": "AAA", "c": "C", "d": "D", "sub-c": "Sub-C", "d cell": "D", "c cell": "C", "alkaline": "alkaline", "alkaline batteries": "alkaline", "rechargeable": None, "battery": None, "batteries": None, "n/a": None, "none": None},
-    patterns=(
-        (r"^(?:built[- ]?in|integrated|internal)\b", "built-in"),
-        (r"^(?:nbp|nl|arb-l)[0-9]|^custom(?:ized?|ised?)?\s", "built-in"),
-        (r"^(?:18|20|21|24|36|40|56|80)\s*v$", None),
-        (r"6\s*v\s*(?:lantern|zinc|carbon)", "6V lantern"),
-        (r"12\s*v\s*(?:lantern|zinc|carbon|sla|sealed)", "12V lantern"),
-        (r"^[0-9][0-9,]*\s*mah\b|^[0-9]+\.?[0-9]*\s*wh\b|^[0-9]+\.?[0-9]*\s*v\b", "built-in"),
-        (r"^lifepo4\s+battery\s*pack$", "LiFePO4"),
-        (r"(?:li-?po|lithium[ -]?po).*\bpack\b", "Li-poly"),
-        (r"\b(?:battery|wired)\s*pack\b", "Li-ion pack"),
-        (r"^(?:rechargeable\s+li-ion|li-ion\s+rechargeable)$", "Li-ion"),
-        (r"^rechargeable\s+lithium", "built-in"),
-        (rf"(?:^|[^0-9])({CELLS})(?:$|[^0-9])", "$1"),
-        (r"\b(?:r?cr\s?123|123a)", "CR123A"),
-        (r"\bcr2032\b", "CR2032"),
-        (r"\bcr2016\b|^2016\b", "CR2016"),
-        (r"\blr44\b", "LR44"),
-        (r"\blr41\b", "LR41"),
-        (r"\baaa\b", "AAA"),
-        (r"\baa\b", "AA"),
-        (r"^d[ -]cells?\b|^d\s+alkaline", "D"),
-        (r"^c[ -]cells?\b|^c\s+alkaline", "C"),
-        (r"[0-9]\s*mah", "built-in"),
-        (r"\blifepo4\b", "LiFePO4"),
-        (r"li[ -]*poly?\b|li-?pol|lithium[ -]*poly|\blipo\b", "Li-poly"),
-        (r"li[ -]*ion|lithium[ -]*ion", "Li-ion"),
-        (r"\bnimh\b", "NiMH"),
-        (r"\bnicd\b", "NiCd"),
-        (r"^(?:inr|ixr|zx)[0-9]", "built-in"),
-        (r"^.{31,}$", "built-in"),
-    ),
-    lower=False,
-)
 MATERIAL = Rules(
     exact={"al": "aluminum", "alu": "aluminum", "aluminium": "aluminum", "ti": "titanium", "cu": "copper", "ss": "stainless steel", "pc": "polycarbonate", "n/a": None},
     patterns=((r"alumin", "aluminum"), (r"titan", "titanium"), (r"copper", "copper"), (r"brass", "brass"), (r"stainless", "stainless steel"), (r"steel", "steel"), (r"magnes", "magnesium"), (r"polycarb", "polycarbonate"), (r"nylon", "nylon"), (r"\babs\b", "abs"), (r"plastic|polymer|resin", "polymer"), (r"rubber|silicon", "rubber"), (r"carbon", "carbon fiber"), (r"damascus", "damascus")),
@@ -110,57 +157,61 @@ FEATURES = Rules(
 COLOURS: list[tuple[str, str]] = [("gunmetal", "gray"), ("rose gold", "pink"), ("sand", "tan"), ("olive", "green"), ("black", "black"), ("white", "white"), ("silver", "silver"), ("grey", "gray"), ("gray", "gray"), ("red", "red"), ("blue", "blue"), ("green", "green"), ("gold", "yellow"), ("yellow", "yellow"), ("orange", "orange"), ("purple", "purple"), ("pink", "pink"), ("tan", "tan"), ("brown", "brown")]
 
 
-# fixed values: emitters that no rule leads to, makers, and what is no emitter
-EMITTERS = {
-    "cslnm1": "Osram CSLNM1.TG", "cslnm1.tg": "Osram CSLNM1.TG", "kw cslnm1.tg": "Osram CSLNM1.TG", "cslpm1": "Osram CSLPM1.TG", "cslpm1.tg": "Osram CSLPM1.TG", "kw cslpm1.tg": "Osram CSLPM1.TG", "culpm1.tg": "Osram CULPM1.TG", "kw culpm1.tg": "Osram CULPM1.TG",
-    "sbt-90 gen 2": "Luminus SBT-90.2", "sbt-90 gen2": "Luminus SBT-90.2", "luminus sbt-90 gen 2": "Luminus SBT-90.2", "luminus sbt-90 gen2": "Luminus SBT-90.2", "sbt-90 ii": "Luminus SBT-90.2",
-    "c4 led": "C4 LED", "x-led": "X-LED", "5mm": "5mm", "cob": "COB", "cob led": "COB", "lep": "LEP", "uv led": "UV LED", "rgb led": "RGB LED", "mce": "Cree MC-E",
-    "incandescent": "Incandescent", "halogen bulb": "Halogen", "krypton": "Krypton", "xenon": "Xenon", "xenon bulb": "Xenon", "519a dd": "Nichia 519A", "219ct": "Nichia 219CT",
-}
-MAKERS = [("cree", "Cree"), ("lumin(?:us|ous|ux)|lumimus", "Luminus"), ("nichia", "Nichia"), ("osram", "Osram"), ("samsung", "Samsung"), ("luxeon", "Luxeon"), ("seoul", "Seoul"), ("nitelab", "NiteLab")]
-FAMILIES = [("lh351", "Samsung"), ("xp-?[gcel]|xm-?l|xhp|xr-?e|mc-e$", "Cree"), ("s[bfs]t-?[0-9]", "Luminus"), ("(?:519|319|219)[a-z]?$|e21a", "Nichia"), ("csl[np]m|culpm|p[89]\\b", "Osram")]
-GENERIC = r"^(?:(?:high|hi|power|performance|quality|output|super|ultra|bright|brightness|cool|warm|neutral|natural|day|white|red|green|blue|amber|yellow|led|leds|chips?|emitters?|single|others|cree|nichia|luminus|osram|samsung|xp|unknown|n/a)[\s,-]*)+$"
+# fixed values: makers, how the identifiers of a family are built, words that tell no emitter, and names that are none of these
+MAKERS = {"cree": "Cree", "luminus": "Luminus", "luminous": "Luminus", "luminux": "Luminus", "nichia": "Nichia", "osram": "Osram", "samsung": "Samsung", "luxeon": "Luxeon", "seoul": "Seoul", "nitelab": "NiteLab"}
+#: (compact identifier, maker, parts): a part is a text, ``$n`` a captured group, `` $n`` or ``-$n`` one that is left out with its mark when empty.
+FAMILIES: list[tuple[str, str, tuple[str, ...]]] = [
+    (r"xp([a-z])([0-9]*)(hi|hd)?(?:[qrstuv][0-9])?", "Cree", ("XP-", "$1", "$2", " $3")),
+    (r"xml([0-9]*)(?:[qrstuv][0-9])?", "Cree", ("XM-L", "$1")),
+    (r"xhp([0-9]+(?:\.[0-9])?)(hi|hd)?", "Cree", ("XHP", "$1", " $2")),
+    (r"(mc|xr)(e)", "Cree", ("$1", "-$2")),
+    (r"(s[bfs]t)([0-9]+(?:\.[0-9])?)(w?)", "Luminus", ("$1", "-$2", "-$3")),
+    (r"([235]19[a-z]+|e21[a-z])", "Nichia", ("$1",)),
+    (r"(lh351[a-z])", "Samsung", ("$1",)),
+    (r"(?:kw)?(c[su]l[a-z]{2}[0-9])(?:\.?tg)?", "Osram", ("$1", ".TG")),
+    (r"(p[89])", "Osram", ("$1",)),
+    (r"((?:ntg|sfq|ssq)[0-9]+)", "", ("$1",)),
+]
+TELLS_NOTHING = "high power performance quality output super ultra bright brightness cool warm neutral natural day white red green blue amber yellow led leds chip chips emitter emitters single others bulb w watt watts k cri hcri dd unknown".split()
+#: The start of an identifier alone.
+BARE = ("hi", "xp", "xhp")
+#: Colour temperatures, counts, colour rendering, brightness bins.
+MEASURE = r"[0-9]+|[0-9]{4,5}k|r9[05678]?[0-9]?0|[0-9]{2}cri|[qrstuvk][0-9]"
+LAMPS = {"cob led": "COB", "halogen bulb": "Halogen", "xenon bulb": "Xenon"}
+COUNTED = r"^([0-9]+)\s*[x*×]\s*"
+BETWEEN = r"[\s,()+–]+"
 
 
 def emitter(c: Column) -> Column:
     """An LED in its canonical form: maker and identifier, with its number of dies in front.
 
-    Colour temperatures, tints, CRI and brightness bins and a trailing LED go; a
-    known family gets its maker, hyphens and capitals; generations and variants
-    stay apart; descriptions that name no emitter give null.
+    Words are told apart by tables: makers, words and measures that name no
+    emitter, and the rest, which is the identifier.  An identifier of a known
+    family is put together from its parts; another name stays as it is written;
+    without an identifier the value is null.
     """
-    table = F.create_map(*[F.lit(x) for pair in sorted(EMITTERS.items()) for x in pair])
-    squeeze = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
-    whole = squeeze(c)
-    count = F.regexp_extract(whole, r"(?i)^([0-9]+)\s*[x*×]\s*", 1)
-    raw = F.regexp_replace(whole, r"(?i)^[0-9]+\s*[x*×]\s*", "")
-    t = raw
-    for pattern in (
-        r"(?i),?\s*[0-9]{4,5}\s*k\b",
-        r"(?i)\b(?:cool|neutral|warm|day)\s*white\b",
-        r"(?i)\b(?:r90[5678]0|9[0-9]\s*cri|hcri|high[\s-]?cri)\b\+?",
-        r"\s*\+\s*$",
-        r"^\s*[-–,]+\s*",
-        r"\(\s*,?\s*\)",
-        r"(?i)\s+leds?\s*$",
-        r"(?i)[\s-]+[tuvrsqk][0-9]\s*$",
-        r"(?i)\s+(?:warm|cool|neutral)\s*$",
-    ):
-        t = F.regexp_replace(t, pattern, "")
-    t = squeeze(t)
-    maker, body = F.lit(None).cast("string"), t
-    for pattern, name in reversed(FAMILIES):
-        maker = F.when(t.rlike(f"(?i)^(?:{pattern})"), F.lit(name)).otherwise(maker)
-    for pattern, name in MAKERS:
-        said = t.rlike(f"(?i)^(?:{pattern})\\s+")
-        maker, body = F.when(said, F.lit(name)).otherwise(maker), F.when(said, F.regexp_replace(t, f"(?i)^(?:{pattern})\\s+", "")).otherwise(body)
-    for pattern, new in ((r"(?i)\b(s[bfs]t)([0-9])", "$1-$2"), (r"(?i)\bxp-?l[\s-]*(hi|hd)\b", "XP-L $1"), (r"(?i)\bxpe\b", "XP-E"), (r"(?i)\bxhp[\s-]+([0-9])", "XHP$1"), (r"(?i)\b(xhp[0-9]+(?:\.[0-9])?)[\s-]*(hi|hd)\b", "$1 $2"), (r"(?i)\bxml([0-9])", "XM-L$1")):
-        body = F.regexp_replace(body, pattern, new)
-    family = body.rlike("(?i)^(?:" + "|".join(p for p, _ in FAMILIES) + "|ntg[0-9]|sfq[0-9]|ssq[0-9])")
-    body = F.regexp_replace(F.when(family, F.upper(body)).otherwise(body), r"[\s,-]+$", "")
-    one = F.when((t == "") | F.lower(t).rlike(GENERIC), F.lit(None)).otherwise(F.concat_ws(" ", maker, body))
-    one = F.coalesce(F.try_element_at(table, F.lower(raw)), F.when(~F.lower(raw).rlike(GENERIC), F.coalesce(F.try_element_at(table, F.lower(t)), one)))
-    return F.when(count != "", F.concat(count, F.lit("x "), one)).otherwise(one)
+    whole = F.trim(F.regexp_replace(c, r"\s+", " "))
+    count = F.regexp_extract(F.lower(whole), COUNTED, 1)
+    raw = F.regexp_replace(whole, "(?i)" + COUNTED, "")
+    low = F.lower(raw)
+    low = F.regexp_replace(low, r"\b(xhp|s[bfs]t)[\s-]+([0-9])", "$1$2")  # a size belongs to its family
+    words = F.filter(F.transform(F.split(low, BETWEEN), lambda w: F.regexp_replace(w, "^-+|-+$", "")), lambda w: w != "")
+    makers = F.create_map(*[F.lit(x) for pair in sorted(MAKERS.items()) for x in pair])
+    said = F.get(F.filter(F.transform(words, lambda w: F.try_element_at(makers, w)), lambda m: m.isNotNull()), 0)
+    names = F.filter(words, lambda w: ~w.isin(*MAKERS, *TELLS_NOTHING) & ~w.rlike(f"^(?:{MEASURE})$"))
+    # the digit of a generation is no count
+    joined = F.regexp_replace(F.array_join(words, " "), r"\s+(?:gen\s*2|ii)\b", ".2")
+    names = F.when(joined != F.array_join(words, " "), F.filter(F.split(joined, " "), lambda w: ~w.isin(*MAKERS))).otherwise(names)
+    compact = F.replace(F.array_join(names, ""), F.lit("-"), F.lit(""))
+    kept = F.array_join(F.filter(F.split(raw, " "), lambda w: ~F.lower(w).isin(*MAKERS)), " ")
+    out = F.when((F.size(names) > 0) & ~compact.isin(*BARE), F.concat_ws(" ", said, F.when(kept != "", kept)))
+    for pattern, maker, parts in reversed(FAMILIES):
+        group = lambda x: F.upper(F.regexp_extract(compact, f"^(?:{pattern})$", int(x[-1])))  # noqa: B023, E731
+        texts = [F.when(group(x) != "", F.concat(F.lit(x[:-2]), group(x))).otherwise(F.lit("")) if "$" in x else F.lit(x) for x in parts]
+        out = F.when(compact.rlike(f"^(?:{pattern})$"), F.concat(F.lit(f"{maker} " if maker else ""), *texts)).otherwise(out)
+    lamps = F.create_map(*[F.lit(x) for pair in sorted(LAMPS.items()) for x in pair])
+    out = F.coalesce(F.try_element_at(lamps, low), out)
+    return F.when(count != "", F.concat(count, F.lit("x "), out)).otherwise(out)
 
 
 def change_report(df: DataFrame, column: str, rules: Rules) -> DataFrame:
@@ -169,9 +220,8 @@ def change_report(df: DataFrame, column: str, rules: Rules) -> DataFrame:
     return t.agg(F.count_distinct("old").alias("before"), F.count_distinct("new").alias("after"), F.count_if(F.col("new").isNotNull() & (F.col("new") != F.col("old"))).alias("changed"), F.count_if(F.col("new") == F.col("old")).alias("unchanged"), F.count_if(F.col("new").isNull()).alias("dropped"))
 
 
-Normaliser = Callable[[Column], Column]
 NORMALISERS: dict[str, Normaliser] = {
-    "battery": lambda c: normalise_array(c, BATTERY, multiples=True),
+    "battery": lambda c: normalise_array(c, battery, multiples=True),
     "material": lambda c: normalise_array(c, MATERIAL),
     "switch": lambda c: normalise_array(c, SWITCH),
     "features": lambda c: normalise_array(c, FEATURES),

@@ -144,29 +144,65 @@ def _vocabulary(column: str, rules: vo.Rules) -> str:
     return f"CASE WHEN {low} IN ('', 'unknown') THEN NULL ELSE {out} END"
 
 
-def _vocabulary_sql(name: str, rules: vo.Rules) -> str:
-    return f"SELECT term, {_vocabulary('term', rules)} AS {name}, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+', 0)) AS term FROM documents) GROUP BY 1, 2 HAVING count(*) > 2"
+_TERMS_N = "(SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+', 0)) AS term FROM documents) GROUP BY 1 HAVING count(*) > 2)"
 
 
-def _vocabulary_query(name: str, rules: vo.Rules):
+def _terms_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each lower-cased term of all texts that occurs more than twice."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("term"))
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+
+
+def _vocabulary_query(name: str, how):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("term"))
-        t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-        return t.select("term", vo.normalise(F.col("term"), rules).alias(name), "n")
+        return _terms_n(spark, sf_dir).select("term", how(F.col("term")).alias(name), "n")
 
     return run
 
 
-for _name, _rules in (("battery", vo.BATTERY), ("material", vo.MATERIAL), ("switch", vo.SWITCH), ("feature", vo.FEATURES)):
-    query(f"normalise_{_name}", _vocabulary_sql(_name, _rules))(_vocabulary_query(_name, _rules))
+for _name, _rules in (("material", vo.MATERIAL), ("switch", vo.SWITCH), ("feature", vo.FEATURES)):
+    query(f"normalise_{_name}", f"SELECT term, {_vocabulary('term', _rules)} AS {_name}, n FROM {_TERMS_N}")(_vocabulary_query(_name, lambda c, rules=_rules: vo.normalise(c, rules)))
+
+
+def _map(table_: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"'{_q(k)}': '{_q(v)}'" for k, v in table_.items()) + "}"
+
+
+def _listed(words) -> str:
+    return "(" + ", ".join(f"'{_q(w)}'" for w in words) + ")"
+
+
+def _battery_sql() -> str:
+    out = f"CASE WHEN length(term) > {vo.LONGEST_POWER} THEN 'built-in' ELSE term END"
+    first = lambda test: f"list_filter(words, lambda w: {test})[1]"
+    size, number = first(f"w IN {_listed(vo.CELLS)}"), first("regexp_matches(w, '^[0-9]')")
+    for shape, name in reversed(vo.POWER_SHAPES):
+        new = "NULL" if name is None else "'" + name.replace("{size}", f"' || {size} || '").replace("{number}", f"' || {number} || '") + "'"
+        out = f"CASE WHEN regexp_matches(kinds, '{shape}') THEN {new} ELSE {out} END"
+    words = f"SELECT term, n, regexp_extract_all(replace(lower(term), ',', ''), '{vo.POWER_WORD}') AS words FROM {_TERMS_N}"
+    kinds = f"SELECT *, ' ' || array_to_string(list_transform(words, lambda w: coalesce({_map(vo.POWER_WORDS)}[w], CASE WHEN regexp_matches(w, '^[0-9]') THEN '#' ELSE '?' END)), ' ') || ' ' AS kinds FROM ({words})"
+    return f"SELECT term, CASE WHEN term NOT IN {_listed(vo.NO_VALUE)} THEN {out} END AS battery, n FROM ({kinds})"
+
+
+query("normalise_battery", _battery_sql())(_vocabulary_query("battery", vo.battery))
+
+
+def _led_sql() -> str:
+    """The SQL of ``vo.emitter`` for one term without blanks, hyphens and makers."""
+    out = "CASE WHEN NOT told OR compact IN " + _listed(vo.BARE) + " THEN NULL ELSE term END"
+    for pattern, maker, parts in reversed(vo.FAMILIES):
+        group = lambda x: f"upper(regexp_extract(compact, '^(?:{pattern})$', {x[-1]}))"  # noqa: B023, E731
+        texts = [f"CASE WHEN {group(x)} <> '' THEN '{x[:-2]}' || {group(x)} ELSE '' END" if "$" in x else f"'{x}'" for x in parts]
+        out = f"CASE WHEN regexp_matches(compact, '^(?:{pattern})$') THEN '{maker + ' ' if maker else ''}' || {' || '.join(texts)} ELSE {out} END"
+    raw = f"SELECT term, n, regexp_extract(term, '{vo.COUNTED}', 1) AS dies, regexp_replace(term, '{vo.COUNTED}', '') AS compact FROM {_TERMS_N} WHERE term NOT IN {_listed([*vo.MAKERS, 'ii'])}"
+    told = f"SELECT *, compact NOT IN {_listed(vo.TELLS_NOTHING)} AND NOT regexp_matches(compact, '^(?:{vo.MEASURE})$') AS told FROM (SELECT term, n, dies, compact FROM ({raw}))"
+    return f"SELECT term, CASE WHEN dies <> '' THEN dies || 'x ' ELSE '' END || {out.replace('ELSE term END', 'ELSE compact END')} AS led, n FROM ({told})"
 
 
-@query("normalise_led", "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'Luminus SST-40' WHEN 1 THEN 'Nichia 519A' WHEN 2 THEN 'Cree XP-L HI' ELSE p_size || 'x Cree XHP' || p_size || '.2' END AS led FROM part WHERE p_size > 1")
+@query("normalise_led", _led_sql())
 def normalise_led(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Emitter names in several spellings, by the part's key; the rules' golden cases are in the tests."""
-    p = table(spark, sf_dir, "part").where("p_size > 1")
-    spelt = F.when(F.col("p_partkey") % 4 == 0, "LUMINUS SST40 6500K").when(F.col("p_partkey") % 4 == 1, "519a R9080 4000K").when(F.col("p_partkey") % 4 == 2, "CREE XPL-Hi V3 LED").otherwise(F.concat(F.col("p_size").cast("string"), F.lit("*xhp-"), F.col("p_size").cast("string"), F.lit(".2")))
-    return p.select(F.col("p_partkey").alias("id"), vo.emitter(spelt).alias("led"))
+    """Every frequent term of the texts as an emitter would be read."""
+    return _terms_n(spark, sf_dir).where(~F.col("term").isin(*vo.MAKERS, "ii")).select("term", vo.emitter(F.col("term")).alias("led"), "n")
 
 
 _SIZES = f"(?i){_NUMBER}\\s*(mm|cm|in)\\b"
