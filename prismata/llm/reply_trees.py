@@ -132,33 +132,32 @@ def segments(turns: Column) -> Column:
 
 def _by_tree(said: DataFrame, found: DataFrame) -> DataFrame:
     """(tree, leaf, turns): a tree's messages come together once, in the order of their numbers, and its paths pick theirs by number."""
-    trees = said.groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("key", "role", "text"))).alias("said"))
-    asked = found.groupBy(F.col("tree").alias("t"), "leaf").agg(F.array_sort(F.collect_list(F.struct("turn", "node"))).alias("places"))
-    met = trees.join(asked, F.col("tree").eqNullSafe(F.col("t")))
+    trees = said.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("key", "role", "text"))).alias("said"))
+    asked = found.groupBy("of", "leaf").agg(F.array_sort(F.collect_list(F.struct("turn", "node"))).alias("places"))
     pick = lambda p: F.get(F.col("said"), p.node.cast("int"))
-    return met.select("tree", "leaf", F.transform(F.transform("places", pick), lambda m: F.struct(m.role.alias("role"), m.text.alias("text"))).alias("turns"))
+    return trees.join(asked, "of").select("of.tree", "leaf", F.transform(F.transform("places", pick), lambda m: F.struct(m.role.alias("role"), m.text.alias("text"))).alias("turns"))
 
 
 def _by_message(said: DataFrame, links: DataFrame, found: DataFrame) -> DataFrame:
     """(tree, leaf, turns) for trees too large to come together: a join by message, a group by path."""
-    once = said.groupBy("tree", "key").agg(F.first("role").alias("role"), F.first("text").alias("text"))  # rows of one key are equal
-    f = found.select(F.col("tree").alias("t"), F.col("node").alias("n"), "leaf", "turn")
-    f = f.join(links.select("tree", "node", "key"), F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select(F.col("tree").alias("t"), F.col("key").alias("k"), "leaf", "turn")
-    met = once.join(f, F.col("tree").eqNullSafe(F.col("t")) & F.col("key").eqNullSafe(F.col("k")))
+    once = said.groupBy("of", "key").agg(F.first("role").alias("role"), F.first("text").alias("text"))  # rows of one key are equal
+    places = found.join(links.select("of", "node", "key"), ["of", "node"]).select("of", "key", "leaf", "turn")
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return met.groupBy("tree", "leaf").agg(F.transform(turns, lambda m: F.struct(m.role.alias("role"), m.text.alias("text"))).alias("turns"))
+    met = once.join(places, ["of", "key"]).groupBy("of", "leaf").agg(turns.alias("turns"))
+    return met.select("of.tree", "leaf", F.transform("turns", lambda m: F.struct(m.role.alias("role"), m.text.alias("text"))).alias("turns"))
 
 
 def formatted(said: DataFrame, links: DataFrame, branches: int | None = None, tree_messages: int = TREE_MESSAGES, tree_chars: int = TREE_CHARS) -> DataFrame:
     """tree, leaf, branch, score and segments of each chosen path; ``said`` and ``links`` are those of ``of_messages``."""
     numbers = common.saved(links.select("tree", "node", "parent", "score"))
     ranked, found = paths(numbers, branches)
-    large = links.groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).where((F.col("n") > tree_messages) | (F.col("chars") > tree_chars))
-    large = common.saved(large.select(F.col("tree").alias("large")))
-    of_large = F.col("tree").eqNullSafe(F.col("large"))
-    turns = _by_tree(said.join(large, of_large, "left_anti"), found.join(large, of_large, "left_anti"))
+    # a struct equals itself though its tree is null, so one partitioning by it serves groups and joins
+    said, links, found = (x.withColumn("of", F.struct("tree")) for x in (said, links, found))
+    large = links.groupBy("of").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).where((F.col("n") > tree_messages) | (F.col("chars") > tree_chars))
+    large = common.saved(large.select("of"))
+    turns = _by_tree(said.join(large, "of", "left_anti"), found.join(large, "of", "left_anti"))
     if large.limit(1).count():
-        turns = turns.unionByName(_by_message(*[x.join(large, of_large, "left_semi") for x in (said, links, found)]))
+        turns = turns.unionByName(_by_message(*[x.join(large, "of", "left_semi") for x in (said, links, found)]))
     told = ranked.select(F.col("tree").alias("t"), F.col("leaf").alias("l"), "branch", "score")
     if branches is not None:
         turns = turns.join(told, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("l")))

@@ -109,3 +109,9 @@ def test_conversations_with_odd_rows(spark):
 def test_no_python_on_the_path(spark, small_dir):
     plan = reply_trees.report(spark.read.parquet(f"{small_dir}/conversations.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_texts_are_shuffled_once(spark, small_dir):
+    """Between the scan of the texts and the result there is one exchange that carries them."""
+    plan = reply_trees.report(spark.read.parquet(f"{small_dir}/conversations.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(of#") == 2  # the messages, and the numbers of their paths
