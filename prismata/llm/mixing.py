@@ -11,8 +11,8 @@ When a source has no block left, the others share its weight in proportion and
 a new period is laid out; there are at most as many such phases as sources.
 
 Target weights are read as exact decimals and brought to integers without
-rounding while their sum stays within ``MOST_SLOTS``; only weights finer than
-that are rounded to so many shares.  Without given weights a source's target is
+rounding.  Weights so fine that a period would have more than ``MOST_SLOTS``
+slots are refused with an error that says so, never rounded.  Without given weights a source's target is
 its size to the power ``TEMPER``, in whole shares out of ``SHARES``.  The driver
 holds one size per source and the periods of the phases (sources x period
 numbers at most); it is made for sources in the hundreds.
@@ -51,7 +51,7 @@ Plan = tuple[str, int, int, int, int, int, int, list[int]]
 
 
 def shares(sizes: dict[str, int], weights: dict[str, float] | None = None, most: int = MOST_SLOTS) -> dict[str, int]:
-    """Integer weights in the proportions wanted: exact where their sum stays within ``most``, one at least for each source."""
+    """Integer weights in exactly the proportions wanted; without ``weights``, the tempered sizes in whole shares."""
     if weights:
         want = {s: Fraction(str(weights.get(s, 1))) for s in sizes}
         if any(w <= 0 for w in want.values()):
@@ -60,10 +60,9 @@ def shares(sizes: dict[str, int], weights: dict[str, float] | None = None, most:
         whole = {s: int(w * scale) for s, w in want.items()}
         common_ = math.gcd(*whole.values())
         whole = {s: w // common_ for s, w in whole.items()}
-        if sum(whole.values()) <= most:
-            return whole
-        total = sum(want.values())
-        return {s: max(1, round(w * most / total)) for s, w in want.items()}
+        if sum(whole.values()) > most:
+            raise ValueError(f"these weights need a period of {sum(whole.values())} slots, more than {most}; give coarser ones")
+        return whole
     tempered = {s: n**TEMPER for s, n in sizes.items()}
     scale = SHARES / sum(tempered.values()) if tempered else 0
     return {s: max(1, round(w * scale)) for s, w in tempered.items()}
