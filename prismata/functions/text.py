@@ -98,18 +98,27 @@ def numeric_references(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&#")), joined).otherwise(c)
 
 
+def without_elements(c: Column, tags: list[str]) -> Column:
+    """Without comments and these elements; one that is never closed runs to the end, so every pass is linear."""
+    t = F.regexp_replace(c, r"(?s)<!--.*?(?:-->|\z)", "")
+    for tag in tags:
+        t = F.regexp_replace(t, rf"(?is)<{tag}\b[^<>]*>.*?(?:</{tag}>|\z)", "")
+    return t
+
+
+def decoded(c: Column) -> Column:
+    """Named and numeric references decoded, the ampersand last, so that nothing is decoded twice."""
+    for name, char in ENTITIES[:-1]:
+        c = F.replace(c, F.lit(name), F.lit(char))
+    return F.replace(numeric_references(c), F.lit(ENTITIES[-1][0]), F.lit(ENTITIES[-1][1]))
+
+
 def html_to_text(c: Column) -> Column:
     """Readable text: silent elements and comments dropped, blocks as lines, cells as tabs, references decoded."""
-    t = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
-    for tag in SILENT:
-        t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "")
+    t = without_elements(c, SILENT)
     t = F.regexp_replace(t, r"(?i)</(p|div|tr|li|h[1-6]|ul|ol|table|section|article)>|<br\s*/?>", "\n")
     t = F.regexp_replace(t, r"(?i)</t[dh]>", "\t")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    for name, char in ENTITIES[:-1]:
-        t = F.replace(t, F.lit(name), F.lit(char))
-    t = numeric_references(t)
-    t = F.replace(t, F.lit(ENTITIES[-1][0]), F.lit(ENTITIES[-1][1]))  # the ampersand last, so that nothing is decoded twice
+    t = decoded(F.regexp_replace(t, r"<[^<>]*>", ""))
     t = F.regexp_replace(t, "[‘’]", "'")
     t = F.regexp_replace(t, "[“”]", '"')
     t = F.regexp_replace(t, r"[ \t]+", " ")

@@ -34,11 +34,11 @@ def source_class(c: Column, classes: dict[str, list[str]], default: str) -> Colu
 
 
 def links(html: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*href="([^"]+)"'), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^<>]*href="([^"]+)"'), F.lit(1)))
 
 
 def images(html: Column, most: int = 5) -> Column:
-    return F.slice(F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?i)<img\s[^>]*src="([^"]+)"'), F.lit(1))), 1, most)
+    return F.slice(F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?i)<img\s[^<>]*src="([^"]+)"'), F.lit(1))), 1, most)
 
 
 def sitemap_locations(xml: Column) -> Column:
@@ -46,7 +46,7 @@ def sitemap_locations(xml: Column) -> Column:
 
 
 def title(html: Column) -> Column:
-    t = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    t = F.regexp_extract(html, r"(?is)<title[^<>]*>(.*?)(?:</title>|\z)", 1)
     return F.when(t != "", F.trim(F.regexp_replace(t, r"\s+", " ")))
 
 
@@ -58,17 +58,6 @@ def last_path_words(c: Column) -> Column:
     return title_case(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"[-_]+", " "))
 
 
-def label_pairs(html: Column) -> Column:
-    """map of lower-cased label to value, from two-cell table rows and ``<li><b>label</b> value`` items; the first of a label wins."""
-    strip = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), r"\s+", " "))
-    row = r"(?is)<tr[^>]*>\s*<t[hd][^>]*>(.*?)</t[hd]>\s*<td[^>]*>(.*?)</td>"
-    item = r"(?is)<li[^>]*>\s*<(?:b|strong)>(.*?)</(?:b|strong)>(.*?)</li>"
-    pairs = F.concat(*[F.arrays_zip(F.regexp_extract_all(html, F.lit(p), F.lit(1)).alias("k"), F.regexp_extract_all(html, F.lit(p), F.lit(2)).alias("v")) for p in (row, item)])
-    clean = F.transform(pairs, lambda s: F.struct(F.regexp_replace(F.lower(strip(s["k"])), r"\s*:$", "").alias("k"), F.regexp_replace(strip(s["v"]), r"^:\s*", "").alias("v")))
-    first = F.filter(clean, lambda s, i: (s["k"] != "") & (F.array_position(F.transform(clean, lambda t: t["k"]), s["k"]) == i + 1))
-    return F.map_from_entries(first)
-
-
 def any_outside(urls: Column, pattern: str) -> Column:
     """Any URL that is there and does not match ``pattern``."""
     return F.exists(urls, lambda u: F.coalesce((u != "") & ~u.rlike(pattern), F.lit(False)))
@@ -85,9 +74,8 @@ def script_literal(html: Column, name: str) -> Column:
     return F.when(v != "", v)
 
 
-def anchor_pairs(html: Column) -> Column:
-    """map of a link's text to its target; the first of a text wins."""
-    pattern = F.lit(r'(?i)<a\s[^>]*href="([^"]+)"[^>]*>([^<]+)</a>')
-    pairs = F.arrays_zip(F.regexp_extract_all(html, pattern, F.lit(2)).alias("k"), F.regexp_extract_all(html, pattern, F.lit(1)).alias("v"))
-    clean = F.transform(pairs, lambda s: F.struct(F.trim(s["k"]).alias("k"), s["v"].alias("v")))
-    return F.map_from_entries(F.filter(clean, lambda s, i: (s["k"] != "") & (F.array_position(F.transform(clean, lambda t: t["k"]), s["k"]) == i + 1)))
+def anchors(html: Column) -> Column:
+    """array of (label, target): the links with a plain text, in page order."""
+    pattern = F.lit(r'(?i)<a\s[^<>]*href="([^"<>]+)"[^<>]*>([^<]+)</a>')
+    found = F.arrays_zip(F.regexp_extract_all(html, pattern, F.lit(2)).alias("label"), F.regexp_extract_all(html, pattern, F.lit(1)).alias("target"))
+    return F.filter(F.transform(found, lambda s: F.struct(F.trim(s["label"]).alias("label"), s["target"].alias("target"))), lambda s: s["label"] != "")

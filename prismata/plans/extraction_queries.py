@@ -96,7 +96,7 @@ def model_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), F.array_join(F.array_sort(ex.model_colours(F.col("p_name"))), ",").alias("colours"))
 
 
-_ANCHOR = "'(?i)<a\\s[^>]*href=\"([^\"]+)\"[^>]*>([^<]+)</a>'"
+_ANCHOR = "'(?i)<a\\s[^<>]*href=\"([^\"<>]+)\"[^<>]*>([^<]+)</a>'"
 
 
 @query(
@@ -104,10 +104,9 @@ _ANCHOR = "'(?i)<a\\s[^>]*href=\"([^\"]+)\"[^>]*>([^<]+)</a>'"
     f"SELECT page_id, label, arg_min(value, i) AS value FROM (SELECT page_id, unnest(list_transform(regexp_extract_all(html, {_ANCHOR}, 2), lambda x: trim(x))) AS label, unnest(regexp_extract_all(html, {_ANCHOR}, 1)) AS value, generate_subscripts(regexp_extract_all(html, {_ANCHOR}, 1), 1) AS i FROM pages) WHERE label <> '' GROUP BY 1, 2",
 )
 def html_table_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label and value pairs of every page: table rows, list items, links; the first of a label wins."""
-    p = table(spark, sf_dir, "pages")
-    pairs = F.map_concat(ur.anchor_pairs(F.col("html")), F.map_filter(ur.label_pairs(F.col("html")), lambda k, v: ~F.map_contains_key(ur.anchor_pairs(F.col("html")), k)))
-    return p.select("page_id", F.explode(pairs).alias("label", "value"))
+    """Labels and targets of every page's links; the first of a label wins."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.posexplode(ur.anchors(F.col("html"))).alias("pos", "a"))
+    return p.groupBy("page_id", "a.label").agg(F.min_by("a.target", "pos").alias("value"))
 
 
 _NUMBER = "([0-9]{1,3}(?:,[0-9]{3})+(?:\\.[0-9]+)?|[0-9]+(?:\\.[0-9]+)?)"

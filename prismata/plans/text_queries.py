@@ -12,12 +12,12 @@ from ..operators import vocabulary as vo
 from .registry import query, table
 
 _STRIP = "html"
-_STRIP = f"regexp_replace({_STRIP}, '(?s)<!--.*?-->', '', 'g')"
+_STRIP = f"regexp_replace({_STRIP}, '(?s)<!--.*?(?:-->|\\z)', '', 'g')"
 for _tag in tx.SILENT:
-    _STRIP = f"regexp_replace({_STRIP}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}>', '', 'g')"
+    _STRIP = f"regexp_replace({_STRIP}, '(?is)<{_tag}\\b[^<>]*>.*?(?:</{_tag}>|\\z)', '', 'g')"
 _STRIP = f"regexp_replace({_STRIP}, '(?i)</(p|div|tr|li|h[1-6]|ul|ol|table|section|article)>|<br\\s*/?>', chr(10), 'g')"
 _STRIP = f"regexp_replace({_STRIP}, '(?i)</t[dh]>', chr(9), 'g')"
-_STRIP = f"regexp_replace({_STRIP}, '<[^>]*>', '', 'g')"
+_STRIP = f"regexp_replace({_STRIP}, '<[^<>]*>', '', 'g')"
 for _name, _char in tx.ENTITIES:
     _STRIP = "replace({}, '{}', '{}')".format(_STRIP, _name, _char.replace("'", "''"))
 _STRIP = f"regexp_replace(regexp_replace({_STRIP}, '[‘’]', '''', 'g'), '[“”]', '\"', 'g')"
@@ -30,12 +30,12 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("txt"))
 
 
-@query("html_links", "SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '(?i)<a\\s[^>]*href=\"([^\"]+)\"', 1))), ' ') AS links FROM pages")
+@query("html_links", "SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '(?i)<a\\s[^<>]*href=\"([^\"]+)\"', 1))), ' ') AS links FROM pages")
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.array_sort(ur.links(F.col("html"))), " ").alias("links"))
 
 
-@query("html_title", "SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') AS title FROM pages")
+@query("html_title", "SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^<>]*>(.*?)(?:</title>|\\z)', 1), '\\s+', ' ', 'g')), '') AS title FROM pages")
 def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", ur.title(F.col("html")).alias("title"))
 
