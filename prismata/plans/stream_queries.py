@@ -6,11 +6,13 @@ its end, so the SQL keeps those windows only; state goes with them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import round_half_up
 from ..streaming import events as ev
+from ..streaming import state as st
 from .registry import query, table
 
 _SUMS = "count(*) AS n, round(sum(value), 4) AS total"
@@ -67,19 +69,17 @@ _BUCKET = "time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')"
 @query(
     "stream_late_drop",
     f"""SELECT {_BUCKET} AS start, {_BUCKET} + INTERVAL 6 HOUR AS "end", event_type, {_SUMS} FROM events
-        WHERE event_id % 2 = 0 OR {_BUCKET} + INTERVAL 6 HOUR > (SELECT max(ts) - INTERVAL 1 DAY FROM events WHERE event_id % 4 = 0) GROUP BY 1, 2, 3 HAVING "end" <= {_FINAL}""",
+        WHERE event_id % 2 = 0 OR {_BUCKET} + INTERVAL 6 HOUR > (SELECT max(ts) - INTERVAL 1 DAY FROM events WHERE event_id % 2 = 0) GROUP BY 1, 2, 3 HAVING "end" <= {_FINAL}""",
 )
 def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with odd ids come last: those whose window the watermark has passed are dropped.
-
-    Rows are held against the watermark that the batch before the last one set.
-    """
-    landed = ev.landing(spark)
+    """Events with odd ids arrive after a restart: those whose window the watermark has passed are dropped."""
+    landed, name = ev.landing(spark), f"late-{uuid.uuid4().hex}"
     e = table(spark, sf_dir, "events")
-    for part in ("event_id % 4 = 0", "event_id % 4 = 2", "event_id % 2 = 1"):
-        e.where(part).coalesce(1).write.mode("append").parquet(landed)
-    late = ev.read_events(spark, landed, files_per_trigger=1).withColumn("ts", F.col("ts").cast("timestamp"))
-    return _plain(ev.run_available(ev.tumbling(late, "ts", "6 hours", ["event_type"], _aggs(), "1 day")))
+    for part in ("event_id % 2 = 0", "event_id % 2 = 1"):
+        e.where(part).write.mode("append").parquet(landed)
+        late = ev.read_events(spark, landed).withColumn("ts", F.col("ts").cast("timestamp"))
+        out = ev.run_available(ev.tumbling(late, "ts", "6 hours", ["event_type"], _aggs(), "1 day"), name=name)
+    return _plain(out)
 
 
 @query("stream_latest", "SELECT user_id, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
@@ -94,8 +94,18 @@ _START = "SELECT user_id, floor(arg_min(value, (ts, event_id)) * 90 + 0.5) AS th
 
 @query("stream_price_alert", f"SELECT e.event_id, e.user_id, e.value, t.threshold::DOUBLE AS threshold FROM events e JOIN ({_START}) t USING (user_id) WHERE round(e.value * 100) <= t.threshold")
 def stream_price_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices at or below nine tenths of the price at which a key's tracking began."""
-    first = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("value", F.struct("ts", "event_id")).alias("p"))
-    thresholds = first.select("user_id", round_half_up(F.col("p") * 90).cast("double").alias("threshold"))
-    hits = ev.price_alerts(_stream(spark, sf_dir), thresholds, "user_id", "value")
-    return ev.run_available(hits.select("event_id", "user_id", "value", "threshold"))
+    """Prices at or below nine tenths of the price at which a key's tracking began, which is held in state."""
+    hits = st.run_stateful(st.price_watch(_stream(spark, sf_dir), "user_id", "ts", "value", "event_id"))
+    return hits.select(F.col("id").alias("event_id"), F.col("key").cast("long").alias("user_id"), "value", "threshold")
+
+
+_KEY = "user_id || ':' || event_type"
+
+
+@query("stream_stale_keys", f"SELECT key, last, row_number() OVER (ORDER BY last, key) AS place FROM (SELECT {_KEY} AS key, max(ts) AS last FROM events GROUP BY 1) WHERE last + INTERVAL 3 DAY <= {_FINAL}")
+def stream_stale_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of events that a user has not shown for three days, oldest first, by timers."""
+    e = _stream(spark, sf_dir).withColumn("key", F.concat_ws(":", F.col("user_id").cast("string"), "event_type"))
+    stale = st.run_stateful(st.gone_stale(e, "key", "ts"))
+    place = F.row_number().over(Window.orderBy("last", "key"))  # a report of what has come out
+    return stale.select("key", F.col("last").cast("timestamp_ntz").alias("last"), place.cast("long").alias("place"))

@@ -64,11 +64,6 @@ def latest(df: DataFrame, keys: list[str], ts: str, values: list[str], tie: str)
     return df.groupBy(*keys).agg(F.max(ts).alias(ts), *[F.max_by(v, F.struct(ts, tie)).alias(v) for v in values])
 
 
-def price_alerts(stream: DataFrame, thresholds: DataFrame, key: str, price: str) -> DataFrame:
-    """Events whose price in cents is at or below their key's threshold (key, threshold)."""
-    return stream.join(thresholds, key).where(F.round(F.col(price) * 100) <= F.col("threshold"))
-
-
 def with_outcome(df: DataFrame, error: Column) -> DataFrame:
     """Every item is done at most once: ``scraped`` is true whether it succeeded or not, ``error`` says why not."""
     return df.withColumn("error", error).withColumn("scraped", F.lit(True))
