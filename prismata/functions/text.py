@@ -139,14 +139,14 @@ def word_pattern(word: str) -> str:
 def keywords(c: Column, words: list[str], whole: bool = True) -> Column:
     """Which of ``words`` occur, in list order; as whole words or anywhere."""
     low = F.lower(c)
-    hit = (lambda w: low.rlike(word_pattern(w))) if whole else (lambda w: F.contains(low, F.lit(w)))
+    hit = (lambda w: F.contains(low, F.lit(w)) & low.rlike(word_pattern(w))) if whole else (lambda w: F.contains(low, F.lit(w)))
     return F.array_compact(F.array(*[F.when(hit(w), F.lit(w)) for w in words]))
 
 
 def keyword_unless(c: Column, word: str, not_in: str) -> Column:
     """``word`` occurs and the misleading phrase does not."""
     low = F.lower(c)
-    return low.rlike(word_pattern(word)) & ~low.rlike(not_in)
+    return F.contains(low, F.lit(word)) & low.rlike(word_pattern(word)) & ~low.rlike(not_in)
 
 
 def first_key_in(c: Column, table: list[tuple[str, str]], default: str | None = None) -> Column:

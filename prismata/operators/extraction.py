@@ -72,28 +72,54 @@ TITLE_FIELDS = ("lumens", "throw_m", "cct", "cri")
 CELL_MM = {"21700": 70.0, "26650": 65.0, "18650": 65.0, "14500": 50.0, "aa": 50.0, "aaa": 44.0, "18350": 35.0, "16340": 34.0, "cr123a": 34.0}
 
 
-def values(text: Column, field: Field) -> Column:
-    """All plausible values in the order of the patterns, as double."""
+#: Literals of which a text must have one, in any case, for any of the field's patterns to match; they spare most texts the patterns.
+HINTS: dict[str, tuple[str, ...]] = {
+    "lumens": ("lumen", "lm", "output", "brightness", "luminous flux"),
+    "candela": ("cd", "candela", "intensity"),
+    "throw_m": ("throw", "distance", "range", "beam"),
+    "length_mm": ("length", "long"),
+    "bezel_mm": ("head", "bezel"),
+    "body_mm": ("body", "tube", "handle"),
+    "cri": ("cri",),
+    "price": ("$", "€", "£"),
+    "version": ("version",),
+    "year": ("201", "202"),
+}
+
+
+def has_any(low: Column, words: tuple[str, ...]) -> Column:
+    """One of the words stands anywhere in a lower-cased text."""
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(low, F.lit(w))
+    return out
+
+
+def values(text: Column, field: Field, may: Column | None = None) -> Column:
+    """All plausible values in the order of the patterns, as double; none where ``may`` is false."""
 
     def scaled(pattern: str, factor: float) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.regexp_replace(x, ",", "").try_cast("double") * F.lit(factor))
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        if may is not None:
+            found = F.when(may, found).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>")))
+        return F.transform(found, lambda x: F.regexp_replace(x, ",", "").try_cast("double") * F.lit(factor))
 
     return F.filter(F.concat(*[scaled(p, k) for p, k in field.patterns]), lambda v: v.between(field.low, field.high))
 
 
-def extract(text: Column, name: str) -> Column:
-    """array<double> for an ``all`` field, else double."""
+def extract(text: Column, name: str, low: Column | None = None) -> Column:
+    """array<double> for an ``all`` field, else double; ``low``: a column that holds the text in lower case, to test the hints on."""
     field = FIELDS[name]
-    v = values(text, field)
+    v = values(text, field, has_any(low, HINTS[name]) if low is not None and name in HINTS else None)
     if field.pick == "all":
         return F.sort_array(F.array_distinct(v), asc=False)
     return F.array_max(v) if field.pick == "max" else F.get(v, 0)
 
 
-def terms(text: Column, name: str) -> Column:
-    """Which of a field's terms stand in the text, in the table's order."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(low.rlike(word_pattern(t.replace("-", r"\-"))), F.lit(t)) for t in TERMS[name]]))
+def terms(low: Column, name: str) -> Column:
+    """Which of a field's terms stand in a lower-cased text, in the table's order; the literal is looked for before its borders."""
+    hit = lambda t: F.contains(low, F.lit(t)) & low.rlike(word_pattern(t.replace("-", r"\-")))
+    return F.array_compact(F.array(*[F.when(hit(t), F.lit(t)) for t in TERMS[name]]))
 
 
 def throw_or_candela(text: Column) -> Column:

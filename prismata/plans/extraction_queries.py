@@ -31,11 +31,15 @@ def _shown(text: str, name: str) -> str:
 
 
 def _column(text: str, name: str):
-    v = ex.extract(F.col(text), name)
+    v = ex.extract(F.col(text), name, F.col("low"))
     cents = lambda x: F.round(x * 100).cast("long")
     return (F.array_join(F.transform(v, lambda x: cents(x).cast("string")), ",") if ex.FIELDS[name].pick == "all" else cents(v)).alias(name)
 
 
+def _with_low(df: DataFrame, text: str = "text") -> DataFrame:
+    return df.withColumn("low", F.lower(text))
+
+
 def _terms(text: str, name: str) -> str:
     hits = ", ".join(f"CASE WHEN regexp_matches(lower({text}), '{_q(tx.word_pattern(t.replace('-', chr(92) + '-')))}') THEN '{t}' END" for t in ex.TERMS[name])
     return f"array_to_string(list_filter([{hits}], lambda x: x IS NOT NULL), ',')"
@@ -48,25 +52,25 @@ _BODY = ("length_mm", "bezel_mm", "body_mm", "weight_g", "runtime_h", "price", "
 @query("text_light_fields", "SELECT doc_id, " + ", ".join(f"{_shown('text', n)} AS {n}" for n in _LIGHT) + " FROM documents")
 def text_light_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Output, intensity, distance and colour figures of every whole text, in hundredths."""
-    return table(spark, sf_dir, "documents").select("doc_id", *[_column("text", n) for n in _LIGHT])
+    return _with_low(table(spark, sf_dir, "documents")).select("doc_id", *[_column("text", n) for n in _LIGHT])
 
 
 @query("text_body_fields", "SELECT doc_id, " + ", ".join(f"{_shown('text', n)} AS {n}" for n in _BODY) + " FROM documents")
 def text_body_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures, weights, runtimes, prices, years and versions of every whole text, in hundredths."""
-    return table(spark, sf_dir, "documents").select("doc_id", *[_column("text", n) for n in _BODY])
+    return _with_low(table(spark, sf_dir, "documents")).select("doc_id", *[_column("text", n) for n in _BODY])
 
 
 @query("text_terms", "SELECT doc_id, " + ", ".join(f"{_terms('text', n)} AS {n}" for n in ex.TERMS) + " FROM documents")
 def text_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells, materials, switches, features, charging and blink modes that every whole text names."""
-    return table(spark, sf_dir, "documents").select("doc_id", *[F.array_join(ex.terms(F.col("text"), n), ",").alias(n) for n in ex.TERMS])
+    return _with_low(table(spark, sf_dir, "documents")).select("doc_id", *[F.array_join(ex.terms(F.col("low"), n), ",").alias(n) for n in ex.TERMS])
 
 
 @query("page_fields", "SELECT page_id, " + ", ".join(f"{_shown('html', n)} AS {n}" for n in ("lumens", "price", "year", "weight_g")) + " FROM pages")
 def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of whole landed pages, markup included."""
-    return table(spark, sf_dir, "pages").select("page_id", *[_column("html", n) for n in ("lumens", "price", "year", "weight_g")])
+    return _with_low(table(spark, sf_dir, "pages"), "html").select("page_id", *[_column("html", n) for n in ("lumens", "price", "year", "weight_g")])
 
 
 _TURNS = "(SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY 1)"
@@ -77,7 +81,7 @@ def segment_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of a thread, its posts joined in order."""
     posts = F.array_sort(F.collect_list(F.struct("turn", "text")))  # the posts of one thread
     t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(posts, lambda p: p["text"]), "\n").alias("text"))
-    return t.select("conv_id", *[_column("text", n) for n in ("lumens", "runtime_h", "weight_g", "year")])
+    return _with_low(t).select("conv_id", *[_column("text", n) for n in ("lumens", "runtime_h", "weight_g", "year")])
 
 
 @query("mined_missing", f"SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 2 = 0 THEN 2000.0::DOUBLE END, list_max({_values('d.text', ex.FIELDS['year'])})) AS year FROM documents d")

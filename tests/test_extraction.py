@@ -38,8 +38,8 @@ def test_missing_empty_and_implausible(spark):
 
 
 def test_terms_and_cells(spark):
-    assert one(spark, TEXT, lambda t: ex.terms(t, "battery")) == ["21700"]
-    assert one(spark, TEXT, lambda t: ex.terms(t, "charging")) == ["usb-c"]
+    assert one(spark, TEXT, lambda t: ex.terms(F.lower(t), "battery")) == ["21700"]
+    assert one(spark, TEXT, lambda t: ex.terms(F.lower(t), "charging")) == ["usb-c"]
     assert one(spark, "intensity: 10,000 cd", ex.throw_or_candela) == 200.0
     assert one(spark, "21700", lambda t: ex.length_for_cell(F.lit(60.0), F.array(t))) is None
     assert one(spark, "21700", lambda t: ex.length_for_cell(F.lit(120.0), F.array(t))) == 120.0
