@@ -136,11 +136,6 @@ def length_for_cell(length: Column, cells: Column) -> Column:
     return F.when(length >= longest, length)
 
 
-def all_fields(text: Column, names=None) -> list[Column]:
-    """A column for each field, named like it."""
-    return [extract(text, n).alias(n) for n in (names or FIELDS)]
-
-
 def mined(df: DataFrame, text: str, fields: dict[str, str]) -> DataFrame:
     """``df`` with its missing values read from its text; ``fields`` maps columns to fields, and what is there stays."""
     return df.withColumns({c: F.coalesce(F.col(c), extract(F.col(text), f)) for c, f in fields.items()})

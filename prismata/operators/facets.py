@@ -236,6 +236,6 @@ def default_quality(score: str = "completeness", kind: str = "type") -> tuple[Mu
     return (Range(score, 8, None), Multi(kind, ("accessory", "blog"), "none"))
 
 
-def inverted(all_options: list[str], selected: tuple[str, ...]) -> tuple[str, ...]:
-    """All visible options that are not selected."""
-    return tuple(o for o in all_options if o not in selected and not o.startswith(("//", "~")))
+def inverted(selection: Multi) -> Multi:
+    """All other options: none of the selected ones, whatever options there are."""
+    return Multi(selection.column, selection.selected, "none")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import urls as ur
 from ..operators import extraction as ex
+from ..operators import positions as po
 from ..operators import specs
 from ..operators import vocabulary as vo
 from .registry import query, table
@@ -73,6 +74,13 @@ def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_low(table(spark, sf_dir, "pages"), "html").select("page_id", *[_column("html", n) for n in ("lumens", "price", "year", "weight_g")])
 
 
+@query("title_fields", "SELECT doc_id, " + ", ".join(f"{_shown('title', n)} AS {n}" for n in ex.TITLE_FIELDS) + " FROM (SELECT doc_id, string_split(text, chr(10))[1] AS title FROM documents)")
+def title_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields that titles tell, from the first line of every text."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("title"))
+    return _with_low(t, "title").select("doc_id", *[_column("title", n) for n in ex.TITLE_FIELDS])
+
+
 _TURNS = "(SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY 1)"
 
 
@@ -234,3 +242,50 @@ def spec_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     lumens = F.array_join(F.transform(specs.lumens(F.col("text")), lambda v: v.cast("long").cast("string")), ",")
     return d.select("doc_id", lumens.alias("lumens"), F.round(specs.weight_g(F.col("text")), 6).alias("weight_g"), specs.ip_rating(F.col("text")).alias("ip"))
+
+
+def _shown_fields() -> list:
+    cents = lambda x: F.round(x * 100).cast("long")
+    return [(F.array_join(F.transform(n, lambda x: cents(x).cast("string")), ",") if s.pick == "all" else cents(F.col(n))).alias(n) for n, s in po.SPOTS.items()]
+
+
+def _positions_sql(source: str) -> str:
+    """The SQL of ``po.fields`` over a table of (key, text)."""
+    p, map_of = _q(po.PATTERN), lambda t: "MAP {" + ", ".join(f"'{_q(k)}': {v!r}" for k, v in t.items()) + "}"
+    can = " OR ".join(f"(near = '{n}' AND unit IN {_listed([*s.own, *s.after_label])})" for n, s in po.SPOTS.items())
+    good = " OR ".join(f"(field = '{n}' AND value BETWEEN {s.low} AND {s.high})" for n, s in po.SPOTS.items())
+    cents = lambda x: f"CAST(round({x} * 100) AS BIGINT)"
+    out = []
+    for n, s in po.SPOTS.items():
+        if s.pick == "all":
+            out.append(f"coalesce(array_to_string(list_transform(list_reverse_sort(list(DISTINCT value) FILTER (field = '{n}')), lambda x: {cents('x')}), ','), '') AS {n}")
+        elif s.pick == "first":
+            out.append(f"{cents(f"arg_min(value, i) FILTER (field = '{n}')")} AS {n}")
+        elif n == "length_mm":
+            out.append(f"CASE WHEN max(cell) IS NULL OR max(value) FILTER (field = '{n}') >= max(cell) THEN {cents(f"max(value) FILTER (field = '{n}')")} END AS {n}")
+        else:
+            out.append(f"{cents(f"max(value) FILTER (field = '{n}')")} AS {n}")
+    return f"""WITH t AS ({source}),
+    a AS (SELECT key, list_transform(regexp_extract_all(text, '{p}'), lambda x: lower(x)) AS w, list_transform(regexp_split_to_array(text, '{p}'), lambda x: length(x)) AS g FROM t),
+    b AS (SELECT key, unnest(w) AS word, unnest(g[1:len(w)]) AS gap, unnest(range(len(w))) AS i FROM a),
+    c AS (SELECT *, sum(gap + length(word)) OVER (PARTITION BY key ORDER BY i) AS stop, {map_of(po.LABELS)}[word] AS label FROM b),
+    d AS (SELECT *, last_value(CASE WHEN label IS NOT NULL THEN {{'f': label, 'at': stop}} END IGNORE NULLS) OVER (PARTITION BY key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, regexp_matches(word, '^{po.CLOCK}$') AS clock FROM c),
+    e AS (SELECT key, i, word, CASE WHEN clock THEN 'clock' ELSE trim(regexp_replace(word, '^{po.NUMBER}', '')) END AS unit, CASE WHEN stop - length(word) - before.at <= {po.REACH} THEN before.f END AS near,
+        CASE WHEN clock THEN CAST(regexp_extract_all(word, '[0-9]+')[1] AS DOUBLE) + CAST(regexp_extract_all(word, '[0-9]+')[2] AS DOUBLE) / 60 ELSE TRY_CAST(replace(regexp_extract(word, '{po.NUMBER}'), ',', '') AS DOUBLE) END AS number FROM d WHERE label IS NULL),
+    f AS (SELECT key, i, coalesce(CASE WHEN {can} THEN near END, {map_of(po.OWN)}[unit]) AS field, number * coalesce({map_of(po.WORTH)}[unit]::DOUBLE, 1) AS value, {map_of(ex.CELL_MM)}[word]::DOUBLE AS cell FROM e),
+    g AS (SELECT * REPLACE (CASE WHEN {good} THEN field END AS field) FROM f WHERE {good} OR cell IS NOT NULL)
+    SELECT key, {", ".join(out)} FROM g GROUP BY key HAVING count(field) > 0"""
+
+
+@query("position_fields", _positions_sql("SELECT doc_id AS key, text FROM documents"))
+def position_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fourteen fields of every whole text, each value with its nearest label, in hundredths."""
+    return po.fields(table(spark, sf_dir, "documents"), "doc_id", "text").select("key", *_shown_fields())
+
+
+@query("thread_position_fields", _positions_sql(f"SELECT conv_id AS key, text FROM {_TURNS}"))
+def thread_position_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of threads, their posts joined in order, so that a label may stand in the post before."""
+    posts = F.array_sort(F.collect_list(F.struct("turn", "text")))  # the posts of one thread
+    t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(posts, lambda p: p["text"]), "\n").alias("text"))
+    return po.fields(t, "conv_id", "text").select("key", *_shown_fields())
