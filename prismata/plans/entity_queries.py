@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import contains_all, expand_multiples, within_tolerance
 from ..functions.text import core_model, slug, without_version
 from ..operators import entities as en
+from ..sources.shared import shared_dir
+from ..sources.snapshots import Snapshot
 from .registry import query, table
 
 
@@ -118,6 +122,18 @@ def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return en.upserted(old, new, "id", ["price"], {}, ["status"], ["tag"])
 
 
+@query("upsert_partitions", f"SELECT coalesce(o.id, n.id) AS id, coalesce(n.price, o.price) AS price, CASE WHEN n.id IS NOT NULL THEN n.status ELSE o.status END AS status, CASE WHEN o.id IS NOT NULL THEN o.tag ELSE n.tag END AS tag FROM {_OLD} o FULL OUTER JOIN (SELECT * FROM {_NEW} n WHERE id % 50 = 0) n ON o.id = n.id")
+def upsert_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same upsert into a stored snapshot, of which the changed partitions are written; then once more, which changes nothing."""
+    old, new = _snapshots(spark, sf_dir)
+    name = f"snapshot_{uuid.uuid4().hex}"
+    s = Snapshot(spark, name, f"{shared_dir(spark)}/{name}", "id")
+    s.create(old)
+    for _ in range(2):
+        s.upsert(new.where("id % 50 = 0"), lambda a, b: en.upserted(a, b, "id", ["price"], {}, ["status"], ["tag"]))
+    return s.rows().drop("slot")
+
+
 @query("fill_only_merge_fields_added", f"SELECT o.id, coalesce(o.price, n.price) AS price, CASE WHEN o.price IS NULL AND n.price IS NOT NULL THEN 'price' ELSE '' END AS added FROM {_OLD} o LEFT JOIN {_NEW} n ON o.id = n.id")
 def fill_only_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _snapshots(spark, sf_dir)
