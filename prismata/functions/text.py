@@ -158,13 +158,19 @@ def first_key_in(c: Column, table: list[tuple[str, str]], default: str | None =
 
 
 def after_anchor(c: Column, start: str, stop: str, skip: str) -> Column:
-    """Lines after the first that matches ``start`` and before the next that matches ``stop``, ``skip`` lines left out."""
+    """The lines of the product part: from behind the first line that matches ``start`` up to the next that matches ``stop``.
+
+    A stop line counts behind the start only; without a start line the text is
+    taken from its beginning and no stop line counts.  Lines that match ``skip``
+    are left out, and runs of blank lines become one, none at either end.
+    """
     lines = F.split(c, "\n")
     at = F.array_position(F.transform(lines, lambda x: x.rlike(start)), True)
     rest = F.when(at > 0, F.slice(lines, (at + 1).cast("int"), F.size(lines))).otherwise(lines)
-    end = F.array_position(F.transform(rest, lambda x: x.rlike(stop)), True)
-    inside = F.when(end > 0, F.slice(rest, 1, (end - 1).cast("int"))).otherwise(rest)
-    return F.array_join(F.filter(inside, lambda x: (F.trim(x) != "") & ~x.rlike(skip)), "\n")
+    end = F.when(at > 0, F.array_position(F.transform(rest, lambda x: x.rlike(stop)), True)).otherwise(0)
+    inside = F.filter(F.when(end > 0, F.slice(rest, 1, (end - 1).cast("int"))).otherwise(rest), lambda x: ~x.rlike(skip))
+    marked = F.transform(inside, lambda x: F.when(F.trim(x) == "", F.lit("")).otherwise(x))
+    return F.regexp_replace(F.regexp_replace(F.array_join(marked, "\n"), "\n{3,}", "\n\n"), r"\A\n+|\n+\z", "")
 
 
 def year(c: Column) -> Column:

@@ -175,12 +175,12 @@ def words_match(text: Column, query: str) -> Column:
 
 
 def sort_key(column: str, kind: T.DataType) -> Column:
-    """Numbers, or the largest of an array; strings lower-cased, empty as null."""
+    """Numbers, or the largest of an array; strings in the order of their language's letters, case and accents last, empty as null."""
     c = F.col(column)
     if isinstance(kind, T.ArrayType):
         return F.array_max(F.filter(F.transform(c, lambda x: x.try_cast("double")), lambda x: x.isNotNull()))
     if isinstance(kind, T.StringType):
-        return F.when(c != "", F.lower(c))
+        return F.collate(F.when(c != "", c), "UNICODE")
     return c
 
 

@@ -14,7 +14,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.cells import dropped_sorted
@@ -227,3 +227,30 @@ NORMALISERS: dict[str, Normaliser] = {
     "features": lambda c: normalise_array(c, FEATURES),
     "led": lambda c: dropped_sorted(F.transform(c, emitter)),
 }
+
+
+ITEM: dict[str, Normaliser] = {
+    "battery": battery,
+    "material": lambda c: normalise(c, MATERIAL),
+    "switch": lambda c: normalise(c, SWITCH),
+    "features": lambda c: normalise(c, FEATURES),
+    "led": emitter,
+}
+
+
+def normalised_table(df: DataFrame, columns: list[str], path: str) -> dict[str, tuple[int, int, int]]:
+    """Write ``df`` with its cells normalised; gives (items, dropped, changed) of each column, observed in the same pass.
+
+    Each column's name is that of its vocabulary.
+    """
+    seen = Observation("vocabularies")
+    pairs = lambda n: F.transform(F.col(n), lambda x: F.struct(x.alias("old"), ITEM[n](x).alias("new")))
+    t = df.withColumns({f"_{n}": F.coalesce(pairs(n), F.array().cast("array<struct<old:string,new:string>>")) for n in columns})
+    size = lambda n, test: F.sum(F.size(F.filter(f"_{n}", test))).cast("long")
+    counts = []
+    for n in columns:
+        counts += [F.sum(F.size(f"_{n}")).cast("long").alias(f"{n}_items"), size(n, lambda p: p.new.isNull()).alias(f"{n}_dropped"), size(n, lambda p: p.new != p.old).alias(f"{n}_changed")]
+    t = t.observe(seen, *counts)
+    out = [dropped_sorted(F.transform(F.col(f"_{c}"), lambda p: p.new)).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns]
+    t.select(*out).write.mode("overwrite").parquet(path)
+    return {n: tuple(seen.get[f"{n}_{k}"] or 0 for k in ("items", "dropped", "changed")) for n in columns}

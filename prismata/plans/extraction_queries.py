@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..operators import extraction as ex
 from ..operators import positions as po
 from ..operators import specs
 from ..operators import vocabulary as vo
+from ..sources.shared import shared_dir
 from .registry import query, table
 
 
@@ -134,11 +137,23 @@ def html_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.unionByName(d)
 
 
-@query("boilerplate_strip", "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_matches(x, '(?i)licen[sc]e|copyright')), chr(10)) AS body FROM documents")
+#: Lines that begin and end the part that is read, and lines left out; fixed by the texts themselves.
+_START, _STOP, _SKIP = "^(The|Die|La|Que|De) ", "[?!]$|^(Of|Und|Et) ", "(?i)licen[sc]e|copyright"
+_AT = f"list_position(list_transform(lines, lambda x: regexp_matches(x, '{_START}')), true)"
+
+
+@query(
+    "boilerplate_strip",
+    f"""WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+    b AS (SELECT doc_id, coalesce({_AT}, 0) AS pos, CASE WHEN coalesce({_AT}, 0) > 0 THEN lines[coalesce({_AT}, 0) + 1 :] ELSE lines END AS rest FROM a),
+    c AS (SELECT *, CASE WHEN pos > 0 THEN coalesce(list_position(list_transform(rest, lambda x: regexp_matches(x, '{_STOP}')), true), 0) ELSE 0 END AS stop FROM b),
+    d AS (SELECT doc_id, list_transform(list_filter(CASE WHEN stop > 0 THEN rest[1 : stop - 1] ELSE rest END, lambda x: NOT regexp_matches(x, '{_SKIP}')), lambda x: CASE WHEN trim(x) = '' THEN '' ELSE x END) AS kept FROM c)
+    SELECT doc_id, regexp_replace(regexp_replace(coalesce(array_to_string(kept, chr(10)), ''), '\\n{{3,}}', chr(10) || chr(10), 'g'), '\\A\\n+|\\n+\\z', '', 'g') AS body FROM d""",
+)
 def boilerplate_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text without its empty and its licence lines; no start or stop line is asked for."""
+    """The part of every text behind its start line, up to its stop line, without licence lines."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", tx.after_anchor(F.col("text"), r"\A(?!)", r"\A(?!)", "(?i)licen[sc]e|copyright").alias("body"))
+    return d.select("doc_id", tx.after_anchor(F.col("text"), _START, _STOP, _SKIP).alias("body"))
 
 
 def _vocabulary(column: str, rules: vo.Rules) -> str:
@@ -183,14 +198,14 @@ def _listed(words) -> str:
     return "(" + ", ".join(f"'{_q(w)}'" for w in words) + ")"
 
 
-def _battery_sql() -> str:
+def _battery_sql(source: str = _TERMS_N) -> str:
     out = f"CASE WHEN length(term) > {vo.LONGEST_POWER} THEN 'built-in' ELSE term END"
     first = lambda test: f"list_filter(words, lambda w: {test})[1]"
     size, number = first(f"w IN {_listed(vo.CELLS)}"), first("regexp_matches(w, '^[0-9]')")
     for shape, name in reversed(vo.POWER_SHAPES):
         new = "NULL" if name is None else "'" + name.replace("{size}", f"' || {size} || '").replace("{number}", f"' || {number} || '") + "'"
         out = f"CASE WHEN regexp_matches(kinds, '{shape}') THEN {new} ELSE {out} END"
-    words = f"SELECT term, n, regexp_extract_all(replace(lower(term), ',', ''), '{vo.POWER_WORD}') AS words FROM {_TERMS_N}"
+    words = f"SELECT term, n, regexp_extract_all(replace(lower(term), ',', ''), '{vo.POWER_WORD}') AS words FROM {source}"
     kinds = f"SELECT *, ' ' || array_to_string(list_transform(words, lambda w: coalesce({_map(vo.POWER_WORDS)}[w], CASE WHEN regexp_matches(w, '^[0-9]') THEN '#' ELSE '?' END)), ' ') || ' ' AS kinds FROM ({words})"
     return f"SELECT term, CASE WHEN term NOT IN {_listed(vo.NO_VALUE)} THEN {out} END AS battery, n FROM ({kinds})"
 
@@ -198,14 +213,14 @@ def _battery_sql() -> str:
 query("normalise_battery", _battery_sql())(_vocabulary_query("battery", vo.battery))
 
 
-def _led_sql() -> str:
+def _led_sql(source: str = _TERMS_N) -> str:
     """The SQL of ``vo.emitter`` for one term without blanks, hyphens and makers."""
     out = "CASE WHEN NOT told OR compact IN " + _listed(vo.BARE) + " THEN NULL ELSE term END"
     for pattern, maker, parts in reversed(vo.FAMILIES):
         group = lambda x: f"upper(regexp_extract(compact, '^(?:{pattern})$', {x[-1]}))"  # noqa: B023, E731
         texts = [f"CASE WHEN {group(x)} <> '' THEN '{x[:-2]}' || {group(x)} ELSE '' END" if "$" in x else f"'{x}'" for x in parts]
         out = f"CASE WHEN regexp_matches(compact, '^(?:{pattern})$') THEN '{maker + ' ' if maker else ''}' || {' || '.join(texts)} ELSE {out} END"
-    raw = f"SELECT term, n, regexp_extract(term, '{vo.COUNTED}', 1) AS dies, regexp_replace(term, '{vo.COUNTED}', '') AS compact FROM {_TERMS_N} WHERE term NOT IN {_listed([*vo.MAKERS, 'ii'])}"
+    raw = f"SELECT term, n, regexp_extract(term, '{vo.COUNTED}', 1) AS dies, regexp_replace(term, '{vo.COUNTED}', '') AS compact FROM {source} WHERE term NOT IN {_listed([*vo.MAKERS, 'ii'])}"
     told = f"SELECT *, compact NOT IN {_listed(vo.TELLS_NOTHING)} AND NOT regexp_matches(compact, '^(?:{vo.MEASURE})$') AS told FROM (SELECT term, n, dies, compact FROM ({raw}))"
     return f"SELECT term, CASE WHEN dies <> '' THEN dies || 'x ' ELSE '' END || {out.replace('ELSE term END', 'ELSE compact END')} AS led, n FROM ({told})"
 
@@ -216,6 +231,45 @@ def normalise_led(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _terms_n(spark, sf_dir).where(~F.col("term").isin(*vo.MAKERS, "ii")).select("term", vo.emitter(F.col("term")).alias("led"), "n")
 
 
+_CELLS_OF = {"battery": "string_split(p_name, ' ')", "material": "[p_type, 'alu', p_brand]", "switch": "[p_name, p_type]", "features": "string_split(p_name, ' ')", "led": "[p_size || 'x' || lower(p_type), lower(p_type)]"}
+_RULES_OF = {"material": vo.MATERIAL, "switch": vo.SWITCH, "features": vo.FEATURES}
+
+
+def _items(name: str) -> str:
+    source = f"(SELECT unnest({_CELLS_OF[name]}) AS term, 1 AS n FROM part)"
+    if name in _RULES_OF:
+        return f"SELECT term, {_vocabulary('term', _RULES_OF[name])} AS v FROM {source}"
+    return f"SELECT term, {name} AS v FROM ({(_battery_sql if name == 'battery' else _led_sql)(source)})"
+
+
+@query("vocabulary_counts", " UNION ALL ".join(f"SELECT '{n}' AS vocabulary, count(*) AS items, count(*) FILTER (v IS NULL) AS dropped, count(*) FILTER (v <> term) AS changed FROM ({_items(n)})" for n in _CELLS_OF))
+def vocabulary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vocabularies in one pass: the normalised table is written, and what each changed is observed meanwhile."""
+    c = F.col
+    p = table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.split("p_name", " ").alias("battery"),
+        F.array(c("p_type"), F.lit("alu"), c("p_brand")).alias("material"),
+        F.array("p_name", "p_type").alias("switch"),
+        F.split("p_name", " ").alias("features"),
+        F.array(F.concat(c("p_size").cast("string"), F.lit("x"), F.lower("p_type")), F.lower("p_type")).alias("led"),
+    )
+    counts = vo.normalised_table(p, list(_CELLS_OF), f"{shared_dir(spark)}/normalised-{uuid.uuid4().hex}")
+    rows = [(n, *counts[n]) for n in _CELLS_OF]  # one row for each vocabulary
+    return spark.createDataFrame(rows, "vocabulary string, items long, dropped long, changed long")
+
+
+@query(
+    "normalise_cells",
+    f"""WITH i AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS term, 1 AS n FROM part), d AS (SELECT DISTINCT term, n FROM i), m AS ({_battery_sql('d')})
+    SELECT p_partkey AS id, coalesce(string_agg(DISTINCT battery, ',' ORDER BY battery), '') AS battery FROM (SELECT p_partkey, battery FROM i JOIN m USING (term)) GROUP BY 1""",
+)
+def normalise_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of several values: dropped, normalised, each once and in order."""
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("id"), F.array_join(vo.NORMALISERS["battery"](F.split("p_name", " ")), ",").alias("battery"))
+
+
 _SIZES = f"(?i){_NUMBER}\\s*(mm|cm|in)\\b"
 
 

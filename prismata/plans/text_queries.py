@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls as ur
-from ..operators import specs
+from ..operators import records, specs
 from ..operators import vocabulary as vo
 from .registry import query, table
 
@@ -125,6 +125,33 @@ def spec_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.try_element_at(specs.validated(F.col("props"), {"k": (10, 90), "price": (0, 100)}), F.lit("k")).alias("k"))
 
 
+_JSON = """CASE WHEN p_partkey % 7 = 0 THEN substring(r, 1, length(r) // 2) ELSE r END"""
+_RECORD = """'{"size": ' || CASE WHEN p_partkey % 5 = 0 THEN '"' || p_size || '"' ELSE CAST(p_size AS VARCHAR) END || ', "names": ["' || replace(p_name, ' ', '", "') || '", ' || p_size || ', null, {"x": ["y"]}], "price": {"usd": ' || CAST(p_partkey % 300 AS VARCHAR) || '}, "marks": [' || rtrim(repeat(CAST(p_size AS VARCHAR) || ',', 1 + CAST(p_partkey % 9 AS INT)), ',') || '], "brand": "' || p_brand || '"}'"""
+
+
+@query(
+    "record_fields",
+    f"""WITH a AS (SELECT p_partkey, {_RECORD} AS r FROM part), b AS (SELECT p_partkey AS id, {_JSON} AS r FROM a), c AS (SELECT id, r, CASE WHEN json_valid(r) THEN r END AS j FROM b)
+    SELECT id, CASE WHEN j IS NULL THEN r END AS corrupt, CASE WHEN TRY_CAST(json_extract_string(j, '$.size') AS DOUBLE) BETWEEN 5 AND 40 THEN TRY_CAST(json_extract_string(j, '$.size') AS DOUBLE) END AS size,
+        array_to_string(list_transform(list_filter(json_extract(j, '$.names[*]'), lambda x: json_type(x) = 'VARCHAR' AND length(json_extract_string(x, '$')) <= 5), lambda x: json_extract_string(x, '$')), ',') AS names,
+        CASE WHEN TRY_CAST(json_extract_string(j, '$.price.usd') AS DOUBLE) BETWEEN 20 AND 250 THEN TRY_CAST(json_extract_string(j, '$.price.usd') AS DOUBLE) END AS usd,
+        CASE WHEN json_array_length(j, '$.marks') <= 6 THEN len(list_filter(json_extract(j, '$.marks[*]'), lambda x: CAST(x AS INT) BETWEEN 10 AND 60)) END AS marks, json_extract_string(j, '$.brand') AS brand FROM c""",
+)
+def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with broken, nested and over-long parts: every field inside its bounds, unreadable ones as they came."""
+    p = table(spark, sf_dir, "part")
+    size, text = F.col("p_size").cast("string"), lambda x: F.lit(x)
+    r = F.concat(
+        text('{"size": '), F.when(F.col("p_partkey") % 5 == 0, F.concat(text('"'), size, text('"'))).otherwise(size), text(', "names": ["'), F.replace("p_name", F.lit(" "), F.lit('", "')), text('", '), size, text(', null, {"x": ["y"]}], "price": {"usd": '),
+        (F.col("p_partkey") % 300).cast("string"), text('}, "marks": ['), F.array_join(F.array_repeat(size, (1 + F.col("p_partkey") % 9).cast("int")), ","), text('], "brand": "'), F.col("p_brand"), text('"}'),
+    )
+    p = p.select(F.col("p_partkey").alias("id"), r.alias("r"))
+    p = p.withColumn("r", F.when(F.col("id") % 7 == 0, F.substr("r", F.lit(1), F.floor(F.length("r") / 2).cast("int"))).otherwise(F.col("r")))
+    fields = {"size": records.Number("$.size", 5, 40), "names": records.Items("$.names", 12, longest=5), "usd": records.Number("$.price.usd", 20, 250), "marks": records.Items("$.marks", 6, low=10, high=60), "brand": records.Text("$.brand", 20)}
+    t = records.read(p, "r", fields)
+    return t.select("id", "corrupt", "size", F.array_join("names", ",").alias("names"), "usd", F.when(F.col("marks").isNotNull(), F.size("marks")).cast("long").alias("marks"), "brand")
+
+
 @query("first_n_per_topic", "SELECT conv_id, turn, role FROM conversations WHERE length(text) >= 50 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2")
 def first_n_per_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two long enough posts of each topic."""

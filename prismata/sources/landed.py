@@ -13,6 +13,7 @@ from ..functions.display import without_references
 from ..functions.text import html_to_text, slug, without_prefix
 from ..functions.urls import host, sitemap_locations
 from ..operators.extraction import extract
+from .shared import checkpointed
 
 PRODUCT = "struct<title:string,handle:string,vendor:string,product_type:string,tags:array<string>,body_html:string,images:array<struct<src:string>>,variants:array<struct<title:string,price:string,available:boolean,sku:string>>,options:array<struct<name:string,values:array<string>>>>"
 
@@ -89,10 +90,41 @@ def reviews(pages: DataFrame) -> DataFrame:
     )
 
 
-def sitemap(spark: SparkSession, path: str) -> DataFrame:
-    """url, nested: locations of landed sitemap files; nested ones are sitemaps themselves."""
-    x = spark.read.text(path, wholetext=True).select(F.explode(sitemap_locations(F.col("value"))).alias("url"))
-    return x.distinct().withColumn("nested", F.col("url").rlike(r"\.xml(\?.*)?$"))
+def sitemap_entries(files: DataFrame) -> DataFrame:
+    """url, nested, parent of landed sitemap files (url, body): what stands in a ``sitemap`` element, or ends in .xml, is a sitemap itself."""
+    inner = F.regexp_extract_all("body", F.lit(r"(?is)<sitemap\b[^<>]*>\s*<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))
+    t = files.select(F.col("url").alias("parent"), inner.alias("inner"), F.explode(sitemap_locations(F.col("body"))).alias("url"))
+    return t.select("url", (F.array_contains("inner", F.col("url")) | F.col("url").rlike(r"\.xml(\.gz)?(\?.*)?$")).alias("nested"), "parent")
+
+
+def sitemap_pages(files: DataFrame, roots: list[str]) -> DataFrame:
+    """url, level of every page that the sitemaps reach from ``roots``; ``files`` has what was landed, as (url, body).
+
+    Each round reads the sitemaps of the frontier and keeps those nested ones
+    that no round has visited, so sitemaps that name each other end; a sitemap
+    that was not landed has no pages.  A page counts at its first level.
+    """
+    spark = files.sparkSession
+    links = checkpointed(sitemap_entries(files))
+    frontier = spark.createDataFrame([(r,) for r in sorted(set(roots))], "url string")
+    visited, pages, level = frontier, [], 0
+    while frontier.limit(1).count():
+        here = links.join(frontier.select(F.col("url").alias("parent")), "parent", "left_semi")
+        pages.append(here.where("not nested").select("url", F.lit(level).alias("level")).distinct())
+        frontier = checkpointed(here.where("nested").select("url").distinct().join(visited, "url", "left_anti"))
+        visited = visited.unionByName(frontier)
+        level += 1
+    every = pages[0]
+    for more in pages[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("url").agg(F.min("level").alias("level"))
+
+
+def first_success(candidates: DataFrame, key: str, urls: str, done: DataFrame) -> DataFrame:
+    """key, url, body of each key's first URL, in the order of its list, that was landed (``done``: url, ok, body)."""
+    t = candidates.select(F.col(key), F.posexplode(urls).alias("place", "url"))
+    hit = t.join(done.where("ok").select("url", "body"), "url")
+    return hit.groupBy(key).agg(F.min_by(F.struct("url", "body"), "place").alias("first")).select(key, "first.url", "first.body")
 
 
 def matrix(spark: SparkSession, path: str) -> DataFrame:

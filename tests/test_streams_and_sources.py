@@ -91,9 +91,21 @@ def test_second_store_shape(spark, tmp_path):
 
 
 def test_sitemaps_and_matrices(spark, tmp_path):
-    (tmp_path / "map.xml").write_text("<urlset><url><loc> https://a.example/x </loc></url><sitemap><loc>https://a.example/more.xml</loc></sitemap><url><loc>https://a.example/x</loc></url></urlset>")
-    got = {(r.url, r.nested) for r in landed.sitemap(spark, str(tmp_path / "map.xml")).collect()}
-    assert got == {("https://a.example/x", False), ("https://a.example/more.xml", True)}
+    loc = lambda u: f"<loc> {u} </loc>"
+    site = {
+        "https://a/map": f"<sitemapindex><sitemap>{loc('https://a/one')}</sitemap><sitemap>{loc('https://a/two.xml')}</sitemap><sitemap>{loc('https://a/gone.xml')}</sitemap></sitemapindex>",
+        "https://a/one": f"<urlset><url>{loc('https://a/p1')}</url><url>{loc('https://a/p2')}</url><url>{loc('https://a/two.xml')}</url></urlset>",
+        "https://a/two.xml": f"<sitemapindex><sitemap>{loc('https://a/three.xml')}</sitemap><sitemap>{loc('https://a/map')}</sitemap></sitemapindex>",
+        "https://a/three.xml": f"<urlset><url>{loc('https://a/p2')}</url><url>{loc('https://a/p3')}</url><sitemap>{loc('https://a/two.xml')}</sitemap></urlset>",
+        "https://b/map": f"<urlset><url>{loc('https://b/never')}</url></urlset>",
+    }
+    files = spark.createDataFrame([*site.items(), ("https://a/empty", None)], "url string, body string")
+    got = {(r.url, r.level) for r in landed.sitemap_pages(files, ["https://a/map"]).collect()}
+    assert got == {("https://a/p1", 1), ("https://a/p2", 1), ("https://a/p3", 2)}
+    assert landed.sitemap_pages(files, ["https://a/none"]).collect() == []
+    wanted = spark.createDataFrame([(1, ["x", "y", "z"]), (2, ["q"]), (3, None)], "id int, urls array<string>")
+    done = spark.createDataFrame([("x", False, None), ("y", True, "Y"), ("z", True, "Z")], "url string, ok boolean, body string")
+    assert [tuple(r) for r in landed.first_success(wanted, "id", "urls", done).collect()] == [(1, "y", "Y")]
     (tmp_path / "m.json").write_text(json.dumps({"head": ["model", "lumens"], "data": [["A", "10"], ["B"]]}))
     got = {(r.row, r.column, r.value) for r in landed.matrix(spark, str(tmp_path / "m.json")).collect()}
     assert got == {(0, "model", "A"), (0, "lumens", "10"), (1, "model", "B")}
