@@ -66,14 +66,20 @@ def measurement_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), F.array_join(di.labelled(parts), ", ").alias("measures"))
 
 
-@query("display_cells", "SELECT p_partkey AS id, CASE WHEN p_size % 7 = 0 THEN '?' ELSE p_size || ' mm' END AS length, replace(replace(p_name, ' ', '&nbsp;'), '&nbsp;', ' ') AS name, CASE WHEN p_size % 3 = 0 THEN '?' ELSE p_type || ' ' || p_brand END AS terms FROM part")
+_TITLE = "nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^<>]*>(.*?)(?:</title>|\\z)', 1), '\\s+', ' ', 'g')), '')"
+for _name, _char in (("&nbsp;", " "), ("\u00a0", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    _TITLE = f"replace({_TITLE}, '{_name}', '{_char}')"
+
+
+@query("display_cells", f"SELECT p_partkey AS id, CASE WHEN p_size % 7 = 0 THEN '?' ELSE p_size || ' mm' END AS length, {_TITLE} AS title, CASE WHEN p_size % 3 = 0 THEN '?' ELSE p_type || ' ' || p_brand END AS terms FROM part LEFT JOIN pages ON page_id = p_partkey")
 def display_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells as they are shown: unit template, ``?`` for unknown ones, lists joined, references decoded."""
-    p = table(spark, sf_dir, "part")
+    titles = table(spark, sf_dir, "pages").select(F.col("page_id").alias("p_partkey"), di.without_references(ur.title(F.col("html"))).alias("title"))
+    p = table(spark, sf_dir, "part").join(titles, "p_partkey", "left")
     return p.select(
         F.col("p_partkey").alias("id"),
         di.cell(F.when(F.col("p_size") % 7 != 0, F.col("p_size").cast("string")), "{} mm").alias("length"),
-        di.without_references(F.replace("p_name", F.lit(" "), F.lit("&nbsp;"))).alias("name"),
+        "title",
         di.cell_list(F.when(F.col("p_size") % 3 != 0, F.array("p_type", "p_brand"))).alias("terms"),
     )
 
@@ -276,33 +282,48 @@ def same_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(b, "p_partkey").select(F.col("p_partkey").alias("id"), ce.same_set(F.split(F.upper("p_name"), " "), F.col("other")).alias("same"))
 
 
-@query("si_parse", "SELECT p_partkey AS id, round(p_size * 1000::DOUBLE, 6) AS kilo, CASE WHEN p_size % 2 = 0 THEN p_size::DOUBLE END AS plain FROM part")
+_SI = "'^\\s*(-?[0-9]+(?:\\.[0-9]+)?)\\s*([kMGmu]?)\\s*$'"
+
+
+@query("si_parse", f"SELECT doc_id, count(v) AS n, round(max(v), 6) AS largest FROM (SELECT doc_id, TRY_CAST(nullif(regexp_extract(w, {_SI}, 1), '') AS DOUBLE) * CASE regexp_extract(w, {_SI}, 2) WHEN 'k' THEN 1e3 WHEN 'M' THEN 1e6 WHEN 'G' THEN 1e9 WHEN 'm' THEN 1e-3 WHEN 'u' THEN 1e-6 ELSE 1 END AS v FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents)) GROUP BY 1")
 def si_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    return p.select(F.col("p_partkey").alias("id"), F.round(nu.si_value(F.concat(F.col("p_size").cast("string"), F.lit("k"))), 6).alias("kilo"), nu.si_value(F.concat(F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, "").otherwise(" apples"))).alias("plain"))
+    """The numbers of every whole text, with or without a prefix of magnitude."""
+    values = F.filter(F.transform(F.split("text", " "), nu.si_value), lambda v: v.isNotNull())
+    t = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", values.alias("v"))
+    return t.select("doc_id", F.size("v").cast("long").alias("n"), F.round(F.array_max("v"), 6).alias("largest"))
 
 
-@query("slider_roundtrip", "SELECT p_partkey AS id, round(p_retailprice, 4) AS price FROM part")
+_TICK = "floor(ln(p_retailprice) / ln(100000.0::DOUBLE) * 200 + 0.5) / 200"
+
+
+@query("slider_roundtrip", f"SELECT p_partkey AS id, CAST({_TICK} * 200 AS BIGINT) AS tick, round(pow(100000.0::DOUBLE, {_TICK}), 4) AS price FROM part")
 def slider_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A price to its slider position and back."""
-    p = table(spark, sf_dir, "part")
-    return p.select(F.col("p_partkey").alias("id"), F.round(nu.slider_value(nu.slider_position(F.col("p_retailprice"), 1.0, 1e5), 1.0, 1e5), 4).alias("price"))
+    """The nearest of a slider's 200 ticks to a price, and the price that the tick stands for."""
+    tick = F.floor(nu.slider_position(F.col("p_retailprice"), 1.0, 1e5) * 200 + 0.5)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), tick.cast("long").alias("tick"), F.round(nu.slider_value(tick / 200, 1.0, 1e5), 4).alias("price"))
 
 
-@query("name_keys", "SELECT p_partkey AS id, regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '', 'g') AS tight, trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS spaced, p_name AS bare, split_part(p_name, ' ', 2) AS tail FROM part")
+_LINE = "string_split(coalesce(text, ''), chr(10))[1]"
+_BARE = f"regexp_replace({_LINE}, '[\u200b\u200c\u200d\u2060\ufeff]', '', 'g')"
+_BARE = f"regexp_replace({_BARE}, '\\([^)]*\\)|\\[[^\\]]*\\]', ' ', 'g')"
+_BARE = f"regexp_replace({_BARE}, '(?i)\\b[0-9][0-9,.]*\\s*(lumens?|lm|mah|wh|k|mm|cm|m|g|v|w)\\b', ' ', 'g')"
+_BARE = f"trim(regexp_replace({_BARE}, '\\s+', ' ', 'g'))"
+
+
+@query("name_keys", f"SELECT doc_id AS id, regexp_replace(lower({_LINE}), '[^a-z0-9]+', '', 'g') AS tight, trim(regexp_replace(lower({_LINE}), '[^a-z0-9]+', ' ', 'g')) AS spaced, {_BARE} AS bare, CASE WHEN starts_with(lower({_LINE}), 'the ') THEN trim(substring({_LINE}, 4)) ELSE {_LINE} END AS tail FROM documents")
 def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comparison keys; figures with units, zero-width characters and a leading brand taken off."""
-    p = table(spark, sf_dir, "part")
-    both = F.concat_ws(" ", "p_name", "p_brand")
-    dressed = F.concat(F.col("p_name"), F.lit("​ 120 lumens (new) 45mm"))
-    return p.select(F.col("p_partkey").alias("id"), tx.match_key(both).alias("tight"), tx.match_key(both, spaced=True).alias("spaced"), tx.without_specs(tx.without_zero_width(dressed)).alias("bare"), tx.without_prefix(F.col("p_name"), F.upper(F.split_part("p_name", F.lit(" "), F.lit(1)))).alias("tail"))
+    """Comparison keys of every text's first line; figures with units, zero-width characters and a leading word taken off."""
+    line = F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), line.alias("line"))
+    name = F.col("line")
+    return d.select("id", tx.match_key(name).alias("tight"), tx.match_key(name, spaced=True).alias("spaced"), tx.without_specs(tx.without_zero_width(name)).alias("bare"), tx.without_prefix(name, F.lit("The")).alias("tail"))
 
 
-@query("fenced_and_safe", "SELECT conv_id, turn, trim(text) AS inside, regexp_matches(text, '^https?://[^\\s/]+') AS safe FROM conversations")
+@query("fenced_and_safe", "SELECT conv_id, turn, trim(CASE WHEN regexp_extract(text, '(?s)```(?:json)?\\s*(.*?)```', 1) <> '' THEN regexp_extract(text, '(?s)```(?:json)?\\s*(.*?)```', 1) ELSE text END) AS inside, false AS safe FROM conversations WHERE NOT regexp_matches(text, '^https?://[^\\s/]+') UNION ALL SELECT page_id, -1, url, regexp_matches(url, '^https?://[^\\s/]+') FROM pages")
 def fenced_and_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers out of their code fence; whether a text is a safe link."""
-    c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", tx.unfenced(F.concat(F.lit("```json\n"), "text", F.lit("```"))).alias("inside"), ur.is_safe(F.col("text")).alias("safe"))
+    """Answers out of their code fence, where they have one; whether a page's URL is a safe link."""
+    c = table(spark, sf_dir, "conversations").where(~ur.is_safe(F.col("text"))).select("conv_id", "turn", tx.unfenced(F.col("text")).alias("inside"), F.lit(False).alias("safe"))
+    return c.unionByName(table(spark, sf_dir, "pages").select(F.col("page_id").alias("conv_id"), F.lit(-1).cast("long").alias("turn"), F.col("url").alias("inside"), ur.is_safe(F.col("url")).alias("safe")))
 
 
 @query("price_fill", "SELECT user_id, ts, event_id, last_value(CASE WHEN event_id % 3 <> 0 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS price FROM events")
