@@ -1,8 +1,8 @@
-"""SQL of the reply trees, the resampling and the vector codes."""
+"""SQL of the suffix dedup, the reply trees, the resampling and the vector codes."""
 
 from __future__ import annotations
 
-from . import importance, reply_trees, vector_codes
+from . import importance, reply_trees, suffix_dedup, vector_codes
 from .oracles import _quoted
 
 
@@ -66,3 +66,21 @@ told AS (SELECT k.vec_id, k.label, code.code, code.error FROM k JOIN code USING
 sha AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS h FROM book{rounds})
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM told, sha
 """
+
+
+def repeats(length: int = suffix_dedup.LENGTH) -> str:
+    """Every window of ``length`` bytes by its digest, cut from pieces of the text in hexadecimal."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, o, substring(h, 2 * o + 1, 2 * (1024 + {length - 1})) AS h FROM (SELECT r, h, unnest(range(0, len(h) // 2, 1024)) AS o FROM d)),
+w AS (SELECT r, o, unnest(range(greatest(0, least(1024, len(h) // 2 - {length - 1})))) AS i, h FROM p),
+k AS (SELECT r, o + i AS i, md5(substring(h, 2 * i + 1, {2 * length})) AS m FROM w),
+t AS (SELECT m FROM k GROUP BY m HAVING count(*) > 1),
+hit AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM k SEMI JOIN t USING (m)),
+run AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i - before > {length} THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS n FROM hit),
+span AS (SELECT r, n, min(i) AS a, max(i) + {length} AS b FROM run GROUP BY r, n),
+cut AS (SELECT r, list({{'a': a, 'b': b}} ORDER BY a) AS s, count(*) AS n_spans, sum(b - a) AS n_removed FROM span GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN s IS NULL THEN h ELSE array_to_string(list_transform(range(len(s) + 1), lambda j: substring(h, CASE WHEN j = 0 THEN 1 ELSE 2 * s[j].b + 1 END, CASE WHEN j = len(s) THEN len(h) ELSE 2 * (s[j + 1].a - CASE WHEN j = 0 THEN 0 ELSE s[j].b END) END)), '') END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""

@@ -15,42 +15,52 @@ TARGETS = {"src0": 4}
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
     return pu_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in a mixture by ``TARGETS``."""
     return mixing.schedule(table(spark, sf_dir, "documents"), TARGETS)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and verdict of every document."""
     return quality_rules.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text, with the digest of the base ones."""
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without strings of 200 bytes that occur elsewhere."""
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
 def op9_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_template.extract(table(spark, sf_dir, "pages"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document and their places in sequences of 4,096 tokens."""
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
@@ -88,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": oracles.JACCARD,
     "op2_secret_scan": oracles.secrets(),
+    "op7_suffix_dedup": oracles_more.repeats(),
     "op11_reply_trees": oracles_more.conversations(),
     "op12_importance_resampling": oracles_more.resampling(),
     "op13_vector_codes": oracles_more.vectors(),
