@@ -72,6 +72,22 @@ def price(html: Column) -> Column:
     return F.coalesce(*[F.when(v.between(low, high), v) for v in values])
 
 
+# fixed values: bounds of a price told in prose
+TOLD_PRICE = (5.0, 3000.0)
+_AMOUNT = r"\$([0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]{2})?|[0-9]{1,7}(?:\.[0-9]{2})?)"
+
+
+def told_price(text: Column) -> Column:
+    """The list price, else the first amount that is written twice on end, else the one behind the word price; each only if plausible."""
+    low, high = TOLD_PRICE
+    fine = lambda v: F.when(v.between(low, high), v)
+    first = lambda pattern: fine(_value(F.regexp_extract(text, pattern, 1)))
+    pair = F.lit(_AMOUNT + _AMOUNT)
+    both = F.arrays_zip(F.regexp_extract_all(text, pair, F.lit(1)).alias("a"), F.regexp_extract_all(text, pair, F.lit(2)).alias("b"))
+    twice = F.get(F.filter(both, lambda p: p["a"] == p["b"]), 0)["a"]
+    return F.coalesce(first(rf"(?i)\b(?:list(?: price)?|msrp|retail)[:\s]*{_AMOUNT}"), fine(_value(twice)), first(rf"(?i)\bprice[:\s]+{_AMOUNT}"))
+
+
 def sections(html: Column, names: dict[str, str]) -> Column:
     """Texts under headings, with the name of the first category whose pattern the heading matches."""
     rows = F.arrays_zip(F.regexp_extract_all(html, F.lit(r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"), F.lit(1)).alias("h"), F.regexp_extract_all(html, F.lit(r"(?is)<h[1-6][^>]*>.*?</h[1-6]>(.*?)(?=<h[1-6]|$)"), F.lit(1)).alias("t"))

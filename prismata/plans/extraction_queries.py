@@ -255,8 +255,8 @@ def vocabulary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.concat(c("p_size").cast("string"), F.lit("x"), F.lower("p_type")), F.lower("p_type")).alias("led"),
     )
     counts = vo.normalised_table(p, list(_CELLS_OF), f"{shared_dir(spark)}/normalised-{uuid.uuid4().hex}")
-    rows = [(n, *counts[n]) for n in _CELLS_OF]  # one row for each vocabulary
-    return spark.createDataFrame(rows, "vocabulary string, items long, dropped long, changed long")
+    one = lambda n: F.struct(F.lit(n).alias("vocabulary"), *[F.lit(v).cast("long").alias(k) for k, v in zip(("items", "dropped", "changed"), counts[n], strict=True)])
+    return spark.range(1).select(F.explode(F.array(*[one(n) for n in _CELLS_OF])).alias("r")).select("r.*")  # one row for each vocabulary
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import built
 from ..operators import quality as qu
 from .registry import query, table
 
@@ -218,3 +219,24 @@ def derived_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
     parts = F.array_compact(F.array(F.concat(F.lit("size "), size.cast("string")), F.when(size > 25, "large")))
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(size >= 6, "6+").otherwise(size.cast("string")).alias("levels"), F.least("p_retailprice", F.lit(1500.0)).alias("capped"), F.array_join(parts, " / ").alias("shown"))
+
+
+@query(
+    "built_columns",
+    """WITH l AS (SELECT l_partkey AS id, list(l_quantity ORDER BY l_orderkey, l_linenumber, l_quantity) AS q, max(l_extendedprice) AS m FROM lineitem GROUP BY 1)
+    SELECT p_partkey AS id, CASE WHEN p_size >= 6 THEN '6+' ELSE CAST(p_size AS VARCHAR) END AS levels,
+        array_to_string(list_transform(range(greatest(len(q), 2)), lambda i: CASE WHEN i < len(q) THEN regexp_replace(CAST(q[i + 1] AS VARCHAR), '\.0$', '') || ' lum' || CASE WHEN i = 0 THEN ' / ' || p_size || 'h' ELSE '' END ELSE string_split(p_name, ' ')[i + 1] END), ', ') AS modes,
+        concat_ws(', ', p_size || 'mm', CASE WHEN p_size % 2 = 0 THEN '⌀' || p_size // 2 || 'mm head' END, CAST(p_retailprice * 4 AS INT) || 'g') AS measurements,
+        CASE WHEN CAST(p_retailprice * 4 AS INT) <= 5000 THEN CAST(CAST(p_retailprice * 4 AS INT) AS DOUBLE) END AS weight, CASE WHEN p_size <= 10 THEN p_size::DOUBLE END AS impact FROM part JOIN l ON l.id = p_partkey WHERE len(string_split(p_name, ' ')) >= 2""",
+)
+def built_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composed columns of the built table: levels, modes, measurements, plausible weights and impacts."""
+    c = F.col
+    lines = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_quantity")))  # the lines of one part
+    told = table(spark, sf_dir, "lineitem").groupBy(c("l_partkey").alias("id")).agg(F.transform(lines, lambda x: x.l_quantity).alias("lumens"))
+    p = table(spark, sf_dir, "part").where(F.size(F.split("p_name", " ")) >= 2).select(
+        c("p_partkey").alias("id"), c("p_size").alias("levels"), F.array(c("p_size").cast("double")).alias("runtime_hours"), F.slice(F.split("p_name", " "), 1, 2).alias("modes"), c("p_size").alias("length_mm"),
+        F.when(c("p_size") % 2 == 0, c("p_size") / 2).alias("bezel_mm"), F.round(c("p_retailprice") * 4).cast("int").alias("weight_g"), F.array(F.concat(c("p_size").cast("string"), F.lit("m"))).alias("impact"),
+    )
+    b = built.built(p.join(told, "id"), ["levels", "modes", "measurements", "weight", "impact"], ("id",))
+    return b.select("id", F.get("levels", F.lit(0)).alias("levels"), F.array_join("modes", ", ").alias("modes"), F.array_join("measurements", ", ").alias("measurements"), "weight", "impact")
