@@ -225,7 +225,7 @@ def derived_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     "built_columns",
     """WITH l AS (SELECT l_partkey AS id, list(l_quantity ORDER BY l_orderkey, l_linenumber, l_quantity) AS q, max(l_extendedprice) AS m FROM lineitem GROUP BY 1)
     SELECT p_partkey AS id, CASE WHEN p_size >= 6 THEN '6+' ELSE CAST(p_size AS VARCHAR) END AS levels,
-        array_to_string(list_transform(range(greatest(len(q), 2)), lambda i: CASE WHEN i < len(q) THEN regexp_replace(CAST(q[i + 1] AS VARCHAR), '\.0$', '') || ' lum' || CASE WHEN i = 0 THEN ' / ' || p_size || 'h' ELSE '' END ELSE string_split(p_name, ' ')[i + 1] END), ', ') AS modes,
+        array_to_string(list_transform(range(greatest(len(q), 2)), lambda i: CASE WHEN i < len(q) THEN regexp_replace(CAST(q[i + 1] AS VARCHAR), '\\.0$', '') || ' lum' || CASE WHEN i = 0 THEN ' / ' || p_size || 'h' ELSE '' END ELSE string_split(p_name, ' ')[i + 1] END), ', ') AS modes,
         concat_ws(', ', p_size || 'mm', CASE WHEN p_size % 2 = 0 THEN '⌀' || p_size // 2 || 'mm head' END, CAST(p_retailprice * 4 AS INT) || 'g') AS measurements,
         CASE WHEN CAST(p_retailprice * 4 AS INT) <= 5000 THEN CAST(CAST(p_retailprice * 4 AS INT) AS DOUBLE) END AS weight, CASE WHEN p_size <= 10 THEN p_size::DOUBLE END AS impact FROM part JOIN l ON l.id = p_partkey WHERE len(string_split(p_name, ' ')) >= 2""",
 )

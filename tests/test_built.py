@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from prismata.operators import built, specs
 
 ROW = {
-    "id": 1, "model": "Arc 18", "brand": "nord-light", "type": ["torch"], "led": ["CREE XP-L HI V3", "unknown"], "battery": ["2x18650", "rechargeable"], "lumens": [900.0, 0.5], "runtime_hours": [1.5],
+    "id": 1, "model": "Arc 18", "brand": "nord-light", "type": ["lamp"], "led": ["CREE XP-L HI V3", "unknown"], "battery": ["2x18650", "rechargeable"], "lumens": [900.0, 0.5], "runtime_hours": [1.5],
     "modes": ["turbo", "moon", "strobe"], "levels": 7, "material": ["Aluminium"], "switch": ["Tail"], "features": ["Pocket Clip"], "length_mm": 120.0, "bezel_mm": 0.0, "body_mm": 25.4, "weight_g": 6000.0, "impact": ["1.5m"],
     "image_urls": ["a.jpg", "b.jpg"], "purchase_urls": ["https://x"], "price_usd": 49.5,
 }
