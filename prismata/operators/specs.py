@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.numbers import TO_GRAM, TO_HOUR, TO_METRE, TO_MM, convert
-from ..functions.text import numbers_desc
+from ..functions.text import SILENT, decoded, numbers_desc, without_elements
 
 # fixed values: bounds of plausible values
 BOUNDS = {"lumens": (0.1, 200000.0), "throw_m": (1.0, 3000.0), "length_mm": (15.0, 800.0), "weight_g": (5.0, 5000.0), "runtime_h": (0.01, 5000.0), "price": (5.0, 5000.0), "cri": (50.0, 100.0), "cct": (1800.0, 10000.0)}
@@ -88,17 +88,29 @@ def told_price(text: Column) -> Column:
     return F.coalesce(first(rf"(?i)\b(?:list(?: price)?|msrp|retail)[:\s]*{_AMOUNT}"), fine(_value(twice)), first(rf"(?i)\bprice[:\s]+{_AMOUNT}"))
 
 
-def sections(html: Column, names: dict[str, str]) -> Column:
-    """Texts under headings, with the name of the first category whose pattern the heading matches."""
-    rows = F.arrays_zip(F.regexp_extract_all(html, F.lit(r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"), F.lit(1)).alias("h"), F.regexp_extract_all(html, F.lit(r"(?is)<h[1-6][^>]*>.*?</h[1-6]>(.*?)(?=<h[1-6]|$)"), F.lit(1)).alias("t"))
+#: Lengths of a section's text that is worth keeping.
+SECTION_CHARS = (30, 5000)
 
-    def one(r: Column) -> Column:
+
+def sections(html: Column, names: dict[str, str], chars: tuple[int, int] = SECTION_CHARS) -> Column:
+    """array of (heading, category, text) of what stands under each heading, in page order.
+
+    The category is the first whose pattern the lower-cased heading matches,
+    else ``other``; texts that are too short or too long are left out.  The page
+    is cut once before each heading, so the cost is linear.
+    """
+    plain = lambda x: F.trim(F.regexp_replace(decoded(F.regexp_replace(x, "<[^<>]*>", " ")), r"\s+", " "))
+    pieces = F.filter(F.split(without_elements(html, SILENT), r"(?i)(?=<h[1-6]\b)"), lambda p: p.rlike(r"(?i)^<h[1-6]\b"))
+
+    def one(parts: Column) -> Column:
+        heading = plain(F.get(parts, F.lit(0)))
         category = F.lit("other")
         for name, pattern in reversed(names.items()):
-            category = F.when(F.lower(r["h"]).rlike(pattern), F.lit(name)).otherwise(category)
-        return F.struct(category.alias("category"), F.trim(F.regexp_replace(F.regexp_replace(r["t"], "<[^>]*>", " "), r"\s+", " ")).alias("text"))
+            category = F.when(F.lower(heading).rlike(pattern), F.lit(name)).otherwise(category)
+        return F.struct(heading.alias("heading"), category.alias("category"), plain(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("text"))
 
-    return F.filter(F.transform(rows, one), lambda s: F.length(s["text"]).between(30, 5000))
+    cut = F.transform(pieces, lambda p: F.split(p, r"(?i)</h[1-6]\s*>", 2))
+    return F.filter(F.transform(cut, one), lambda s: F.length(s["text"]).between(*chars))
 
 
 def validated(record: Column, numbers: dict[str, tuple[float, float]]) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ENTITIES
+from ..functions.text import ENTITIES, SILENT
+from ..operators import specs
 from ..operators import tables as tb
 from .registry import query, table
 
@@ -56,3 +57,23 @@ def _order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_table_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of every order read from its page: header row as keys, spans filled, one row for each value."""
     return tb.records(_order_pages(spark, sf_dir), "page", "html").select("page", F.col("row").alias("r"), "label", "key", "value")
+
+
+_SILENT = "regexp_replace(html, '(?s)<!--.*?(?:-->|\\z)', '', 'g')"
+for _tag in SILENT:
+    _SILENT = f"regexp_replace({_SILENT}, '(?is)<{_tag}\\b[^<>]*>.*?(?:</{_tag}>|\\z)', '', 'g')"
+
+
+@query(
+    "page_sections",
+    f"""WITH a AS (SELECT page_id, regexp_split_to_array({_SILENT}, '(?i)<h[1-6]\\b') AS p FROM pages),
+    b AS (SELECT page_id, unnest(p[2:]) AS piece, unnest(range(len(p) - 1)) AS i FROM a),
+    c AS (SELECT page_id, i, '<h1' || regexp_extract(piece, '(?is)^(.*?)</h[1-6]\\s*>', 1) AS head, regexp_replace(piece, '(?is)^.*?</h[1-6]\\s*>', '') AS body FROM b),
+    d AS (SELECT page_id, i, {_TEXT.replace('(x,', '(head,')} AS heading, {_TEXT.replace('(x,', '(body,')} AS body FROM c)
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS place, heading, CASE WHEN regexp_matches(lower(heading), 'the|and') THEN 'english' WHEN regexp_matches(lower(heading), 'que|tion') THEN 'french' ELSE 'other' END AS category, length(body) AS chars FROM d WHERE length(body) BETWEEN 30 AND 5000""",
+)
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands under the headings of every page, by the kind of heading."""
+    s = specs.sections(F.col("html"), {"english": "the|and", "french": "que|tion"})
+    p = table(spark, sf_dir, "pages").select("page_id", F.posexplode(s).alias("place", "s"))
+    return p.select("page_id", F.col("place").cast("long").alias("place"), "s.heading", "s.category", F.length("s.text").cast("long").alias("chars"))

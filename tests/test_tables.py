@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prismata.functions import text as tx
 from prismata.functions import urls as ur
+from prismata.operators import specs
 from prismata.operators import tables as tb
 
 SPANS = """<h1>x</h1><!-- <table><tr><td>gone</table> --><table class="a"><tr><th>Mode</th><th colspan="2">Output (lm)</th></tr>
@@ -100,3 +101,10 @@ def test_a_megabyte_of_unclosed_tags_is_linear(spark, piece):
     if piece not in ("<ul><li>", "<table>"):
         tb.cells(df, "page", "html").count()
     assert time.perf_counter() - began < 20  # seconds, session start and a busy machine included; a quadratic pass takes minutes
+
+
+def test_sections_under_headings(spark):
+    html = "<h1>Top</h1>short<h2 class=x>Battery &amp; <b>runtime</b></h2><p>lasts two hours on high and three days on low</p><nav><h2>no</h2>" + "x" * 50 + "</nav><h3>Unclosed<p>" + "y" * 40
+    df = pages(spark, html, None, "", "<h1>" * 1000 + "z" * 40)
+    got = df.select("page", F.explode(specs.sections(F.col("html"), {"power": "battery"})).alias("s")).select("page", "s.*").collect()
+    assert [tuple(r) for r in got] == [(0, "Battery & runtime", "power", "lasts two hours on high and three days on low")]
