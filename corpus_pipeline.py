@@ -1,4 +1,7 @@
-"""Corpus pipeline: documents in, packed training sequences out.
+"""Corpus pipeline: documents in, the plan of packed training sequences out.
+
+``run`` tells the place of every piece of every kept document; ``sequences``
+gives the token ids of each sequence, from the masked texts.
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as
 Parquet and read again as the next stage's ``docs``, so a lost executor costs a
@@ -57,8 +60,21 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all stages but the last leave of ``documents``, stored in the order of the mixture; earlier stages' tables are deleted."""
+    docs, before = common.table(spark, sf_dir, "documents"), common.Scratch(spark)
     for _, stage in STAGES[:-1]:
-        docs = common.saved(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        here = common.Scratch(spark)
+        docs = here.saved(stage(spark, docs, sf_dir))
+        before.release()
+        before = here
+    return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return STAGES[-1][1](spark, prepared(spark, sf_dir), sf_dir)
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sequence_id, ids, doc_ids: the sequences themselves."""
+    return packing.sequences(prepared(spark, sf_dir))

@@ -77,12 +77,34 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again."""
+def _save(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{_run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again."""
+    return _save(df)[0]
+
+
+class Scratch:
+    """Saved tables that an operator is done with before it returns, so that its result never reads them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def saved(self, df: DataFrame) -> DataFrame:
+        table_, path = _save(df)
+        self.paths.append(path)
+        return table_
+
+    def release(self) -> None:
+        """Delete the tables; what was made from them must have been saved."""
+        for path in self.paths:
+            _delete(self.spark, path)
+        self.paths = []
 
 
 def _run_folder(spark: SparkSession) -> str:
@@ -90,12 +112,14 @@ def _run_folder(spark: SparkSession) -> str:
     return f"prismata-{spark.sparkContext.applicationId}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def forget(spark: SparkSession) -> None:
     """Delete the tables this application has saved; results that were not yet written need them."""
-    path = f"{shared_dir(spark).rstrip('/')}/{_run_folder(spark)}"
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, f"{shared_dir(spark).rstrip('/')}/{_run_folder(spark)}")
 
 
 def numbered(df: DataFrame, number: str, **types: str) -> DataFrame:

@@ -276,15 +276,15 @@ def _verify(threshold: float, k: int, secret: tb.Key):
     return run
 
 
-def candidates(nodes: DataFrame, trees: int, depth: int, base: int, threshold: float, recall: float, crowd: int, block: int) -> tuple[DataFrame, DataFrame]:
+def candidates(nodes: DataFrame, trees: int, depth: int, base: int, threshold: float, recall: float, crowd: int, block: int, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
     """(i, j, node): which nodes meet in the task of which two blocks; and (node, block)."""
     member = nodes.select("node", F.posexplode("labels").alias("tree", "label")).select("node", "tree", F.xxhash64("tree", "label").alias("key"))
-    shared = common.saved(member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1"))
-    member = common.saved(member.join(shared.hint("merge"), "key"))  # tables of their own, so that joins can split a frequent prefix
-    hubs = common.saved(member.groupBy("node").agg(F.min("hub").alias("hub"), F.max("n").alias("n")))
+    shared = scratch.saved(member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1"))
+    member = scratch.saved(member.join(shared.hint("merge"), "key"))  # tables of their own, so that joins can split a frequent prefix
+    hubs = scratch.saved(member.groupBy("node").agg(F.min("hub").alias("hub"), F.max("n").alias("n")))
     sizes = hubs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"))
     placed = hubs.join(sizes, "hub").select("node", F.xxhash64("hub", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"), (F.col("n") > crowd).alias("crowded"))
-    placed = common.saved(placed)
+    placed = scratch.saved(placed)
     pair = lambda x, y: F.struct(F.least(x, y).alias("i"), F.greatest(x, y).alias("j"))
 
     few = member.where(F.col("n") <= crowd).select("key", "node").join(placed, "node")
@@ -296,19 +296,19 @@ def candidates(nodes: DataFrame, trees: int, depth: int, base: int, threshold: f
     crowded = placed.where("crowded").select("node", "block")
     levels = depth - base
     base_keys = member.where(F.col("n") > crowd).select("node", "tree", "key", F.col("n").alias("under"))
-    base_keys = common.saved(base_keys.join(crowded, "node"))
+    base_keys = scratch.saved(base_keys.join(crowded, "node"))
     longer = lambda l: F.struct(F.lit(l).alias("level"), F.xxhash64(F.lit(l), "key", F.slice("deeper", F.col("tree") * levels + 1, F.lit(l))).alias("key"))
     deeper = base_keys.join(nodes.select("node", "deeper"), "node")
     deeper = deeper.select("node", "block", "tree", F.explode(F.array(*[longer(l) for l in range(1, levels + 1)])).alias("x")).select("node", "block", "tree", "x.level", "x.key") if levels else base_keys.select("node", "block", "tree", F.lit(0).alias("level"), "key").limit(0)
-    deeper = common.saved(deeper)
-    under = common.saved(deeper.groupBy("key").agg(F.count(F.lit(1)).alias("under")))
+    deeper = scratch.saved(deeper)
+    under = scratch.saved(deeper.groupBy("key").agg(F.count(F.lit(1)).alias("under")))
     every = deeper.join(under, "key").unionByName(base_keys.withColumn("level", F.lit(0)))
-    every = common.saved(every.select("node", "block", (F.col("tree") * (levels + 1) + F.col("level")).alias("at"), "key", "under"))
+    every = scratch.saved(every.select("node", "block", (F.col("tree") * (levels + 1) + F.col("level")).alias("at"), "key", "under"))
     asked = every.groupBy("node").agg(F.collect_list(F.struct("at", "key", "under")).alias("k"))  # one entry per tree and depth
     asked = asked.select("k").mapInArrow(_depths(trees, depth, base, threshold, recall), "key long").distinct()
     groups = every.join(asked, "key").groupBy("key").agg(F.collect_set("block").alias("blocks")).select("blocks").distinct()
     two = groups.select(F.explode("blocks").alias("i"), "blocks").select("i", F.explode("blocks").alias("j")).where("i <= j").distinct()
-    two = common.saved(two)
+    two = scratch.saved(two)
     sides = two.withColumn("block", F.col("i")).unionByName(two.where("i < j").withColumn("block", F.col("j")))
     coarse = sides.join(crowded, "block").select("i", "j", "node")
     return fine.unionByName(coarse).distinct(), placed.select("node", "block")
@@ -325,14 +325,16 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHING
     nodes = nodes.select("k1", "k2", "node", "doc_id", "copies", "s.labels", "s.deeper")
     nodes = common.saved(nodes)
 
-    meet, placed = candidates(nodes, trees, depth, base, threshold, recall, crowd, block)
-    meet = common.saved(meet)
+    scratch = common.Scratch(spark)
+    meet, placed = candidates(nodes, trees, depth, base, threshold, recall, crowd, block, scratch)
+    meet = scratch.saved(meet)
     wanted = meet.select("node").distinct().join(nodes.select("node", "k1", "k2", "copies"), "node").join(placed, "node")
     # joins that carry texts or all labels are sort-merge joins at every size, so that a plan seen on little data holds on much
-    wanted = common.saved(docs.select(F.col("rid").alias("node"), "text").join(wanted.hint("merge"), "node"))
+    wanted = scratch.saved(docs.select(F.col("rid").alias("node"), "text").join(wanted.hint("merge"), "node"))
     meet = meet.join(wanted.hint("merge"), "node").select("i", "j", "node", "k1", "k2", "copies", "block", "text")
     meet = meet.repartition("i", "j").sortWithinPartitions("i", "j", "node")
     found = common.saved(meet.mapInArrow(_verify(threshold, shingle, key), "node long, hub long, n_texts long, n_docs long"))
+    scratch.release()  # texts and prefixes; the links are all that is still asked for
 
     classes = components(found.where("node <> hub"), "node", "hub")
     degree = found.groupBy("node").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))

@@ -156,7 +156,7 @@ class WordIds:
 _known: dict[str, WordIds] = {}
 
 
-def _cut(path: str, capacity: int, end_id: int, keep: tuple[str, ...] = ("doc_id",)):
+def _cut(path: str, capacity: int, end_id: int, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _known.get(path) or _known.setdefault(path, WordIds(path))
         for batch in batches:
@@ -171,9 +171,10 @@ def _cut(path: str, capacity: int, end_id: int, keep: tuple[str, ...] = ("doc_id
                 size = np.minimum(capacity, length[row] - start)
                 first = at[row] + start
                 crc = [zlib.crc32(ids[i : i + n].data) for i, n in zip(first.tolist(), size.tolist(), strict=True)]
+                more = [pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32)))] if with_ids else []  # pieces lie on end
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).slice(a, b - a).take(pa.array(row)) for c in keep], pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array(crc, pa.int64())],
-                    names=[*keep, "piece", "start", "length", "ids_crc32"],
+                    [*[batch.column(c).slice(a, b - a).take(pa.array(row)) for c in keep], pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), *more],
+                    names=[*keep, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])],
                 )
 
     return run
@@ -295,13 +296,16 @@ def _pack_stretch(capacity: int):
     return run
 
 
-def packed_in_order(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, stretch_docs: int = STRETCH_DOCS) -> DataFrame:
-    """What ``packed`` gives, for a stored table: rows of one stretch of ``stretch_docs`` rows share sequences, those of two do not."""
+def packed_in_order(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, stretch_docs: int = STRETCH_DOCS, with_ids: bool = False) -> DataFrame:
+    """What ``packed`` gives, for a stored table: rows of one stretch of ``stretch_docs`` rows share sequences, those of two do not.
+
+    ``with_ids``: also ``ids``, the tokens of each piece.
+    """
     spark = docs.sparkSession
     common.workers_import(spark)
     d = common.numbered(docs, "number", doc_id="long", text="string")
-    kept = "number long, doc_id long, piece int, start long, length long, ids_crc32 long"
-    cut = d.mapInArrow(_cut(vocabulary or default_vocabulary(), capacity, end_id, ("number", "doc_id")), kept)
+    kept = "number long, doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    cut = d.mapInArrow(_cut(vocabulary or default_vocabulary(), capacity, end_id, ("number", "doc_id"), with_ids), kept)
     cut = cut.withColumn("stretch", F.floor(F.col("number") / stretch_docs).cast("long"))
     placed = common.saved(cut.groupBy("stretch").applyInArrow(_pack_stretch(capacity), f"{kept}, stretch long, sequence long, offset long"))
     sizes = {r["stretch"]: r["n"] for r in placed.groupBy("stretch").agg((F.max("sequence") + 1).alias("n")).collect()}  # one row per stretch
@@ -313,7 +317,16 @@ def packed_in_order(docs: DataFrame, vocabulary: str | None = None, capacity: in
         before = shared.value
         for batch in batches:
             stretch, sequence = (batch.column(c).to_numpy() for c in ("stretch", "sequence"))
-            keep = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(before[stretch] + sequence), batch.column("offset")], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            more = ["ids"] if with_ids else []
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(before[stretch] + sequence), *[batch.column(c) for c in ("offset", *more)]], names=[*names, "sequence_id", "offset", *more])
+
+    return placed.mapInArrow(number, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + (", ids array<int>" if with_ids else ""))
+
 
-    return placed.mapInArrow(number, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+def sequences(docs: DataFrame, **parameters) -> DataFrame:
+    """sequence_id, ids (at most the capacity) and doc_ids (of its pieces, in order) of each sequence of a stored table, in its order."""
+    p = packed_in_order(docs, with_ids=True, **parameters)
+    parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids")))  # the pieces of one sequence
+    t = p.groupBy("sequence_id").agg(parts.alias("parts"))
+    return t.select("sequence_id", F.flatten(F.transform("parts", lambda x: x.ids)).alias("ids"), F.transform("parts", lambda x: x.doc_id).alias("doc_ids"))

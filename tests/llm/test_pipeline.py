@@ -63,6 +63,19 @@ def test_run_and_entry(spark, small_dir):
     assert "pipeline" not in entry.oracle_sql()
 
 
-def test_ten_operator_queries_are_registered():
+def test_sequences_hold_the_ids_of_the_plan(spark, small_dir, tokenizer):  # noqa: F811
+    docs = corpus_pipeline.prepared(spark, small_dir)
+    plan = corpus_pipeline.packing_plan(spark, docs, small_dir).collect()
+    got = {r.sequence_id: r for r in corpus_pipeline.packing.sequences(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert got.keys() == {r.sequence_id for r in plan}
+    for p in plan:
+        s = got[p.sequence_id]
+        assert s.ids[p.offset : p.offset + p.length] == ids_of(tokenizer, texts[p.doc_id])[p.start : p.start + p.length]
+        assert p.doc_id in s.doc_ids and len(s.ids) <= 4096
+    assert sum(len(s.ids) for s in got.values()) == sum(p.length for p in plan)
+
+
+def test_operator_queries_are_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
