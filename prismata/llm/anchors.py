@@ -17,13 +17,14 @@ GRAM = 24
 
 
 def sliding_least(key: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each run of ``width`` values, by minima from both ends of fixed pieces."""
-    n = len(key) - width + 1
-    pad = -len(key) % width
-    a = np.concatenate([key, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, width)
-    ahead = np.minimum.accumulate(a, axis=1).reshape(-1)
-    behind = np.minimum.accumulate(a[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+    """Minimum of each run of ``width`` values, from minima of runs of powers of two."""
+    n, have = len(key) - width + 1, 1
+    least, spare = key, [np.empty_like(key), np.empty_like(key)]
+    while have * 2 <= width:
+        into = spare[0][: len(least) - have]
+        np.minimum(least[:-have], least[have:], out=into)
+        least, spare, have = into, spare[::-1], have * 2
+    return np.minimum(least[:n], least[width - have : width - have + n])
 
 
 def blocks(buf: np.ndarray, off: np.ndarray, length: int, gram: int = GRAM) -> dict[str, np.ndarray]:
@@ -31,10 +32,8 @@ def blocks(buf: np.ndarray, off: np.ndarray, length: int, gram: int = GRAM) -> d
     none = {k: np.zeros(0, np.int64) for k in ("text", "lo", "n", "anchor", "reach", "start")}
     if len(buf) < length:
         return none
-    p = tb.rolling(buf)
-    at = np.arange(len(buf) - gram + 1)
-    h = tb.rolled(p, at, at + gram)
-    least = sliding_least((h & tb.U64(0xFFFFFFFF00000000)) | at.astype(np.uint64), length - gram + 1)
+    h = tb.rolled_from_each(tb.rolling(buf), gram)
+    least = sliding_least((h & tb.U64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
     place = (least & tb.U64(0xFFFFFFFF)).astype(np.int64)
     size = np.diff(off)
     long_ = np.flatnonzero(size >= length)

@@ -43,12 +43,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective finaliser of 64-bit values (splitmix)."""
-    x = x ^ (x >> U64(30))
-    x = x * U64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U64(27))
-    x = x * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    """A bijective finaliser of 64-bit values (splitmix), in two arrays of its own."""
+    y = x >> U64(30)
+    y ^= x
+    y *= U64(0xBF58476D1CE4E5B9)
+    t = y >> U64(27)
+    y ^= t
+    y *= U64(0x94D049BB133111EB)
+    t = np.right_shift(y, U64(31), out=t if isinstance(t, np.ndarray) else None)
+    y ^= t
+    return y
 
 
 def binary(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -99,7 +103,9 @@ def rolling(buf: np.ndarray) -> np.ndarray:
     """
     up, _ = powers(len(buf) + 1)
     p = np.zeros(len(buf) + 1, U64)
-    np.cumsum(BYTE_CODE[buf] * up[: len(buf)], out=p[1:])
+    x = BYTE_CODE[buf]
+    x *= up[: len(buf)]
+    np.cumsum(x, out=p[1:])
     return p
 
 
@@ -109,6 +115,15 @@ def rolled(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((p[end] - p[start]) * down[start] + (end - start).astype(U64))
 
 
+def rolled_from_each(p: np.ndarray, n: int) -> np.ndarray:
+    """``rolled`` of the ``n`` bytes from each byte on."""
+    _, down = powers(len(p))
+    x = p[n:] - p[:-n]
+    x *= down[: len(x)]
+    x += U64(n)
+    return mix(x)
+
+
 class Key:
     """Secret numbers of one hash function: nobody who writes a text knows them, so no two strings can be made to collide."""
 

@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 
-from prismata.llm import jaccard_join, packing, pu_quality, quality_rules, suffix_dedup
+from prismata.llm import anchors, jaccard_join, packing, pu_quality, quality_rules, suffix_dedup
 from prismata.llm import textbytes as tb
 
 from .test_suffix_dedup import brute, told
@@ -39,6 +39,25 @@ def test_the_twins_collide_under_the_rolling_hash_only():
     assert len(set(tb.span_hash(buf, off[:-1], off[1:]).tolist())) == 2
 
 
+def test_anchors_of_equal_windows_are_equal():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(97, 123, 500, dtype=np.uint8)
+    noise = [rng.integers(97, 123, 300, dtype=np.uint8) for _ in range(3)]
+    buf = np.concatenate([noise[0], passage, noise[1], passage, noise[2]])
+    off = np.array([0, 800, len(buf)])
+    got = anchors.blocks(buf, off, 200)
+    of = {}
+    for lo, n, text, anchor, reach in zip(*(got[k].tolist() for k in ("lo", "n", "text", "anchor", "reach")), strict=True):
+        for i in range(n):
+            of[off[text] + lo + i] = (anchor, lo + reach - lo - i)
+    assert len(of) == 601 + len(buf) - 800 - 199
+    for i in range(301):
+        assert of[300 + i] == of[1100 + i]
+    key = rng.integers(0, 50, 1000).astype(np.uint64)
+    for width in (1, 2, 3, 7, 8, 177, 1000):
+        assert (anchors.sliding_least(key, width) == [key[i : i + width].min() for i in range(1001 - width)]).all()
+
+
 def test_equal_spans_have_equal_hashes_at_every_length():
     rng = np.random.default_rng(0)
     for n in (0, 1, 7, 8, 9, 16, 31, 32, 33, 127, 128, 129, 1000):
