@@ -40,13 +40,36 @@ def percent_below(low: Column, price: Column) -> Column:
     return round_half_up((low - price) / low * 100)
 
 
+def fixed_text(c: Column, digits: int) -> Column:
+    """``c`` with up to two ``digits`` after the point, as C's printf writes it.
+
+    The exact binary value is rounded, halves to the even digit; ``format_string``
+    rounds the shortest decimal and halves up.  A part below one has at most 60
+    bits that can tell a digit, so all steps are exact in a long.
+    """
+    ten = 10**digits
+    a = F.abs(c)
+    whole = F.floor(a)
+    scale = F.when(a < 0.0625, F.lit(2**60)).otherwise(F.lit(2**56))
+    units = ((a - whole) * scale).cast("long") * F.lit(ten)
+    rest = units % scale
+    kept = whole * F.lit(ten) + ((units - rest) / scale).cast("long")
+    half = (scale / 2).cast("long")
+    n = kept + ((rest > half) | ((rest == half) & (kept % 2 == 1))).cast("long")
+    last = n % F.lit(ten)
+    text = F.concat(((n - last) / F.lit(ten)).cast("long").cast("string"), *([F.lit("."), F.lpad(last.cast("string"), digits, "0")] if digits else []))
+    # beyond 2^53 there is no part below one; not a number and infinities have no digits
+    exact = F.concat(F.when(F.startswith(c.cast("string"), F.lit("-")), "-").otherwise(""), text)
+    return F.when(a < F.lit(2.0**53), exact).otherwise(F.format_string(f"%.{digits}f", c))
+
+
 def si_text(c: Column) -> Column:
     """Three significant digits with k, M or G: 4500 -> 4.50k."""
     a = F.abs(c)
     scaled = F.when(a >= 1e9, c / 1e9).when(a >= 1e6, c / 1e6).when(a >= 1e3, c / 1e3).otherwise(c)
     prefix = F.when(a >= 1e9, "G").when(a >= 1e6, "M").when(a >= 1e3, "k").otherwise("")
     b = F.abs(scaled)
-    digits = F.when(b >= 100, F.format_string("%.0f", scaled)).when(b >= 10, F.format_string("%.1f", scaled)).otherwise(F.format_string("%.2f", scaled))
+    digits = F.when(b >= 100, fixed_text(scaled, 0)).when(b >= 10, fixed_text(scaled, 1)).otherwise(fixed_text(scaled, 2))
     return F.concat(digits, prefix)
 
 
