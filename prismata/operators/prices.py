@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import pairs_of
-from ..functions.numbers import percent_below, round_half_up
+from ..functions.numbers import fixed_text, percent_below, round_half_up
 
 # fixed values: the tracker's clock starts this many minutes before the Unix epoch counts; -1 is out of stock
 TRACKER_MINUTES = 21564000
@@ -79,12 +79,9 @@ def sparkline(prices: Column, width: float = 50, height: float = 20, pad: float
     low, high = F.array_min(prices), F.array_max(prices)
     inner = height - 2 * pad
 
-    def point(p: Column, i: Column) -> Column:
-        x = F.format_string("%.1f", i * F.lit(width) / (F.size(prices) - 1))
-        y = F.format_string("%.1f", F.lit(pad + inner) - (p - low) / (high - low) * inner)
-        return F.concat(F.when(i == 0, "M").otherwise("L"), x, F.lit(","), y)
-
-    path = F.array_join(F.transform(prices, point), " ")
+    at = F.transform(prices, lambda p, i: F.struct((i * F.lit(width) / (F.size(prices) - 1)).alias("x"), (F.lit(pad + inner) - (p - low) / (high - low) * inner).alias("y")))
+    point = lambda p, i: F.concat(F.when(i == 0, "M").otherwise("L"), fixed_text(p.x, 1), F.lit(","), fixed_text(p.y, 1))
+    path = F.array_join(F.transform(at, point), " ")
     return F.when((high > low) & ((high - low) / low >= flat), path).otherwise("")
 
 
