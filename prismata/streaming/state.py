@@ -19,6 +19,7 @@ import math
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _rounded(x: pd.Series) -> pd.Series:
+    """To the nearest whole number, halves away from zero as in SQL (numpy: to the even one)."""
+    whole = np.trunc(x)
+    return whole + np.sign(x) * ((x - whole).abs() >= 0.5)
+
+
 class PriceWatch(StatefulProcessor):
     """(id, key, value, threshold) of prices at or below ``share`` of a key's first, in cents."""
 
@@ -46,9 +53,9 @@ class PriceWatch(StatefulProcessor):
         if self.first.exists():
             cents = self.first.get()[0]
         else:
-            cents = float(math.floor(got["value"].iloc[0] * 100 * self.share + 0.5))
+            cents = float(math.floor(got["value"].iloc[0] * (100 * self.share) + 0.5))
             self.first.update((cents,))
-        hits = got[(got["value"] * 100).round() <= cents]
+        hits = got[_rounded(got["value"] * 100) <= cents]
         if len(hits):
             yield pd.DataFrame({"id": hits["id"], "key": key[0], "value": hits["value"], "threshold": cents})
 

@@ -29,3 +29,11 @@ def test_silent_keys_come_out_once_and_may_return(spark, tmp_path):
     assert stale() == [(at(0), "1"), (at(5), "2")]
     land(spark, path, 3, [(7, 3, at(300), 1.0)])
     assert stale() == [(at(0), "1"), (at(5), "2"), (at(102), "1")]  # key 3 was seen again before its timer ran out
+
+
+def test_alerts_round_as_their_sql(spark, tmp_path):
+    """Halves of a cent go away from zero, and nine tenths of a price are its 90 cents."""
+    path = str(tmp_path / "events")
+    land(spark, path, 0, [(1, 1, at(1), 0.35), (2, 1, at(2), 0.32), (3, 1, at(3), 0.31), (4, 2, at(1), 0.133), (5, 2, at(2), 0.125)])
+    out = st.run_stateful(st.price_watch(spark.readStream.schema(SCHEMA).parquet(path), "user_id", "ts", "value", "event_id"), "halves")
+    assert {(r.id, r.threshold) for r in out.collect()} == {(3, 31.0)}
