@@ -56,11 +56,11 @@ def fixed_text(c: Column, digits: int) -> Column:
     kept = whole * F.lit(ten) + ((units - rest) / scale).cast("long")
     half = (scale / 2).cast("long")
     n = kept + ((rest > half) | ((rest == half) & (kept % 2 == 1))).cast("long")
-    last = n % F.lit(ten)
-    text = F.concat(((n - last) / F.lit(ten)).cast("long").cast("string"), *([F.lit("."), F.lpad(last.cast("string"), digits, "0")] if digits else []))
+    point = [F.lit("."), F.lpad((n % F.lit(ten)).cast("string"), digits, "0")] if digits else []
+    text = F.concat(F.call_function("div", n, F.lit(ten)).cast("string"), *point)
     # beyond 2^53 there is no part below one; not a number and infinities have no digits
     exact = F.concat(F.when(F.startswith(c.cast("string"), F.lit("-")), "-").otherwise(""), text)
-    return F.when(a < F.lit(2.0**53), exact).otherwise(F.format_string(f"%.{digits}f", c))
+    return F.when(a < F.lit(2.0**53), exact).when(c.isNotNull(), F.format_string(f"%.{digits}f", c))
 
 
 def si_text(c: Column) -> Column:
