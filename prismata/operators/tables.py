@@ -16,6 +16,8 @@ are left out; an empty cell keeps its place; spans are held to 1,000 columns and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,72 +48,95 @@ def blocks(pages: DataFrame, page: str, html: str) -> DataFrame:
     return own.select("page", number.alias("block"), kind.alias("kind"), F.array_join(F.transform("parts", lambda p: p.body), " ").alias("markup"))
 
 
-def _text(markup: Column) -> Column:
-    plain = decoded(F.regexp_replace(markup, "<[^<>]*>", " "))
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` worked out once: inside lambdas Spark works out an expression wherever it stands."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def _read(found: Column) -> Column:
+    """Cells with their markup turned into text; each step is a pass of its own, so that nothing is worked out twice."""
+    bare = F.transform(found, lambda c: F.struct(c.head, c.wide, c.left, F.regexp_replace(c.text, "<[^<>]*>", " ").alias("text")))
+    plain = lambda x: F.when(F.contains(x, F.lit("&")), decoded(x)).otherwise(x)
+    return F.transform(bare, lambda c: F.struct(c.head, c.wide, c.left, F.trim(F.regexp_replace(plain(c.text), r"\s+", " ")).alias("text")))
 
 
 def _span(attributes: Column, name: str, most: int) -> Column:
-    n = F.regexp_extract(attributes, rf"(?i)\b{name}\s*=\s*[\"']?([0-9]{{1,6}})", 1).try_cast("int")
-    return F.least(F.when(n == 0, most).otherwise(F.coalesce(n, F.lit(1))), F.lit(most))  # 0: to the end
+    digits = F.regexp_extract(attributes, rf"(?i)\b{name}\s*=\s*[\"']?([0-9]{{1,6}})", 1)
+    # told by its text first: a failed cast costs an exception for each cell
+    span = lambda d: F.when(d == "", F.lit(1)).when(d.rlike("^0+$"), F.lit(most)).otherwise(F.least(d.cast("int"), F.lit(most)))  # noqa: E731  (0: to the end)
+    return F.when(attributes.rlike("(?i)span"), _let(digits, span)).otherwise(F.lit(1))
 
 
-def _cell(raw: Column) -> Column:
-    """(head, wide, left, text) of one cell's markup, which begins behind its ``<``."""
-    opened = F.regexp_extract(raw, r"^[^<>]*", 0)
-    inner = F.get(F.split(F.substr(raw, F.length(opened) + 2), CELL_END, 2), F.lit(0))
-    return F.struct(opened.rlike("(?i)^th").alias("head"), _span(opened, "colspan", MOST_COLUMNS).alias("wide"), _span(opened, "rowspan", MOST_ROWS).alias("left"), _text(inner).alias("text"))
+def _cells(raws: Column) -> Column:
+    """(head, wide, left, text) of each cell's markup, which begins behind its ``<``; the text is still markup."""
+    opened = F.transform(raws, lambda raw: F.struct(raw.alias("raw"), F.regexp_extract(raw, r"^[^<>]*", 0).alias("opened")))
+    inner = lambda c: F.get(F.split(F.substr(c.raw, F.length(c.opened) + 2), CELL_END, 2), F.lit(0))
+    return F.transform(opened, lambda c: F.struct(c.opened.rlike("(?i)^th").alias("head"), _span(c.opened, "colspan", MOST_COLUMNS).alias("wide"), _span(c.opened, "rowspan", MOST_ROWS).alias("left"), inner(c).alias("text")))
 
 
 def _item(raw: Column) -> Column:
     """Cells of a list item: its bold beginning, if there is one, and the rest."""
-    inner = F.get(F.split(F.regexp_replace(raw, r"^[^<>]*>", ""), CELL_END, 2), F.lit(0))
-    bold = F.regexp_extract(inner, r"(?is)^\s*<(?:b|strong)\b[^<>]*>([^<]*)</(?:b|strong)>", 1)
-    rest = F.regexp_replace(inner, r"(?is)^\s*<(?:b|strong)\b[^<>]*>[^<]*</(?:b|strong)>\s*:?", "")
+    start = r"(?is)^\s*<(?:b|strong)\b[^<>]*>"
     one = lambda x: F.struct(F.lit(False).alias("head"), F.lit(1).alias("wide"), F.lit(1).alias("left"), x.alias("text"))
-    return F.when(bold != "", F.array(one(_text(bold)), one(_text(rest)))).otherwise(F.array(one(_text(inner))))
+
+    def of(inner: Column) -> Column:
+        bold = F.regexp_extract(inner, start + r"([^<]*)</(?:b|strong)>", 1)
+        rest = F.regexp_replace(inner, start + r"[^<]*</(?:b|strong)>\s*:?", "")
+        return F.when(bold != "", F.array(one(bold), one(rest))).otherwise(F.array(one(inner)))
+
+    return _let(F.get(F.split(F.regexp_replace(raw, r"^[^<>]*>", ""), CELL_END, 2), F.lit(0)), of)
 
 
 GRID = "array<struct<row:int,column:int,head:boolean,text:string>>"
 
 
 def _grid(rows: Column) -> Column:
-    """Every cell at every place it fills; ``rows`` is an array of arrays of cells."""
+    """For each row every cell at every place it fills; ``rows`` is an array of arrays of cells."""
     carried = "array<struct<column:int,head:boolean,text:string,left:int>>"
     zero = F.struct(F.lit(0).alias("row"), F.array().cast(carried).alias("carry"), F.array().cast(f"array<{GRID}>").alias("out"))
+    spread = lambda row: F.flatten(F.transform(row, lambda c: F.array_repeat(c, c.wide)))
 
     def step(acc: Column, row: Column) -> Column:
-        units = F.flatten(F.transform(row, lambda c: F.array_repeat(c, c.wide)))
-        taken = F.transform(acc.carry, lambda c: c.column)
-        free = F.array_except(F.sequence(F.lit(0), F.size(units) + F.size(taken)), taken)
-        own = F.zip_with(F.slice(free, 1, F.size(units)), units, lambda c, u: F.struct(c.alias("column"), u.head.alias("head"), u.text.alias("text"), u.left.alias("left")))
-        full = F.concat(own, acc.carry)
-        here = F.transform(full, lambda c: F.struct(acc.row.alias("row"), c.column, c.head, c.text))
-        below = F.transform(F.filter(full, lambda c: c.left > 1), lambda c: F.struct(c.column, c.head, c.text, (c.left - 1).alias("left")))
-        return F.struct((acc.row + 1).alias("row"), below.cast(carried).alias("carry"), F.concat(acc.out, F.array(here.cast(GRID))).alias("out"))
-
-    plain = F.transform(rows, lambda row, i: F.transform(F.flatten(F.transform(row, lambda c: F.array_repeat(c, c.wide))), lambda u, j: F.struct(i.alias("row"), j.alias("column"), u.head.alias("head"), u.text.alias("text"))))
+        def placed(x: Column) -> Column:
+            free = F.array_except(F.sequence(F.lit(0), F.size(x.units) + F.size(x.taken)), x.taken)
+            own = F.zip_with(F.slice(free, 1, F.size(x.units)), x.units, lambda c, u: F.struct(c.alias("column"), u.head.alias("head"), u.text.alias("text"), u.left.alias("left")))
+            return F.concat(own, acc.carry)
+
+        def kept(full: Column) -> Column:
+            here = F.transform(full, lambda c: F.struct(acc.row.alias("row"), c.column, c.head, c.text))
+            below = F.transform(F.filter(full, lambda c: c.left > 1), lambda c: F.struct(c.column, c.head, c.text, (c.left - 1).alias("left")))
+            return F.struct((acc.row + 1).alias("row"), below.cast(carried).alias("carry"), F.concat(acc.out, F.array(here.cast(GRID))).alias("out"))
+
+        return _let(_let(F.struct(spread(row).alias("units"), F.transform(acc.carry, lambda c: c.column).alias("taken")), placed), kept)
+
+    plain = F.transform(rows, lambda row, i: F.transform(spread(row), lambda u, j: F.struct(i.alias("row"), j.alias("column"), u.head.alias("head"), u.text.alias("text"))))
     spans = F.exists(rows, lambda row: F.exists(row, lambda c: c.left > 1))
-    return F.flatten(F.when(spans, F.aggregate(rows, zero, step, lambda acc: acc.out)).otherwise(plain.cast(f"array<{GRID}>")))
+    return F.when(spans, F.aggregate(rows, zero, step, lambda acc: acc.out)).otherwise(plain.cast(f"array<{GRID}>"))
 
 
-def grids(pages: DataFrame, page: str, html: str) -> DataFrame:
-    """page, block, kind and the grid of each block; that of a block without cells is empty."""
+def _laid_out(pages: DataFrame, page: str, html: str) -> DataFrame:
+    """page, block, kind and ``rows``: for each row of the block's grid the cells in it; no row is empty."""
     b = blocks(pages, page, html)
     later = lambda parts: F.filter(parts, lambda x, i: i > 0)
     rows = F.when(F.col("kind") == "table", F.split("markup", ROW["table"])).when(F.col("kind") == "dl", F.split("markup", ROW["dl"])).otherwise(F.split("markup", ROW["list"]))
     b = b.select("page", "block", "kind", later(rows).alias("rows"))
-    of_row = lambda row: F.transform(later(F.split(row, r"(?i)<(?=t[hd]\b)")), _cell)
-    of_term = lambda row: F.transform(later(F.split(F.concat(F.lit("<dt"), row), r"(?i)<(?=d[td]\b)")), _cell)
+    of_row = lambda row: _cells(later(F.split(row, r"(?i)<(?=t[hd]\b)")))
+    of_term = lambda row: _cells(later(F.split(F.concat(F.lit("<dt"), row), r"(?i)<(?=d[td]\b)")))
     found = F.when(F.col("kind") == "table", F.transform("rows", of_row)).when(F.col("kind") == "dl", F.transform("rows", of_term)).otherwise(F.transform("rows", _item))
-    b = b.select("page", "block", "kind", F.filter(found, lambda r: F.size(r) > 0).alias("cells"))
-    return b.select("page", "block", "kind", _grid(F.col("cells")).alias("grid"))
+    b = b.select("page", "block", "kind", F.filter(F.transform(found, _read), lambda r: F.size(r) > 0).alias("cells"))
+    return b.select("page", "block", "kind", _grid(F.col("cells")).alias("rows"))
+
+
+def grids(pages: DataFrame, page: str, html: str) -> DataFrame:
+    """page, block, kind and the grid of each block; that of a block without cells is empty."""
+    return _laid_out(pages, page, html).select("page", "block", "kind", F.flatten("rows").alias("grid"))
 
 
 def cells(pages: DataFrame, page: str, html: str) -> DataFrame:
     """page, block, kind, row, column, head, text of each place of each grid."""
     g = grids(pages, page, html)
-    return g.select("page", "block", "kind", F.explode("grid").alias("c")).select("page", "block", "kind", "c.row", "c.column", "c.head", "c.text")
+    # outer: a plain explode makes Spark test the grid below, once more for every step that builds it
+    return g.select("page", "block", "kind", F.explode_outer("grid").alias("c")).where("c is not null").select("page", "block", "kind", "c.row", "c.column", "c.head", "c.text")
 
 
 def key_of(label: Column) -> Column:
@@ -127,17 +152,18 @@ def records(pages: DataFrame, page: str, html: str) -> DataFrame:
     of several columns the first cell of a row is the key of the others.  A
     block of one column has values only.
     """
-    g = grids(pages, page, html)
-    first = F.filter("grid", lambda c: c.row == 0)
-    headed = (F.col("kind") == "table") & F.forall(first, lambda c: c.head) & F.exists("grid", lambda c: c.row > 0)
+    g = _laid_out(pages, page, html).withColumn("first", F.get("rows", 0))
+    headed = (F.col("kind") == "table") & F.forall("first", lambda c: c.head) & (F.size("rows") > 1)
     # of several cells in one place, as overlapping spans make them, the first counts
     at = lambda cs: F.map_from_entries(F.transform(F.array_distinct(F.transform(cs, lambda c: c.column)), lambda k: F.struct(k, F.element_at(F.filter(cs, lambda c: c.column == k), 1).text)))
-    g = g.select("page", "block", headed.alias("headed"), F.when(headed, at(first)).alias("heads"), F.col("grid"))
-    row = g.select("page", "block", "headed", "heads", F.explode("grid").alias("c")).where("not headed or c.row > 0")
-    row = row.groupBy("page", "block", "headed", "c.row").agg(F.first("heads").alias("heads"), F.array_sort(F.collect_list(F.struct("c.column", "c.text"))).alias("cs"))
+    g = g.select("page", "block", headed.alias("headed"), F.when(headed, at(F.col("first"))).alias("heads"), "rows")
+    # outer, as in ``cells``; a row of the grid is a row of the table, so nothing is grouped
+    row = g.select("page", "block", "headed", "heads", F.explode_outer("rows").alias("row")).withColumn("n", F.get("row", 0).row).where("n is not null and (not headed or n > 0)")
+    cs = F.array_sort(F.transform("row", lambda c: F.struct(c.column, c.text)))
+    row = row.select("page", "block", F.col("n").alias("row"), "headed", "heads", cs.alias("cs"))
     lead = F.get("cs", F.lit(0)).text
     one = row.withColumn("lead", lead).withColumn("single", F.size("cs") == 1)
-    one = one.select("page", "block", "row", "headed", "heads", "lead", F.explode(F.when(F.col("single"), F.col("cs")).otherwise(F.slice("cs", 2, F.greatest(F.size("cs"), F.lit(1))))).alias("c"), "single")
+    one = one.select("page", "block", "row", "headed", "heads", "lead", F.explode_outer(F.when(F.col("single"), F.col("cs")).otherwise(F.slice("cs", 2, F.greatest(F.size("cs"), F.lit(1))))).alias("c"), "single")
     key = F.when(F.col("headed"), F.try_element_at("heads", F.col("c.column"))).when(~F.col("single"), F.col("lead"))
     label = F.when(F.col("headed") & ~F.col("single"), F.col("lead"))
     return one.select("page", "block", "row", F.coalesce(label, F.lit("")).alias("label"), key_of(F.coalesce(key, F.lit(""))).alias("key"), F.col("c.text").alias("value"))

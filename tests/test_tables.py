@@ -108,3 +108,18 @@ def test_sections_under_headings(spark):
     df = pages(spark, html, None, "", "<h1>" * 1000 + "z" * 40)
     got = df.select("page", F.explode(specs.sections(F.col("html"), {"power": "battery"})).alias("s")).select("page", "s.*").collect()
     assert [tuple(r) for r in got] == [(0, "Battery & runtime", "power", "lasts two hours on high and three days on low")]
+
+
+def test_no_step_is_worked_out_again_by_a_filter(spark):
+    """Spark tests what it explodes; pushed below the steps that build a grid, such a test repeats all of them for each."""
+    p = pages(spark, SPANS)
+    for df in (tb.records(p, "page", "html"), tb.cells(p, "page", "html")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert max(len(line) for line in plan.splitlines() if "Filter" in line[:80].split("(")[0]) < 1000
+        assert "try_cast" not in plan  # a failed one costs an exception for each cell
+
+
+def test_odd_spans(spark):
+    html = "<table><tr><td ROWSPAN=000>a<td colspan=''>b<tr><td colspan=x>c<tr><td data-span=2>d</table>"
+    got = told(tb.cells(pages(spark, html), "page", "html"), "row", "column", "text")
+    assert got == [(0, 0, "a"), (0, 1, "b"), (1, 0, "a"), (1, 1, "c"), (2, 0, "a"), (2, 1, "d")]
