@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,11 +166,23 @@ def prefix_match(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     return a.join(b, "_p").where(F.startswith(F.col(left_key), F.col(right_key)) & (F.col(left_key) != F.col(right_key))).drop("_p")
 
 
-def pairs(df: DataFrame, keys: list[str], id_: str) -> DataFrame:
-    """a < b: rows that share the keys, smaller id first."""
-    a = df.select(*keys, F.col(id_).alias("a"))
-    b = df.select(*keys, F.col(id_).alias("b"))
-    return a.join(b, keys).where("a < b")
+def pairs(df: DataFrame, keys: list[str], id_: str, block: int = 4096) -> DataFrame:
+    """a < b: rows that share the keys, smaller id first.
+
+    The rows of a group are cut, in order of their ids, into blocks, and each two
+    blocks meet under a key of their own.  So no task holds more than two blocks
+    of a group, and a large group is dealt over all tasks.
+    """
+    group, parts = Window.partitionBy(*keys), df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    t = df.select(*keys, F.col(id_).alias("_id")).where(" and ".join(f"`{k}` is not null" for k in [*keys, "_id"]))
+    place = F.floor((F.row_number().over(group.orderBy("_id")) - 1) / block)
+    last = F.floor((F.count(F.lit(1)).over(group) - 1) / block)
+    t = t.withColumns({"_at": place, "_last": last})
+    a = t.select(*keys, F.col("_id").alias("a"), F.col("_at").alias("_i"), F.explode(F.sequence("_at", "_last")).alias("_j"))
+    b = t.select(*keys, F.col("_id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_at"))).alias("_i"), F.col("_at").alias("_j"))
+    met = [*keys, "_i", "_j"]
+    # a given number: the input is small beside the pairs it makes, so its size must not choose the number of tasks
+    return a.repartition(int(parts), *met).join(b.repartition(int(parts), *met), met).where("a < b").drop("_i", "_j")
 
 
 def without(df: DataFrame, gone: DataFrame, key: str, gone_key: str | None = None) -> DataFrame:
