@@ -212,9 +212,13 @@ def united(*sources: DataFrame) -> DataFrame:
 
 def variant_candidates(left: DataFrame, right: DataFrame, block: str, name: str, id_: str, variants: list[Column]) -> DataFrame:
     """id and ``candidate``: the smallest other id of the block whose name is one of the row's variants."""
-    asked = left.select(F.col(block).alias("_b"), F.col(id_).alias("id"), F.explode(F.array_distinct(F.array(*variants))).alias("_n"))
-    there = right.select(F.col(block).alias("_b"), F.col(name).alias("_n"), F.col(id_).alias("candidate"))
-    return asked.join(there, ["_b", "_n"]).where("candidate <> id").groupBy("id").agg(F.min("candidate").alias("candidate"))
+    asked = left.select(F.col(block).alias("_b"), F.col(id_).alias("id"), F.explode(F.array_distinct(F.array(*variants))).alias("_n")).where("id is not null")
+    there = right.select(F.col(block).alias("_b"), F.col(name).alias("_n"), F.col(id_).alias("c")).where("c is not null")
+    # of a name the two smallest ids answer every row: its own id is one of them at most
+    ranked = there.withColumn("_r", F.dense_rank().over(Window.partitionBy("_b", "_n").orderBy("c"))).where("_r <= 2")
+    two = ranked.groupBy("_b", "_n").agg(F.min("c").alias("c1"), F.max("c").alias("c2"))
+    other = F.when(F.col("c1") != F.col("id"), F.col("c1")).when(F.col("c2") != F.col("id"), F.col("c2"))
+    return asked.join(two, ["_b", "_n"]).withColumn("c", other).where("c is not null").groupBy("id").agg(F.min("c").alias("candidate"))
 
 
 def verdict_applied(df: DataFrame, verdicts: DataFrame, key: str, field: str, names: dict[str, str], ok: str, kind: str, other: str) -> DataFrame:
