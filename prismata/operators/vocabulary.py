@@ -238,14 +238,23 @@ ITEM: dict[str, Normaliser] = {
 }
 
 
+def once_each(df: DataFrame, column: str, how: Normaliser, name: str) -> DataFrame:
+    """``df`` and ``name``: what ``how`` makes of the cell, worked out once for each different cell; null for a null cell."""
+    different = df.select(column).where(F.col(column).isNotNull()).distinct()
+    return df.join(different.select(column, how(F.col(column)).alias(name)), column, "left")
+
+
 def normalised_table(df: DataFrame, columns: list[str], path: str) -> dict[str, tuple[int, int, int]]:
     """Write ``df`` with its cells normalised; gives (items, dropped, changed) of each column, observed in the same pass.
 
     Each column's name is that of its vocabulary.
     """
     seen = Observation("vocabularies")
-    pairs = lambda n: F.transform(F.col(n), lambda x: F.struct(x.alias("old"), ITEM[n](x).alias("new")))
-    t = df.withColumns({f"_{n}": F.coalesce(pairs(n), F.array().cast("array<struct<old:string,new:string>>")) for n in columns})
+    t = df
+    for n in columns:
+        pairs = lambda c, n=n: F.transform(c, lambda x: F.struct(x.alias("old"), ITEM[n](x).alias("new")))
+        t = once_each(t, n, pairs, f"_{n}")
+    t = t.withColumns({f"_{n}": F.coalesce(f"_{n}", F.array().cast("array<struct<old:string,new:string>>")) for n in columns})
     size = lambda n, test: F.sum(F.size(F.filter(f"_{n}", test))).cast("long")
     counts = []
     for n in columns:
