@@ -266,8 +266,8 @@ def vocabulary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def normalise_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of several values: dropped, normalised, each once and in order."""
-    p = table(spark, sf_dir, "part")
-    return p.select(F.col("p_partkey").alias("id"), F.array_join(vo.NORMALISERS["battery"](F.split("p_name", " ")), ",").alias("battery"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("cell"))
+    return vo.once_each(p, "cell", vo.NORMALISERS["battery"], "items").select("id", F.array_join("items", ",").alias("battery"))
 
 
 _SIZES = f"(?i){_NUMBER}\\s*(mm|cm|in)\\b"
