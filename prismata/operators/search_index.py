@@ -41,10 +41,16 @@ def slot(pair: Column) -> Column:
 
 
 def build(rows: DataFrame, id_: str, text: Column, path: str) -> None:
-    """Write the postings of ``rows`` below ``path``, replacing what is there."""
+    """Write the postings of ``rows`` below ``path``, replacing what is there.
+
+    A row has some forty postings: the rows are dealt by id before they are
+    unfolded, so no task makes them equal by a table of all of its file, and a
+    partition with a frequent pair is split by its size before it is sorted.
+    """
     t = rows.select(F.col(id_).alias("id"), text.alias("text")).where("id is not null and text <> ''")
+    t = t.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     postings = t.select("id", F.explode(pairs(F.col("text"))).alias("pair")).withColumn("slot", slot(F.col("pair"))).distinct()
-    postings.repartition("slot").sortWithinPartitions("slot", "pair").write.mode("overwrite").partitionBy("slot").parquet(path)
+    postings.hint("rebalance", F.col("slot")).sortWithinPartitions("slot", "pair").write.mode("overwrite").partitionBy("slot").parquet(path)
 
 
 def pieces(word: str) -> list[str]:
