@@ -65,7 +65,7 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = common.table(spark, sf_dir, "documents"), common.Scratch(spark)
     for _, stage in STAGES[:-1]:
         here = common.Scratch(spark)
-        docs = here.saved(stage(spark, docs, sf_dir))
+        docs = here.saved(stage(spark, docs, sf_dir), small=True)  # texts lie on the disk beside those that the next stage shuffles
         before.release()
         before = here
     return docs

@@ -77,10 +77,10 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _save(df: DataFrame) -> tuple[DataFrame, str]:
+def _save(df: DataFrame, small: bool = False) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{_run_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd" if small else None)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -95,8 +95,9 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, []
 
-    def saved(self, df: DataFrame) -> DataFrame:
-        table_, path = _save(df)
+    def saved(self, df: DataFrame, small: bool = False) -> DataFrame:
+        """``df`` as a stored table; a ``small`` one takes less disk and more time."""
+        table_, path = _save(df, small)
         self.paths.append(path)
         return table_
 

@@ -43,3 +43,13 @@ def test_forget_deletes_all(spark):
     assert t.count() == 3 and folder(spark).exists()
     common.forget(spark)
     assert not folder(spark).exists()
+
+
+def test_small_tables_take_less_disk(spark):
+    t = spark.range(3000).select("id", F.concat_ws(" ", *[F.sha2((F.col("id") + k).cast("string"), 256) for k in range(5)]).alias("text"))
+    scratch = common.Scratch(spark)
+    plain, small = scratch.saved(t), scratch.saved(t, small=True)
+    size = lambda df: sum(Path(f.removeprefix("file:").replace("///", "/")).stat().st_size for f in df.inputFiles())
+    assert size(small) < 0.9 * size(plain)
+    assert sorted(small.collect()) == sorted(plain.collect())
+    scratch.release()
