@@ -35,6 +35,12 @@ def boxed(docs: DataFrame, **types: str) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *_cast(docs, types))
 
 
+def inside(df: DataFrame, name: str, kind: str) -> Column:
+    """A column of the rows that ``boxed`` has packed, cast; a missing one is null."""
+    have = {c.lower(): c for c in df.schema["_row"].dataType.names}
+    return (F.col("_row").getField(have[name.lower()]) if name.lower() in have else F.lit(None)).cast(kind)
+
+
 def unboxed(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col("_row").getField(c).alias(c) for c in columns])
 

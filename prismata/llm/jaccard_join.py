@@ -360,8 +360,8 @@ def one_per_class(docs: DataFrame, **parameters) -> DataFrame:
     A class is a chain of links, so a row may go although it is less alike to
     the kept one than the threshold.  Texts without a shingle are kept.
     """
-    d = common.saved(common.boxed(docs, doc_id="long", text="string").withColumn("rid", F.monotonically_increasing_id()))
-    told = labelled(d, **parameters)
+    d = common.saved(common.boxed(docs).withColumn("rid", F.monotonically_increasing_id()))  # each text once: the table lies on the disk until the stages after it are done
+    told = labelled(d.select("rid", common.inside(d, "doc_id", "long").alias("doc_id"), common.inside(d, "text", "string").alias("text")), **parameters)
     best = told.where("class_node is not null").groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rid")).alias("b"))
     keep = best.select("b.rid").unionByName(told.where("class_node is null").select("rid"))
     return common.unboxed(d.join(keep, "rid", "left_semi"), docs.columns)

@@ -137,18 +137,19 @@ def matches(text: Column, rule: Column) -> Column:
     return F.get(F.transform(F.array(F.regexp_extract_all(text, rule.pattern, F.lit(0))), spans), F.lit(0))
 
 
-def with_spans(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """``docs`` (a string column ``text`` without nulls) with ``_spans``, the spans of all rules by start and rule.
+def with_spans(docs: DataFrame, rules: list[Rule] = RULES, text: Column | None = None) -> DataFrame:
+    """``docs`` with ``_spans``, the spans of all rules in ``text`` (by default that column; a string without nulls) by start and rule.
 
     The rules that a text is a candidate for are an array, and one expression
     runs over it: the plan does not grow with the rule set.
     """
+    text = F.col("text") if text is None else text
     grams = vocabulary(rules)
-    cands = candidates(postings(docs, grams), rules, grams)
-    df = docs.withColumn("_key", text_key(F.col("text"))).join(cands.withColumnRenamed("key", "_key"), "_key", "left")
+    cands = candidates(postings(docs.select(text.alias("text")), grams), rules, grams)
+    df = docs.withColumn("_key", text_key(text)).join(cands.withColumnRenamed("key", "_key"), "_key", "left")
     every = F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(r.java).alias("pattern"), F.lit(r.value).alias("value"), F.lit(r.least).alias("least"), (F.coalesce(F.col(f"may_{r.kind}"), F.lit(False)) if r.query() else F.lit(True)).alias("may")) for i, r in enumerate(rules)])
     df = df.withColumn("_rules", F.filter(every, lambda r: r.may))
-    df = df.withColumn("_spans", F.array_sort(F.flatten(F.transform("_rules", lambda r: matches(F.col("text"), r)))))
+    df = df.withColumn("_spans", F.array_sort(F.flatten(F.transform("_rules", lambda r: matches(text, r)))))
     return df.drop("_key", "_rules", *[f"may_{r.kind}" for r in rules])
 
 
@@ -173,23 +174,25 @@ def redact(docs: DataFrame, rules: list[Rule] = RULES, mask: str = MASK) -> Data
 
     Overlapping spans share one mask.  A null text stays null.
     """
-    d = common.boxed(docs, text="string")
-    d = with_spans(d.select("_row", F.col("text").alias("_own"), F.coalesce("text", F.lit("")).alias("text")), rules)
+    d = common.boxed(docs)
+    own = common.inside(d, "text", "string")
+    text = F.coalesce(own, F.lit(""))
+    d = with_spans(d, rules, text)  # only the rows themselves are shuffled, so each text once
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        before = F.substring(F.col("text"), acc.at + 1, s.start - acc.at)
+        before = F.substring(text, acc.at + 1, s.start - acc.at)
         return F.when(s.start >= acc.at, F.struct(s.end.alias("at"), F.concat(acc.out, before, F.lit(mask)).alias("out"))).otherwise(F.struct(F.greatest(acc.at, s.end).alias("at"), acc.out.alias("out")))
 
-    clean = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc.out, F.substring(F.col("text"), acc.at + 1, F.length("text"))))
+    clean = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text))))
     hit = F.size("_spans") > 0
-    d = d.withColumn("_clean", F.when(hit, clean).otherwise(F.col("_own"))).withColumn("_hit", hit)
+    d = d.withColumn("_clean", F.when(hit, clean).otherwise(own)).withColumn("_hit", hit)
     out = []
     for c in docs.columns:
-        own = F.col("_row").getField(c)
+        value = F.col("_row").getField(c)
         if c.lower() == "text":
-            own = F.col("_clean")
+            value = F.col("_clean")
         elif c.lower() == "n_chars":
-            own = F.when(F.col("_hit"), F.length("_clean").cast(docs.schema[c].dataType)).otherwise(own)
-        out.append(own.alias(c))
+            value = F.when(F.col("_hit"), F.length("_clean").cast(docs.schema[c].dataType)).otherwise(value)
+        out.append(value.alias(c))
     return d.select(*out)

@@ -38,6 +38,17 @@ def test_the_join_leaves_no_texts_but_its_numbered_rows(spark):
     assert got.select("class_id").distinct().count() == 1
 
 
+def test_the_stage_leaves_each_text_once(spark):
+    """What the join leaves lies on the disk until the last stage; a second copy of the texts would take as much again."""
+    docs = common.saved(spark.range(2000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.sha2((F.col("id") * 40 + k).cast("string"), 256) for k in range(40)]).alias("text")))
+    size = lambda p: sum(f.stat().st_size for f in p.rglob("*.parquet"))
+    once = max(size(p) for p in folder(spark).iterdir())
+    before = set(folder(spark).iterdir())
+    got = jaccard_join.one_per_class(docs)
+    assert got.count() == 2000 and got.schema == docs.schema
+    assert sum(size(p) for p in folder(spark).iterdir() if p not in before) < 1.6 * once
+
+
 def test_forget_deletes_all(spark):
     t = common.saved(spark.range(3))
     assert t.count() == 3 and folder(spark).exists()
