@@ -34,6 +34,8 @@ QUEUE_BYTES = 8 << 20
 BUCKET = 8_000
 #: Tuples of a bucket that are read at once, about.
 BATCH = 1 << 16
+#: Tuples of a bucket of several symbols that are looked at for the end of a batch, at least.
+LOOK = 256
 
 Run = tuple[np.ndarray, ...]
 
@@ -192,23 +194,30 @@ def _sweep_names(w: np.ndarray, first: np.ndarray, stream: np.ndarray, memory: i
         suffix = np.concatenate([waiting[1], given])
         order = np.argsort(key, kind="stable")
         key, suffix = key[order], suffix[order]
+        ahead, leaving = len(key), []
         while len(key):
-            before = suffix - 1
+            near, own = key[:ahead], suffix[:ahead]  # a batch ends early as a rule, so that looking at the whole bucket each time would be quadratic
+            before = own - 1
             sym = w[before].astype(np.int64)  # of the suffix -1: any symbol, not used
-            induces = (suffix > 0) & ((sym * 2 > key) | (sym * 2 == key))
+            induces = (own > 0) & (sym * 2 >= near)
             least = np.minimum.accumulate(np.where(induces, sym * 2, np.iinfo(np.int64).max))
-            late = np.flatnonzero(least[:-1] < key[1:])
-            m = int(late[0]) + 1 if len(late) else len(key)
-            taken = key[:m] & 1 == 0
-            yield key[:m][taken] >> 1, suffix[:m][taken]
+            late = np.flatnonzero(least[:-1] < near[1:])
+            m = int(late[0]) + 1 if len(late) else len(near)
+            ahead = max(LOOK, 2 * m)
+            taken = near[:m] & 1 == 0
+            yield near[:m][taken] >> 1, own[:m][taken]
             go = induces[:m]
             sym, before = sym[:m][go], before[:m][go]
             here = bucket_of[sym] == b
-            queue.put(bucket_of[sym[~here]], (sym[~here], before[~here]))
-            key, suffix = np.concatenate([key[m:], sym[here] * 2]), np.concatenate([suffix[m:], before[here]])
+            leaving.append((sym[~here], before[~here]))
+            key, suffix = key[m:], suffix[m:]
             if here.any():
+                key, suffix = np.concatenate([key, sym[here] * 2]), np.concatenate([suffix, before[here]])
                 order = np.argsort(key, kind="stable")
                 key, suffix = key[order], suffix[order]
+        if leaving:
+            sym, before = (np.concatenate(c) for c in zip(*leaving, strict=True))
+            queue.put(bucket_of[sym], (sym, before))
     queue.close()
 
 

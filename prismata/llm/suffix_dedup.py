@@ -52,6 +52,8 @@ LENGTH = 200
 SHARD_BYTES = 3 << 20
 QUEUE_BYTES = induced.QUEUE_BYTES
 SPLIT_CONTENTS = 20_000
+#: Bytes whose hashes stay in a core's cache while anchors are chosen; the anchors do not depend on it.
+CACHED = 1 << 17
 SPLIT_WINDOWS = 8
 #: What names a content.
 CONTENT = ["anchor", "c1", "c2"]
@@ -81,7 +83,7 @@ def _places(length: int, secret: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = batch.column("rid").to_numpy()
-            for a, b, buf, off in tb.chunks(batch.column("text")):
+            for a, b, buf, off in tb.chunks(batch.column("text"), CACHED):
                 mark = _marks(buf, off, secret)
                 got = anchors.blocks(buf, off, length)
                 # the blocks of a text's copies are at one place
@@ -98,7 +100,7 @@ def _blocks(length: int, secret: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = batch.column("rid").to_numpy()
-            for a, b, buf, off in tb.chunks(batch.column("text")):
+            for a, b, buf, off in tb.chunks(batch.column("text"), CACHED):
                 mark = _marks(buf, off, secret)
                 got = anchors.blocks(buf, off, length)
                 occ = tb.mix(mark[got["text"]] + tb.mix(got["lo"].astype(np.uint64))).view(np.int64)
@@ -273,18 +275,34 @@ def covered(n: int, found: list[dict] | None, length: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
+def all_covered(off: np.ndarray, found: pa.ListArray, length: int) -> np.ndarray:
+    """``covered`` for a chunk of texts (``off``: where each begins), one after the other."""
+    sizes = lambda lists: lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    blocks = found.flatten()
+    row, lo, spans = np.repeat(np.arange(len(found)), sizes(found)), blocks.field("lo").to_numpy(zero_copy_only=False).astype(np.int64), blocks.field("spans")
+    whole = np.unique(row[lo < 0])
+    whole = whole[np.diff(off)[whole] >= length]
+    each = sizes(spans)
+    span, own = spans.flatten(), np.repeat(lo >= 0, each)
+    base = np.repeat(off[row] + lo, each)[own]
+    a, b = (span.field(x).to_numpy(zero_copy_only=False)[own] + base for x in ("a", "b"))
+    count = lambda first, more: np.bincount(np.concatenate([first, more]), minlength=int(off[-1]) + 1)
+    return np.cumsum(count(a, off[whole]) - count(b - 1 + length, off[whole + 1]))[: off[-1]] > 0
+
+
 def _report(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                raw = (text or "").encode()
-                gone = covered(len(raw), found, length)
-                removed = int(gone.sum())
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if removed else raw
-                rows.append((len(raw), removed, len(spans_of(gone)) if removed else 0, hashlib.sha256(kept).hexdigest()))
-            n, r, s, h = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(h, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            for a, b, buf, off in tb.chunks(batch.column("text")):
+                gone = all_covered(off, batch.column("found").slice(a, b - a), length)
+                removed = tb.per_text(gone, off)
+                first = gone.copy()  # of each removed run
+                first[1:] &= ~gone[:-1]
+                head = off[:-1][off[1:] > off[:-1]]
+                first[head] = gone[head]
+                kept, upto = memoryview(buf[~gone]), off - np.concatenate([[0], np.cumsum(removed)])
+                digest = [hashlib.sha256(kept[x:y]).hexdigest() for x, y in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(off)), pa.array(removed), pa.array(tb.per_text(first, off)), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return run
 

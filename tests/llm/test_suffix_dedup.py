@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -120,3 +121,33 @@ def test_a_shard_far_larger_than_its_memory_spills():
     seen = Counter(p[i : i + 60] for p in pieces for i in range(len(p) - 59))
     assert hit.sum() == sum(n for n in seen.values() if n > 1)
     assert all(seen[raw[i : i + 60]] > 1 for i in np.flatnonzero(hit).tolist())
+
+
+@pytest.mark.parametrize("look", [1, 2, 256])
+def test_batches_do_not_depend_on_how_far_is_looked(monkeypatch, look):
+    """A batch of names looks at the next few tuples only, not at its whole bucket again."""
+    monkeypatch.setattr(induced, "LOOK", look)
+    monkeypatch.setattr(induced, "BUCKET", 50)
+    rng = np.random.default_rng(look)
+    for most in (2, 30, 900):
+        names = np.append(rng.integers(1, most + 1, 1500), 0).astype(np.int32)
+        got = induced.sorted_suffixes(names, 0)
+        assert got.tolist() == sorted(range(len(names)), key=lambda i: names[i:].tolist())
+
+
+def test_covered_bytes_of_a_chunk_equal_those_of_its_texts():
+    rng = random.Random(3)
+    size = [0, 30, 5, 0, 64, 9, 200, 0]
+    off = np.concatenate([[0], np.cumsum(size)])
+    found = []
+    for n in size:
+        blocks = [{"lo": lo, "spans": [{"a": a, "b": a + rng.randint(1, 4)} for a in (0, 5)[: rng.randint(0, 2)]]} for lo in range(0, n - 20, 11)]
+        found.append(rng.choice([None, [], blocks, blocks, [*blocks, {"lo": -1, "spans": [{"a": 0, "b": 0}]}]]))
+    for shift in range(3):
+        lists = found[shift:] + found[:shift]
+        whole = pa.array([[], *[f if n >= 10 or not f else None for f, n in zip(lists, size, strict=True)]], pa.list_(pa.struct([("lo", pa.int32()), ("spans", suffix_dedup.SPANS)])))
+        lists = whole.slice(1)
+        fit = [[b for b in f or [] if b["lo"] + 18 <= n] for f, n in zip(lists.to_pylist(), size, strict=True)]
+        lists = pa.array([[], *fit], whole.type).slice(1)
+        want = np.concatenate([suffix_dedup.covered(n, f, 10) for n, f in zip(size, fit, strict=True)])
+        assert (suffix_dedup.all_covered(off, lists, 10) == want).all()
